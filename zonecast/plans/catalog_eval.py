@@ -1,5 +1,252 @@
-"""Registered queries (continued)."""
+"""Registered evaluation queries.
+
+The forecaster here is the rule forecaster (G20), fitted on the training
+part, so every table below has an exact SQL oracle. The same operators take
+``pyspark.ml`` predictions unchanged (see ``zonecast.plans.train``).
+"""
 
 from __future__ import annotations
 
-from zonecast.plans.catalog import register  # noqa: F401
+from pyspark.sql import functions as F
+
+from zonecast.operators import eda as EDA
+from zonecast.operators import metrics as M
+from zonecast.operators import splits as S
+from zonecast.operators.forecast import rule_forecast_column
+from zonecast.plans import oracle as O
+from zonecast.plans.catalog import present, register, scored, split_rows, test_predictions
+
+MODEL = "rule_forecast"
+EPS = O.d(1e-8)
+
+
+def metrics_sql(y: str = "actual_demand", p: str = "predicted_demand") -> str:
+    return f"""
+  avg(abs({p} - {y})) AS mae,
+  sqrt(avg(({p} - {y}) * ({p} - {y}))) AS rmse,
+  {O.d(1.0)} - avg(({p} - {y}) * ({p} - {y})) / nullif(var_pop({y}), 0) AS r2,
+  median(abs({p} - {y})) AS median_ae,
+  avg(abs(({y} - {p}) / greatest(abs({y}), {EPS}))) * {O.d(100.0)} AS mape,
+  avg({O.d(2.0)} * abs({p} - {y}) / greatest(abs({y}) + abs({p}), {EPS})) * {O.d(100.0)} AS smape,
+  avg({p} - {y}) AS bias"""
+
+
+_PRED_COLS = ("pickup_date, hour, day_of_week, month, is_weekend, is_peak_hour, pickup_zone, actual_demand, "
+              "predicted_demand, error, abs_error, sq_error, pct_error, over_prediction, under_prediction")
+_PRED_SQL_COLS = _PRED_COLS.replace("pickup_date,", "strftime(pickup_date, '%Y-%m-%d') AS pickup_date,", 1)
+
+
+@register("rule_forecast_test", O.with_ctes("scored") + """
+SELECT pickup_zone, strftime(pickup_date, '%Y-%m-%d') AS pickup_date, hour, predicted_demand
+FROM scored WHERE split = 'test'""")
+def q_rule_forecast_test(spark, sf):
+    s = scored(spark, sf).where(F.col("split") == "test")
+    return present(s.select("pickup_zone", "pickup_date", "hour", "predicted_demand"))
+
+
+@register("prediction_frame", O.with_ctes("pred_test") + f"SELECT {_PRED_SQL_COLS} FROM pred_test")
+def q_prediction_frame(spark, sf):
+    return present(test_predictions(spark, sf))
+
+
+def _metrics_by_split(spark, sf):
+    s = scored(spark, sf).withColumn("model_name", F.lit(MODEL)).withColumn("actual_demand", F.col("demand").cast("double"))
+    return M.regression_metrics(s, group_cols=("model_name", "split"))
+
+
+@register("metrics_by_split", O.with_ctes("scored") + f"""
+SELECT '{MODEL}' AS model_name, split, {metrics_sql()}
+FROM (SELECT split, CAST(demand AS DOUBLE) AS actual_demand, predicted_demand FROM scored)
+GROUP BY split""")
+def q_metrics_by_split(spark, sf):
+    return _metrics_by_split(spark, sf)
+
+
+_COMPARISON_SQL = f"""
+comparison AS (
+  SELECT model_name,
+""" + ",\n".join(f"    max(CASE WHEN split = '{s}' THEN {m} END) AS {s}_{m}"
+                 for m in M.METRIC_NAMES for s in ("train", "val", "test")) + f"""
+  FROM (SELECT '{MODEL}' AS model_name, split, {metrics_sql()}
+        FROM (SELECT split, CAST(demand AS DOUBLE) AS actual_demand, predicted_demand FROM scored)
+        GROUP BY split)
+  GROUP BY model_name)"""
+
+
+def _comparison(spark, sf):
+    return M.comparison_row(_metrics_by_split(spark, sf))
+
+
+@register("model_comparison", O.with_ctes("scored")[:-1] + ",\n" + _COMPARISON_SQL + "\nSELECT * FROM comparison")
+def q_model_comparison(spark, sf):
+    return _comparison(spark, sf)
+
+
+@register("generalisation", O.with_ctes("scored")[:-1] + ",\n" + _COMPARISON_SQL + f"""
+SELECT model_name, val_mae - train_mae AS generalization_gap_mae, val_rmse - train_rmse AS generalization_gap_rmse,
+  val_mae > train_mae * {O.d(1.10)} AS overfitting_suspected
+FROM comparison""")
+def q_generalisation(spark, sf):
+    c = _comparison(spark, sf)
+    return c.select("model_name",
+                    M.generalisation(F.col("train_mae"), F.col("val_mae")).alias("generalization_gap_mae"),
+                    M.generalisation(F.col("train_rmse"), F.col("val_rmse")).alias("generalization_gap_rmse"),
+                    M.overfitting_flag(F.col("train_mae"), F.col("val_mae")).alias("overfitting_suspected"))
+
+
+# ---- walk-forward CV of the rule forecaster --------------------------------
+def _cv_predictions(spark, sf):
+    train = split_rows(spark, sf).where(F.col("split") == "train").drop("split")
+    ff = S.fold_frame(train)
+    base = ff.where(F.col("role") == "train").groupBy("fold").agg(
+        F.median(F.col("demand").cast("double")).alias("rule_base"))
+    return (ff.join(F.broadcast(base), on="fold")
+            .select(F.lit(MODEL).alias("model_name"), "fold", "role",
+                    F.col("demand").cast("double").alias("actual_demand"),
+                    rule_forecast_column(F.col("rule_base"), F.col("hour"), F.col("is_weekend"),
+                                         F.col("zone_trip_volume")).alias("predicted_demand")))
+
+
+def _cv_results(spark, sf):
+    return M.fold_metrics(_cv_predictions(spark, sf))
+
+
+_CV_SQL = f"""
+cvp AS (
+  SELECT '{MODEL}' AS model_name, f.fold, f.role, CAST(s.demand AS DOUBLE) AS actual_demand,
+    {O.rule_forecast_sql('b.rule_base', 's.hour', 's.is_weekend', 's.zone_trip_volume')} AS predicted_demand
+  FROM split s JOIN folds f USING (pickup_date)
+  JOIN (SELECT f2.fold, median(CAST(s2.demand AS DOUBLE)) AS rule_base
+        FROM split s2 JOIN folds f2 USING (pickup_date) WHERE s2.split = 'train' AND f2.role = 'train'
+        GROUP BY f2.fold) b ON b.fold = f.fold
+  WHERE s.split = 'train' AND f.role IS NOT NULL),
+cvm AS (
+  SELECT model_name, fold, role, {metrics_sql()} FROM cvp GROUP BY model_name, fold, role),
+cv_results AS (
+  SELECT CAST(t.fold AS INTEGER) AS fold, t.model_name, t.mae AS train_mae, t.rmse AS train_rmse, t.r2 AS train_r2,
+    v.mae AS val_mae, v.rmse AS val_rmse, v.r2 AS val_r2, v.mae - t.mae AS mae_gap, v.rmse - t.rmse AS rmse_gap,
+    v.bias AS bias, v.median_ae AS median_ae, v.mape AS mape, v.smape AS smape
+  FROM cvm t JOIN cvm v ON t.model_name = v.model_name AND t.fold = v.fold AND t.role = 'train' AND v.role = 'val'),
+cv_summary AS (
+  SELECT model_name, avg(train_mae) AS cv_train_mae_mean, stddev_samp(train_mae) AS cv_train_mae_std,
+    avg(val_mae) AS cv_val_mae_mean, stddev_samp(val_mae) AS cv_val_mae_std,
+    avg(train_rmse) AS cv_train_rmse_mean, avg(val_rmse) AS cv_val_rmse_mean, avg(val_r2) AS cv_val_r2_mean,
+    avg(mae_gap) AS cv_gap_mae_mean, avg(rmse_gap) AS cv_gap_rmse_mean, avg(bias) AS cv_bias_mean,
+    avg(median_ae) AS cv_median_ae_mean, avg(mape) AS cv_mape_mean, avg(smape) AS cv_smape_mean
+  FROM cv_results GROUP BY model_name)"""
+
+_CV_WITH = O.with_ctes("split", "folds", "scored")[:-1] + ",\n" + _CV_SQL
+
+
+@register("cv_results", _CV_WITH + "\nSELECT * FROM cv_results")
+def q_cv_results(spark, sf):
+    return _cv_results(spark, sf)
+
+
+@register("cv_summary", _CV_WITH + "\nSELECT * FROM cv_summary")
+def q_cv_summary(spark, sf):
+    return M.cv_summary(_cv_results(spark, sf))
+
+
+@register("model_selection", _CV_WITH + ",\n" + _COMPARISON_SQL + """
+SELECT c.*, s.* EXCLUDE (model_name),
+  CAST(dense_rank() OVER (ORDER BY c.val_mae) AS INTEGER) AS holdout_val_rank,
+  CAST(dense_rank() OVER (ORDER BY s.cv_val_mae_mean NULLS LAST) AS INTEGER) AS cv_val_rank
+FROM comparison c LEFT JOIN cv_summary s USING (model_name)""")
+def q_model_selection(spark, sf):
+    return M.selection_table(_comparison(spark, sf), M.cv_summary(_cv_results(spark, sf)))
+
+
+@register("best_model", _CV_WITH + ",\n" + _COMPARISON_SQL + """
+SELECT c.model_name, c.val_mae, s.cv_val_mae_mean
+FROM comparison c LEFT JOIN cv_summary s USING (model_name)
+ORDER BY c.val_mae, s.cv_val_mae_mean NULLS LAST, c.model_name LIMIT 1""")
+def q_best_model(spark, sf):
+    sel = M.selection_table(_comparison(spark, sf), M.cv_summary(_cv_results(spark, sf)))
+    return M.best_model(sel).select("model_name", "val_mae", "cv_val_mae_mean")
+
+
+for _metric in ("mae", "rmse"):
+    def _mk(metric):
+        @register(f"comparison_long_{metric}", O.with_ctes("scored")[:-1] + ",\n" + _COMPARISON_SQL + f"""
+SELECT model_name, s AS split, v AS {metric} FROM (
+  SELECT model_name, 'Train' AS s, train_{metric} AS v FROM comparison
+  UNION ALL SELECT model_name, 'Val', val_{metric} FROM comparison
+  UNION ALL SELECT model_name, 'Test', test_{metric} FROM comparison)""")
+        def q(spark, sf):
+            return EDA.melt_metric(_comparison(spark, sf), metric)
+        return q
+    _mk(_metric)
+
+
+# ---- error tables on the test part ----------------------------------------
+def _err_sql(key: str) -> str:
+    k = "strftime(pickup_date, '%Y-%m-%d') AS pickup_date" if key == "pickup_date" else key
+    return O.with_ctes("pred_test") + f"""
+SELECT {k}, CAST(count(*) AS BIGINT) AS count, avg(abs_error) AS mean_abs_error,
+  median(abs_error) AS median_abs_error, avg(error) AS mean_error, sqrt(avg(sq_error)) AS rmse,
+  quantile_cont(abs_error, 0.95) AS p95_abs_error
+FROM pred_test GROUP BY {key}"""
+
+
+for _name, _key in (("error_by_hour", "hour"), ("error_by_zone", "pickup_zone"), ("error_by_peak_hour", "is_peak_hour")):
+    def _mk2(key):
+        def q(spark, sf):
+            return M.error_summary(test_predictions(spark, sf), key)
+        return q
+    register(_name, _err_sql(_key))(_mk2(_key))
+
+
+@register("calibration", O.with_ctes("pred_test")[:-1] + """,
+edges AS (
+  SELECT list_sort(list_distinct(quantile_cont(predicted_demand, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS e
+  FROM pred_test),
+bins AS (
+  SELECT CAST(i AS INTEGER) AS bin, e[i] AS bin_lo, e[i + 1] AS bin_hi FROM edges, range(1, len(e)) r(i)),
+binned AS (
+  SELECT greatest(1, len(list_filter(e, lambda x: x < predicted_demand))) AS bin,
+         avg(predicted_demand) AS mean_predicted, avg(actual_demand) AS mean_actual, count(*) AS n
+  FROM pred_test, edges GROUP BY 1)
+SELECT b.bin, b.bin_lo, b.bin_hi, mean_predicted, mean_actual, CAST(coalesce(n, 0) AS BIGINT) AS count,
+       mean_actual - mean_predicted AS calibration_gap
+FROM bins b LEFT JOIN binned USING (bin)""")
+def q_calibration(spark, sf):
+    return M.calibration(test_predictions(spark, sf))
+
+
+@register("residual_summary", O.with_ctes("pred_test") + """
+SELECT CAST(count(*) AS BIGINT) AS count, avg(error) AS mean_error, stddev_pop(error) AS std_error,
+  median(error) AS median_error, avg(abs_error) AS mean_abs_error, median(abs_error) AS median_abs_error,
+  sqrt(avg(sq_error)) AS rmse, quantile_cont(abs_error, 0.9) AS p90_abs_error,
+  quantile_cont(abs_error, 0.95) AS p95_abs_error
+FROM pred_test""")
+def q_residual_summary(spark, sf):
+    return M.residual_summary(test_predictions(spark, sf))
+
+
+for _name, _over in (("top_over_predictions", True), ("top_under_predictions", False)):
+    def _mk3(over):
+        def q(spark, sf):
+            return present(M.worst_cases(test_predictions(spark, sf), 20, over))
+        return q
+    _ord = "error ASC" if _over else "error DESC"
+    register(_name, O.with_ctes("pred_test") + f"""
+SELECT {_PRED_SQL_COLS} FROM pred_test ORDER BY {_ord}, pickup_zone, pickup_date, hour LIMIT 20""")(_mk3(_over))
+
+
+@register("mae_by_hour", O.with_ctes("pred_test") + "SELECT hour, avg(abs_error) AS abs_error FROM pred_test GROUP BY hour")
+def q_mae_by_hour(spark, sf):
+    return EDA.mae_by(test_predictions(spark, sf), "hour")
+
+
+@register("mae_by_peak_hour", O.with_ctes("pred_test") +
+          "SELECT is_peak_hour, avg(abs_error) AS abs_error FROM pred_test GROUP BY is_peak_hour")
+def q_mae_by_peak_hour(spark, sf):
+    return EDA.mae_by(test_predictions(spark, sf), "is_peak_hour")
+
+
+@register("mae_top_zones", O.with_ctes("pred_test") + """
+SELECT pickup_zone, avg(abs_error) AS abs_error FROM pred_test GROUP BY pickup_zone
+ORDER BY abs_error DESC, pickup_zone LIMIT 15""")
+def q_mae_top_zones(spark, sf):
+    return EDA.top_mae_zones(test_predictions(spark, sf), 15)
