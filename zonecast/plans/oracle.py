@@ -206,14 +206,18 @@ def price_points_sql(src: str, demand: str, ref: str, cfg: PriceConfig = PriceCo
                      elasticity: str | None = None, peak: str | None = None, weekend: str | None = None,
                      volume: str | None = None, keys: str = "*") -> str:
     """SELECT keys, i, price, adjusted_demand, revenue, score, e, ref, demand FROM src x grid."""
-    e0 = elasticity or d(cfg.elasticity)
+    e0 = "_e0"
+    carry = [f"{elasticity or d(cfg.elasticity)} AS _e0"]
     f = []
     if peak:
-        f.append(f"(CASE WHEN CAST({peak} AS INTEGER) = 1 THEN {d(cfg.peak_factor)} ELSE {d(1.0)} END)")
+        carry.append(f"{peak} AS _peak")
+        f.append(f"(CASE WHEN CAST(_peak AS INTEGER) = 1 THEN {d(cfg.peak_factor)} ELSE {d(1.0)} END)")
     if weekend:
-        f.append(f"(CASE WHEN CAST({weekend} AS INTEGER) = 1 THEN {d(cfg.weekend_factor)} ELSE {d(1.0)} END)")
+        carry.append(f"{weekend} AS _wk")
+        f.append(f"(CASE WHEN CAST(_wk AS INTEGER) = 1 THEN {d(cfg.weekend_factor)} ELSE {d(1.0)} END)")
     if volume:
-        v = f"CAST({volume} AS DOUBLE)"
+        carry.append(f"CAST({volume} AS DOUBLE) AS _vol")
+        v = "_vol"
         f.append(f"(CASE WHEN {v} > {d(cfg.high_volume_threshold)} THEN {d(cfg.high_volume_factor)} "
                  f"WHEN {v} < {d(cfg.low_volume_threshold)} THEN {d(cfg.low_volume_factor)} ELSE {d(1.0)} END)")
     f.append(f"(CASE WHEN _d >= {d(cfg.high_demand_threshold)} THEN {d(cfg.high_demand_factor)} "
@@ -241,7 +245,7 @@ FROM (
         SELECT *, CASE WHEN {upper0} <= {lower0} THEN {d(cfg.min_price)} ELSE {lower0} END AS _lower,
                   CASE WHEN {upper0} <= {lower0} THEN {d(cfg.max_price)} ELSE {upper0} END AS _upper,
                   {e} AS _e
-        FROM (SELECT {keys}, CAST({demand} AS DOUBLE) AS _d, CAST({ref} AS DOUBLE) AS _r FROM {src})
+        FROM (SELECT {keys}, CAST({demand} AS DOUBLE) AS _d, CAST({ref} AS DOUBLE) AS _r, {", ".join(carry)} FROM {src})
       )
     )
   )
