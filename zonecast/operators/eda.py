@@ -133,7 +133,9 @@ def kde_curve(df: DataFrame, col: str = "demand", grid: int = 200) -> DataFrame:
     z = (gx - F.col("v")) / F.col("bw")
     contrib = F.col("w").cast("double") * F.exp(F.lit(-0.5) * z * z)
     return (pts.select("g", gx.alias("x"), "n", "bw", contrib.alias("c"))
-            .groupBy("g", "x").agg((F.sum("c") * norm / (F.first("n").cast("double") * F.first("bw"))).alias("density")))
+            .groupBy("g", "x", "n", "bw").agg(F.sum("c").alias("s"))
+            .select(F.col("g").cast("int").alias("g"), "x",
+                    (F.col("s") * norm / (F.col("n").cast("double") * F.col("bw"))).alias("density")))
 
 
 def mae_by(pred: DataFrame, key: str) -> DataFrame:

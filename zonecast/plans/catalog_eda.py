@@ -1,5 +1,204 @@
-"""Registered queries (continued)."""
+"""Registered EDA and dashboard queries."""
 
 from __future__ import annotations
 
-from zonecast.plans.catalog import register  # noqa: F401
+import math
+
+from pyspark.sql import functions as F
+
+from zonecast.config import ALL_FEATURES, PANEL_COLUMNS, PriceConfig
+from zonecast.operators import eda as EDA
+from zonecast.operators import pricing as PR
+from zonecast.operators import scenario as SC
+from zonecast.operators.forecast import rule_forecast
+from zonecast.plans import oracle as O
+from zonecast.plans.catalog import model_rows, panel, present, register, test_predictions
+
+# ---- D8 mean demand by each key (one GROUPING SETS pass) ------------------
+_KEYS = EDA.MEAN_DEMAND_KEYS
+_DIM = "CASE " + " ".join(f"WHEN grouping({k}) = 0 THEN '{k}'" for k in _KEYS) + " END"
+_VAL = "CASE " + " ".join(f"WHEN grouping({k}) = 0 THEN CAST({k} AS INTEGER)" for k in _KEYS) + " END"
+
+
+@register("mean_demand_by_key", O.with_ctes("panel") + f"""
+SELECT {_DIM} AS dimension, {_VAL} AS key_value, avg(demand) AS mean_demand, CAST(count(*) AS BIGINT) AS rows
+FROM panel GROUP BY GROUPING SETS ({", ".join(f"({k})" for k in _KEYS)})""")
+def q_mean_demand_by_key(spark, sf):
+    return EDA.mean_by_keys(panel(spark, sf))
+
+
+@register("weekday_hour_pivot", O.with_ctes("panel") + "SELECT day_of_week, " + ", ".join(
+    f"avg(CASE WHEN hour = {h} THEN demand END) AS hour_{h}" for h in range(24)) + " FROM panel GROUP BY day_of_week")
+def q_weekday_hour_pivot(spark, sf):
+    return EDA.weekday_hour_pivot(panel(spark, sf))
+
+
+# ---- D11 correlation of the 29 numeric panel columns ----------------------
+_NUMERIC = [c for c in PANEL_COLUMNS if c not in ("pickup_date", "pickup_zone")]
+
+
+def _corr_sql() -> str:
+    n = len(_NUMERIC)
+    aggs = [f"var_pop(CAST({c} AS DOUBLE)) AS v{i}" for i, c in enumerate(_NUMERIC)]
+    aggs += [f"covar_pop(CAST({_NUMERIC[i]} AS DOUBLE), CAST({_NUMERIC[j]} AS DOUBLE)) AS c{i}_{j}"
+             for i in range(n) for j in range(i + 1, n)]
+    items = []
+    for i, a in enumerate(_NUMERIC):
+        for j, b in enumerate(_NUMERIC):
+            if i == j:
+                r = f"v{i} / nullif(v{i}, 0)"
+            else:
+                lo, hi = min(i, j), max(i, j)
+                r = f"c{lo}_{hi} / nullif(sqrt(v{lo} * v{hi}), 0)"
+            items.append(f"{{'col_a': '{a}', 'col_b': '{b}', 'r': {r}}}")
+    return (O.with_ctes("panel") + f"SELECT s.col_a, s.col_b, s.r FROM (SELECT unnest([{', '.join(items)}]) AS s "
+            f"FROM (SELECT {', '.join(aggs)} FROM panel))")
+
+
+@register("correlation_matrix", _corr_sql())
+def q_correlation_matrix(spark, sf):
+    return EDA.correlation_long(panel(spark, sf), _NUMERIC)
+
+
+@register("describe_demand", O.with_ctes("panel") + """
+SELECT CAST(count(demand) AS BIGINT) AS count, avg(CAST(demand AS DOUBLE)) AS mean,
+  stddev_samp(CAST(demand AS DOUBLE)) AS std, min(CAST(demand AS DOUBLE)) AS min,
+  quantile_cont(CAST(demand AS DOUBLE), 0.25) AS p25, median(CAST(demand AS DOUBLE)) AS p50,
+  quantile_cont(CAST(demand AS DOUBLE), 0.75) AS p75, max(CAST(demand AS DOUBLE)) AS max
+FROM panel""")
+def q_describe_demand(spark, sf):
+    return EDA.describe(panel(spark, sf), "demand")
+
+
+def _hist_sql(src_cte: str, col: str, bins: int = 50) -> str:
+    return O.with_ctes(src_cte)[:-1] + f""",
+xs AS (SELECT CAST({col} AS DOUBLE) AS x FROM {src_cte} WHERE {col} IS NOT NULL),
+rng AS (SELECT min(x) AS lo, max(x) AS hi FROM xs),
+edges AS (SELECT list_transform(range(0, {bins + 1}), lambda i: CASE WHEN i = {bins} THEN hi
+          ELSE lo + CAST(i AS DOUBLE) * ((hi - lo) / {O.d(bins)}) END) AS e FROM rng),
+counts AS (SELECT len(list_filter(e[2:{bins}], lambda t: t <= x)) AS bin, count(*) AS n FROM xs, edges GROUP BY 1),
+all_bins AS (SELECT CAST(b AS INTEGER) AS bin, e[b + 1] AS bin_lo, e[b + 2] AS bin_hi FROM edges, range(0, {bins}) r(b))
+SELECT a.bin, a.bin_lo, a.bin_hi, CAST(coalesce(c.n, 0) AS BIGINT) AS count
+FROM all_bins a LEFT JOIN counts c USING (bin)"""
+
+
+@register("demand_histogram", _hist_sql("panel", "demand"))
+def q_demand_histogram(spark, sf):
+    return EDA.histogram(panel(spark, sf), "demand", 50)
+
+
+@register("residual_histogram", _hist_sql("pred_test", "error"))
+def q_residual_histogram(spark, sf):
+    return EDA.histogram(test_predictions(spark, sf), "error", 50)
+
+
+@register("demand_kde", O.with_ctes("panel") + f"""
+, stats AS (SELECT count(demand) AS n, stddev_samp(CAST(demand AS DOUBLE)) AS sd,
+    min(CAST(demand AS DOUBLE)) AS lo, max(CAST(demand AS DOUBLE)) AS hi FROM panel),
+vals AS (SELECT CAST(demand AS DOUBLE) AS v, count(*) AS w FROM panel WHERE demand IS NOT NULL GROUP BY 1),
+pts AS (SELECT g, lo + CAST(g AS DOUBLE) * ((hi - lo) / {O.d(199)}) AS x, v, w, n,
+           sd * pow(CAST(n AS DOUBLE), {O.d(-0.2)}) AS bw
+        FROM vals, stats, range(0, 200) r(g))
+SELECT CAST(g AS INTEGER) AS g, x,
+  sum(CAST(w AS DOUBLE) * exp({O.d(-0.5)} * ((x - v) / bw) * ((x - v) / bw))) * {O.d(1 / math.sqrt(2 * math.pi))}
+    / (CAST(n AS DOUBLE) * bw) AS density
+FROM pts GROUP BY g, x, n, bw""".replace("\n, stats", ", stats", 1))
+def q_demand_kde(spark, sf):
+    return EDA.kde_curve(panel(spark, sf), "demand", 200)
+
+
+# ---- K1-K5 dashboard ------------------------------------------------------
+_FLOAT_SQL = SC.FLOAT_MEDIAN
+_INT_SQL = SC.INT_MEDIAN
+
+
+def _ctx_sql() -> str:
+    cols = _INT_SQL + _FLOAT_SQL
+
+    def meds(prefix):
+        return ", ".join(f"median(CAST({c} AS DOUBLE)) AS {prefix}{c}" for c in cols)
+
+    def pick(c):
+        return (f"(CASE WHEN zh.pickup_zone IS NOT NULL THEN zh.zh_{c} WHEN z.pickup_zone IS NOT NULL THEN z.z_{c} "
+                f"WHEN h.hour IS NOT NULL THEN h.h_{c} ELSE a.a_{c} END)")
+
+    dow = f"coalesce(CAST(trunc({pick('day_of_week')}) AS INTEGER), 0)"
+    two_pi = repr(2 * math.pi)
+    feats = {
+        "hour": "CAST(r.hour AS INTEGER)",
+        "day_of_week": dow,
+        "month": f"coalesce(CAST(trunc({pick('month')}) AS INTEGER), 0)",
+        "week_of_year": f"coalesce(CAST(trunc({pick('week_of_year')}) AS INTEGER), 0)",
+        "is_weekend": f"coalesce(CAST(trunc({pick('is_weekend')}) AS INTEGER), 0)",
+        "is_peak_hour": f"CAST(r.hour IN ({O.PEAK}) AS INTEGER)",
+        "hour_sin": f"sin({two_pi} * r.hour / {O.d(24)})",
+        "hour_cos": f"cos({two_pi} * r.hour / {O.d(24)})",
+        "dow_sin": f"sin({two_pi} * {dow} / {O.d(7)})",
+        "dow_cos": f"cos({two_pi} * {dow} / {O.d(7)})",
+    }
+    for c in _FLOAT_SQL:
+        feats[c] = f"coalesce(CASE WHEN NOT isnan({pick(c)}) THEN {pick(c)} END, {O.d(0.0)})"
+    level = ("CASE WHEN zh.pickup_zone IS NOT NULL THEN 'zone_hour' WHEN z.pickup_zone IS NOT NULL THEN 'zone' "
+             "WHEN h.hour IS NOT NULL THEN 'hour' ELSE 'all' END")
+    return O.with_ctes("mf")[:-1] + f""",
+req AS (SELECT pickup_zone, CAST(hour AS INTEGER) AS hour FROM (SELECT DISTINCT pickup_zone FROM mf), range(0, 24) t(hour)),
+zh AS (SELECT pickup_zone, hour, {meds('zh_')} FROM mf GROUP BY pickup_zone, hour),
+z AS (SELECT pickup_zone, {meds('z_')} FROM mf GROUP BY pickup_zone),
+h AS (SELECT hour, {meds('h_')} FROM mf GROUP BY hour),
+a AS (SELECT {meds('a_')} FROM mf),
+ctx AS (
+  SELECT r.pickup_zone, {level} AS context_level, {", ".join(f"{feats[c]} AS {c}" for c in ALL_FEATURES)}
+  FROM req r LEFT JOIN zh ON zh.pickup_zone = r.pickup_zone AND zh.hour = r.hour
+  LEFT JOIN z ON z.pickup_zone = r.pickup_zone LEFT JOIN h ON h.hour = r.hour CROSS JOIN a)
+"""
+
+
+def _context(spark, sf):
+    mf = model_rows(spark, sf)
+    return SC.context_rows(mf, SC.zone_hour_requests(mf))
+
+
+@register("context_rows", _ctx_sql() + "SELECT * FROM ctx")
+def q_context_rows(spark, sf):
+    return _context(spark, sf)
+
+
+_KPI_CFG = PriceConfig()
+
+
+@register("dashboard_kpis", _ctx_sql() + f""",
+base AS (SELECT median(CAST(demand AS DOUBLE)) AS rule_base FROM mf),
+fc AS (SELECT ctx.*, {O.rule_forecast_sql('base.rule_base')} AS predicted_demand, {O.d(_KPI_CFG.mid_price)} AS reference_price
+       FROM ctx CROSS JOIN base)
+SELECT pickup_zone, hour, predicted_demand, reference_price, optimal_price, uplift_percent
+FROM ({O.price_best_sql(O.price_points_sql('fc', 'predicted_demand', 'reference_price', _KPI_CFG,
+                                           peak='is_peak_hour', weekend='is_weekend', volume='zone_trip_volume',
+                                           keys='pickup_zone, hour, predicted_demand, reference_price'),
+                        ['pickup_zone', 'hour'], _KPI_CFG)})""".replace("\n,\nbase AS", ",\nbase AS", 1))
+def q_dashboard_kpis(spark, sf):
+    """Predicted demand, reference, optimal price and uplift for every (zone, hour) scenario (K4).
+
+    The context row carries only model features, so the reference price is
+    the mid price, as on the dashboard.
+    """
+    mf = model_rows(spark, sf)
+    ctx = _context(spark, sf)
+    fc = rule_forecast(ctx, mf)
+    priced = PR.optimize_prices(fc, "predicted_demand", _KPI_CFG)
+    return priced.select("pickup_zone", "hour", "predicted_demand", "reference_price", "optimal_price", "uplift_percent")
+
+
+@register("zone_list", O.with_ctes("mf") + "SELECT DISTINCT pickup_zone FROM mf")
+def q_zone_list(spark, sf):
+    return SC.zone_list(model_rows(spark, sf))
+
+
+_HIST_COLS = ["pickup_date", "hour", "day_of_week", "pickup_zone", "demand", "avg_fare_amount",
+              "avg_trip_distance", "avg_duration_min", "avg_speed_kph"]
+
+
+@register("zone_history", O.with_ctes("mf") + "SELECT " + ", ".join(
+    "strftime(pickup_date, '%Y-%m-%d') AS pickup_date" if c == "pickup_date" else c for c in _HIST_COLS) + """
+FROM mf QUALIFY row_number() OVER (PARTITION BY pickup_zone ORDER BY hour, pickup_date) <= 10""")
+def q_zone_history(spark, sf):
+    return present(SC.zone_history(model_rows(spark, sf), 10).select(*_HIST_COLS))
