@@ -241,4 +241,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load_all() -> None:
     # importing registers the remaining query groups
-    from zonecast.plans import catalog_eval, catalog_pricing, catalog_eda  # noqa: F401
+    from zonecast.plans import catalog_eval, catalog_pricing, catalog_eda, catalog_models  # noqa: F401
