@@ -202,3 +202,32 @@ _HIST_COLS = ["pickup_date", "hour", "day_of_week", "pickup_zone", "demand", "av
 FROM mf QUALIFY row_number() OVER (PARTITION BY pickup_zone ORDER BY hour, pickup_date) <= 10""")
 def q_zone_history(spark, sf):
     return present(SC.zone_history(model_rows(spark, sf), 10).select(*_HIST_COLS))
+
+
+# ---- S1, S2 streaming -----------------------------------------------------
+def _events_glob(sf: str) -> str:
+    return f"{sf.rstrip('/')}/events.parque[t]"
+
+
+_STREAM_COLS = ["pickup_date", "hour", "day_of_week", "month", "week_of_year", "is_weekend", "is_peak_hour",
+                "is_month_start", "is_month_end", "is_high_travel_period", "hour_sin", "hour_cos", "dow_sin",
+                "dow_cos", "pickup_zone", "pickup_lat_bin", "pickup_lon_bin", "demand", "avg_trip_distance",
+                "avg_duration_min", "avg_passenger_count", "avg_fare_amount", "avg_total_amount", "avg_tip_amount",
+                "avg_tolls_amount", "avg_speed_kph", "vendor_diversity", "payment_mode"]
+
+
+@register("streaming_panel", O.with_ctes("panel") + "SELECT " + ", ".join(
+    "strftime(pickup_date, '%Y-%m-%d') AS pickup_date" if c == "pickup_date" else c for c in _STREAM_COLS) + " FROM panel")
+def q_streaming_panel(spark, sf):
+    from zonecast.streaming.panel_stream import streamed_panel
+
+    return present(streamed_panel(spark, _events_glob(sf)))
+
+
+@register("streaming_prices")
+def q_streaming_prices(spark, sf):
+    from zonecast.streaming.panel_stream import latest_versions, run_panel_stream
+
+    base = panel(spark, sf).agg(F.median(F.col("demand").cast("double"))).first()[0]
+    out = run_panel_stream(spark, _events_glob(sf), rule_base=float(base))
+    return present(latest_versions(spark, f"{out}/prices"))
