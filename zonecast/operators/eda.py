@@ -56,29 +56,73 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, num)]
 
 
+def _comoment_partials(cols: list[str]):
+    """mapInPandas function: per-partition (n, mean vector, centered co-moment matrix).
+
+    Batches are merged with the pairwise update of Chan et al., so the
+    result is numerically stable; each task emits one row of k + k*k numbers.
+    """
+    import numpy as np
+    import pandas as pd
+
+    k = len(cols)
+
+    def fn(batches):
+        n, mean, com = 0, np.zeros(k), np.zeros((k, k))
+        lo, hi = np.full(k, np.inf), np.full(k, -np.inf)
+        for pdf in batches:
+            x = pdf[cols].to_numpy(dtype="float64")
+            x = x[~np.isnan(x).any(axis=1)]
+            nb = len(x)
+            if nb == 0:
+                continue
+            lo, hi = np.minimum(lo, x.min(axis=0)), np.maximum(hi, x.max(axis=0))
+            mb = x.mean(axis=0)
+            xc = x - mb
+            delta = mb - mean
+            tot = n + nb
+            com += xc.T @ xc + np.outer(delta, delta) * (n * nb / tot)
+            mean += delta * (nb / tot)
+            n = tot
+        if n:
+            yield pd.DataFrame({"n": [n], "mean": [mean.tolist()], "com": [com.ravel().tolist()],
+                                "lo": [lo.tolist()], "hi": [hi.tolist()]})
+
+    return fn
+
+
 def correlation_long(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Pearson correlation of every column pair as (col_a, col_b, r).
 
-    One aggregate of population co-moments (``covar_pop``, ``var_pop``), both
-    mergeable, so it is a single partial aggregation over the data. A
-    constant column gives NULL instead of a division error.
+    One pass over the data: every task reduces its rows to a mean vector and
+    a centered co-moment matrix (numpy inside ``mapInPandas``); Spark merges
+    the partials (partitions x k*k numbers) with
+    ``C = sum(C_p) + sum(n_p * (m_p - m)(m_p - m)^T)``. Rows with a NULL in
+    any listed column are left out. A constant column gives NULL.
     """
     cols = cols or numeric_columns(df)
-    aggs = [F.var_pop(F.col(c).cast("double")).alias(f"v{i}") for i, c in enumerate(cols)]
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    aggs += [F.covar_pop(F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double")).alias(f"c{i}_{j}")
-             for i, j in pairs]
-    m = df.agg(*aggs)
-    entries = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            if i == j:
-                r = F.try_divide(F.col(f"v{i}"), F.col(f"v{i}"))
-            else:
-                lo, hi = min(i, j), max(i, j)
-                r = F.try_divide(F.col(f"c{lo}_{hi}"), F.sqrt(F.col(f"v{lo}") * F.col(f"v{hi}")))
-            entries.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), r.alias("r")))
-    return m.select(F.inline(F.array(*entries)))
+    k = len(cols)
+    parts = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).mapInPandas(
+        _comoment_partials(cols), "n long, mean array<double>, com array<double>, lo array<double>, hi array<double>")
+    tot = parts.agg(F.sum("n").alias("N"), *[F.sum(F.col("n") * F.col("mean")[i]).alias(f"s{i}") for i in range(k)],
+                    *[(F.min(F.col("lo")[i]) == F.max(F.col("hi")[i])).alias(f"k{i}") for i in range(k)])
+    gmean = tot.select(F.array(*[F.col(f"s{i}") / F.col("N") for i in range(k)]).alias("gm"),
+                       F.array(*[F.col(f"k{i}") for i in range(k)]).alias("const"))
+    cells = (parts.crossJoin(F.broadcast(gmean.select("gm")))
+             .select("n", "mean", "gm", F.posexplode("com").alias("idx", "c"))
+             .withColumn("i", (F.col("idx") / k).cast("int")).withColumn("j", F.col("idx") % k)
+             .select("i", "j", (F.col("c") + F.col("n") * (F.col("mean")[F.col("i")] - F.col("gm")[F.col("i")])
+                                * (F.col("mean")[F.col("j")] - F.col("gm")[F.col("j")])).alias("c"))
+             .groupBy("i", "j").agg(F.sum("c").alias("c")))
+    diag = cells.where(F.col("i") == F.col("j")).select(F.col("i").alias("d"), F.col("c").alias("v"))
+    names = F.array(*[F.lit(c) for c in cols])
+    constant = F.col("const")[F.col("i")] | F.col("const")[F.col("j")]
+    return (cells.join(F.broadcast(diag.withColumnRenamed("d", "i").withColumnRenamed("v", "vi")), on="i")
+            .join(F.broadcast(diag.withColumnRenamed("d", "j").withColumnRenamed("v", "vj")), on="j")
+            .crossJoin(F.broadcast(gmean.select("const")))
+            .select(names[F.col("i")].alias("col_a"), names[F.col("j")].alias("col_b"),
+                    F.when(~constant & (F.col("vi") > 0) & (F.col("vj") > 0),
+                           F.col("c") / F.sqrt(F.col("vi") * F.col("vj"))).alias("r")))
 
 
 def describe(df: DataFrame, col: str = "demand") -> DataFrame:
