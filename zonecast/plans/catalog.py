@@ -78,8 +78,17 @@ def panel(spark, sf):
     return _PANELS[key]
 
 
+_MODEL_ROWS: dict[tuple, DataFrame] = {}
+
+
 def model_rows(spark, sf):
-    return L.model_frame(panel(spark, sf))
+    """Model frame, checkpointed once: splits, forecasts and pricing all read it without re-running the windows."""
+    key = (id(spark), spark.sparkContext.applicationId, sf)
+    if key not in _MODEL_ROWS:
+        from zonecast.operators.common import materialize
+
+        _MODEL_ROWS[key] = materialize(L.model_frame(panel(spark, sf)))
+    return _MODEL_ROWS[key]
 
 
 def split_rows(spark, sf):

@@ -9,6 +9,7 @@ from zonecast.config import PriceConfig
 from zonecast.operators import models as ML
 from zonecast.operators import pricing as PR
 from zonecast.operators.forecast import rule_forecast
+from zonecast.operators.common import materialize
 from zonecast.operators.lags import model_frame
 from zonecast.operators.splits import representative_row, seeded_sample, time_split
 from zonecast.sources.sinks import write_document, write_lines, write_table
@@ -22,7 +23,7 @@ def run_pricing(spark: SparkSession, panel: DataFrame, output_dir: str, model=No
     ``model`` is a fitted ``PipelineModel``; without one the rule forecaster,
     fitted on the training part, supplies the predicted demand.
     """
-    split_df = time_split(model_frame(panel))
+    split_df = materialize(time_split(model_frame(panel)))
     test = split_df.where(F.col("split") == "test")
     if model is not None:
         scored = ML.predict(model, test)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from zonecast.config import ALL_FEATURES
 from zonecast.operators import metrics as M
 from zonecast.operators import models as ML
+from zonecast.operators.common import materialize
 from zonecast.operators.lags import model_frame
 from zonecast.operators.splits import seeded_sample, time_split
 from zonecast.sources.sinks import save_model, write_document, write_table
@@ -21,7 +22,7 @@ from zonecast.sources.sinks import save_model, write_document, write_table
 def train_models(spark: SparkSession, panel: DataFrame, output_dir: str, names: list[str] | None = None,
                  cv_profile: str = "cv", final_profile: str = "final", overrides: dict | None = None) -> dict:
     names = names or ML.candidate_names()
-    split_df = time_split(model_frame(panel)).cache()
+    split_df = materialize(time_split(model_frame(panel)))
     train = split_df.where(F.col("split") == "train").drop("split")
 
     cv_results = ML.walk_forward_cv(train, names, cv_profile)
@@ -77,5 +78,4 @@ def train_models(spark: SparkSession, panel: DataFrame, output_dir: str, names:
         "cross_validation_splits": 3,
     }]).crossJoin(resid.select(F.struct("*").alias("residual_summary")))
     write_document(doc, f"{output_dir}/model_metrics")
-    split_df.unpersist()
     return {"best_model": best_name, "model": model}
