@@ -1,9 +1,11 @@
 """Forecast evaluation.
 
-Each metric table is one aggregate. Exact medians and percentiles keep a
-value->count map per group and merge it map-side; ``approx=True`` swaps in
-``percentile_approx`` (a mergeable sketch of bounded size) for columns with
-very many distinct values per group at cluster scale.
+Each metric table is one aggregate plus, for medians and percentiles of
+errors, the distributed exact quantile operator (``quantiles="distributed"``,
+the default): errors are continuous, so a value->count map per group could
+hold a hot group's every row in one task. ``quantiles="map"`` uses Spark's
+exact ``percentile`` (fine for few distinct values) and ``"approx"`` the
+mergeable ``percentile_approx`` sketch.
 """
 
 from __future__ import annotations
@@ -12,16 +14,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonecast.config import METRIC_EPS, OVERFIT_RATIO
+from zonecast.operators.quantiles import multi_quantile_columns, quantile_columns
 
 
-def _quantile(c: Column, q, approx: bool) -> Column:
-    if approx:
+def _quantile(c: Column, q, mode: str) -> Column:
+    if mode == "approx":
         return F.percentile_approx(c, q, 100000)
     return F.percentile(c, q) if not isinstance(q, float) or q != 0.5 else F.median(c)
 
 
+def _agg_with_quantiles(df: DataFrame, group_cols, aggs: list, value: Column, named: dict[str, float],
+                        mode: str, order: list[str]) -> DataFrame:
+    """``aggs`` plus quantiles of ``value`` per group, columns in ``order``."""
+    group_cols = list(group_cols)
+    if mode == "distributed":
+        base = df.groupBy(*group_cols).agg(*aggs) if group_cols else df.agg(*aggs)
+        q = quantile_columns(df.withColumn("_qv", value), group_cols, "_qv", named)
+        out = base.join(q, on=group_cols, how="left") if group_cols else base.crossJoin(q)
+    else:
+        extra = [_quantile(value, p, mode).alias(n) for n, p in named.items()]
+        out = df.groupBy(*group_cols).agg(*aggs, *extra) if group_cols else df.agg(*aggs, *extra)
+    return out.select(*group_cols, *order)
+
+
 def regression_metrics(df: DataFrame, actual: str = "actual_demand", predicted: str = "predicted_demand",
-                       group_cols: tuple[str, ...] = (), approx: bool = False) -> DataFrame:
+                       group_cols: tuple[str, ...] = (), quantiles: str = "distributed") -> DataFrame:
     """mae, rmse, r2, median_ae, mape, smape, bias (H1); optionally per group.
 
     r2 = 1 - mean squared error / population variance of the actual values.
@@ -36,12 +53,11 @@ def regression_metrics(df: DataFrame, actual: str = "actual_demand", predicted:
         F.avg(ae).alias("mae"),
         F.sqrt(F.avg(err * err)).alias("rmse"),
         (F.lit(1.0) - F.try_divide(F.avg(err * err), F.var_pop(y))).alias("r2"),
-        _quantile(ae, 0.5, approx).alias("median_ae"),
         (F.avg(F.abs((y - p) / F.greatest(F.abs(y), eps))) * F.lit(100.0)).alias("mape"),
         (F.avg(F.lit(2.0) * F.abs(p - y) / F.greatest(F.abs(y) + F.abs(p), eps)) * F.lit(100.0)).alias("smape"),
         F.avg(err).alias("bias"),
     ]
-    return df.groupBy(*group_cols).agg(*aggs) if group_cols else df.agg(*aggs)
+    return _agg_with_quantiles(df, group_cols, aggs, ae, {"median_ae": 0.5}, quantiles, METRIC_NAMES)
 
 
 METRIC_NAMES = ["mae", "rmse", "r2", "median_ae", "mape", "smape", "bias"]
@@ -66,19 +82,16 @@ def prediction_frame(df: DataFrame, actual: str = "demand", predicted: str = "pr
     })
 
 
-def error_summary(pred: DataFrame, key: str, approx: bool = False) -> DataFrame:
+def error_summary(pred: DataFrame, key: str, quantiles: str = "distributed") -> DataFrame:
     """count, mean/median abs error, mean error, rmse, p95 abs error by one key."""
-    return pred.groupBy(key).agg(
-        F.count(F.lit(1)).alias("count"),
-        F.avg("abs_error").alias("mean_abs_error"),
-        _quantile(F.col("abs_error"), 0.5, approx).alias("median_abs_error"),
-        F.avg("error").alias("mean_error"),
-        F.sqrt(F.avg("sq_error")).alias("rmse"),
-        _quantile(F.col("abs_error"), 0.95, approx).alias("p95_abs_error"),
-    )
+    aggs = [F.count(F.lit(1)).alias("count"), F.avg("abs_error").alias("mean_abs_error"),
+            F.avg("error").alias("mean_error"), F.sqrt(F.avg("sq_error")).alias("rmse")]
+    return _agg_with_quantiles(pred, [key], aggs, F.col("abs_error"),
+                               {"median_abs_error": 0.5, "p95_abs_error": 0.95}, quantiles,
+                               ["count", "mean_abs_error", "median_abs_error", "mean_error", "rmse", "p95_abs_error"])
 
 
-def calibration(pred: DataFrame, n_bins: int = 10, approx: bool = False) -> DataFrame:
+def calibration(pred: DataFrame, n_bins: int = 10, quantiles: str = "distributed") -> DataFrame:
     """Quantile bins of the prediction with mean predicted/actual, count and gap.
 
     Edges are the 0, 1/n, ..., 1 quantiles with duplicates removed; a value
@@ -86,9 +99,16 @@ def calibration(pred: DataFrame, n_bins: int = 10, approx: bool = False) -> Data
     edge belongs to bin 1). Bins without rows are kept with count 0.
     """
     qs = [i / n_bins for i in range(n_bins + 1)]
-    edges = pred.agg(F.array_distinct(
-        F.percentile_approx("predicted_demand", qs, 100000) if approx
-        else F.percentile(F.col("predicted_demand"), qs)).alias("edges"))
+    if quantiles == "distributed":
+        from zonecast.operators.quantiles import exact_quantiles
+
+        long = exact_quantiles(pred, [], "predicted_demand", qs)
+        edges = long.agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("q", "value"))),
+                                                      lambda s: s["value"])).alias("edges"))
+    else:
+        edges = pred.agg(F.array_distinct(
+            F.percentile_approx("predicted_demand", qs, 100000) if quantiles == "approx"
+            else F.percentile(F.col("predicted_demand"), qs)).alias("edges"))
     binned = (pred.crossJoin(F.broadcast(edges))
               .withColumn("bin", F.greatest(F.lit(1), F.size(F.filter("edges", lambda e: e < F.col("predicted_demand")))))
               .groupBy("bin").agg(
@@ -103,20 +123,21 @@ def calibration(pred: DataFrame, n_bins: int = 10, approx: bool = False) -> Data
                     (F.col("mean_actual") - F.col("mean_predicted")).alias("calibration_gap")))
 
 
-def residual_summary(pred: DataFrame, approx: bool = False) -> DataFrame:
+def residual_summary(pred: DataFrame, quantiles: str = "distributed") -> DataFrame:
     """Nine residual statistics in one row (D6); std is the population std."""
     e, ae = F.col("error"), F.col("abs_error")
-    return pred.agg(
-        F.count(F.lit(1)).alias("count"),
-        F.avg(e).alias("mean_error"),
-        F.stddev_pop(e).alias("std_error"),
-        _quantile(e, 0.5, approx).alias("median_error"),
-        F.avg(ae).alias("mean_abs_error"),
-        _quantile(ae, 0.5, approx).alias("median_abs_error"),
-        F.sqrt(F.avg("sq_error")).alias("rmse"),
-        _quantile(ae, 0.9, approx).alias("p90_abs_error"),
-        _quantile(ae, 0.95, approx).alias("p95_abs_error"),
-    )
+    base = [F.count(F.lit(1)).alias("count"), F.avg(e).alias("mean_error"), F.stddev_pop(e).alias("std_error"),
+            F.avg(ae).alias("mean_abs_error"), F.sqrt(F.avg("sq_error")).alias("rmse")]
+    order = ["count", "mean_error", "std_error", "median_error", "mean_abs_error", "median_abs_error", "rmse",
+             "p90_abs_error", "p95_abs_error"]
+    if quantiles != "distributed":
+        return pred.agg(*base, _quantile(e, 0.5, quantiles).alias("median_error"),
+                        _quantile(ae, 0.5, quantiles).alias("median_abs_error"),
+                        _quantile(ae, 0.9, quantiles).alias("p90_abs_error"),
+                        _quantile(ae, 0.95, quantiles).alias("p95_abs_error")).select(*order)
+    q = multi_quantile_columns(pred, [], {"median_error": ("error", 0.5), "median_abs_error": ("abs_error", 0.5),
+                                          "p90_abs_error": ("abs_error", 0.9), "p95_abs_error": ("abs_error", 0.95)})
+    return pred.agg(*base).crossJoin(q).select(*order)
 
 
 CV_MEAN_COLUMNS = [
