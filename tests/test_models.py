@@ -50,3 +50,12 @@ def test_unknown_model_raises(spark):
 
     with pytest.raises(ValueError):
         ML.build_pipeline("no_such_model")
+
+
+def test_standardiser_population_std(spark):
+    df, X, y = frame(spark)
+    st = ML.fit_standardiser(df.dropna(), ALL_FEATURES[:3])
+    out = ML.standardise(df.dropna(), st, ALL_FEATURES[:3]).toPandas()
+    keep = ~np.isnan(X).any(1)
+    want = (X[keep, :3] - X[keep, :3].mean(0)) / X[keep, :3].std(0)
+    assert np.allclose(out[ALL_FEATURES[:3]].to_numpy(), want)

@@ -219,3 +219,27 @@ def permutation_importance(model: PipelineModel, sample: DataFrame, features: li
             .groupBy("feature").agg(F.avg(F.col("mae") - F.col("ref_mae")).alias("importance_mean"),
                                     F.stddev_pop(F.col("mae") - F.col("ref_mae")).alias("importance_std"))
             .orderBy(F.desc("importance_mean"), "feature"))
+
+
+# ---- G12 feature standardiser ------------------------------------------------
+def fit_standardiser(train: DataFrame, features: list[str] = ALL_FEATURES) -> DataFrame:
+    """One row of per-feature mean and population std (zero std -> 1), from one aggregate.
+
+    ``pyspark.ml.feature.StandardScaler`` divides by the sample std; the
+    source scales by the population std, which this reproduces.
+    """
+    aggs = []
+    for c in features:
+        x = F.col(c).cast("double")
+        aggs += [F.avg(x).alias(f"{c}__mean"), F.stddev_pop(x).alias(f"{c}__std")]
+    st = train.agg(*aggs)
+    return st.select(*[F.col(f"{c}__mean") for c in features],
+                     *[F.when(F.col(f"{c}__std") > 0, F.col(f"{c}__std")).otherwise(F.lit(1.0)).alias(f"{c}__std")
+                       for c in features])
+
+
+def standardise(df: DataFrame, stats: DataFrame, features: list[str] = ALL_FEATURES) -> DataFrame:
+    """``(x - mean) / std`` per feature with the fitted one-row stats joined by broadcast."""
+    j = df.crossJoin(F.broadcast(stats))
+    out = j.withColumns({c: (F.col(c).cast("double") - F.col(f"{c}__mean")) / F.col(f"{c}__std") for c in features})
+    return out.drop(*[f"{c}__mean" for c in features], *[f"{c}__std" for c in features])

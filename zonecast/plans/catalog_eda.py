@@ -166,7 +166,7 @@ def q_context_rows(spark, sf):
 _KPI_CFG = PriceConfig()
 
 
-@register("dashboard_kpis", _ctx_sql() + f""",
+_KPI_SQL = _ctx_sql() + f""",
 base AS (SELECT median(CAST(demand AS DOUBLE)) AS rule_base FROM mf),
 fc AS (SELECT ctx.*, {O.rule_forecast_sql('base.rule_base')} AS predicted_demand, {O.d(_KPI_CFG.mid_price)} AS reference_price
        FROM ctx CROSS JOIN base)
@@ -174,7 +174,10 @@ SELECT pickup_zone, hour, predicted_demand, reference_price, optimal_price, upli
 FROM ({O.price_best_sql(O.price_points_sql('fc', 'predicted_demand', 'reference_price', _KPI_CFG,
                                            peak='is_peak_hour', weekend='is_weekend', volume='zone_trip_volume',
                                            keys='pickup_zone, hour, predicted_demand, reference_price'),
-                        ['pickup_zone', 'hour'], _KPI_CFG)})""".replace("\n,\nbase AS", ",\nbase AS", 1))
+                        ['pickup_zone', 'hour'], _KPI_CFG)})""".replace("\n,\nbase AS", ",\nbase AS", 1)
+
+
+@register("dashboard_kpis", _KPI_SQL)
 def q_dashboard_kpis(spark, sf):
     """Predicted demand, reference, optimal price and uplift for every (zone, hour) scenario (K4).
 
@@ -188,6 +191,22 @@ def q_dashboard_kpis(spark, sf):
     return priced.select("pickup_zone", "hour", "predicted_demand", "reference_price", "optimal_price", "uplift_percent")
 
 
+@register("dashboard_kpi_cards", _KPI_SQL.replace(
+    "SELECT pickup_zone, hour, predicted_demand, reference_price, optimal_price, uplift_percent\nFROM (",
+    "SELECT pickup_zone, hour, format('{:,.2f}', predicted_demand) AS predicted_demand_text, "
+    "format('{:,.2f}', reference_price) AS reference_price_text, format('{:,.2f}', optimal_price) AS optimal_price_text, "
+    "format('{:,.2f}', uplift_percent) || '%' AS uplift_text\nFROM (", 1))
+def q_dashboard_kpi_cards(spark, sf):
+    """KPI card texts for every (zone, hour) scenario (K4, C20)."""
+    from zonecast.functions.text import number_text
+
+    k = q_dashboard_kpis(spark, sf)
+    return k.select("pickup_zone", "hour", number_text(F.col("predicted_demand")).alias("predicted_demand_text"),
+                    number_text(F.col("reference_price")).alias("reference_price_text"),
+                    number_text(F.col("optimal_price")).alias("optimal_price_text"),
+                    F.concat(number_text(F.col("uplift_percent")), F.lit("%")).alias("uplift_text"))
+
+
 @register("zone_list", O.with_ctes("mf") + "SELECT DISTINCT pickup_zone FROM mf")
 def q_zone_list(spark, sf):
     return SC.zone_list(model_rows(spark, sf))

@@ -250,3 +250,20 @@ SELECT pickup_zone, avg(abs_error) AS abs_error FROM pred_test GROUP BY pickup_z
 ORDER BY abs_error DESC, pickup_zone LIMIT 15""")
 def q_mae_top_zones(spark, sf):
     return EDA.top_mae_zones(test_predictions(spark, sf), 15)
+
+
+# ---- K6 selected-model metrics row ----------------------------------------
+_K6 = [f"{s}_{m}" for m in ("mae", "rmse", "r2") for s in ("train", "val", "test")]
+
+
+@register("selected_model_metrics", O.with_ctes("scored")[:-1] + ",\n" + _COMPARISON_SQL + f"""
+SELECT model_name, {", ".join(_K6)}, val_mae - train_mae AS generalization_gap_mae,
+  val_rmse - train_rmse AS generalization_gap_rmse, val_mae > train_mae * {O.d(1.10)} AS overfitting_suspected
+FROM comparison""")
+def q_selected_model_metrics(spark, sf):
+    """The dashboard's quality row of the selected model (K6, H7)."""
+    c = _comparison(spark, sf)
+    return c.select("model_name", *_K6,
+                    M.generalisation(F.col("train_mae"), F.col("val_mae")).alias("generalization_gap_mae"),
+                    M.generalisation(F.col("train_rmse"), F.col("val_rmse")).alias("generalization_gap_rmse"),
+                    M.overfitting_flag(F.col("train_mae"), F.col("val_mae")).alias("overfitting_suspected"))

@@ -22,9 +22,13 @@ RAW_TEXT_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in
 
 
 def read_raw_trips_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV scan with a fixed text schema and the raw column list (A1)."""
-    return (spark.read.schema(RAW_TEXT_SCHEMA).option("header", True)
-            .option("mode", "PERMISSIVE").csv(path).select(*RAW_COLUMNS))
+    """CSV scan selecting the raw columns by header name, all as text (A1).
+
+    No schema inference (no extra pass over the files); files may carry more
+    columns, in any order; only the listed ones are parsed.
+    """
+    return (spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE")
+            .csv(path).select(*[F.col(c).cast("string").alias(c) for c in RAW_COLUMNS]))
 
 
 def parse_raw_trips(text: DataFrame) -> DataFrame:
