@@ -125,3 +125,15 @@ def test_mean_by_keys_grouping_sets(spark):
     got = EDA.mean_by_keys(df).where("dimension = 'hour'").toPandas().set_index("key_value")["mean_demand"]
     want = df.toPandas().groupby("hour")["demand"].mean()
     assert np.allclose(got.sort_index().to_numpy(), want.sort_index().to_numpy())
+
+
+def test_kde_resolution_close_to_exact(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(50, 10, 2000)
+    df = spark.createDataFrame(pd.DataFrame({"v": x}))
+    exact = EDA.kde_curve(df, "v").orderBy("g").toPandas()["density"].to_numpy()
+    snapped = EDA.kde_curve(df, "v", resolution=0.05).orderBy("g").toPandas()["density"].to_numpy()
+    assert np.max(np.abs(exact - snapped)) < 1e-3 * np.max(exact) + 1e-6
+    d = EDA.describe(df, "v", quantiles="map").first()
+    d2 = EDA.describe(df, "v").first()
+    assert np.isclose(d["p75"], d2["p75"]) and np.isclose(d2["p50"], np.median(x))

@@ -125,14 +125,24 @@ def correlation_long(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
                            F.col("c") / F.sqrt(F.col("vi") * F.col("vj"))).alias("r")))
 
 
-def describe(df: DataFrame, col: str = "demand") -> DataFrame:
-    """count, mean, sample std, min, exact quartiles, max."""
+def describe(df: DataFrame, col: str = "demand", quantiles: str = "distributed") -> DataFrame:
+    """count, mean, sample std, min, exact quartiles, max.
+
+    ``quantiles="distributed"`` uses the range-partitioned exact operator;
+    ``"map"`` Spark's ``percentile`` (bounded when the column has few
+    distinct values, e.g. integer demand).
+    """
     x = F.col(col).cast("double")
-    return df.agg(
-        F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-        F.min(x).alias("min"), F.percentile(x, 0.25).alias("p25"), F.median(x).alias("p50"),
-        F.percentile(x, 0.75).alias("p75"), F.max(x).alias("max"),
-    )
+    base = [F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+            F.min(x).alias("min"), F.max(x).alias("max")]
+    order = ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]
+    if quantiles == "distributed":
+        from zonecast.operators.quantiles import quantile_columns
+
+        q = quantile_columns(df, [], col, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+        return df.agg(*base).crossJoin(q).select(*order)
+    return df.agg(*base, F.percentile(x, 0.25).alias("p25"), F.median(x).alias("p50"),
+                  F.percentile(x, 0.75).alias("p75")).select(*order)
 
 
 def histogram(df: DataFrame, col: str = "demand", bins: int = 50) -> DataFrame:
@@ -158,18 +168,22 @@ def histogram(df: DataFrame, col: str = "demand", bins: int = 50) -> DataFrame:
             .select("bin", "bin_lo", "bin_hi", F.coalesce("count", F.lit(0)).cast("bigint").alias("count")))
 
 
-def kde_curve(df: DataFrame, col: str = "demand", grid: int = 200) -> DataFrame:
+def kde_curve(df: DataFrame, col: str = "demand", grid: int = 200, resolution: float | None = None) -> DataFrame:
     """Gaussian kernel density on ``grid`` points from min to max.
 
     Scott's bandwidth (sample std * n^-1/5). The data are first reduced to
     (value, count) by a partial aggregation; each distinct value then adds
-    its kernel to the fixed grid, a bounded per-row generator. Exact for any
-    column; the work is distinct values x grid points.
+    its kernel to the fixed grid, a bounded per-row generator. Exact when
+    ``resolution`` is None (the work is distinct values x grid points; fine
+    for counts). For a continuous column at scale, ``resolution`` snaps
+    values to multiples of it first: at most range / resolution distinct
+    kernels, an approximation with error bounded by resolution / bandwidth.
     """
     x = F.col(col).cast("double")
     stats = df.agg(F.count(x).alias("n"), F.stddev_samp(x).alias("sd"), F.min(x).alias("lo"), F.max(x).alias("hi")) \
         .withColumn("bw", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
-    vals = df.select(x.alias("v")).where(F.col("v").isNotNull()).groupBy("v").agg(F.count(F.lit(1)).alias("w"))
+    v = x if resolution is None else F.rint(x / F.lit(float(resolution))) * F.lit(float(resolution))
+    vals = df.select(v.alias("v")).where(F.col("v").isNotNull()).groupBy("v").agg(F.count(F.lit(1)).alias("w"))
     norm = F.lit(1.0 / math.sqrt(2 * math.pi))
     pts = (vals.crossJoin(F.broadcast(stats))
            .select("v", "w", "n", "bw", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("g")))

@@ -2,8 +2,9 @@
 
 K1 builds a model-input context row for every requested (zone, hour) from
 medians of the prepared panel, falling back (zone, hour) -> zone -> hour ->
-all rows. The four levels are one GROUPING SETS aggregate; each request row
-takes the first level that exists. The request table is bounded: zones are
+all rows. The two calendar-bounded levels are one GROUPING SETS aggregate;
+the hour and all-rows levels use the distributed exact median. Each request
+row takes the first level that exists. The request table is bounded: zones are
 limited by the bounding box (``MAX_ZONES``) and hours by 24.
 """
 
@@ -32,18 +33,27 @@ def zone_hour_requests(prepared: DataFrame) -> DataFrame:
 
 def context_rows(prepared: DataFrame, requests: DataFrame) -> DataFrame:
     """Feature row per request (zone, hour) in model feature order (K1)."""
+    from zonecast.operators.quantiles import multi_quantile_columns
+
     med_cols = INT_MEDIAN + FLOAT_MEDIAN
+    # (zone, hour) and zone groups hold at most one row per day / hour of the
+    # calendar, so Spark's exact median (a per-group value map) is bounded.
     levels = prepared.groupingSets(
-        [["pickup_zone", "hour"], ["pickup_zone"], ["hour"], []], "pickup_zone", "hour"
+        [["pickup_zone", "hour"], ["pickup_zone"]], "pickup_zone", "hour"
     ).agg(*[F.median(F.col(c).cast("double")).alias(c) for c in med_cols],
           F.grouping_id().alias("_gid"))
-    # grouping_id bits: zone=2, hour=1 -> (zone,hour)=0, zone=1, hour=2, all=3
+    # grouping_id bits: zone=2, hour=1 -> (zone,hour)=0, zone=1
     zh = levels.where(F.col("_gid") == 0).select("pickup_zone", "hour", *[F.col(c).alias(f"zh_{c}") for c in med_cols])
     z = levels.where(F.col("_gid") == 1).select("pickup_zone", *[F.col(c).alias(f"z_{c}") for c in med_cols],
                                                  F.lit(True).alias("_z"))
-    h = levels.where(F.col("_gid") == 2).select("hour", *[F.col(c).alias(f"h_{c}") for c in med_cols],
-                                                 F.lit(True).alias("_h"))
-    a = levels.where(F.col("_gid") == 3).select(*[F.col(c).alias(f"a_{c}") for c in med_cols])
+    # hour and all-rows levels span every zone: distributed exact medians in one pass
+    # (the all-rows level is the key hour = -1)
+    both = prepared.select(F.explode(F.array(F.col("hour").cast("int"), F.lit(-1))).alias("_level_hour"), *med_cols)
+    lv = multi_quantile_columns(both, ["_level_hour"], {c: (c, 0.5) for c in med_cols})
+    h = lv.where(F.col("_level_hour") >= 0).select(F.col("_level_hour").alias("hour"),
+                                                   *[F.col(c).alias(f"h_{c}") for c in med_cols],
+                                                   F.lit(True).alias("_h"))
+    a = lv.where(F.col("_level_hour") == -1).select(*[F.col(c).alias(f"a_{c}") for c in med_cols])
     zh = zh.withColumn("_zh", F.lit(True))
     j = (requests.join(zh, on=["pickup_zone", "hour"], how="left")
          .join(z, on="pickup_zone", how="left")
