@@ -162,19 +162,19 @@ def cv_summary(cv_results: DataFrame) -> DataFrame:
 def fold_metrics(pred_by_fold: DataFrame, model_name_col: str = "model_name") -> DataFrame:
     """CV result rows from fold predictions tagged (fold, role, model_name).
 
-    One aggregate over (model, fold, role), pivoted into train_/val_ columns.
+    One aggregate over (model, fold, role), pivoted on role into train_/val_
+    columns: a single pass, no self-join of the metric table.
     """
     m = regression_metrics(pred_by_fold, group_cols=(model_name_col, "fold", "role"))
-    tr = m.where(F.col("role") == "train").select(model_name_col, "fold", *[F.col(c).alias("train_" + c) for c in METRIC_NAMES])
-    va = m.where(F.col("role") == "val").select(model_name_col, "fold", *[F.col(c).alias("val_" + c) for c in METRIC_NAMES])
-    j = tr.join(va, on=[model_name_col, "fold"], how="inner")
-    return j.select(
+    wide = m.groupBy(model_name_col, "fold").pivot("role", ["train", "val"]).agg(
+        *[F.first(c).alias(c) for c in METRIC_NAMES])
+    return wide.select(
         "fold", model_name_col, "train_mae", "train_rmse", "train_r2", "val_mae", "val_rmse", "val_r2",
         (F.col("val_mae") - F.col("train_mae")).alias("mae_gap"),
         (F.col("val_rmse") - F.col("train_rmse")).alias("rmse_gap"),
         F.col("val_bias").alias("bias"), F.col("val_median_ae").alias("median_ae"),
         F.col("val_mape").alias("mape"), F.col("val_smape").alias("smape"),
-    )
+    ).where(F.col("train_mae").isNotNull() & F.col("val_mae").isNotNull())
 
 
 def comparison_row(metrics_by_split: DataFrame, model_name_col: str = "model_name") -> DataFrame:

@@ -26,15 +26,15 @@ values (linear interpolation between the two order statistics around
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pyspark import StorageLevel
 
 
-def exact_quantiles(df: DataFrame, group_cols: list[str] | tuple[str, ...], value_col: str,
-                    probs: list[float], num_partitions: int | None = None) -> DataFrame:
-    """(group_cols..., q, value) for every group and probability; NULL/NaN values are ignored."""
+def _order_statistics(df: DataFrame, group_cols: list[str], value_col: str, probs: list[float],
+                      num_partitions: int | None) -> tuple[DataFrame, list[str]]:
+    """Rows (group..., q, side, _pos, _v): the lower/upper order statistic around q(n-1) per group."""
     g = list(group_cols) or ["_all"]
     src = df if group_cols else df.withColumn("_all", F.lit(0))
     v = F.col(value_col).cast("double")
@@ -50,32 +50,41 @@ def exact_quantiles(df: DataFrame, group_cols: list[str] | tuple[str, ...], valu
         *g, "_pid", "_pc",
         F.coalesce(F.sum("_pc").over(wg.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
         F.sum("_pc").over(Window.partitionBy(*g)).alias("_n"))
-
-    # target ranks per (group, q), located on the small prefix table
+    # each prefix row checks which target ranks fall inside its slice: no join needed
     qs = F.array(*[F.lit(float(q)) for q in probs])
-    sizes = prefix.select(*g, "_n").distinct()
-    targets = (sizes.select(*g, "_n", F.explode(qs).alias("q"))
+    located = (prefix.select(*g, "_pid", "_pc", "_before", "_n", F.explode(qs).alias("q"))
                .withColumn("_pos", F.col("q") * (F.col("_n") - 1).cast("double"))
-               .select(*g, "q", "_pos", F.explode(F.array(
+               .select(*g, "_pid", "_pc", "_before", "q", "_pos", F.explode(F.array(
                    F.struct(F.lit("lo").alias("side"), F.floor("_pos").cast("long").alias("r")),
                    F.struct(F.lit("hi").alias("side"), F.ceil("_pos").cast("long").alias("r")))).alias("_t"))
-               .select(*g, "q", "_pos", "_t.side", "_t.r"))
-    located = (targets.join(prefix, on=g)
+               .select(*g, "_pid", "_before", "_pc", "q", "_pos", "_t.side", "_t.r")
                .where((F.col("r") >= F.col("_before")) & (F.col("r") < F.col("_before") + F.col("_pc")))
-               .select(*g, "q", "_pos", "side", "r", "_pid", "_before"))
+               .drop("_pc"))
 
-    # ranks inside each (group, partition) slice
+    # ranks inside each (group, partition) slice; the located table has at most
+    # 2 x groups x probabilities rows, so it is broadcast
     wl = Window.partitionBy(*g, "_pid").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = ranged.withColumn("_cum", F.sum("_c").over(wl))
-    hits = (rows.join(located, on=g + ["_pid"])
+    hits = (rows.join(F.broadcast(located), on=g + ["_pid"])
             .where((F.col("r") >= F.col("_before") + F.col("_cum") - F.col("_c"))
-                   & (F.col("r") < F.col("_before") + F.col("_cum"))))
+                   & (F.col("r") < F.col("_before") + F.col("_cum")))
+            .select(*g, "q", "side", "_pos", "_v"))
+    return hits, g
+
+
+def _interpolate(lo: Column, hi: Column, pos: Column) -> Column:
+    return lo + (hi - lo) * (pos - F.floor(pos))
+
+
+def exact_quantiles(df: DataFrame, group_cols: list[str] | tuple[str, ...], value_col: str,
+                    probs: list[float], num_partitions: int | None = None) -> DataFrame:
+    """(group_cols..., q, value) for every group and probability; NULL/NaN values are ignored."""
+    hits, g = _order_statistics(df, list(group_cols), value_col, probs, num_partitions)
     out = hits.groupBy(*g, "q").agg(
         F.max(F.when(F.col("side") == "lo", F.col("_v"))).alias("_lo"),
         F.max(F.when(F.col("side") == "hi", F.col("_v"))).alias("_hi"),
         F.max("_pos").alias("_pos"))
-    value = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_pos") - F.floor("_pos"))
-    res = out.select(*g, "q", value.alias("value"))
+    res = out.select(*g, "q", _interpolate(F.col("_lo"), F.col("_hi"), F.col("_pos")).alias("value"))
     return res.drop("_all") if not group_cols else res
 
 
@@ -88,20 +97,28 @@ def quantile_columns(df: DataFrame, group_cols: list[str] | tuple[str, ...], val
 
 def multi_quantile_columns(df: DataFrame, group_cols: list[str] | tuple[str, ...],
                            named: dict[str, tuple[str, float]], num_partitions: int | None = None) -> DataFrame:
-    """Several (column, probability) quantiles per group in one pass.
+    """Several (column, probability) quantiles per group in one pass, one row per group.
 
     The value columns are stacked into (column name, value) rows and the
-    column name joins the group key, so one run of ``exact_quantiles``
-    serves them all.
+    column name joins the group key, so one run serves them all; the final
+    aggregate picks each (column, probability) pair into its own column.
     """
     cols = sorted({c for c, _ in named.values()})
     probs = sorted({float(p) for _, p in named.values()})
     stacked = df.select(*group_cols, F.explode(F.array(*[
         F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_val")) for c in cols])).alias("_s")) \
         .select(*group_cols, "_s._col", "_s._val")
-    long = exact_quantiles(stacked, list(group_cols) + ["_col"], "_val", probs, num_partitions)
-    aggs = [F.max(F.when((F.col("_col") == F.lit(c)) & (F.col("q") == F.lit(float(p))), F.col("value"))).alias(name)
-            for name, (c, p) in named.items()]
-    if group_cols:
-        return long.groupBy(*group_cols).agg(*aggs)
-    return long.agg(*aggs)
+    hits, _ = _order_statistics(stacked, list(group_cols) + ["_col"], "_val", probs, num_partitions)
+
+    def pick(c, p, side):
+        return F.max(F.when((F.col("_col") == F.lit(c)) & (F.col("q") == F.lit(float(p)))
+                            & (F.col("side") == side), F.col("_v")))
+
+    aggs = []
+    for name, (c, p) in named.items():
+        aggs += [pick(c, p, "lo").alias(f"{name}__lo"), pick(c, p, "hi").alias(f"{name}__hi"),
+                 F.max(F.when((F.col("_col") == F.lit(c)) & (F.col("q") == F.lit(float(p))), F.col("_pos")))
+                 .alias(f"{name}__pos")]
+    wide = hits.groupBy(*group_cols).agg(*aggs) if group_cols else hits.agg(*aggs)
+    return wide.select(*group_cols, *[
+        _interpolate(F.col(f"{n}__lo"), F.col(f"{n}__hi"), F.col(f"{n}__pos")).alias(n) for n in named])
