@@ -63,3 +63,20 @@ def test_end_to_end_plans(spark):
         assert os.path.exists(f"{out}/{sub}".replace("file:", "")), sub
     from zonecast.sources.sinks import load_model
     assert load_model(f"{out}/artifacts/model") is not None
+
+
+def test_eda_and_diagnostic_tables(spark):
+    from zonecast.plans.catalog import model_rows, panel, test_predictions
+    from zonecast.plans.eda_run import eda_summary_lines, write_diagnostic_tables, write_eda_tables
+
+    out = shared_dir(spark, "zonecast-test", uuid.uuid4().hex)
+    p = panel(spark, SF_SMOKE)
+    write_eda_tables(spark, p, f"{out}/eda")
+    lines = [r["value"] for r in eda_summary_lines(p).orderBy("line_no").collect()]
+    assert lines[0] == "EDA SUMMARY" and lines[2] == "Rows: 762" and len(lines) == 16 + 5
+    sel = spark.createDataFrame([("m", 1.0, 2.0, 3.0, 1.5, 2.5, 3.5)],
+                                "model_name string, train_mae double, val_mae double, test_mae double, "
+                                "train_rmse double, val_rmse double, test_rmse double")
+    write_diagnostic_tables(spark, sel, test_predictions(spark, SF_SMOKE), None, f"{out}/diag")
+    assert spark.read.parquet(f"{out}/diag/model_comparison_mae").count() == 3
+    assert spark.read.parquet(f"{out}/eda/correlation").count() == 29 * 29

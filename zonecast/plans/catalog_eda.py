@@ -250,3 +250,36 @@ def q_streaming_prices(spark, sf):
     base = panel(spark, sf).agg(F.median(F.col("demand").cast("double"))).first()[0]
     out = run_panel_stream(spark, _events_glob(sf), rule_base=float(base))
     return present(latest_versions(spark, f"{out}/prices"))
+
+
+# ---- A10 EDA summary report lines -------------------------------------------
+_STAT_LINES = [("count", "count"), ("mean", "mean"), ("std", "std"), ("min", "min"), ("25%", "p25"),
+               ("50%", "p50"), ("75%", "p75"), ("max", "max")]
+
+
+def _eda_summary_sql() -> str:
+    n_cols = len(PANEL_COLUMNS)
+    stat_rows = ",\n".join(f"({6 + i}, printf('{label.replace('%', '%%')} %.6f', CAST(s.{col} AS DOUBLE)))"
+                           for i, (label, col) in enumerate(_STAT_LINES))
+    return O.with_ctes("panel")[:-1] + f""",
+s AS (SELECT count(demand) AS count, avg(CAST(demand AS DOUBLE)) AS mean, stddev_samp(CAST(demand AS DOUBLE)) AS std,
+        min(CAST(demand AS DOUBLE)) AS min, quantile_cont(CAST(demand AS DOUBLE), 0.25) AS p25,
+        median(CAST(demand AS DOUBLE)) AS p50, quantile_cont(CAST(demand AS DOUBLE), 0.75) AS p75,
+        max(CAST(demand AS DOUBLE)) AS max FROM panel),
+tz AS (SELECT pickup_zone, sum(demand) AS demand FROM panel GROUP BY pickup_zone
+       ORDER BY demand DESC, pickup_zone LIMIT 5),
+tzn AS (SELECT row_number() OVER (ORDER BY demand DESC, pickup_zone) + 15 AS line_no,
+        printf('%s  %d', pickup_zone, demand) AS value FROM tz)
+SELECT CAST(line_no AS INTEGER) AS line_no, value FROM (
+  SELECT * FROM (VALUES (0, 'EDA SUMMARY'), (1, '{"=" * 50}'), (3, 'Columns: {n_cols}'), (4, ''),
+                        (5, 'Demand Statistics:'), (14, ''), (15, 'Top 5 Zones by Total Demand:')) t(line_no, value)
+  UNION ALL SELECT 2, printf('Rows: %d', (SELECT count(*) FROM panel))
+  UNION ALL SELECT * FROM (SELECT t.line_no, t.value FROM s, (VALUES {stat_rows}) t(line_no, value))
+  UNION ALL SELECT line_no, value FROM tzn)"""
+
+
+@register("eda_summary", _eda_summary_sql())
+def q_eda_summary(spark, sf):
+    from zonecast.plans.eda_run import eda_summary_lines
+
+    return eda_summary_lines(panel(spark, sf)).select(F.col("line_no").cast("int").alias("line_no"), "value")

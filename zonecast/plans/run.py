@@ -28,7 +28,13 @@ def main(argv=None) -> None:
     spark = local_session()
     out = a.out or shared_dir(spark, "zonecast-run", uuid.uuid4().hex)
     _, panel, summary = load_and_preprocess(spark, raw_trips(spark, a.sf), f"{out}/data")
+    from zonecast.plans.eda_run import write_diagnostic_tables, write_eda_tables
+
+    write_eda_tables(spark, panel, f"{out}/eda")
     trained = train_models(spark, panel, f"{out}/artifacts", a.models.split(","))
+    write_diagnostic_tables(spark, spark.read.parquet(f"{out}/artifacts/model_selection_summary"),
+                            spark.read.parquet(f"{out}/artifacts/predictions/test"),
+                            spark.read.parquet(f"{out}/artifacts/feature_importance"), f"{out}/diagnostics")
     run_pricing(spark, panel, f"{out}/final", trained["model"], sample_size=a.sample or None,
                 model_name=trained["best_model"])
     print(out)
