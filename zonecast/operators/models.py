@@ -189,16 +189,19 @@ def native_importance(model: PipelineModel, features: list[str] = ALL_FEATURES):
 
 
 def permutation_importance(model: PipelineModel, sample: DataFrame, features: list[str] = ALL_FEATURES,
-                           n_repeats: int = 5, seed: int = SEED, label: str = TARGET) -> DataFrame:
+                           n_repeats: int = 5, seed: int = SEED, label: str = TARGET,
+                           max_rows: int = 5000) -> DataFrame:
     """Increase of MAE when one feature is shuffled, mean and population std over repeats.
 
     One scoring job: the sample is joined to itself through ``n_repeats``
     seeded permutations (row number over a hash order), exploded once per
     feature with only that feature replaced, scored by one ``transform`` and
-    aggregated per (feature, repeat). The sample size is the caller's bound
-    (the source uses 5000 validation rows).
+    aggregated per (feature, repeat). The row numbering windows run on the
+    sample only, which is capped here at ``max_rows`` rows by a seeded hash
+    order (the source uses 5000 validation rows): sampling is the feature.
     """
-    base = sample.select(*features, F.col(label).cast("double").alias("_y"))
+    base = (sample.select(*features, F.col(label).cast("double").alias("_y"))
+            .orderBy(F.xxhash64(F.lit(seed), *features, "_y"), *features).limit(int(max_rows)))
     base = base.withColumn("_rid", F.row_number().over(Window.orderBy(F.xxhash64(*features, "_y"))))
     perms = []
     for r in range(n_repeats):

@@ -61,11 +61,14 @@ def _order_statistics(df: DataFrame, group_cols: list[str], value_col: str, prob
                .where((F.col("r") >= F.col("_before")) & (F.col("r") < F.col("_before") + F.col("_pc")))
                .drop("_pc"))
 
-    # ranks inside each (group, partition) slice; the located table has at most
-    # 2 x groups x probabilities rows, so it is broadcast
+    # ranks inside each (group, partition) slice. The located table has
+    # 2 x groups x probabilities rows; it is not force-broadcast (the group
+    # count is the caller's): AQE broadcasts it after its runtime size check,
+    # else the join reuses the window's (group, partition) hash partitioning,
+    # whose keys each hold one range slice.
     wl = Window.partitionBy(*g, "_pid").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = ranged.withColumn("_cum", F.sum("_c").over(wl))
-    hits = (rows.join(F.broadcast(located), on=g + ["_pid"])
+    hits = (rows.join(located, on=g + ["_pid"])
             .where((F.col("r") >= F.col("_before") + F.col("_cum") - F.col("_c"))
                    & (F.col("r") < F.col("_before") + F.col("_cum")))
             .select(*g, "q", "side", "_pos", "_v"))
