@@ -3,6 +3,8 @@
 Shape: file stream of events -> trip adapter -> cleaning -> watermark (2 h)
 -> ``groupBy(window(pickup, 1 hour), zone)`` in update mode. State per
 (hour, zone) is dropped once the watermark passes, so it stays bounded.
+Rows behind the watermark are dropped from the micro-batch after the one
+that moved it (Spark applies the previous batch's watermark to late input).
 Exact distinct count is not allowed on streams; the vendor count is the size
 of ``collect_set`` (vendor ids are a handful per group).
 
@@ -87,9 +89,14 @@ def run_panel_stream(spark: SparkSession, events_glob: str, out_dir: str | None
     panel = panel_from_trip_stream(events_as_trips(events), watermark)
 
     def on_batch(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{out_dir}/panel/batch_id={batch_id}")
-        if rule_base is not None:
-            price_updates(df, rule_base).write.mode("overwrite").parquet(f"{out_dir}/prices/batch_id={batch_id}")
+        # two sinks read the same micro-batch: persist it once, release after
+        df.persist()
+        try:
+            df.write.mode("overwrite").parquet(f"{out_dir}/panel/batch_id={batch_id}")
+            if rule_base is not None:
+                price_updates(df, rule_base).write.mode("overwrite").parquet(f"{out_dir}/prices/batch_id={batch_id}")
+        finally:
+            df.unpersist()
 
     q = (panel.writeStream.outputMode("update").foreachBatch(on_batch)
          .option("checkpointLocation", f"{out_dir}/_checkpoint").trigger(availableNow=True).start())
