@@ -36,6 +36,7 @@ def run_pricing(spark: SparkSession, panel: DataFrame, output_dir: str, model=No
                 f"{output_dir}/revenue_curve")
     write_table(PR.sensitivity(representative_row(scored), "predicted_demand", cfg, use_context=False),
                 f"{output_dir}/sensitivity_curve")
+    sens = spark.read.parquet(f"{output_dir}/sensitivity_curve")
     write_table(PR.scenario_table(demo), f"{output_dir}/scenario_comparison")
 
     batch = seeded_sample(scored, sample_size) if sample_size else scored
@@ -46,12 +47,14 @@ def run_pricing(spark: SparkSession, panel: DataFrame, output_dir: str, model=No
     top5 = PR.top_uplift(sim, 5)
 
     d = spark.read.parquet(f"{output_dir}/best_pricing_result")
-    report = (d.select(F.struct(F.lit(model_name).alias("model_type")).alias("project"),
+    report = (d.select(F.struct(F.lit(model_name).alias("model_type"),
+                                F.lit("demand forecast + rule-based price search").alias("notes")).alias("project"),
                        F.struct(F.date_format("pickup_date", "yyyy-MM-dd'T'HH:mm:ss").alias("pickup_date"), "hour",
                                 "pickup_zone", F.col("demand").cast("double").alias("actual_demand"),
                                 "predicted_demand", "reference_price", "static_price", "static_revenue",
                                 "optimal_price", F.col("expected_demand").alias("optimal_demand"),
                                 F.col("expected_revenue").alias("optimal_revenue"), "uplift_percent").alias("demo_case"))
+              .crossJoin(sens.agg(F.collect_list(F.struct("*")).alias("pricing_sensitivity")))
               .crossJoin(summary.select(F.struct("*").alias("batch_summary")))
               .crossJoin(top5.agg(F.collect_list(F.struct("*")).alias("top_5_uplift_cases"))))
     write_document(report, f"{output_dir}/final_report")

@@ -48,6 +48,7 @@ def train_models(spark: SparkSession, panel: DataFrame, output_dir: str, names:
     save_model(model, f"{output_dir}/model")
 
     scored = ML.predict(model, split_df)
+    test_pred_all = scored.select("split", "demand", "predicted_demand")
     for part in ("train", "val", "test"):
         write_table(M.prediction_frame(scored.where(F.col("split") == part)), f"{output_dir}/predictions/{part}")
     test_pred = spark.read.parquet(f"{output_dir}/predictions/test")
@@ -77,5 +78,13 @@ def train_models(spark: SparkSession, panel: DataFrame, output_dir: str, names:
         "cross_validation_profile": "walk_forward_time_series",
         "cross_validation_splits": 3,
     }]).crossJoin(resid.select(F.struct("*").alias("residual_summary")))
+    # comparison / selection tables have one row per candidate model (a handful)
+    doc = (doc.crossJoin(comparison.agg(F.collect_list(F.struct("*")).alias("comparison")))
+           .crossJoin(selection.agg(F.collect_list(F.struct("*")).alias("selection_table")))
+           .crossJoin(M.regression_metrics(
+               test_pred_all.withColumnRenamed("demand", "actual_demand"), group_cols=("split",))
+               .agg(*[F.first(F.when(F.col("split") == s, F.struct(*M.METRIC_NAMES)), ignorenulls=True)
+                      .alias(f"selected_model_{n}_metrics")
+                      for s, n in (("train", "train"), ("val", "validation"), ("test", "test"))])))
     write_document(doc, f"{output_dir}/model_metrics")
     return {"best_model": best_name, "model": model}
