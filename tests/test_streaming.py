@@ -30,3 +30,16 @@ def test_watermark_drops_late_rows(spark):
     assert spark.read.parquet(f"{out}/panel").select("batch_id").distinct().count() >= 3
     prices = latest_versions(spark, f"{out}/prices")
     assert prices.count() == 4 and prices.where("optimal_price IS NULL").count() == 0
+
+
+def test_stream_hours_independent_of_session_time_zone(spark):
+    base = shared_dir(spark, "zonecast-test", uuid.uuid4().hex)
+    spark.createDataFrame([ev(1, 10, 5), ev(2, 10, 50), ev(3, 11, 10)], SCHEMA).coalesce(1).write.parquet(f"{base}/in/p0")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")  # +05:30
+        out = run_panel_stream(spark, f"{base}/in/p*/*.parquet", out_dir=f"{base}/out")
+        got = {r["hour"]: r["demand"] for r in latest_versions(spark, f"{out}/panel").collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got == {10: 2, 11: 1}

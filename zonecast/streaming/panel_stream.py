@@ -43,7 +43,11 @@ KEYS = ["pickup_date", "hour", "pickup_zone"]
 
 def panel_from_trip_stream(trips: DataFrame, watermark: str = "2 hours") -> DataFrame:
     """Streaming (hour, zone) aggregate of clean trips."""
-    t = clean_trips(trips).withColumn("_event_time", F.col("tpep_pickup_datetime").cast("timestamp"))
+    # wall-clock pickup time -> the instant with the same UTC wall clock, so hourly
+    # windows match wall-clock hours in any session time zone
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    t = clean_trips(trips).withColumn(
+        "_event_time", F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col("tpep_pickup_datetime"))))
     lat_bin = round_half_even(F.col("pickup_latitude"))
     lon_bin = round_half_even(F.col("pickup_longitude"))
     agg = (t.withWatermark("_event_time", watermark)
@@ -61,7 +65,7 @@ def panel_from_trip_stream(trips: DataFrame, watermark: str = "2 hours") -> Data
                 F.avg("payment_type").alias("payment_mode"),
                 F.min(lat_bin).alias("pickup_lat_bin"),
                 F.min(lon_bin).alias("pickup_lon_bin")))
-    start = F.col("w.start").cast("timestamp_ntz")
+    start = F.timestamp_add("MICROSECOND", F.unix_micros(F.col("w.start")), epoch)
     out = agg.withColumns({"pickup_date": F.to_date(start), "hour": F.hour(start)})
     return out.withColumns(cal.calendar_columns("pickup_date", "hour")).select(*PANEL_STREAM_COLUMNS)
 
