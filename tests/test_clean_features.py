@@ -2,8 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
-
 from zonecast.config import RAW_COLUMNS
 from zonecast.operators.clean import clean_trips, cleaning_summary
 from zonecast.sources.trips import RAW_TEXT_SCHEMA, parse_raw_trips

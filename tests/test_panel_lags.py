@@ -4,7 +4,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from zonecast.config import ALL_FEATURES
 from zonecast.operators import lags as L
 from zonecast.operators import splits as S
 

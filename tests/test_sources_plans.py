@@ -66,7 +66,7 @@ def test_end_to_end_plans(spark):
 
 
 def test_eda_and_diagnostic_tables(spark):
-    from zonecast.plans.catalog import model_rows, panel, test_predictions
+    from zonecast.plans.catalog import panel, test_predictions
     from zonecast.plans.eda_run import eda_summary_lines, write_diagnostic_tables, write_eda_tables
 
     out = shared_dir(spark, "zonecast-test", uuid.uuid4().hex)

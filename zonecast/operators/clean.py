@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from zonecast.config import (
     CRITICAL_COLUMNS, DISTANCE_RANGE, DURATION_MIN_RANGE, FARE_RANGE, LAT_MAX, LAT_MIN,
-    LON_MAX, LON_MIN, NUMERIC_COLUMNS, PASSENGER_RANGE, RAW_COLUMNS, SPEED_RANGE, TOTAL_RANGE,
+    LON_MAX, LON_MIN, NUMERIC_COLUMNS, PASSENGER_RANGE, SPEED_RANGE, TOTAL_RANGE,
 )
 from zonecast.functions import calendar as cal
 from zonecast.functions.spatial import round_half_even, zone_key

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zonecast.config import ALL_FEATURES, PANEL_COLUMNS, PriceConfig
+from zonecast.config import ALL_FEATURES, PANEL_COLUMNS
 from zonecast.operators import clean as C
 from zonecast.operators import lags as L
 from zonecast.operators import metrics as M
