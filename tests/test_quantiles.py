@@ -37,3 +37,11 @@ def test_no_exchange_holds_a_whole_group(spark):
     # the hot group's rows are range-partitioned (checkpointed); no percentile map is used
     assert "percentile" not in plan.lower()
     assert out.first()["value"] == 499.5
+
+
+def test_releases_persisted_intermediate(spark):
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    df = spark.range(500).selectExpr("id % 3 AS g", "CAST(id AS DOUBLE) AS v")
+    out = quantile_columns(df, ["g"], "v", {"p50": 0.5})
+    assert out.count() == 3
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before

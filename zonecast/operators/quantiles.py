@@ -11,9 +11,10 @@ values (linear interpolation between the two order statistics around
    values are hash-spread over many tasks.
 2. Range-partition those pairs by (group, value) and number the partitions.
    A hot group spans many consecutive partitions. The result is persisted
-   (memory and disk): both later branches read the same blocks, and a lost
-   block is recomputed from the same shuffle and partitioner, so partition
-   numbers stay consistent.
+   (memory and disk) while the operator runs: both later branches read the
+   same blocks, and a lost block is recomputed from the same shuffle and
+   partitioner, so partition numbers stay consistent. The operator is eager:
+   its small result is checkpointed and the persisted pairs are released.
 3. Counts per (group, partition) form a table of at most partitions +
    groups rows. Its prefix sums give each partition's first rank in its
    group and each group's size.
@@ -33,7 +34,7 @@ from pyspark import StorageLevel
 
 
 def _order_statistics(df: DataFrame, group_cols: list[str], value_col: str, probs: list[float],
-                      num_partitions: int | None) -> tuple[DataFrame, list[str]]:
+                      num_partitions: int | None) -> tuple[DataFrame, list[str], DataFrame]:
     """Rows (group..., q, side, _pos, _v): the lower/upper order statistic around q(n-1) per group."""
     g = list(group_cols) or ["_all"]
     src = df if group_cols else df.withColumn("_all", F.lit(0))
@@ -72,7 +73,20 @@ def _order_statistics(df: DataFrame, group_cols: list[str], value_col: str, prob
             .where((F.col("r") >= F.col("_before") + F.col("_cum") - F.col("_c"))
                    & (F.col("r") < F.col("_before") + F.col("_cum")))
             .select(*g, "q", "side", "_pos", "_v"))
-    return hits, g
+    return hits, g, ranged
+
+
+def _finish(result: DataFrame, ranged: DataFrame) -> DataFrame:
+    """Checkpoint the small result (groups x probabilities rows), then release the persisted pairs.
+
+    The operator is eager: the big intermediate lives only while it runs.
+    """
+    from zonecast.operators.common import materialize
+
+    try:
+        return materialize(result)
+    finally:
+        ranged.unpersist()
 
 
 def _interpolate(lo: Column, hi: Column, pos: Column) -> Column:
@@ -82,13 +96,13 @@ def _interpolate(lo: Column, hi: Column, pos: Column) -> Column:
 def exact_quantiles(df: DataFrame, group_cols: list[str] | tuple[str, ...], value_col: str,
                     probs: list[float], num_partitions: int | None = None) -> DataFrame:
     """(group_cols..., q, value) for every group and probability; NULL/NaN values are ignored."""
-    hits, g = _order_statistics(df, list(group_cols), value_col, probs, num_partitions)
+    hits, g, ranged = _order_statistics(df, list(group_cols), value_col, probs, num_partitions)
     out = hits.groupBy(*g, "q").agg(
         F.max(F.when(F.col("side") == "lo", F.col("_v"))).alias("_lo"),
         F.max(F.when(F.col("side") == "hi", F.col("_v"))).alias("_hi"),
         F.max("_pos").alias("_pos"))
     res = out.select(*g, "q", _interpolate(F.col("_lo"), F.col("_hi"), F.col("_pos")).alias("value"))
-    return res.drop("_all") if not group_cols else res
+    return _finish(res.drop("_all") if not group_cols else res, ranged)
 
 
 def quantile_columns(df: DataFrame, group_cols: list[str] | tuple[str, ...], value_col: str,
@@ -111,7 +125,7 @@ def multi_quantile_columns(df: DataFrame, group_cols: list[str] | tuple[str, ...
     stacked = df.select(*group_cols, F.explode(F.array(*[
         F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_val")) for c in cols])).alias("_s")) \
         .select(*group_cols, "_s._col", "_s._val")
-    hits, _ = _order_statistics(stacked, list(group_cols) + ["_col"], "_val", probs, num_partitions)
+    hits, _, ranged = _order_statistics(stacked, list(group_cols) + ["_col"], "_val", probs, num_partitions)
 
     def pick(c, p, side):
         return F.max(F.when((F.col("_col") == F.lit(c)) & (F.col("q") == F.lit(float(p)))
@@ -123,5 +137,5 @@ def multi_quantile_columns(df: DataFrame, group_cols: list[str] | tuple[str, ...
                  F.max(F.when((F.col("_col") == F.lit(c)) & (F.col("q") == F.lit(float(p))), F.col("_pos")))
                  .alias(f"{name}__pos")]
     wide = hits.groupBy(*group_cols).agg(*aggs) if group_cols else hits.agg(*aggs)
-    return wide.select(*group_cols, *[
-        _interpolate(F.col(f"{n}__lo"), F.col(f"{n}__hi"), F.col(f"{n}__pos")).alias(n) for n in named])
+    return _finish(wide.select(*group_cols, *[
+        _interpolate(F.col(f"{n}__lo"), F.col(f"{n}__hi"), F.col(f"{n}__pos")).alias(n) for n in named]), ranged)
