@@ -267,3 +267,12 @@ def q_selected_model_metrics(spark, sf):
                     M.generalisation(F.col("train_mae"), F.col("val_mae")).alias("generalization_gap_mae"),
                     M.generalisation(F.col("train_rmse"), F.col("val_rmse")).alias("generalization_gap_rmse"),
                     M.overfitting_flag(F.col("train_mae"), F.col("val_mae")).alias("overfitting_suspected"))
+
+
+@register("models_by_val_mae", O.with_ctes("scored")[:-1] + ",\n" + _COMPARISON_SQL + """
+SELECT model_name, train_mae, val_mae, test_mae FROM comparison ORDER BY val_mae, model_name""")
+def q_models_by_val_mae(spark, sf):
+    """Model table ordered by validation MAE (K5)."""
+    from zonecast.operators.scenario import models_by_val_mae
+
+    return models_by_val_mae(_comparison(spark, sf)).select("model_name", "train_mae", "val_mae", "test_mae")
