@@ -80,14 +80,19 @@ def _minutes(n: Column) -> Column:
     return F.make_dt_interval(F.lit(0), F.lit(0), n.cast("int"))
 
 
-def events_as_trips(events: DataFrame) -> DataFrame:
+def events_as_trips(events: DataFrame, wide_zones: bool = False) -> DataFrame:
     """Derive raw trips from the ``events`` table with integer arithmetic.
 
     Dirty rows are planted on purpose: every 89th event ends before it starts,
     every 97th sits at (0, 0), passenger count 0 for every 7th, and flags come
     in mixed case with spaces or NULL. The DuckDB oracle uses the same rules.
+
+    ``wide_zones`` spreads pickups over one zone per user (150 users -> 150
+    zones: 15 latitude x 10 longitude bins) so the panel keeps growing with
+    the data; it is used for benchmarking, not by the oracle-checked queries.
     """
     eid, uid, value = F.col("event_id"), F.col("user_id"), F.col("value")
+    lat_steps, lon_steps = (uid % 15, (uid / 15).cast("long") % 10) if wide_zones else (uid % 3, uid % 4)
     et = F.col("event_type")
     ts = F.col("ts").cast("timestamp_ntz")
     dropoff = F.when(eid % 89 == 0, ts - _minutes(F.lit(5))).otherwise(ts + _minutes(F.lit(2) + eid % 40))
@@ -102,8 +107,8 @@ def events_as_trips(events: DataFrame) -> DataFrame:
         dropoff.alias("tpep_dropoff_datetime"),
         (eid % 7).cast("double").alias("passenger_count"),
         (F.lit(0.5) + (eid % 23).cast("double") * F.lit(0.4)).alias("trip_distance"),
-        F.when(on_origin, F.lit(0.0)).otherwise(F.lit(-73.99) + (uid % 4).cast("double") * F.lit(0.01)).alias("pickup_longitude"),
-        F.when(on_origin, F.lit(0.0)).otherwise(F.lit(40.75) + (uid % 3).cast("double") * F.lit(0.01)).alias("pickup_latitude"),
+        F.when(on_origin, F.lit(0.0)).otherwise(F.lit(-73.99) + lon_steps.cast("double") * F.lit(0.01)).alias("pickup_longitude"),
+        F.when(on_origin, F.lit(0.0)).otherwise(F.lit(40.75) + lat_steps.cast("double") * F.lit(0.01)).alias("pickup_latitude"),
         F.lit(-73.95).alias("dropoff_longitude"),
         F.lit(40.72).alias("dropoff_latitude"),
         payment.alias("payment_type"),
@@ -119,9 +124,9 @@ def events_as_trips(events: DataFrame) -> DataFrame:
     return typed_raw_trips(trips)
 
 
-def raw_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_trips(spark: SparkSession, sf_dir: str, wide_zones: bool = False) -> DataFrame:
     """Raw trips of a driver data directory, via the events adapter."""
-    return events_as_trips(table(spark, sf_dir, "events"))
+    return events_as_trips(table(spark, sf_dir, "events"), wide_zones)
 
 
 def read_optional(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame | None:
