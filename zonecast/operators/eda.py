@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from zonecast.operators.common import scalar_row, with_scalars
+
 # fixed values: the one-key mean-demand breakdowns, in chart order
 MEAN_DEMAND_KEYS = ["hour", "day_of_week", "is_weekend", "is_peak_hour", "month",
                     "is_month_start", "is_month_end", "is_high_travel_period"]
@@ -108,18 +110,18 @@ def correlation_long(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
                     *[(F.min(F.col("lo")[i]) == F.max(F.col("hi")[i])).alias(f"k{i}") for i in range(k)])
     gmean = tot.select(F.array(*[F.col(f"s{i}") / F.col("N") for i in range(k)]).alias("gm"),
                        F.array(*[F.col(f"k{i}") for i in range(k)]).alias("const"))
-    cells = (parts.crossJoin(F.broadcast(gmean.select("gm")))
-             .select("n", "mean", "gm", F.posexplode("com").alias("idx", "c"))
+    row = scalar_row(gmean)
+    cells = (parts.select("n", "mean", row.getField("gm").alias("gm"), F.posexplode("com").alias("idx", "c"))
              .withColumn("i", (F.col("idx") / k).cast("int")).withColumn("j", F.col("idx") % k)
              .select("i", "j", (F.col("c") + F.col("n") * (F.col("mean")[F.col("i")] - F.col("gm")[F.col("i")])
                                 * (F.col("mean")[F.col("j")] - F.col("gm")[F.col("j")])).alias("c"))
              .groupBy("i", "j").agg(F.sum("c").alias("c")))
     diag = cells.where(F.col("i") == F.col("j")).select(F.col("i").alias("d"), F.col("c").alias("v"))
     names = F.array(*[F.lit(c) for c in cols])
-    constant = F.col("const")[F.col("i")] | F.col("const")[F.col("j")]
+    const = row.getField("const")
+    constant = const[F.col("i")] | const[F.col("j")]
     return (cells.join(F.broadcast(diag.withColumnRenamed("d", "i").withColumnRenamed("v", "vi")), on="i")
             .join(F.broadcast(diag.withColumnRenamed("d", "j").withColumnRenamed("v", "vj")), on="j")
-            .crossJoin(F.broadcast(gmean.select("const")))
             .select(names[F.col("i")].alias("col_a"), names[F.col("j")].alias("col_b"),
                     F.when(~constant & (F.col("vi") > 0) & (F.col("vj") > 0),
                            F.col("c") / F.sqrt(F.col("vi") * F.col("vj"))).alias("r")))
@@ -140,7 +142,7 @@ def describe(df: DataFrame, col: str = "demand", quantiles: str = "distributed")
         from zonecast.operators.quantiles import quantile_columns
 
         q = quantile_columns(df, [], col, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
-        return df.agg(*base).crossJoin(q).select(*order)
+        return with_scalars(df.agg(*base), q).select(*order)
     return df.agg(*base, F.percentile(x, 0.25).alias("p25"), F.median(x).alias("p50"),
                   F.percentile(x, 0.75).alias("p75")).select(*order)
 
@@ -159,8 +161,9 @@ def histogram(df: DataFrame, col: str = "demand", bins: int = 50) -> DataFrame:
                                    .otherwise(F.col("lo") + i.cast("double") * ((F.col("hi") - F.col("lo")) / F.lit(float(bins)))))
                        .alias("edges"))
     inner = F.slice("edges", 2, bins - 1)
-    counts = (df.select(x.alias("_x")).where(F.col("_x").isNotNull()).crossJoin(F.broadcast(edges))
-              .select(F.size(F.filter(inner, lambda e: e <= F.col("_x"))).alias("bin"))
+    counts = (df.select(x.alias("_x")).where(F.col("_x").isNotNull())
+              .withColumn("_inner", edges.select(inner).scalar())
+              .select(F.size(F.filter("_inner", lambda e: e <= F.col("_x"))).alias("bin"))
               .groupBy("bin").agg(F.count(F.lit(1)).alias("count")))
     all_bins = edges.select(F.posexplode(F.slice("edges", 1, bins)).alias("bin", "bin_lo"), "edges") \
         .select("bin", "bin_lo", F.element_at("edges", F.col("bin") + 2).alias("bin_hi"))
@@ -185,7 +188,7 @@ def kde_curve(df: DataFrame, col: str = "demand", grid: int = 200, resolution: f
     v = x if resolution is None else F.rint(x / F.lit(float(resolution))) * F.lit(float(resolution))
     vals = df.select(v.alias("v")).where(F.col("v").isNotNull()).groupBy("v").agg(F.count(F.lit(1)).alias("w"))
     norm = F.lit(1.0 / math.sqrt(2 * math.pi))
-    pts = (vals.crossJoin(F.broadcast(stats))
+    pts = (with_scalars(vals, stats)
            .select("v", "w", "n", "bw", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("g")))
     gx = F.col("lo") + F.col("g").cast("double") * ((F.col("hi") - F.col("lo")) / F.lit(float(grid - 1)))
     z = (gx - F.col("v")) / F.col("bw")

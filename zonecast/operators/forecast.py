@@ -2,7 +2,7 @@
 
 ``max(1, median * peak_boost * weekend_adj * (1 + min(volume / 1200, .35)))``
 with the median of a reference frame (the training part when evaluating).
-The median is a one-row aggregate joined by broadcast.
+The median is a one-row aggregate inlined as a scalar subquery.
 """
 
 from __future__ import annotations
@@ -31,8 +31,6 @@ def fit_rule_base(reference: DataFrame, target: str = "demand") -> DataFrame:
 def rule_forecast(df: DataFrame, reference: DataFrame, target: str = "demand",
                   out_col: str = "predicted_demand") -> DataFrame:
     """Add ``out_col`` to ``df`` using the median target of ``reference``."""
-    base = fit_rule_base(reference, target)
-    return (df.crossJoin(F.broadcast(base))
-            .withColumn(out_col, rule_forecast_column(F.col("rule_base"), F.col("hour"),
-                                                      F.col("is_weekend"), F.col("zone_trip_volume")))
-            .drop("rule_base"))
+    base = fit_rule_base(reference, target).scalar()
+    return df.withColumn(out_col, rule_forecast_column(base, F.col("hour"), F.col("is_weekend"),
+                                                       F.col("zone_trip_volume")))

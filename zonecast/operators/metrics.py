@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonecast.config import METRIC_EPS, OVERFIT_RATIO
+from zonecast.operators.common import with_scalars
 from zonecast.operators.quantiles import multi_quantile_columns, quantile_columns
 
 
@@ -30,7 +31,7 @@ def _agg_with_quantiles(df: DataFrame, group_cols, aggs: list, value: Column, na
     if mode == "distributed":
         base = df.groupBy(*group_cols).agg(*aggs) if group_cols else df.agg(*aggs)
         q = quantile_columns(df.withColumn("_qv", value), group_cols, "_qv", named)
-        out = base.join(q, on=group_cols, how="left") if group_cols else base.crossJoin(q)
+        out = base.join(q, on=group_cols, how="left") if group_cols else with_scalars(base, q)
     else:
         extra = [_quantile(value, p, mode).alias(n) for n, p in named.items()]
         out = df.groupBy(*group_cols).agg(*aggs, *extra) if group_cols else df.agg(*aggs, *extra)
@@ -109,8 +110,9 @@ def calibration(pred: DataFrame, n_bins: int = 10, quantiles: str = "distributed
         edges = pred.agg(F.array_distinct(
             F.percentile_approx("predicted_demand", qs, 100000) if quantiles == "approx"
             else F.percentile(F.col("predicted_demand"), qs)).alias("edges"))
-    binned = (pred.crossJoin(F.broadcast(edges))
-              .withColumn("bin", F.greatest(F.lit(1), F.size(F.filter("edges", lambda e: e < F.col("predicted_demand")))))
+    binned = (pred.withColumn("_edges", edges.scalar())
+              .withColumn("bin", F.greatest(F.lit(1), F.size(F.filter("_edges",
+                                                                       lambda e: e < F.col("predicted_demand")))))
               .groupBy("bin").agg(
                   F.avg("predicted_demand").alias("mean_predicted"),
                   F.avg("actual_demand").alias("mean_actual"),
@@ -137,7 +139,7 @@ def residual_summary(pred: DataFrame, quantiles: str = "distributed") -> DataFra
                         _quantile(ae, 0.95, quantiles).alias("p95_abs_error")).select(*order)
     q = multi_quantile_columns(pred, [], {"median_error": ("error", 0.5), "median_abs_error": ("abs_error", 0.5),
                                           "p90_abs_error": ("abs_error", 0.9), "p95_abs_error": ("abs_error", 0.95)})
-    return pred.agg(*base).crossJoin(q).select(*order)
+    return with_scalars(pred.agg(*base), q).select(*order)
 
 
 CV_MEAN_COLUMNS = [

@@ -13,12 +13,13 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonecast.config import ALL_FEATURES, TARGET
 from zonecast.operators import metrics as M
 from zonecast.operators import splits as S
+from zonecast.operators.common import row_numbers, scalar_row
 
 SEED = 42
 
@@ -194,31 +195,29 @@ def permutation_importance(model: PipelineModel, sample: DataFrame, features: li
     """Increase of MAE when one feature is shuffled, mean and population std over repeats.
 
     One scoring job: the sample is joined to itself through ``n_repeats``
-    seeded permutations (row number over a hash order), exploded once per
-    feature with only that feature replaced, scored by one ``transform`` and
-    aggregated per (feature, repeat). The row numbering windows run on the
-    sample only, which is capped here at ``max_rows`` rows by a seeded hash
-    order (the source uses 5000 validation rows): sampling is the feature.
+    seeded permutations, exploded once per feature with only that feature
+    replaced, scored by one ``transform`` and aggregated per (feature,
+    repeat). Permutation ``r`` pairs the row at position k of a hash order
+    with the row at position k of a second, repeat-seeded hash order; the
+    positions come from ``row_numbers`` (range-partitioned, no one-task
+    window). The sample is capped at ``max_rows`` rows by a seeded hash order
+    (the source uses 5000 validation rows): sampling is the feature.
     """
     base = (sample.select(*features, F.col(label).cast("double").alias("_y"))
             .orderBy(F.xxhash64(F.lit(seed), *features, "_y"), *features).limit(int(max_rows)))
-    base = base.withColumn("_rid", F.row_number().over(Window.orderBy(F.xxhash64(*features, "_y"))))
-    perms = []
-    for r in range(n_repeats):
-        src = base.select("_rid", *[F.col(c).alias(f"_src_{c}") for c in features])
-        src = src.withColumn("_k", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed + r), "_rid"))))
-        tgt = base.withColumn("_k", F.col("_rid"))
-        perms.append(tgt.join(src.drop("_rid"), on="_k").withColumn("repeat", F.lit(r)))
-    allp = perms[0]
-    for p in perms[1:]:
-        allp = allp.unionByName(p)
+    base = row_numbers(base, [F.xxhash64(*features, "_y"), *features], "_rid")
+    reps = base.select("_rid", *[F.col(c).alias(f"_src_{c}") for c in features],
+                       F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1))).alias("repeat"))
+    src = row_numbers(reps, [F.xxhash64(F.col("repeat") + F.lit(seed), "_rid"), "_rid"], "_k",
+                      group_cols=["repeat"]).drop("_rid")
+    allp = base.join(src, on=F.col("_rid") == F.col("_k")).drop("_k")
     fx = allp.withColumn("feature", F.explode(F.array(*[F.lit(c) for c in features])))
     swapped = fx.select("repeat", "feature", "_y", *[
         F.when(F.col("feature") == c, F.col(f"_src_{c}")).otherwise(F.col(c)).alias(c) for c in features])
     scored = predict(model, swapped)
     perm_mae = scored.groupBy("feature", "repeat").agg(F.avg(F.abs(F.col("predicted_demand") - F.col("_y"))).alias("mae"))
-    ref_mae = predict(model, base).agg(F.avg(F.abs(F.col("predicted_demand") - F.col("_y"))).alias("ref_mae"))
-    return (perm_mae.crossJoin(F.broadcast(ref_mae))
+    ref_mae = predict(model, base).agg(F.avg(F.abs(F.col("predicted_demand") - F.col("_y")))).scalar()
+    return (perm_mae.withColumn("ref_mae", ref_mae)
             .groupBy("feature").agg(F.avg(F.col("mae") - F.col("ref_mae")).alias("importance_mean"),
                                     F.stddev_pop(F.col("mae") - F.col("ref_mae")).alias("importance_std"))
             .orderBy(F.desc("importance_mean"), "feature"))
@@ -242,7 +241,7 @@ def fit_standardiser(train: DataFrame, features: list[str] = ALL_FEATURES) -> Da
 
 
 def standardise(df: DataFrame, stats: DataFrame, features: list[str] = ALL_FEATURES) -> DataFrame:
-    """``(x - mean) / std`` per feature with the fitted one-row stats joined by broadcast."""
-    j = df.crossJoin(F.broadcast(stats))
-    out = j.withColumns({c: (F.col(c).cast("double") - F.col(f"{c}__mean")) / F.col(f"{c}__std") for c in features})
-    return out.drop(*[f"{c}__mean" for c in features], *[f"{c}__std" for c in features])
+    """``(x - mean) / std`` per feature with the fitted one-row stats (a scalar subquery)."""
+    row = scalar_row(stats)
+    return df.withColumns({c: (F.col(c).cast("double") - row.getField(f"{c}__mean")) / row.getField(f"{c}__std")
+                           for c in features})

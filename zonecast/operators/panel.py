@@ -52,23 +52,22 @@ def aggregate_panel(trips: DataFrame) -> DataFrame:
 def add_panel_derived(panel: DataFrame) -> DataFrame:
     """log_demand, demand_norm and zone_trip_volume.
 
-    * ``demand_norm`` divides by a one-row global max joined by broadcast; a
-      global window would move every row into one task.
+    * ``demand_norm`` divides by the global max, a scalar subquery over a
+      partial aggregate; a global window would move every row into one task.
     * ``zone_trip_volume`` (panel rows per zone, not trips) is a count over a
       window partitioned by zone; each zone has at most one row per hour, so
       the window partition is bounded by the calendar, and the exchange on
       zone is the same one the lag windows reuse.
     """
-    max_demand = panel.agg(F.max("demand").alias("_max_demand"))
+    max_demand = panel.agg(F.max("demand")).scalar()
     # same partitioning and order as the lag windows: one exchange, one sort
     zone_w = (Window.partitionBy("pickup_zone").orderBy("pickup_date", "hour")
               .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return (panel.crossJoin(F.broadcast(max_demand))
-            .withColumns({
-                "log_demand": F.log1p(F.col("demand")),
-                "demand_norm": F.col("demand") / F.col("_max_demand"),
-                "zone_trip_volume": F.count(F.lit(1)).over(zone_w),
-            }).drop("_max_demand"))
+    return panel.withColumns({
+        "log_demand": F.log1p(F.col("demand")),
+        "demand_norm": F.col("demand") / max_demand,
+        "zone_trip_volume": F.count(F.lit(1)).over(zone_w),
+    })
 
 
 def build_panel(trips: DataFrame, materialize: bool = True) -> DataFrame:

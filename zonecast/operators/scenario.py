@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonecast.config import ALL_FEATURES, PEAK_HOURS
+from zonecast.operators.common import with_scalars
 
 # columns whose subset median is truncated to int (day-level calendar)
 INT_MEDIAN = ["day_of_week", "month", "week_of_year", "is_weekend"]
@@ -57,8 +58,8 @@ def context_rows(prepared: DataFrame, requests: DataFrame) -> DataFrame:
     zh = zh.withColumn("_zh", F.lit(True))
     j = (requests.join(zh, on=["pickup_zone", "hour"], how="left")
          .join(z, on="pickup_zone", how="left")
-         .join(F.broadcast(h), on="hour", how="left")
-         .crossJoin(F.broadcast(a)))
+         .join(F.broadcast(h), on="hour", how="left"))
+    j = with_scalars(j, a)
 
     def pick(c):
         return (F.when(F.col("_zh").isNotNull(), F.col(f"zh_{c}"))

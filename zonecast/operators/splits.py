@@ -105,10 +105,9 @@ def seeded_sample(df: DataFrame, n: int, seed: int = 42,
 def representative_row(df: DataFrame, col: str = "demand",
                        tie_cols: tuple[str, ...] = ("pickup_zone", "pickup_date", "hour")) -> DataFrame:
     """The row whose ``col`` is closest to the median, first by key on ties."""
-    med = df.agg(F.median(col).alias("_median"))
-    return (df.crossJoin(F.broadcast(med))
-            .withColumn("_dist", F.abs(F.col(col) - F.col("_median")))
-            .orderBy("_dist", *tie_cols).limit(1).drop("_dist", "_median"))
+    med = df.agg(F.median(col)).scalar()
+    return (df.withColumn("_dist", F.abs(F.col(col) - med))
+            .orderBy("_dist", *tie_cols).limit(1).drop("_dist"))
 
 
 def in_dates(df: DataFrame, dates: DataFrame, date_col: str = "pickup_date") -> DataFrame:

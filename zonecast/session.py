@@ -13,9 +13,16 @@ from pyspark.sql import SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the session's ``spark.checkpoint.dir``; set a local one only when it is unset."""
+    """Use the session's ``spark.checkpoint.dir``; set a local one only when it is unset.
+
+    The local fallback is for ``local[...]`` sessions (tests, bench). On a
+    cluster a machine-local folder would not survive a lost executor, so an
+    unset directory is an error there.
+    """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: point it at the cluster's shared folder")
         d = tempfile.mkdtemp(prefix="zonecast-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
