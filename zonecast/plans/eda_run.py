@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from zonecast.config import PANEL_COLUMNS
 from zonecast.operators import eda as EDA
 from zonecast.operators import metrics as M
+from zonecast.operators.common import with_scalars
 from zonecast.sources.sinks import write_lines, write_table
 
 NUMERIC_PANEL_COLUMNS = [c for c in PANEL_COLUMNS if c not in ("pickup_date", "pickup_zone")]
@@ -31,7 +32,7 @@ def eda_summary_lines(panel: DataFrame, top_k: int = 5) -> DataFrame:
         F.format_string("25%% %.6f", "p25"), F.format_string("50%% %.6f", "p50"),
         F.format_string("75%% %.6f", "p75"), F.format_string("max %.6f", "max"), F.lit(""),
         F.lit(f"Top {top_k} Zones by Total Demand:"))
-    return (n.crossJoin(d).crossJoin(top)
+    return (with_scalars(with_scalars(n, d), top)
             .select(F.posexplode(F.concat(header, F.col("tz"))).alias("line_no", "value")))
 
 

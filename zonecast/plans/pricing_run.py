@@ -9,7 +9,7 @@ from zonecast.config import PriceConfig
 from zonecast.operators import models as ML
 from zonecast.operators import pricing as PR
 from zonecast.operators.forecast import rule_forecast
-from zonecast.operators.common import materialize
+from zonecast.operators.common import materialize, with_scalars
 from zonecast.operators.lags import model_frame
 from zonecast.operators.splits import representative_row, seeded_sample, time_split
 from zonecast.sources.sinks import write_document, write_lines, write_table
@@ -54,12 +54,13 @@ def run_pricing(spark: SparkSession, panel: DataFrame, output_dir: str, model=No
                                 "predicted_demand", "reference_price", "static_price", "static_revenue",
                                 "optimal_price", F.col("expected_demand").alias("optimal_demand"),
                                 F.col("expected_revenue").alias("optimal_revenue"), "uplift_percent").alias("demo_case"))
-              .crossJoin(sens.agg(F.collect_list(F.struct("*")).alias("pricing_sensitivity")))
-              .crossJoin(summary.select(F.struct("*").alias("batch_summary")))
-              .crossJoin(top5.agg(F.collect_list(F.struct("*")).alias("top_5_uplift_cases"))))
+              .withColumns({
+                  "pricing_sensitivity": sens.agg(F.collect_list(F.struct("*"))).scalar(),
+                  "batch_summary": summary.select(F.struct("*")).scalar(),
+                  "top_5_uplift_cases": top5.agg(F.collect_list(F.struct("*"))).scalar()}))
     write_document(report, f"{output_dir}/final_report")
 
-    lines = (d.crossJoin(summary).select(F.posexplode(F.array(
+    lines = (with_scalars(d, summary).select(F.posexplode(F.array(
         F.lit("RUN SUMMARY"), F.lit("=" * 50), F.concat(F.lit("Best model: "), F.lit(model_name)),
         F.format_string("Demo uplift: %.2f%%", "uplift_percent"),
         F.format_string("Average uplift: %.2f%%", "average_uplift_percent"),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from zonecast.config import ALL_FEATURES
 from zonecast.operators import metrics as M
 from zonecast.operators import models as ML
-from zonecast.operators.common import materialize
+from zonecast.operators.common import materialize, with_scalars
 from zonecast.operators.lags import model_frame
 from zonecast.operators.splits import seeded_sample, time_split
 from zonecast.sources.sinks import save_model, write_document, write_table
@@ -77,14 +77,15 @@ def train_models(spark: SparkSession, panel: DataFrame, output_dir: str, names:
         "feature_columns": ALL_FEATURES,
         "cross_validation_profile": "walk_forward_time_series",
         "cross_validation_splits": 3,
-    }]).crossJoin(resid.select(F.struct("*").alias("residual_summary")))
+    }]).withColumn("residual_summary", resid.select(F.struct("*")).scalar())
     # comparison / selection tables have one row per candidate model (a handful)
-    doc = (doc.crossJoin(comparison.agg(F.collect_list(F.struct("*")).alias("comparison")))
-           .crossJoin(selection.agg(F.collect_list(F.struct("*")).alias("selection_table")))
-           .crossJoin(M.regression_metrics(
-               test_pred_all.withColumnRenamed("demand", "actual_demand"), group_cols=("split",))
-               .agg(*[F.first(F.when(F.col("split") == s, F.struct(*M.METRIC_NAMES)), ignorenulls=True)
-                      .alias(f"selected_model_{n}_metrics")
-                      for s, n in (("train", "train"), ("val", "validation"), ("test", "test"))])))
+    doc = doc.withColumns({
+        "comparison": comparison.agg(F.collect_list(F.struct("*"))).scalar(),
+        "selection_table": selection.agg(F.collect_list(F.struct("*"))).scalar()})
+    doc = with_scalars(doc, M.regression_metrics(
+        test_pred_all.withColumnRenamed("demand", "actual_demand"), group_cols=("split",))
+        .agg(*[F.first(F.when(F.col("split") == s, F.struct(*M.METRIC_NAMES)), ignorenulls=True)
+               .alias(f"selected_model_{n}_metrics")
+               for s, n in (("train", "train"), ("val", "validation"), ("test", "test"))]))
     write_document(doc, f"{output_dir}/model_metrics")
     return {"best_model": best_name, "model": model}
