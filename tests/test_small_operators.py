@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from zonecast.functions.text import normalise_flag, number_text, strip_suffix_title
@@ -39,3 +41,20 @@ def test_text_helpers(spark):
     assert [x["a"] for x in r] == ["Train", "Val"]
     assert [x["b"] for x in r] == ["N", "Y"]
     assert [x["c"] for x in r] == [f"{1234567.125:,.2f}", f"{2.675:,.2f}"]
+
+
+def test_log_target_transform_round_trip(spark):
+    from zonecast.operators import models as ML
+
+    df = spark.createDataFrame([(0.0,), (1.0,), (5.0,), (41.0,), (2765.0,)], "demand double")
+    stats = ML.log_target_stats(df)
+    st = stats.first()
+    logs = np.log1p(np.array([0.0, 1.0, 5.0, 41.0, 2765.0]))
+    assert abs(st["log_mean"] - logs.mean()) < 1e-12 and abs(st["log_std"] - logs.std()) < 1e-12
+    t = ML.to_log_standardised(df, stats)
+    back = ML.from_log_standardised(t, stats, "target_t", "demand_back").collect()
+    for r in back:
+        assert abs(r["demand_back"] - r["demand"]) < 1e-9 * max(1.0, r["demand"])
+    # constant target: std 0 is replaced by 1
+    const = spark.createDataFrame([(3.0,), (3.0,)], "demand double")
+    assert ML.log_target_stats(const).first()["log_std"] == 1.0

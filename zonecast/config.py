@@ -119,6 +119,19 @@ PANEL_AGG_COLUMNS = [
 PANEL_DERIVED_COLUMNS = ["log_demand", "demand_norm", "zone_trip_volume"]
 PANEL_COLUMNS = PANEL_KEY_COLUMNS + PANEL_AGG_COLUMNS + PANEL_DERIVED_COLUMNS
 
+# fixed values: narrow sink schema of the panel (A9). Fractional columns go to float; calendar
+# fields and 0/1 flags to tinyint. Counts (demand, vendor_diversity, zone_trip_volume) keep bigint:
+# their range grows with the data.
+PANEL_FLOAT_COLUMNS = [
+    "hour_sin", "hour_cos", "dow_sin", "dow_cos", "pickup_lat_bin", "pickup_lon_bin",
+    "avg_trip_distance", "avg_duration_min", "avg_passenger_count", "avg_fare_amount", "avg_total_amount",
+    "avg_tip_amount", "avg_tolls_amount", "avg_speed_kph", "payment_mode", "log_demand", "demand_norm",
+]
+PANEL_TINYINT_COLUMNS = [
+    "hour", "day_of_week", "month", "week_of_year", "is_weekend", "is_peak_hour", "is_month_start",
+    "is_month_end", "is_high_travel_period",
+]
+
 # fixed values: model features, in model input order
 BASE_FEATURES = [
     "hour",

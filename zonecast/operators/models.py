@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonecast.config import ALL_FEATURES, TARGET
@@ -115,12 +115,38 @@ def predict(model: PipelineModel, df: DataFrame, features: list[str] = ALL_FEATU
 
 
 # ---- G11 target transform ---------------------------------------------------
+def _log_target(c: str) -> Column:
+    return F.log1p(F.greatest(F.col(c).cast("double"), F.lit(0.0)))
+
+
+def log_target_stats(train: DataFrame, label: str = TARGET) -> DataFrame:
+    """One row (log_mean, log_std): mean and population std of ``log1p(max(y, 0))``; std 0 -> 1."""
+    y = _log_target(label)
+    return train.agg(F.avg(y).alias("log_mean"), F.stddev_pop(y).alias("_s")).select(
+        "log_mean", F.when(F.col("_s") > 0, F.col("_s")).otherwise(F.lit(1.0)).alias("log_std"))
+
+
+def to_log_standardised(df: DataFrame, stats: DataFrame, label: str = TARGET, out_col: str = "target_t") -> DataFrame:
+    """Forward transform with fitted stats (a scalar subquery): ``(log1p(y) - mean) / std``."""
+    row = scalar_row(stats)
+    return df.withColumn(out_col, (_log_target(label) - row.getField("log_mean")) / row.getField("log_std"))
+
+
+def from_log_standardised(df: DataFrame, stats: DataFrame, col: str, out_col: str) -> DataFrame:
+    """Inverse transform: ``max(expm1(z * std + mean), 0)``."""
+    row = scalar_row(stats)
+    return df.withColumn(out_col, F.greatest(F.expm1(F.col(col) * row.getField("log_std") + row.getField("log_mean")),
+                                             F.lit(0.0)))
+
+
 def fit_log_standardised(name: str, train: DataFrame, profile: str = "final", label: str = TARGET, **kw):
-    """Fit on ``(log1p(y) - mean) / std`` (population std); returns (model, mean, std)."""
-    t = train.withColumn("_y_log", F.log1p(F.greatest(F.col(label).cast("double"), F.lit(0.0))))
-    st = t.agg(F.avg("_y_log").alias("m"), F.stddev_pop("_y_log").alias("s")).first()
-    m, s = float(st["m"]), float(st["s"]) or 1.0
-    t = t.withColumn("_y_t", (F.col("_y_log") - F.lit(m)) / F.lit(s))
+    """Fit on ``(log1p(y) - mean) / std`` (population std); returns (model, mean, std).
+
+    The two fitted numbers are model state, so they are read back once.
+    """
+    st = log_target_stats(train, label).first()
+    m, s = float(st["log_mean"]), float(st["log_std"])
+    t = train.withColumn("_y_t", (_log_target(label) - F.lit(m)) / F.lit(s))
     return fit(name, t, profile, label="_y_t", **kw), m, s
 
 

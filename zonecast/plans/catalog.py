@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zonecast.config import ALL_FEATURES, PANEL_COLUMNS
+from zonecast.config import ALL_FEATURES, PANEL_COLUMNS, PANEL_FLOAT_COLUMNS, PANEL_TINYINT_COLUMNS
 from zonecast.operators import clean as C
 from zonecast.operators import lags as L
 from zonecast.operators import metrics as M
@@ -238,6 +238,63 @@ def q_representative_row(spark, sf):
     return present(S.representative_row(test).select("pickup_zone", "pickup_date", "hour", "demand"))
 
 
+# --------------------------------------------------------------------------
+# A9 narrow sink schema, F5 membership filter, G11 target transform
+# --------------------------------------------------------------------------
+def _downcast_sql(c: str) -> str:
+    if c == "pickup_date":
+        return sql_date(c)
+    if c in PANEL_FLOAT_COLUMNS:
+        return f"CAST({c} AS FLOAT) AS {c}"
+    if c in PANEL_TINYINT_COLUMNS:
+        return f"CAST({c} AS TINYINT) AS {c}"
+    return c
+
+
+@register("panel_downcast", O.with_ctes("panel") + "SELECT " + ", ".join(_downcast_sql(c) for c in PANEL_COLUMNS)
+          + " FROM panel")
+def q_panel_downcast(spark, sf):
+    """The panel as its narrow sink schema writes it (A9): float and tinyint columns."""
+    from zonecast.sources.sinks import downcast
+
+    return present(downcast(panel(spark, sf), PANEL_FLOAT_COLUMNS, PANEL_TINYINT_COLUMNS))
+
+
+@register("validation_rows", O.with_ctes("split") + """
+SELECT pickup_zone, strftime(pickup_date, '%Y-%m-%d') AS pickup_date, hour, demand
+FROM mf WHERE pickup_date IN (SELECT pickup_date FROM split WHERE split = 'val')""")
+def q_validation_rows(spark, sf):
+    """Model-frame rows whose date is a validation date: a left-semi join on the date table."""
+    mf = model_rows(spark, sf)
+    val_dates = S.split_labels(mf).where(F.col("split") == "val")
+    return present(S.in_dates(mf, val_dates).select("pickup_zone", "pickup_date", "hour", "demand"))
+
+
+@register("log_target_transform", O.with_ctes("split")[:-1] + """,
+st AS (
+  SELECT avg(ln(1 + greatest(CAST(demand AS DOUBLE), 0))) AS log_mean,
+         CASE WHEN stddev_pop(ln(1 + greatest(CAST(demand AS DOUBLE), 0))) > 0
+              THEN stddev_pop(ln(1 + greatest(CAST(demand AS DOUBLE), 0))) ELSE 1.0 END AS log_std
+  FROM split WHERE split = 'train'),
+t AS (
+  SELECT s.pickup_zone, s.pickup_date, s.hour, s.split, CAST(s.demand AS DOUBLE) AS demand,
+         (ln(1 + greatest(CAST(s.demand AS DOUBLE), 0)) - st.log_mean) / st.log_std AS target_t,
+         st.log_mean, st.log_std
+  FROM split s CROSS JOIN st)
+SELECT pickup_zone, strftime(pickup_date, '%Y-%m-%d') AS pickup_date, hour, split, demand, target_t,
+       greatest(exp(target_t * log_std + log_mean) - 1, 0) AS demand_back
+FROM t""")
+def q_log_target_transform(spark, sf):
+    """Target transform with train-fitted stats and its inverse on every split row."""
+    from zonecast.operators import models as ML
+
+    sp = split_rows(spark, sf)
+    stats = ML.log_target_stats(sp.where(F.col("split") == "train"))
+    t = ML.to_log_standardised(sp.withColumn("demand", F.col("demand").cast("double")), stats)
+    back = ML.from_log_standardised(t, stats, "target_t", "demand_back")
+    return present(back.select("pickup_zone", "pickup_date", "hour", "split", "demand", "target_t", "demand_back"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     _load_all()
     return dict(QUERIES)
