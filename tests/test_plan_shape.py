@@ -70,3 +70,17 @@ def test_registered_queries_have_no_pairwise_join(spark, name):
     plan = plan_text(df)
     assert "NestedLoopJoin" not in plan, name
     assert "CartesianProduct" not in plan, name
+
+
+def test_price_search_builds_each_grid_once(spark):
+    from zonecast.operators.pricing import optimize_prices
+
+    df = spark.range(0, 200).select((F.col("id") % 50 + 1).cast("double").alias("predicted_demand"),
+                                    (F.col("id") % 40 + 3.0).alias("avg_fare_amount"))
+    out = optimize_prices(df, "predicted_demand")
+    opt = out._jdf.queryExecution().optimizedPlan().toString()
+    # one grid per row: the score array is built by a single transform over one sequence
+    assert opt.count("sequence(") == 1, opt
+    assert "Exchange" not in plan_text(out)
+    assert out.columns[-6:] == ["optimal_price", "expected_demand", "expected_revenue", "static_price",
+                                "static_revenue", "uplift_percent"]

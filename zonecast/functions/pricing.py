@@ -1,8 +1,9 @@
 """Price search as row-local Column expressions.
 
-Every row carries its own grid as ``sequence(0, n-1)`` and the best point is
-picked with ``array_max`` over structs, so the search is a projection: no
-shuffle, no explode, no Python. The grid size is bounded by
+Every row carries its own grid as ``sequence(0, n-1)``; the per-row
+constants are bound once (``_let``), the grid is an array of scores and the
+best point is the first position of its maximum, so the search is a
+projection: no shuffle, no explode, no Python. The grid size is bounded by
 ``PriceConfig.max_grid_size``.
 """
 
@@ -84,6 +85,32 @@ def grid_size(lower: Column, upper: Column, cfg: PriceConfig = PriceConfig()) ->
     return F.ceil(((upper + step) - lower) / step).cast("int")
 
 
+def _let(values: dict[str, Column], body) -> Column:
+    """Evaluate ``values`` once per row and hand them to ``body`` as one struct lambda variable.
+
+    A one-element ``transform`` binds the struct, so expressions the body
+    uses repeatedly, or inside a per-grid-point lambda, are read from the
+    lambda variable instead of re-evaluating their expression trees.
+    """
+    bound = F.struct(*[v.alias(k) for k, v in values.items()])
+    return F.element_at(F.transform(F.array(bound), body), 1)
+
+
+def _row_constants(base_demand: Column, ref: Column, cfg: PriceConfig, **ctx) -> dict[str, Column]:
+    """Per-row search constants: demand, reference, band, grid step and size, context elasticity."""
+    lower, upper = price_band(ref, cfg)
+    return {
+        "d": base_demand, "ref": ref, "lo": lower, "up": upper,
+        "dl": (lower + _lit(cfg.price_step)) - lower,
+        "n": grid_size(lower, upper, cfg),
+        "e": context_elasticity(base_demand, cfg, **ctx),
+    }
+
+
+def _grid_price(k: Column, i: Column) -> Column:
+    return k["lo"] + i.cast("double") * k["dl"]
+
+
 def grid_points(base_demand: Column, ref: Column, cfg: PriceConfig = PriceConfig(), *,
                 elasticity: Column | None = None, peak: Column | None = None,
                 weekend: Column | None = None, volume: Column | None = None) -> Column:
@@ -93,27 +120,26 @@ def grid_points(base_demand: Column, ref: Column, cfg: PriceConfig = PriceConfig
     the same arithmetic as an arange fill; the grid overshoots ``upper`` by up
     to one step unless ``cfg.clamp``.
     """
-    lower, upper = price_band(ref, cfg)
-    e = context_elasticity(base_demand, cfg, elasticity=elasticity, peak=peak,
-                           weekend=weekend, volume=volume)
-    n = grid_size(lower, upper, cfg)
-    delta = (lower + _lit(cfg.price_step)) - lower
-
-    def point(i: Column) -> Column:
-        price = lower + i.cast("double") * delta
-        adj = adjusted_demand(base_demand, ref, price, e, cfg)
-        return F.struct(
-            objective(base_demand, ref, price, adj, cfg).alias("score"),
-            (-i).alias("neg_index"),
-            price.alias("price"),
-            adj.alias("adjusted_demand"),
-            (price * adj).alias("revenue"),
-        )
+    consts = _row_constants(base_demand, ref, cfg, elasticity=elasticity, peak=peak, weekend=weekend, volume=volume)
+
+    def points(k: Column) -> Column:
+        def point(i: Column) -> Column:
+            price = _grid_price(k, i)
+            adj = adjusted_demand(k["d"], k["ref"], price, k["e"], cfg)
+            return F.struct(
+                objective(k["d"], k["ref"], price, adj, cfg).alias("score"),
+                (-i).alias("neg_index"),
+                price.alias("price"),
+                adj.alias("adjusted_demand"),
+                (price * adj).alias("revenue"),
+            )
 
-    pts = F.transform(F.sequence(F.lit(0), n - 1), point)
-    if cfg.clamp:
-        pts = F.filter(pts, lambda p: p["price"] <= upper)
-    return pts
+        pts = F.transform(F.sequence(F.lit(0), k["n"] - 1), point)
+        if cfg.clamp:
+            pts = F.filter(pts, lambda p: p["price"] <= k["up"])
+        return pts
+
+    return _let(consts, points)
 
 
 def price_search(base_demand: Column, ref: Column, cfg: PriceConfig = PriceConfig(), *,
@@ -121,25 +147,43 @@ def price_search(base_demand: Column, ref: Column, cfg: PriceConfig = PriceConfi
                  weekend: Column | None = None, volume: Column | None = None) -> Column:
     """Best grid price as a struct of the six result fields.
 
-    ``array_max`` orders structs by score, then by ``-index``, so equal scores
-    keep the lowest price, as a strict ``>`` scan would.
+    Per row: the constants are bound once, the grid becomes an array of
+    scores only, and the best index is the first position of the maximum
+    (``array_position(s, array_max(s))``), so equal scores keep the lowest
+    price, as a strict ``>`` scan would. Price, demand and revenue are then
+    computed once, at that index.
     """
-    kw = dict(elasticity=elasticity, peak=peak, weekend=weekend, volume=volume)
-    best = F.array_max(grid_points(base_demand, ref, cfg, **kw))
-    e = context_elasticity(base_demand, cfg, **kw)
-    static_demand = adjusted_demand(base_demand, ref, ref, e, cfg)
-    static_revenue = ref * static_demand
-    best_revenue = best["revenue"]
-    uplift = F.when(static_revenue > 0,
-                    (best_revenue - static_revenue) / static_revenue * _lit(100.0)).otherwise(_lit(0.0))
-    return F.struct(
-        best["price"].alias("optimal_price"),
-        best["adjusted_demand"].alias("expected_demand"),
-        best_revenue.alias("expected_revenue"),
-        ref.alias("static_price"),
-        static_revenue.alias("static_revenue"),
-        uplift.alias("uplift_percent"),
-    )
+    consts = _row_constants(base_demand, ref, cfg, elasticity=elasticity, peak=peak, weekend=weekend, volume=volume)
+
+    def search(k: Column) -> Column:
+        def score(i: Column) -> Column:
+            price = _grid_price(k, i)
+            s = objective(k["d"], k["ref"], price, adjusted_demand(k["d"], k["ref"], price, k["e"], cfg), cfg)
+            return F.when(price <= k["up"], s) if cfg.clamp else s
+
+        scores = F.transform(F.sequence(F.lit(0), k["n"] - 1), score)
+        return _let({"s": scores}, lambda m: result(k, m["s"]))
+
+    def result(k: Column, s: Column) -> Column:
+        price = _grid_price(k, F.coalesce(F.array_position(s, F.array_max(s)), F.lit(1)) - 1)
+        return _let({"p": price, "a": adjusted_demand(k["d"], k["ref"], price, k["e"], cfg)},
+                    lambda b: fields(k, b["p"], b["a"]))
+
+    def fields(k: Column, price: Column, adj: Column) -> Column:
+        revenue = price * adj
+        static_revenue = k["ref"] * adjusted_demand(k["d"], k["ref"], k["ref"], k["e"], cfg)
+        uplift = F.when(static_revenue > 0,
+                        (revenue - static_revenue) / static_revenue * _lit(100.0)).otherwise(_lit(0.0))
+        return F.struct(
+            price.alias("optimal_price"),
+            adj.alias("expected_demand"),
+            revenue.alias("expected_revenue"),
+            k["ref"].alias("static_price"),
+            static_revenue.alias("static_revenue"),
+            uplift.alias("uplift_percent"),
+        )
+
+    return _let(consts, search)
 
 
 PRICING_FIELDS = ["optimal_price", "expected_demand", "expected_revenue",

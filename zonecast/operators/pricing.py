@@ -38,7 +38,9 @@ def optimize_prices(df: DataFrame, demand_col: str = "predicted_demand", cfg: Pr
     el = F.col(elasticity_col) if elasticity_col else None
     res = P.price_search(F.col(demand_col).cast("double"), F.col("reference_price"), cfg,
                          elasticity=el, **_context(df, use_context))
-    return out.withColumn("_pricing", res).select("*", *[F.col("_pricing")[f].alias(f) for f in P.PRICING_FIELDS]).drop("_pricing")
+    # ``inline`` of a one-element array expands the result struct once per row;
+    # six field extractions of the struct would each be inlined with the whole search
+    return out.select("*", F.inline(F.array(res)))
 
 
 def revenue_curve(df: DataFrame, demand_col: str = "predicted_demand", cfg: PriceConfig = PriceConfig(),
