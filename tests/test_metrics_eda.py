@@ -92,6 +92,22 @@ def test_histogram_matches_numpy(spark):
     assert np.allclose(got["bin_lo"], edges[:-1])
 
 
+def test_histogram_edges_and_continuous_values(spark):
+    """Values on every edge, continuous values and a constant column bin like numpy."""
+    rng = np.random.default_rng(7)
+    lo, hi = -3.7, 11.9
+    edges = np.linspace(lo, hi, 51)
+    x = np.concatenate([rng.uniform(lo, hi, 4000), edges, np.nextafter(edges, -np.inf)[1:],
+                        np.nextafter(edges, np.inf)[:-1]])
+    df = spark.createDataFrame(pd.DataFrame({"v": x}))
+    got = EDA.histogram(df, "v", 50).orderBy("bin").toPandas()
+    counts, _ = np.histogram(x, bins=50)
+    assert got["count"].tolist() == counts.tolist()
+    const = spark.createDataFrame(pd.DataFrame({"v": [2.5] * 7}))
+    c = EDA.histogram(const, "v", 50).orderBy("bin").toPandas()
+    assert c["count"].sum() == 7 and c["count"].iloc[-1] == 7
+
+
 def test_describe_and_kde(spark):
     rng = np.random.default_rng(2)
     x = rng.integers(1, 100, 500).astype(float)
