@@ -63,8 +63,11 @@ def row_numbers(df: DataFrame, order: list, out: str = "row_no", group_cols: lis
     slices = ranged.groupBy(*g, "_pid").agg(F.count(F.lit(1)).alias("_pn"), F.min("_mid").alias("_first"))
     before = F.sum("_pn").over(Window.partitionBy(*g).orderBy("_pid")
                                .rowsBetween(Window.unboundedPreceding, -1))
-    # one row per (group, partition) slice: bounded by partitions + groups
+    # one row per (group, partition) slice: at most partitions + groups rows.
+    # Without groups that is the partition count, so it is broadcast; with
+    # groups the count is the caller's, and AQE broadcasts it after its
+    # runtime size check or falls back to a shuffle join.
     offsets = slices.select(*g, "_pid", (F.coalesce(before, F.lit(0)) - F.col("_first") + F.lit(1)).alias("_shift"))
-    return (ranged.join(F.broadcast(offsets), on=g + ["_pid"])
+    return (ranged.join(offsets if g else F.broadcast(offsets), on=g + ["_pid"])
             .withColumn(out, F.col("_mid") + F.col("_shift"))
             .drop("_pid", "_mid", "_shift", *computed))
