@@ -110,9 +110,12 @@ def calibration(pred: DataFrame, n_bins: int = 10, quantiles: str = "distributed
         edges = pred.agg(F.array_distinct(
             F.percentile_approx("predicted_demand", qs, 100000) if quantiles == "approx"
             else F.percentile(F.col("predicted_demand"), qs)).alias("edges"))
+    # bin = number of edges below the value (at least 1): a fixed sum over the
+    # at most n_bins + 1 edge positions, plain comparisons with no per-row lambda
+    below = sum(F.when(F.try_element_at(F.col("_edges"), F.lit(j)) < F.col("predicted_demand"), F.lit(1))
+                .otherwise(F.lit(0)) for j in range(1, n_bins + 2))
     binned = (pred.withColumn("_edges", edges.scalar())
-              .withColumn("bin", F.greatest(F.lit(1), F.size(F.filter("_edges",
-                                                                       lambda e: e < F.col("predicted_demand")))))
+              .withColumn("bin", F.greatest(F.lit(1), below))
               .groupBy("bin").agg(
                   F.avg("predicted_demand").alias("mean_predicted"),
                   F.avg("actual_demand").alias("mean_actual"),
