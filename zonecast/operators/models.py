@@ -10,6 +10,7 @@ becomes ``rf_no_bootstrap``. No number of the source's models is claimed.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -163,11 +164,24 @@ def holdout_metrics(model: PipelineModel, split_df: DataFrame, name: str, label:
     return M.regression_metrics(p, group_cols=("model_name", "split"))
 
 
+def _fit_all(train: DataFrame, names: list[str], profile: str, overrides: dict | None = None) -> list:
+    """Fit each named candidate on ``train``, persisted for the fits and released after them."""
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return [(n, fit(n, train, profile, overrides=(overrides or {}).get(n))) for n in names]
+    finally:
+        train.unpersist()
+
+
 def holdout_comparison(split_df: DataFrame, names: list[str], profile: str = "final",
                        overrides: dict | None = None) -> DataFrame:
-    """Fit every candidate on the train part, score train/val/test, one row per model."""
-    train = split_df.where(F.col("split") == "train").cache()
-    parts = [holdout_metrics(fit(n, train, profile, overrides=(overrides or {}).get(n)), split_df, n) for n in names]
+    """Fit every candidate on the train part, score train/val/test, one row per model.
+
+    The train part is persisted while the candidates are fitted (fits are
+    eager) and released afterwards; scoring reads ``split_df``.
+    """
+    models = _fit_all(split_df.where(F.col("split") == "train"), names, profile, overrides)
+    parts = [holdout_metrics(m, split_df, n) for n, m in models]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -180,9 +194,7 @@ def walk_forward_cv(train_df: DataFrame, names: list[str], profile: str = "cv",
     parts = []
     for fold in range(1, n_splits + 1):
         f = ff.where(F.col("fold") == fold)
-        tr = f.where(F.col("role") == "train")
-        for n in names:
-            m = fit(n, tr, profile)
+        for n, m in _fit_all(f.where(F.col("role") == "train"), names, profile):
             parts.append(predict(m, f).select(F.lit(n).alias("model_name"), "fold", "role",
                                               F.col(TARGET).cast("double").alias("actual_demand"),
                                               "predicted_demand"))
