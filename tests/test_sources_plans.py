@@ -80,3 +80,40 @@ def test_eda_and_diagnostic_tables(spark):
     write_diagnostic_tables(spark, sel, test_predictions(spark, SF_SMOKE), None, f"{out}/diag")
     assert spark.read.parquet(f"{out}/diag/model_comparison_mae").count() == 3
     assert spark.read.parquet(f"{out}/eda/correlation").count() == 29 * 29
+
+
+def test_checkpoint_dir_rule_on_a_cluster_master():
+    """A non-local session without spark.checkpoint.dir is an error, never a machine-local folder."""
+    import pytest
+
+    from zonecast.session import ensure_checkpoint_dir
+
+    class Conf:
+        def __init__(self, value):
+            self.value, self.set_calls = value, []
+
+        def get(self, key, default=None):
+            return self.value if key == "spark.checkpoint.dir" else default
+
+        def set(self, key, value):
+            self.set_calls.append((key, value))
+
+    class Ctx:
+        def __init__(self, master, ckpt=None):
+            self.master, self.ckpt = master, ckpt
+
+        def getCheckpointDir(self):
+            return self.ckpt
+
+        def setCheckpointDir(self, d):
+            self.ckpt = d
+
+    class Session:
+        def __init__(self, master, value):
+            self.conf, self.sparkContext = Conf(value), Ctx(master)
+
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(Session("yarn", None))
+    shared = Session("yarn", "hdfs://shared/ckpt")
+    assert ensure_checkpoint_dir(shared) == "hdfs://shared/ckpt"
+    assert shared.conf.set_calls == [] and shared.sparkContext.ckpt == "hdfs://shared/ckpt"
