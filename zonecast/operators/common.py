@@ -13,6 +13,11 @@ def materialize(df: DataFrame) -> DataFrame:
     more than once: later branches read the checkpoint instead of re-running
     the scan and shuffle of the raw data, and a lost executor does not force
     a recompute from raw trips.
+
+    Writing the checkpoint runs the plan a second time after the counting
+    job. Every plan materialized here ends in a shuffle (aggregate, window or
+    range repartition), so that second run reads the shuffle output instead
+    of rescanning the source.
     """
     from zonecast.session import ensure_checkpoint_dir
 
