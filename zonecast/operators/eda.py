@@ -2,7 +2,7 @@
 
 These are the numbers behind the source's charts; no pictures are drawn.
 Scalars that later stages need (min, max, counts, edges) are one-row
-aggregates joined by broadcast, never global windows.
+aggregates read as scalar subqueries, never joins or global windows.
 """
 
 from __future__ import annotations
