@@ -32,6 +32,21 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets: the base kinds counted and digested, and all spans."""
+    from zonecast.llm import secrets
+
+    found = secrets.scan_secrets(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    base = F.filter("spans", lambda s: s.rule < len(secrets.BASE_RULES))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+
+    counts = [F.size(F.filter("spans", lambda s, kind=r.kind: s.kind == kind)).cast("long").alias(f"n_{r.kind}") for r in secrets.BASE_RULES]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     "op1_chat": op1_chat,
+    "op3_secrets": op3_secrets,
 }
