@@ -42,7 +42,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     def joined(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
 
-    counts = [F.size(F.filter("spans", lambda s, kind=r.kind: s.kind == kind)).cast("long").alias(f"n_{r.kind}") for r in secrets.BASE_RULES]
+    def counted(kind):
+        return F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [counted(r.kind) for r in secrets.BASE_RULES]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
