@@ -49,7 +49,17 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, cut and packed into sequences of at most 1024 ids."""
+    import public_tokenizers
+
+    from zonecast.llm import packing
+
+    return packing.pack_documents(_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_chat": op1_chat,
     "op3_secrets": op3_secrets,
+    "op10_packing": op10_packing,
 }
