@@ -49,6 +49,15 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from the labelled documents that aren't held out."""
+    from zonecast.llm import langid
+
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    found = langid.predict(docs.select("doc_id", "text"), langid.fit(docs))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "entropy", "accepted")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, cut and packed into sequences of at most 1024 ids."""
     import public_tokenizers
@@ -61,5 +70,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat": op1_chat,
     "op3_secrets": op3_secrets,
+    "op7_langid": op7_langid,
     "op10_packing": op10_packing,
 }
