@@ -18,5 +18,34 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(length(said) - 1 + length('<|im_start|><|im_sep|><|im_end|>'))::BIGINT AS formatted_chars
 FROM escaped GROUP BY conv_id
+""",
+    "op5_quality": r"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), l AS (
+  SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM w
+), win AS (
+  SELECT doc_id, i, array_to_string(words[i:i+7], ' ') AS gram
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) >= 8)
+), twice AS (
+  SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1
+), rep AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(8) AS r(k) GROUP BY doc_id
+), m AS (
+  SELECT l.doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+    length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_latin,
+    len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) AS n_echoes
+  FROM l LEFT JOIN rep ON rep.doc_id = l.doc_id
+), f AS (
+  SELECT *, (n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_words)::INT + 4 * (word_chars < 2 * n_words)::INT
+    + 8 * (word_chars > 20 * n_words)::INT + 16 * (100 * n_symbols > 10 * n_words)::INT + 32 * (100 * n_dup_lines > 50 * n_lines)::INT
+    + 64 * (100 * n_upper > 60 * n_latin)::INT + 128 * (100 * n_echoes > 30 * n_words)::INT AS failed_bits
+  FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits::BIGINT AS failed_bits
+FROM f
 """,
 }

@@ -49,6 +49,17 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ledger row, the base verdict and that of the current policy."""
+    from zonecast.llm import quality
+
+    rows = quality.ledger(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    kept_by_base = quality.verdict(quality.BASE)
+    return rows.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        (~kept_by_base).alias("base_failed"), (kept_by_base & quality.verdict()).alias("kept"), F.col("failed").alias("failed_bits"))
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language, learned from the labelled documents that aren't held out."""
     from zonecast.llm import langid
@@ -70,6 +81,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat": op1_chat,
     "op3_secrets": op3_secrets,
+    "op5_quality": op5_quality,
     "op7_langid": op7_langid,
     "op10_packing": op10_packing,
 }
