@@ -69,6 +69,21 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "entropy", "accepted")
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, encoded through the corpus's own lexicon and decoded from the ids."""
+    import public_tokenizers
+
+    from zonecast.llm import lexicon
+
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    own = lexicon.Lexicon.of(docs, public_tokenizers.path("word_bpe_49k.json"))
+    both = own.decode(own.encode(docs))
+    return both.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, cut and packed into sequences of at most 1024 ids."""
     import public_tokenizers
@@ -83,5 +98,6 @@ QUERIES = {
     "op3_secrets": op3_secrets,
     "op5_quality": op5_quality,
     "op7_langid": op7_langid,
+    "op9_bpe": op9_bpe,
     "op10_packing": op10_packing,
 }
