@@ -45,3 +45,10 @@ def shared_file(spark, name: str, data: bytes) -> str:
         out.close()
     sc.addFile(path.toString())
     return unique
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The frame as a compressed table in the session's shared folder; for what is larger than a few columns."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

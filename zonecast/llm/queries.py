@@ -32,6 +32,14 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of links: 3-word shingles, a similarity of 0.9 or more."""
+    from zonecast.llm import jaccard
+
+    found = jaccard.jaccard_join(_table(spark, sf_dir, "documents", "doc_id", "text"), words=3, num=90, den=100)
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's secrets: the base kinds counted and digested, and all spans."""
     from zonecast.llm import secrets
@@ -95,6 +103,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat": op1_chat,
+    "op2_jaccard": op2_jaccard,
     "op3_secrets": op3_secrets,
     "op5_quality": op5_quality,
     "op7_langid": op7_langid,
