@@ -68,6 +68,14 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         (~kept_by_base).alias("base_failed"), (kept_by_base & quality.verdict()).alias("kept"), F.col("failed").alias("failed_bits"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 16 shards, equal texts together, counts at most one apart."""
+    from zonecast.llm import sharding
+
+    placed = sharding.shard_by_links(sharding.measured(_table(spark, sf_dir, "documents", "doc_id", "text")), "text_group", 16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language, learned from the labelled documents that aren't held out."""
     from zonecast.llm import langid
@@ -106,6 +114,7 @@ QUERIES = {
     "op2_jaccard": op2_jaccard,
     "op3_secrets": op3_secrets,
     "op5_quality": op5_quality,
+    "op6_sharding": op6_sharding,
     "op7_langid": op7_langid,
     "op9_bpe": op9_bpe,
     "op10_packing": op10_packing,
