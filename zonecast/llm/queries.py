@@ -85,6 +85,14 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "entropy", "accepted")
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every vector whose id is divisible by 20."""
+    from zonecast.llm import ann
+
+    found = ann.search(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("id") % 20 == 0)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, encoded through the corpus's own lexicon and decoded from the ids."""
     import public_tokenizers
@@ -116,6 +124,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_sharding": op6_sharding,
     "op7_langid": op7_langid,
+    "op8_ann": op8_ann,
     "op9_bpe": op9_bpe,
     "op10_packing": op10_packing,
 }
