@@ -21,10 +21,10 @@ empty; other columns aren't read.
 from __future__ import annotations
 
 import heapq
-import io
 import json
 import re
 import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -39,9 +39,11 @@ from tokenizers import Tokenizer
 from zonecast.llm.batches import pieces, shared_file, utf8
 from zonecast.llm.packing import byte_alphabet
 
-WORDS = 100_000
-MOST_REMEMBERED = 400_000
+WORDS = 200_000
+MOST_REMEMBERED = 150_000
+BATCH_BYTES = 2 << 20
 LONG_WORD = 64
+NO_MERGE = (1 << 60, -1)
 ODD_SPACE = regex.compile("[\x1c-\x1f]")  # white space to Python's split, but not to the vocabulary's pattern
 
 
@@ -106,7 +108,24 @@ class WordBpe:
     def merge(self, word: str) -> list[int]:
         """The ids of one word by its merges: lowest rank first, leftmost among equals."""
         raw = word.encode()
-        ids = [self.byte_ids[b] for b in raw[:-1]] + [self.last_ids[raw[-1]]]
+        ids = [*map(self.byte_ids.__getitem__, raw[:-1]), self.last_ids[raw[-1]]]
+        return self._merge_long(ids) if len(ids) > LONG_WORD else self._merge_short(ids)
+
+    def _merge_short(self, ids: list[int]) -> list[int]:
+        ranks = self.ranks
+        pairs = [ranks.get(p, NO_MERGE) for p in zip(ids, ids[1:])]
+        while pairs and (best := min(pairs)) is not NO_MERGE:
+            k = pairs.index(best)
+            ids[k : k + 2] = [best[1]]
+            del pairs[k]
+            if k:
+                pairs[k - 1] = ranks.get((ids[k - 1], ids[k]), NO_MERGE)
+            if k < len(pairs):
+                pairs[k] = ranks.get((ids[k], ids[k + 1]), NO_MERGE)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap of pairs and links between what is left: n log n."""
         n, ranks = len(ids), self.ranks
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
         heap = [(found[0], k, ids[k], ids[k + 1], found[1]) for k in range(n - 1) if (found := ranks.get((ids[k], ids[k + 1])))]
@@ -124,6 +143,10 @@ class WordBpe:
                     heapq.heappush(heap, (found[0], left, ids[left], ids[right], found[1]))
         return [x for x in ids if x >= 0]
 
+    def spell(self, ids: list[int]) -> str:
+        """The text of ids, special tokens included; an id outside the vocabulary spells nothing."""
+        return " ".join([t for t in map(self.tokens.get, ids) if t is not None])
+
 
 # ---------------------------------------------------------------- automaton
 
@@ -171,37 +194,36 @@ def compile_words(words: dict[str, list[int]]) -> bytes:
             passed += below[target]
     ids = [words[w] for w in ordered]
     arrays = [np.array(keys, np.int64), np.array(targets, np.int64), np.array(outputs, np.int64), np.array([f for f, _ in states], np.int64),
-              np.cumsum([0, *map(len, ids)]).astype(np.int64), np.array([x for i in ids for x in i], np.int64)]
-    out = io.BytesIO()
-    out.write(np.array([len(a) for a in arrays], np.int64).tobytes())
-    for a in arrays:
-        out.write(a.tobytes())
-    return out.getvalue()
+              np.cumsum([0, *map(len, ids)]).astype(np.int64), np.fromiter(chain.from_iterable(ids), np.int64)]
+    return b"".join([np.array([len(a) for a in arrays], np.int64).tobytes(), *[a.tobytes() for a in arrays]])
 
 
 class Automaton:
     """A compiled file, mapped into memory."""
 
     def __init__(self, path: str):
-        whole = np.memmap(path, np.int64, "r")
+        whole = np.asarray(np.memmap(path, np.int64, "r"))  # still the mapped pages
         sizes, at, arrays = whole[:6].tolist(), 6, []
         for n in sizes:
             arrays.append(whole[at : at + n])
             at += n
         self.keys, self.targets, self.outputs, self.final, self.offsets, self.ids = arrays
 
-    def look_up(self, words: list[str]) -> list[np.ndarray | None]:
-        """The ids of many words at once, all words one byte further at each step; None if it lacks a word."""
+    def look_up(self, words: list[str]) -> list[bytes | None]:
+        """The ids of many words, as 32-bit integers; all words go one byte further at each step. None if it lacks a word."""
+        if not words:
+            return []
         raw = [w.encode() for w in words]
         n = np.array([len(r) for r in raw])
         order = np.argsort(-n, kind="stable")
-        begins = np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else np.empty(0, np.int64)
-        buf, begins, n = np.frombuffer(b"".join(raw), np.uint8), begins[order], n[order]
+        begins = (np.cumsum(n) - n)[order]
+        buf, n = np.frombuffer(b"".join(raw), np.uint8), n[order]
         state, number = np.full(len(raw), len(self.final) - 1), np.zeros(len(raw), np.int64)
-        for t in range(int(n[0]) if len(n) else 0):
-            live = np.flatnonzero((state[: int(np.searchsorted(-n, -t, side="left"))] >= 0))
+        lasting = np.searchsorted(-n, -np.arange(int(n[0])), side="left").tolist()  # words longer than t
+        for t, many in enumerate(lasting):
+            live = np.flatnonzero(state[:many] >= 0)
             if not len(live) or not len(self.keys):
-                state[: int(np.searchsorted(-n, -t, side="left"))] = -1
+                state[:many] = -1
                 break
             key = state[live] * 256 + buf[begins[live] + t]
             at = np.searchsorted(self.keys, key)
@@ -209,48 +231,54 @@ class Automaton:
             known = self.keys[at] == key
             number[live] += np.where(known, self.outputs[at], 0)
             state[live] = np.where(known, self.targets[at], -1)
-        found = (state >= 0) & (self.final[state] == 1)
-        out: list[np.ndarray | None] = [None] * len(raw)
-        for k, there, i in zip(order.tolist(), found.tolist(), number.tolist()):
-            if there:
-                out[k] = self.ids[self.offsets[i] : self.offsets[i + 1]]
+        found = np.flatnonzero((state >= 0) & (self.final[state] == 1))
+        out: list[bytes | None] = [None] * len(raw)
+        first, last = self.offsets[number[found]], self.offsets[number[found] + 1]
+        ids = self.ids[np.repeat(first - np.cumsum(last - first) + (last - first), last - first) + np.arange(int((last - first).sum()))].astype("<i4").tobytes()
+        at = 0
+        for k, length in zip(order[found].tolist(), (last - first).tolist()):
+            out[k] = ids[at : at + 4 * length]
+            at += 4 * length
         return out
 
 
 class Encoder:
-    """Whole texts to ids, with a bounded memory of the chunks that came early."""
+    """Whole texts to ids, with a bounded memory of the chunks and merged words that came early."""
 
     def __init__(self, bpe: WordBpe, automaton: Automaton):
         self.bpe, self.automaton = bpe, automaton
         self.known: dict[str, bytes] = {}
-        self.merged = 0  # words that the automaton lacked
+        self.merged: dict[str, bytes] = {}
+
+    def _word(self, word: str) -> bytes:
+        """A word that the automaton lacks."""
+        ids = self.merged.get(word)
+        if ids is None:
+            ids = array("i", self.bpe.merge(word)).tobytes()
+            if len(self.merged) < MOST_REMEMBERED and len(word) <= LONG_WORD:
+                self.merged[word] = ids
+        return ids
 
     def _learn(self, new: set[str]) -> dict[str, bytes]:
         words = {c: self.bpe.find(c) for c in new}
         distinct = list(set(chain.from_iterable(words.values())))
-        ids = {}
-        for w, found in zip(distinct, self.automaton.look_up(distinct)):
-            self.merged += found is None
-            ids[w] = np.array(self.bpe.merge(w) if found is None else found, "<i4").tobytes()
-        return {c: b"".join([ids[w] for w in ws]) for c, ws in words.items()}
+        ids = {w: self._word(w) if found is None else found for w, found in zip(distinct, self.automaton.look_up(distinct))}
+        return {c: ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws]) for c, ws in words.items()}
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        split, new = [], set()
+        """The ids of each text as 32-bit integers."""
+        split, known = [], self.known
         for text in texts:
-            own = [(special, x if special else self.bpe.chunks(x)) for special, x in self.bpe.parts(text)]
-            split.append(own)
-            for special, x in own:
-                if not special:
-                    new.update(c for c in x if c not in self.known)
+            split.append([(special, x if special else self.bpe.chunks(x)) for special, x in self.bpe.parts(text)])
+        new = set(chain.from_iterable(x for own in split for special, x in own if not special)).difference(known)
         made = self._learn(new) if new else {}
-        if len(self.known) < MOST_REMEMBERED:
-            self.known.update((c, ids) for c, ids in made.items() if len(c) <= LONG_WORD)
-        known, out = self.known, []
+        if len(known) < MOST_REMEMBERED:
+            known.update((c, ids) for c, ids in made.items() if len(c) <= LONG_WORD)
+        out = []
         for own in split:
             parts = []
             for special, x in own:
-                parts += [np.int32(self.bpe.special[x]).tobytes()] if special else [known[c] if c in known else made[c] for c in x]
+                parts += [array("i", [self.bpe.special[x]]).tobytes()] if special else [known[c] if c in known else made[c] for c in x]
             out.append(b"".join(parts))
         return out
 
@@ -271,12 +299,12 @@ def count_words(docs: DataFrame, bpe, text_col: str = "text") -> DataFrame:
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
 
-        for batch in pieces(batches, text_col):
+        for batch in pieces(batches, text_col, BATCH_BYTES):
             for raw in utf8(batch.column(text_col)):
                 for special, x in own.parts(raw.decode()):
                     if not special:
                         held.update(own.chunks(x))
-            if len(held) > MOST_REMEMBERED:
+            if len(held) > 2 * MOST_REMEMBERED:
                 yield out()
         yield out()
 
@@ -301,20 +329,25 @@ class Lexicon:
         own.file = shared_file(spark, "lexicon", compile_words({w: merge(w) for w in top.toArrow().column("word").to_pylist()}))
         return own
 
-    def encode(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """(id, ids) of every whole text."""
+    def encode(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", decoded_col: str | None = None) -> DataFrame:
+        """(id, ids) of every whole text; with decoded_col also what decode() makes of the ids."""
         bpe, file = self.bpe, self.file
         docs = docs.select(id_col, text_col)
+        fields = [docs.schema[id_col], T.StructField("ids", T.ArrayType(T.IntegerType()))]
+        if decoded_col:
+            fields.append(T.StructField(decoded_col, T.StringType()))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            encoder = _encoder(bpe, file)
-            for batch in pieces(batches, text_col, 4 << 20):
+            encoder, spell = _encoder(bpe, file), bpe.value.spell
+            for batch in pieces(batches, text_col, BATCH_BYTES):
                 made = encoder.encode_all([t.decode() for t in utf8(batch.column(text_col))])
                 offsets = np.cumsum([0, *[len(x) // 4 for x in made]]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(made), "<i4")))
-                yield pa.RecordBatch.from_arrays([batch.column(id_col), ids], [id_col, "ids"])
+                columns = [batch.column(id_col), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(made), np.int32)))]
+                if decoded_col:
+                    columns.append(pa.array([spell(array("i", x)) for x in made], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
 
-        return docs.mapInArrow(run, T.StructType([docs.schema[id_col], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+        return docs.mapInArrow(run, T.StructType(fields))
 
     def decode(self, encoded: DataFrame, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
         """All columns and the text that the ids spell; a null list is empty, ids outside the vocabulary spell nothing."""
@@ -322,9 +355,8 @@ class Lexicon:
         schema = T.StructType([*encoded.schema.fields, T.StructField(out_col, T.StringType())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tokens = bpe.value.tokens
-            for batch in pieces(batches, ids_col, 8 << 20):
-                texts = [" ".join([tokens[x] for x in ids or () if x in tokens]) for ids in batch.column(ids_col).to_pylist()]
+            for batch in pieces(batches, ids_col, BATCH_BYTES):
+                texts = [bpe.value.spell(ids or []) for ids in batch.column(ids_col).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out_col])
 
         return encoded.mapInArrow(run, schema)

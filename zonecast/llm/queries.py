@@ -101,8 +101,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     own = lexicon.Lexicon.of(docs, public_tokenizers.path("word_bpe_49k.json"))
-    both = own.decode(own.encode(docs))
-    return both.select(
+    return own.encode(docs, decoded_col="decoded").select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
