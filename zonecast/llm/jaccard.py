@@ -7,15 +7,19 @@ n - ceil(t n) + 1 of each, its prefix. The steps:
 1. Equal sets become one class: copies are never compared.
 2. Classes of equal size and prefix become one group; the group's prefix is posted once for
    each task that meets it.
-3. Group pairs are filtered without listing them: every shingle's posting list is hung on its
-   smallest group, and the connected components of those edges are found. Any two sets of
-   sufficient similarity lie in one component.
-4. A component's members are expanded and verified on their whole sets. A component that
-   fits is one block. A larger one is cut by size class and hash into blocks, and only block
-   pairs whose sizes can reach t meet, each in a task's turn of its own. A block pair yields
-   a spanning forest of its links and each member's number of links, not its pairs.
+3. Group pairs that share a prefix shingle are filtered on what groups know: sizes, and how
+   many shingles up to the shorter prefix's end only one of them has. Two sets of similarity t
+   differ in few, so pairs that merely share a passage go. What remains is kept as a spanning
+   forest, whose components hold every pair that can link.
+4. A component's members are expanded and verified on their whole sets, which only its
+   documents are read again for. Again a spanning forest of the links is kept, and each
+   member's number of links, not its pairs.
 5. Components of the verified links give each document its component.
 
+In steps 3 and 4 the rows of a key (a shingle, a component) that fit are one block. More are
+cut by size class and hash into blocks, and only block pairs whose sizes can reach t meet,
+each in a task's turn of its own; so no key is held whole, and no pair is a row.
+
 The order is rarest first for the ``FREQUENT`` most frequent shingles (which come last) and
 by hash before them. Any order gives the same result; this one keeps common passages out of
 prefixes. Shingle counts come from all documents; a task passes on those that it met twice.
@@ -45,6 +49,7 @@ BLOCK_SETS = 512
 BLOCK_SHINGLES = 2_000_000
 REMEMBERED = 400_000
 COUNTED = 4_000_000
+WANTED_BITS = 1 << 24
 
 
 # ---------------------------------------------------------------- shingles
@@ -142,12 +147,15 @@ def _classes(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, words: int, num: int, den: int, frequent) -> DataFrame:
-    """Rows of classes (id, row, n, set_id, group) and of postings (group, shingle).
+    """Rows of classes (row, n, set_id, group, codes) and of postings (n, group, shingle, short).
 
-    Sets too small to reach the similarity with any other set have neither.
+    ``codes`` are the prefix's places in the global order, in 32 bits. ``short`` marks the part
+    of a prefix that is enough to meet sets of no smaller size. Sets too small to reach the
+    similarity with any other set have neither row.
     """
-    schema = T.StructType([docs.schema["id"], T.StructField("row", T.LongType()), T.StructField("n", T.LongType()), T.StructField("set_id", T.BinaryType()),
-                           T.StructField("group", T.LongType()), T.StructField("shingle", T.LongType())])
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("n", T.LongType()), T.StructField("set_id", T.BinaryType()),
+                           T.StructField("group", T.LongType()), T.StructField("codes", T.BinaryType()), T.StructField("shingle", T.LongType()), T.StructField("short", T.BooleanType())])
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.bool_())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, (keys, ranks), groups, sets = _shingler(words), frequent.value, set(), set()
@@ -168,75 +176,128 @@ def _prefixes(docs: DataFrame, words: int, num: int, den: int, frequent) -> Data
                 place = np.searchsorted(keys, h)
                 place[place == len(keys)] = 0
                 late = keys[place] == h if len(keys) else np.zeros(n, bool)
-                prefix = n - _least_overlap(n, num, den) + 1
-                rare = h[~late][:prefix]
-                if len(rare) < prefix:
-                    common = h[late]
-                    rare = np.concatenate([rare, common[np.argsort(ranks[place[late]], kind="stable")][: prefix - len(rare)]])
-                group = xxhash.xxh3_64_intdigest(rare.tobytes(), seed=n)
+                size = n - _least_overlap(n, num, den) + 1
+                prefix = h[~late][:size]
+                codes = prefix >> np.uint64(33)
+                if len(prefix) < size:
+                    common, place = h[late], ranks[place[late]]
+                    order = np.argsort(place)[: size - len(prefix)]
+                    prefix = np.concatenate([prefix, common[order]])
+                    codes = np.concatenate([codes, place[order].astype(np.uint64) + np.uint64(1 << 31)])
+                group = xxhash.xxh3_64_intdigest(prefix.tobytes(), seed=n)
                 at.append(k)
-                found.append((n, s, group))
+                found.append((n, s, group, codes.astype("<u4").tobytes()))
                 if group not in groups:
                     groups.add(group)
-                    posted.append((group, rare))
-            of = batch.take(pa.array(at, pa.int32()))
-            g = np.array([x for _, _, x in found], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([of.column("id"), of.column("row"), pa.array([x for x, _, _ in found], pa.int64()),
-                                              pa.array([x for _, x, _ in found], pa.binary()), pa.array(g), pa.nulls(len(found), pa.int64())], schema.names)
-            if posted:
-                each = np.repeat(np.array([x for x, _ in posted], np.uint64), [len(r) for _, r in posted]).view(np.int64)
-                none = [pa.nulls(len(each), t) for t in (batch.schema.field("id").type, pa.int64(), pa.int64(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([*none, pa.array(each), pa.array(np.concatenate([r for _, r in posted]).view(np.int64))], schema.names)
+                    posted.append((group, n, prefix, n - _least_overlap(2 * n, num, num + den) + 1))
+            if not found:
+                continue
+            g = np.array([x[2] for x in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([
+                batch.column("row").take(pa.array(at, pa.int32())), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary()),
+                pa.array(g), pa.array([x[3] for x in found], pa.binary()), *[pa.nulls(len(found), t) for t in kinds[5:]]], schema.names)
+            sizes = [len(x[2]) for x in posted]
+            each = np.repeat(np.array([x[0] for x in posted], np.uint64), sizes).view(np.int64)
+            yield pa.RecordBatch.from_arrays([
+                pa.nulls(len(each), kinds[0]), pa.array(np.repeat([x[1] for x in posted], sizes), pa.int64()), pa.nulls(len(each), kinds[2]), pa.array(each), pa.nulls(len(each), kinds[4]),
+                pa.array(np.concatenate([np.empty(0, np.uint64), *[x[2] for x in posted]]).view(np.int64)),
+                pa.array(np.concatenate([np.empty(0, bool), *[np.arange(len(x[2])) < x[3] for x in posted]]), pa.bool_())], schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
-def _with_sets(rows: DataFrame, words: int) -> DataFrame:
-    """The same rows with the sorted shingle hashes in place of the text."""
-    schema = T.StructType([T.StructField("text", T.BinaryType()) if f.name == "text" else f for f in rows.schema.fields])
+def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(member, shingles) of the documents whose text hash is wanted, and of a few more.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _shingler(words)
-        for batch in pieces(batches, "text"):
-            sets = pa.array([own.shingles(t).tobytes() for t in utf8(batch.column("text"))], pa.binary())
-            yield pa.RecordBatch.from_arrays([sets if f.name == "text" else batch.column(f.name) for f in batch.schema], batch.schema.names)
+    A bitmap of WANTED_BITS says which texts to read, so it is bounded; where it says yes by
+    accident the later join says no. A task gives each set once.
+    """
+    bit = F.pmod(F.col("row"), F.lit(WANTED_BITS))
+    maps = wanted.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    table = np.zeros(WANTED_BITS // 32768 + 2, "V4096")
+    for r in maps:
+        table[r.k] = bytes(r.bits)
+    shared = docs.sparkSession.sparkContext.broadcast(table.view(np.uint8))
+    schema = T.StructType([T.StructField("member", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
 
-    return rows.mapInArrow(run, schema).withColumnRenamed("text", "shingles")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, bits, seen = _shingler(words), shared.value, set()
+        for batch in batches:
+            at = batch.column("row").to_numpy(zero_copy_only=False) % WANTED_BITS
+            # Spark counts buckets from 1 for positive numbers (bit 0 of the first is 1), and 0 has the bucket 0
+            bucket = np.where(at > 0, (at - 1) // 32768 + 1, 0)
+            position = np.where(at > 0, (at - 1) % 32768, 0)
+            hit = (bits[bucket * 4096 + position // 8] >> (position % 8)) & 1 == 1
+            for part in pieces(iter([batch.filter(pa.array(hit))]), "text"):
+                ids, sets = [], []
+                for text in utf8(part.column("text")):
+                    h = own.shingles(text)
+                    if (s := set_id(h)) not in seen:
+                        if len(seen) > REMEMBERED:
+                            seen.clear()
+                        seen.add(s)
+                        ids.append(s)
+                        sets.append(h.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(sets, pa.binary())], schema.names)
+
+    return docs.select("row", "text").mapInArrow(run, schema)
 
 
 # ---------------------------------------------------------------- verification
 
-def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """The matrix of which sets reach the similarity, exactly: shared shingles by products of 0/1 matrices."""
-    sizes = np.array([len(s) for s in sets], np.int64)
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """The matrix of how many elements two arrays of distinct elements share, exactly: products of 0/1 matrices."""
     m = len(sets)
-    inter = np.zeros((m, m), np.int64)
-    if m <= 6:
+    out = np.zeros((m, m), np.int64)
+    if m <= 4:
         for i in range(m):
             for j in range(i):
-                if min(sizes[i], sizes[j]) * den >= num * max(sizes[i], sizes[j]):
-                    inter[i, j] = inter[j, i] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-    else:
-        every = np.concatenate(sets)
-        owner = np.repeat(np.arange(m), sizes)
-        order = np.argsort(every, kind="stable")
-        every, owner = every[order], owner[order]
-        starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-        counts = np.diff(np.concatenate([starts, [len(every)]]))
-        column = np.repeat(np.cumsum(counts > 1) - 1, counts)
-        shared = np.repeat(counts > 1, counts)
-        column, owner = column[shared], owner[shared]
-        width = max(256, 16_000_000 // m)
-        for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-            lo, hi = np.searchsorted(column, [at, at + width])
-            dense = np.zeros((m, int(column[hi - 1]) - at + 1 if hi > lo else 0), np.float32)
-            dense[owner[lo:hi], column[lo:hi] - at] = 1
-            inter += np.rint(dense @ dense.T).astype(np.int64)
+                both = np.concatenate([sets[i], sets[j]])
+                both.sort()
+                out[i, j] = out[j, i] = (both[1:] == both[:-1]).sum()
+        return out
+    every = np.concatenate(sets)
+    owner = np.repeat(np.arange(m), [len(s) for s in sets])
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+    counts = np.diff(np.concatenate([starts, [len(every)]]))
+    column = np.repeat(np.cumsum(counts > 1) - 1, counts)
+    shared = np.repeat(counts > 1, counts)
+    column, owner = column[shared], owner[shared]
+    width = max(256, 16_000_000 // m)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        lo, hi = np.searchsorted(column, [at, at + width])
+        dense = np.zeros((m, int(column[hi - 1]) - at + 1), np.float32)
+        dense[owner[lo:hi], column[lo:hi] - at] = 1
+        out += np.rint(dense @ dense.T).astype(np.int64)
+    return out
+
+
+def linked(sets: list[np.ndarray], sizes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which whole sets reach the similarity."""
+    inter = shared_counts(sets)
     out = inter * den >= num * (sizes[:, None] + sizes[None, :] - inter)
     np.fill_diagonal(out, False)
     return out
 
 
+def may_link(codes: list[np.ndarray], sizes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which groups may hold sets that reach the similarity.
+
+    Up to the end of the shorter prefix (in the global order) both sets are known, so codes
+    there that only one of them has are differences. Equal codes of different shingles count
+    as shared, which can only let a pair pass.
+    """
+    last = np.array([c[-1] for c in codes])
+    upto = np.array([np.searchsorted(c, last, side="right") for c in codes])  # of each, how many up to each last
+    differ = upto + upto.T - 2 * shared_counts(codes)
+    both = sizes[:, None] + sizes[None, :]
+    out = (differ <= both - 2 * -(-both * num // (num + den))) & (np.minimum.outer(sizes, sizes) * den >= num * np.maximum.outer(sizes, sizes))
+    np.fill_diagonal(out, False)
+    return out
+
+
 def forest(links: np.ndarray) -> np.ndarray:
     """For each row of a symmetric link matrix the first row that it is connected to."""
     label = np.arange(len(links))
@@ -252,41 +313,58 @@ def forest(links: np.ndarray) -> np.ndarray:
 _KEY = ("component", "c1", "b1", "c2", "b2")
 
 
-def _verified(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(set_id, to, n_links) for rows sorted by block pair: a spanning edge, if any, and the documents linked there."""
-    schema = T.StructType([T.StructField("set_id", T.BinaryType()), T.StructField("to", T.BinaryType()), T.StructField("n_links", T.LongType())])
+def _forests(rows: DataFrame, payload: str, unit: str, test, num: int, den: int) -> DataFrame:
+    """(member, to, n_links) for rows sorted by block pair: a spanning edge, if any, and what a member links to, in copies.
+
+    ``test`` makes the matrix of links of a block from the members' payloads, arrays of ``unit``.
+    """
+    schema = T.StructType([rows.schema["member"], T.StructField("to", rows.schema["member"].dataType), T.StructField("n_links", T.LongType())])
+    kind = pa.binary() if isinstance(rows.schema["member"].dataType, T.BinaryType) else pa.int64()
+
+    def block(key: list, held: list) -> tuple[list, list, list]:
+        unique = {x[0]: x for x in held}  # a member once, though several tasks have met it
+        if len(unique) < 2:
+            return [], [], []
+        ids, sides, copies, sizes, data = zip(*unique.values())
+        links = test([np.frombuffer(x, unit) for x in data], np.array(sizes, np.int64), num, den)
+        if key[1:3] != key[3:]:  # of two blocks, only pairs across them; pairs inside have their own turn
+            side = np.array(sides)
+            links &= side[:, None] != side[None, :]
+        if not links.any():
+            return [], [], []
+        n, to = links @ np.array(copies, np.int64), forest(links)
+        own = np.flatnonzero(n > 0).tolist()
+        return [ids[i] for i in own], [ids[to[i]] for i in own], n[own].tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-
-        def block() -> pa.RecordBatch:
-            unique = {s: (side, copies, h) for s, side, copies, h in held}  # a class once, though its text came twice
-            ids = list(unique)
-            side = np.array([unique[s][0] for s in ids])
-            links = linked([np.frombuffer(unique[s][2], np.uint64) for s in ids], num, den)
-            if key[1:3] != key[3:]:  # of two blocks, only pairs across them; pairs inside have their own turn
-                links &= side[:, None] != side[None, :]
-            n = links @ np.array([unique[s][1] for s in ids], np.int64)
-            to = forest(links)
-            own = np.flatnonzero(n > 0)
-            return pa.RecordBatch.from_arrays([pa.array([ids[i] for i in own], pa.binary()), pa.array([ids[to[i]] for i in own], pa.binary()), pa.array(n[own])], schema.names)
+        key, held, out = None, [], ([], [], [])
+
+        def made() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(out[0], kind), pa.array(out[1], kind), pa.array(out[2], pa.int64())], schema.names)
+            for x in out:
+                x.clear()
+            return batch
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in (*_KEY, "set_id", "side", "copies", "shingles")]
-            for *now, s, side, copies, h in zip(*columns):
+            columns = [batch.column(c).to_pylist() for c in (*_KEY, "member", "side", "copies", "n", payload)]
+            for *now, member, side, copies, n, data in zip(*columns):
                 if now != key:
-                    if len(held) > 1:
-                        yield block()
+                    for x, y in zip(out, block(key, held) if len(held) > 1 else ()):
+                        x += y
                     key, held = now, []
-                held.append((s, side, copies, h))
-        if len(held) > 1:
-            yield block()
+                    if len(out[0]) > 10_000:
+                        yield made()
+                held.append((member, side, copies, n, data))
+        for x, y in zip(out, block(key, held) if len(held) > 1 else ()):
+            x += y
+        yield made()
 
-    return rows.mapInArrow(run, schema)
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return rows.repartition(parts, *_KEY).sortWithinPartitions(*_KEY).mapInArrow(run, schema)
 
 
 def _block_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
-    """The members (component, set_id, n, ...) once for each block pair that they take part in."""
+    """The members (component, member, n, ...) once for each block pair that they take part in."""
     size_class = F.floor(F.log("n") / math.log(den / num)).cast("int") if num < den else F.col("n").cast("int")
     members = members.withColumn("c", size_class)
     whole = members.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w")).where("m > 1")
@@ -296,7 +374,7 @@ def _block_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
     parts = parts.join(whole.where("NOT fits").select("component"), "component", "left_semi")
     listed = parts.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("c", "blocks"))).alias("blocks"))  # bounded: a class is a factor of size
     rows = members.join(whole.select("component", "fits"), "component").join(listed, "component", "left")
-    own = F.pmod(F.xxhash64("set_id"), F.element_at("blocks", F.col("c")).cast("long")).cast("int")
+    own = F.pmod(F.xxhash64("member"), F.element_at("blocks", F.col("c")).cast("long")).cast("int")
     one = F.struct(F.lit(0).alias("c1"), F.lit(0).alias("b1"), F.lit(0).alias("c2"), F.lit(0).alias("b2"), F.lit(0).alias("side"))
 
     def across(step: int):
@@ -329,6 +407,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     equal sets (null without shingles).
     """
     spark = docs.sparkSession
+    if not 0 < num <= den:
+        raise ValueError("the similarity must be above 0 and at most 1")
     docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).cast("string").alias("text"))
     first = stored(_classes(docs, words))
     documents = first.where(F.col("shingle").isNull()).select("id", "row", "n", "set_id")
@@ -337,24 +417,25 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     order = np.argsort(keys)
     frequent = spark.sparkContext.broadcast((keys[order], -order))  # the rarer comes first; bounded by FREQUENT
 
-    second = stored(_prefixes(docs, words, num, den, frequent))
-    postings = second.where(F.col("shingle").isNotNull()).select("shingle", "group")
-    pivots = postings.groupBy("shingle").agg(F.min("group").alias("pivot"), F.max("group").alias("last")).where("pivot < last").select("shingle", "pivot")
-    edges = postings.join(pivots, "shingle").where("group != pivot").select(F.col("group").alias("a"), F.col("pivot").alias("b"))
+    second = stored(_prefixes(docs.select("row", "text"), words, num, den, frequent))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    postings = second.where(F.col("shingle").isNotNull()).select("shingle", "group", "n", "short").repartition(parts, "shingle")
+    common = postings.groupBy("shingle").agg(F.min("group").alias("a"), F.max("group").alias("b"), F.max("short").alias("s")).where("a < b AND s").select("shingle")
+    met = postings.join(common, "shingle", "left_semi").select(F.col("shingle").alias("component"), F.col("group").alias("member"), "n")
+    classes = second.where(F.col("shingle").isNull())
+    codes = classes.groupBy(F.col("group").alias("member")).agg(F.min("codes").alias("codes"))
+    pairs = _block_pairs(written(met), num, den).join(codes, "member").withColumn("copies", F.lit(1))
+    edges = _forests(pairs, "codes", "<u4", may_link, num, den).select(F.col("member").alias("a"), F.col("to").alias("b"))
     found = connected_components(edges).withColumnsRenamed({"node": "group", "label": "component"})
 
     copies = documents.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first_id"))
-    classes = second.where(F.col("shingle").isNull()).groupBy("set_id").agg(
-        F.min("group").alias("group"), F.min("n").alias("n"), F.min(F.struct("id", "row")).alias("at"))
-    members = classes.join(found, "group", "left").select(F.coalesce("component", "group").alias("component"), "set_id", "n", "at.id", "at.row")
-    alone = members.groupBy("component").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("component")
-    members = written(members.join(alone, "component", "left_semi").join(copies.select("set_id", "copies"), "set_id"))
-
-    texts = docs.alias("d").join(members.select("id", "row", "set_id").alias("m"), F.expr("d.id <=> m.id AND d.row = m.row")).select("m.set_id", "d.text")
-    sets = stored(_with_sets(texts, words))
-    blocks = _block_pairs(members.drop("id", "row"), num, den).join(sets, "set_id")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    said = written(_verified(blocks.repartition(parts, *_KEY).sortWithinPartitions(*_KEY), num, den))
+    members = classes.groupBy("set_id").agg(F.min("group").alias("group"), F.min("n").alias("n"), F.min("row").alias("row"))
+    members = members.join(found, "group", "left").select(F.coalesce("component", "group").alias("component"), "set_id", "n", "row")
+    several = members.groupBy("component").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("component")
+    members = written(members.join(several, "component", "left_semi").join(copies.select("set_id", "copies"), "set_id").withColumnRenamed("set_id", "member"))
+
+    pairs = _block_pairs(members.drop("row"), num, den).join(_sets_of(docs, members, words), "member")
+    said = written(_forests(pairs, "shingles", "<u8", linked, num, den)).withColumnRenamed("member", "set_id")
 
     labels = connected_components(said.select(F.col("set_id").alias("a"), F.col("to").alias("b")))
     degrees = said.groupBy("set_id").agg(F.sum("n_links").alias("n_links"))
