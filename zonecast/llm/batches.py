@@ -27,6 +27,14 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 16
             yield batch.slice(at, step)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the frame doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame) -> DataFrame:
     """The frame as a checkpoint in the session's shared folder: lineage ends there."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -41,7 +41,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from zonecast.llm.batches import pieces, stored, utf8, written
+from zonecast.llm.batches import pieces, stored, unused, utf8, written
 from zonecast.llm.graph import connected_components
 
 FREQUENT = 200_000
@@ -403,13 +403,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Documents link where their sets' Jaccard similarity is num / den or more. ``n_links``
     counts a document's links (copies included), ``component_id`` is the smallest id that
-    links reach, its own included, ``row`` a hash of the text, and ``set_id`` the class of
+    links reach, its own included, ``row`` a hash of id and text, and ``set_id`` the class of
     equal sets (null without shingles).
     """
     spark = docs.sparkSession
     if not 0 < num <= den:
         raise ValueError("the similarity must be above 0 and at most 1")
-    docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).cast("string").alias("text"))
     first = stored(_classes(docs, words))
     documents = first.where(F.col("shingle").isNull()).select("id", "row", "n", "set_id")
     often = first.where(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("met").alias("met")).orderBy(F.desc("met"), "shingle").limit(FREQUENT).toArrow()
@@ -447,3 +447,19 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return documents.join(per_set, "set_id", "left").select(
         F.col("id").alias(id_col), "row", F.col("n").alias("n_shingles"), "set_id", F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.when(F.col("set_id").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """The rows, whole, of one document for each component: the one of smallest id.
+
+    A row is recognised by a hash of its id and text. Equal rows are one document, of which one
+    row stays. In a component of null ids one row stays too. Rows without shingles each stay.
+    """
+    found = jaccard_join(docs, id_col, text_col, words, num, den)
+    # with one id on several texts of a component, the smallest hash decides
+    keep = found.where(F.col("set_id").isNotNull() & F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(
+        "component_id", F.when(F.col(id_col).isNull(), F.col("set_id"))).agg(F.min("row").alias("k")).select("k")
+    row = unused(docs, "_row")
+    own = docs.withColumn(row, F.xxhash64(id_col, text_col)).join(keep.withColumnRenamed("k", row), row, "left_semi")
+    bare = docs.where(~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    return own.dropDuplicates([row, id_col]).drop(row).unionByName(bare)

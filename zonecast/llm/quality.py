@@ -182,7 +182,10 @@ def ablations(rows: DataFrame, policy: Policy = CURRENT, failed: str = "failed")
 
 def keep(docs: DataFrame, policy: Policy = CURRENT, text_col: str = "text") -> DataFrame:
     """The rows, whole, that the policy keeps: measured and judged in one pass, without a shuffle."""
-    own = [f"{PREFIX}{m}" for m in MEASURES]
+    prefix = PREFIX
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    own = [f"{prefix}{m}" for m in MEASURES]
     schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.LongType()) for c in own]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,4 +193,4 @@ def keep(docs: DataFrame, policy: Policy = CURRENT, text_col: str = "text") -> D
             yield pa.RecordBatch.from_arrays([*batch.columns, *_measured(batch, text_col)], [*batch.schema.names, *own])
 
     measured = docs.mapInArrow(run, schema)
-    return measured.withColumn(f"{PREFIX}failed", failed_bits(PREFIX)).where(verdict(policy, f"{PREFIX}failed")).drop(*own, f"{PREFIX}failed")
+    return measured.withColumn(f"{prefix}failed", failed_bits(prefix)).where(verdict(policy, f"{prefix}failed")).drop(*own, f"{prefix}failed")

@@ -15,7 +15,8 @@ shards by shards. Every round ends in a checkpoint.
 
 Defined results for odd input: a null text counts as empty (size 1, checksum 0) and is equal
 to an empty one; repeated rows are rows of their own; a null group has no links; an empty
-table gives an empty result; columns whose names start with an underscore are internal.
+table gives an empty result; columns named shard or slot are replaced, and names that start
+with an underscore are internal.
 """
 
 from __future__ import annotations
@@ -87,7 +88,7 @@ def _propagate(linked: DataFrame, capacity: list[int]) -> DataFrame:
 
 def shard_by_links(rows: DataFrame, group_col: str, shards: int = 16) -> DataFrame:
     """All rows with ``shard`` (counts at most one apart, groups kept together) and ``slot`` (gapless from 0 in a shard)."""
-    rows = written(rows.withColumn("_uid", F.monotonically_increasing_id()))
+    rows = written(rows.drop("shard", "slot").withColumn("_uid", F.monotonically_increasing_id()))
     total = rows.count()
     capacity = [total // shards + (s < total % shards) for s in range(shards)]
     several = rows.where(F.col(group_col).isNotNull()).groupBy(group_col).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col(group_col).alias("_group"))
