@@ -1,5 +1,28 @@
 """DuckDB SQL for the registered queries that SQL can express."""
 
+from zonecast.llm import licenses
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical(column: str) -> str:
+    """The canonical form of a licence text, line ends kept."""
+    out = f"translate(coalesce({column}, ''), {_quoted(licenses.UPPER)}, {_quoted(licenses.LOWER)})"
+    out = f"regexp_replace({out}, {_quoted(licenses.COPYRIGHT)}, '\\1', 'g')"
+    out = f"regexp_replace({out}, {_quoted(licenses.MARKS)}, ' ', 'g')"
+    for a, b in licenses.EQUIVALENT:
+        out = f"replace({out}, {_quoted(a)}, {_quoted(b)})"
+    return out
+
+
+def _one_line(form: str) -> str:
+    return f"trim(regexp_replace({form}, '[ \\n]+', ' ', 'g'))"
+
+
+_KNOWN = ", ".join(f"({_quoted(i)}, {_quoted(t)})" for i, t in licenses.known_texts())
+
 ORACLES = {
     "op1_chat": r"""
 WITH turns AS (
@@ -47,5 +70,28 @@ WITH w AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits::BIGINT AS failed_bits
 FROM f
+""",
+    "op4_licenses": f"""
+WITH known AS (
+  SELECT sha256(form) AS digest, min(license) AS license
+  FROM (SELECT license, {_one_line(_canonical("text"))} AS form FROM (VALUES {_KNOWN}) AS v(license, text))
+  WHERE form <> '' GROUP BY 1
+), rows AS (
+  SELECT doc_id, {_canonical("text")} AS form FROM documents
+), lines AS (
+  SELECT DISTINCT doc_id, trim(regexp_replace(line, ' +', ' ', 'g')) AS line FROM (SELECT doc_id, unnest(string_split(form, chr(10))) AS line FROM rows)
+), hits AS (
+  SELECT doc_id, license FROM lines JOIN known ON digest = sha256(line) WHERE line <> ''
+), whole AS (
+  SELECT doc_id, sha256({_one_line("form")}) AS digest FROM rows
+), both_ AS (
+  SELECT whole.*, known.license AS text_license FROM whole LEFT JOIN known ON known.digest = whole.digest
+), every AS (
+  SELECT doc_id, license FROM hits UNION SELECT doc_id, text_license FROM both_ WHERE text_license IS NOT NULL
+)
+SELECT doc_id, digest, text_license,
+  (SELECT count(*) FROM every WHERE every.doc_id = both_.doc_id) AS n_licenses,
+  coalesce((SELECT string_agg(license, ',' ORDER BY license) FROM every WHERE every.doc_id = both_.doc_id), '') AS licenses
+FROM both_
 """,
 }

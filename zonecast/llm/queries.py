@@ -57,6 +57,13 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's canonical digest, and the known licences of its whole text and lines."""
+    from zonecast.llm import licenses
+
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ledger row, the base verdict and that of the current policy."""
     from zonecast.llm import quality
@@ -120,6 +127,7 @@ QUERIES = {
     "op1_chat": op1_chat,
     "op2_jaccard": op2_jaccard,
     "op3_secrets": op3_secrets,
+    "op4_licenses": op4_licenses,
     "op5_quality": op5_quality,
     "op6_sharding": op6_sharding,
     "op7_langid": op7_langid,
