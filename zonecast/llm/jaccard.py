@@ -5,8 +5,8 @@ sets of a Jaccard similarity of at least t share a shingle among the first
 n - ceil(t n) + 1 of each, its prefix. The steps:
 
 1. Equal sets become one class: copies are never compared.
-2. Classes of equal size and prefix become one group; the group's prefix is posted once for
-   each task that meets it.
+2. Classes of equal size and prefix become one group; the group's prefix is posted once.
+   Posting lists of the same groups (all those of two near copies, say) are kept once.
 3. Group pairs that share a prefix shingle are filtered on what groups know: sizes, and how
    many shingles up to the shorter prefix's end only one of them has. Two sets of similarity t
    differ in few, so pairs that merely share a passage go. What remains is kept as a spanning
@@ -44,7 +44,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from zonecast.llm.batches import pieces, stored, unused, utf8, written
 from zonecast.llm.graph import connected_components
 
-FREQUENT = 200_000
+FREQUENT = 1_000_000
+KNOWN_CODES = 96
 BLOCK_SETS = 512
 BLOCK_SHINGLES = 2_000_000
 REMEMBERED = 400_000
@@ -149,7 +150,8 @@ def _classes(docs: DataFrame, words: int) -> DataFrame:
 def _prefixes(docs: DataFrame, words: int, num: int, den: int, frequent) -> DataFrame:
     """Rows of classes (row, n, set_id, group, codes) and of postings (n, group, shingle, short).
 
-    ``codes`` are the prefix's places in the global order, in 32 bits. ``short`` marks the part
+    ``codes`` are the places of the prefix's first KNOWN_CODES in the global order, in 32 bits:
+    the filter needs no more than a known stretch of a set, and a row stays small. ``short`` marks the part
     of a prefix that is enough to meet sets of no smaller size. Sets too small to reach the
     similarity with any other set have neither row.
     """
@@ -186,7 +188,7 @@ def _prefixes(docs: DataFrame, words: int, num: int, den: int, frequent) -> Data
                     codes = np.concatenate([codes, place[order].astype(np.uint64) + np.uint64(1 << 31)])
                 group = xxhash.xxh3_64_intdigest(prefix.tobytes(), seed=n)
                 at.append(k)
-                found.append((n, s, group, codes.astype("<u4").tobytes()))
+                found.append((n, s, group, codes[:KNOWN_CODES].astype("<u4").tobytes()))
                 if group not in groups:
                     groups.add(group)
                     posted.append((group, n, prefix, n - _least_overlap(2 * n, num, num + den) + 1))
@@ -285,7 +287,7 @@ def linked(sets: list[np.ndarray], sizes: np.ndarray, num: int, den: int) -> np.
 def may_link(codes: list[np.ndarray], sizes: np.ndarray, num: int, den: int) -> np.ndarray:
     """Which groups may hold sets that reach the similarity.
 
-    Up to the end of the shorter prefix (in the global order) both sets are known, so codes
+    Up to the end of the shorter list of codes (in the global order) both sets are known, so codes
     there that only one of them has are differences. Equal codes of different shingles count
     as shared, which can only let a pair pass.
     """
@@ -419,8 +421,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     second = stored(_prefixes(docs.select("row", "text"), words, num, den, frequent))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    postings = second.where(F.col("shingle").isNotNull()).select("shingle", "group", "n", "short").repartition(parts, "shingle")
-    common = postings.groupBy("shingle").agg(F.min("group").alias("a"), F.max("group").alias("b"), F.max("short").alias("s")).where("a < b AND s").select("shingle")
+    postings = second.where(F.col("shingle").isNotNull()).select("shingle", "group", "n", "short").repartition(parts, "shingle").dropDuplicates(["shingle", "group"])
+    lists = postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("m"), F.min("group").alias("a"), F.max("group").alias("b"), F.max("short").alias("s"),
+                                            F.bit_xor(F.xxhash64("group")).alias("x")).where("a < b AND s")
+    # posting lists of the same groups make the same pairs: one of them stands for all
+    common = lists.groupBy("m", "a", "b", "x").agg(F.min("shingle").alias("shingle")).select("shingle")
     met = postings.join(common, "shingle", "left_semi").select(F.col("shingle").alias("component"), F.col("group").alias("member"), "n")
     classes = second.where(F.col("shingle").isNull())
     codes = classes.groupBy(F.col("group").alias("member")).agg(F.min("codes").alias("codes"))
