@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 # ---------------------------------------------------------------- fixed values: spellings
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# a line that begins, after marks, with one of these says who holds the rights, not what they are
-COPYRIGHT = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+# a line that begins, after marks, like this says who holds the rights, not what they are
+COPYRIGHT = r"(^|\n)[^a-z0-9\n]*(copyright[^a-z0-9\n]*(c\)|[0-9]|year|yyyy|by )|\(c\)|©|all rights reserved)[^\n]*"
 MARKS = r"[\x00-\x09\x0b-\x2f\x3a-\x60\x7b-\xbf\x{2010}-\x{201f}\x{2026}]+"
 EQUIVALENT = (
     ("licence", "license"), ("sub license", "sublicense"), ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("analyse", "analyze"),
