@@ -23,7 +23,8 @@ def reference_price(df_columns, cfg: PriceConfig = PriceConfig(),
                     candidates=("avg_fare_amount", "avg_total_amount", "fare_amount", "total_amount")) -> Column:
     """First positive, non-null value among the candidate columns present; else the mid price."""
     present = [c for c in candidates if c in df_columns]
-    picks = [F.when(F.col(c).cast("double") > 0, F.col(c).cast("double")) for c in present]
+    # NaN compares as larger than any number, so it is excluded by name
+    picks = [F.when((F.col(c).cast("double") > 0) & ~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in present]
     return F.coalesce(*picks, _lit(cfg.mid_price)) if picks else _lit(cfg.mid_price)
 
 

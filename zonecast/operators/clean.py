@@ -45,12 +45,15 @@ def cleaning_stages(raw: DataFrame) -> dict[str, Column]:
     )
     s1 = present
     s2 = s1 & numeric_ok
-    s3 = s2 & F.coalesce(valid, F.lit(False))
+    s3 = s2 & valid
     return {"after_dropna": s1, "after_numeric_coercion": s2, "clean_rows": s3}
 
 
 def cleaning_summary(raw: DataFrame) -> DataFrame:
-    """One-pass counters of the cleaning stages (A8): a single partial aggregate, no shuffle of rows."""
+    """One-pass counters of the cleaning stages (A8): a single partial aggregate, no shuffle of rows.
+
+    ``count_if`` counts a NULL predicate as false, as the filter does.
+    """
     st = cleaning_stages(raw)
     return raw.agg(
         F.count(F.lit(1)).alias("raw_rows"),

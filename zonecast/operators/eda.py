@@ -58,11 +58,12 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, num)]
 
 
-def _comoment_partials(cols: list[str]):
-    """mapInPandas function: per-partition (n, mean vector, centered co-moment matrix).
+def _pair_sums(cols: list[str]):
+    """mapInPandas function: per-task sums over the rows where both columns of a pair are present.
 
-    Batches are merged with the pairwise update of Chan et al., so the
-    result is numerically stable; each task emits one row of k + k*k numbers.
+    With z the shifted values (0 where missing) and m the 0/1 presence, a task emits
+    m'm (counts), z'm (sums), (z^2)'m (squares) and z'z (products), each k x k, and
+    each column's range.
     """
     import numpy as np
     import pandas as pd
@@ -70,25 +71,15 @@ def _comoment_partials(cols: list[str]):
     k = len(cols)
 
     def fn(batches):
-        n, mean, com = 0, np.zeros(k), np.zeros((k, k))
+        sums = np.zeros((4, k, k))
         lo, hi = np.full(k, np.inf), np.full(k, -np.inf)
         for pdf in batches:
             x = pdf[cols].to_numpy(dtype="float64")
-            x = x[~np.isnan(x).any(axis=1)]
-            nb = len(x)
-            if nb == 0:
-                continue
-            lo, hi = np.minimum(lo, x.min(axis=0)), np.maximum(hi, x.max(axis=0))
-            mb = x.mean(axis=0)
-            xc = x - mb
-            delta = mb - mean
-            tot = n + nb
-            com += xc.T @ xc + np.outer(delta, delta) * (n * nb / tot)
-            mean += delta * (nb / tot)
-            n = tot
-        if n:
-            yield pd.DataFrame({"n": [n], "mean": [mean.tolist()], "com": [com.ravel().tolist()],
-                                "lo": [lo.tolist()], "hi": [hi.tolist()]})
+            m = ~np.isnan(x)
+            z, m = np.where(m, x, 0.0), m.astype("float64")
+            sums += np.stack([m.T @ m, z.T @ m, (z * z).T @ m, z.T @ z])
+            lo, hi = np.minimum(lo, np.where(m > 0, x, np.inf).min(axis=0, initial=np.inf)), np.maximum(hi, np.where(m > 0, x, -np.inf).max(axis=0, initial=-np.inf))
+        yield pd.DataFrame({"sums": [sums.ravel().tolist()], "lo": [lo.tolist()], "hi": [hi.tolist()]})
 
     return fn
 
@@ -96,35 +87,31 @@ def _comoment_partials(cols: list[str]):
 def correlation_long(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Pearson correlation of every column pair as (col_a, col_b, r).
 
-    One pass over the data: every task reduces its rows to a mean vector and
-    a centered co-moment matrix (numpy inside ``mapInPandas``); Spark merges
-    the partials (partitions x k*k numbers) with
-    ``C = sum(C_p) + sum(n_p * (m_p - m)(m_p - m)^T)``. Rows with a NULL in
-    any listed column are left out. A constant column gives NULL.
+    Pairwise deletion: a pair uses the rows where both its columns are present. A first
+    aggregate gives each column's mean, which is subtracted for stability (a scalar
+    subquery); one pass then reduces every task's rows to four k x k matrices of sums,
+    which Spark adds up (tasks x 4 k^2 numbers). A constant column, or a pair without two
+    common rows, gives NULL.
     """
     cols = cols or numeric_columns(df)
     k = len(cols)
-    parts = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).mapInPandas(
-        _comoment_partials(cols), "n long, mean array<double>, com array<double>, lo array<double>, hi array<double>")
-    tot = parts.agg(F.sum("n").alias("N"), *[F.sum(F.col("n") * F.col("mean")[i]).alias(f"s{i}") for i in range(k)],
-                    *[(F.min(F.col("lo")[i]) == F.max(F.col("hi")[i])).alias(f"k{i}") for i in range(k)])
-    gmean = tot.select(F.array(*[F.col(f"s{i}") / F.col("N") for i in range(k)]).alias("gm"),
-                       F.array(*[F.col(f"k{i}") for i in range(k)]).alias("const"))
-    row = scalar_row(gmean)
-    cells = (parts.select("n", "mean", row.getField("gm").alias("gm"), F.posexplode("com").alias("idx", "c"))
-             .withColumn("i", (F.col("idx") / k).cast("int")).withColumn("j", F.col("idx") % k)
-             .select("i", "j", (F.col("c") + F.col("n") * (F.col("mean")[F.col("i")] - F.col("gm")[F.col("i")])
-                                * (F.col("mean")[F.col("j")] - F.col("gm")[F.col("j")])).alias("c"))
-             .groupBy("i", "j").agg(F.sum("c").alias("c")))
-    diag = cells.where(F.col("i") == F.col("j")).select(F.col("i").alias("d"), F.col("c").alias("v"))
+    x = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    x = x.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in cols])
+    means = scalar_row(x.agg(*[F.avg(c).alias(c) for c in cols]))
+    parts = x.select(*[(F.col(c) - means.getField(c)).alias(c) for c in cols]).mapInPandas(
+        _pair_sums(cols), "sums array<double>, lo array<double>, hi array<double>")
+    total = parts.agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(4 * k * k)],
+                      *[(F.max(F.col("hi")[i]) > F.min(F.col("lo")[i])).alias(f"v{i}") for i in range(k)])
+    one = total.select(F.array(*[F.col(f"s{i}") for i in range(4 * k * k)]).alias("s"), F.array(*[F.col(f"v{i}") for i in range(k)]).alias("varies"))
+    cell = one.select("s", "varies", F.explode(F.sequence(F.lit(0), F.lit(k * k - 1))).alias("c"))
+    i, j = (F.col("c") / k).cast("int"), (F.col("c") % k).cast("int")
+    at = lambda part, a, b: F.col("s")[F.lit(part * k * k) + a * k + b]
+    n = at(0, i, j)
+    cov = at(3, i, j) - at(1, i, j) * at(1, j, i) / n
+    var_i, var_j = at(2, i, j) - at(1, i, j) * at(1, i, j) / n, at(2, j, i) - at(1, j, i) * at(1, j, i) / n
     names = F.array(*[F.lit(c) for c in cols])
-    const = row.getField("const")
-    constant = const[F.col("i")] | const[F.col("j")]
-    return (cells.join(F.broadcast(diag.withColumnRenamed("d", "i").withColumnRenamed("v", "vi")), on="i")
-            .join(F.broadcast(diag.withColumnRenamed("d", "j").withColumnRenamed("v", "vj")), on="j")
-            .select(names[F.col("i")].alias("col_a"), names[F.col("j")].alias("col_b"),
-                    F.when(~constant & (F.col("vi") > 0) & (F.col("vj") > 0),
-                           F.col("c") / F.sqrt(F.col("vi") * F.col("vj"))).alias("r")))
+    ok = (n > 1) & F.col("varies")[i] & F.col("varies")[j] & (var_i > 0) & (var_j > 0)
+    return cell.select(names[i].alias("col_a"), names[j].alias("col_b"), F.when(ok, cov / F.sqrt(var_i * var_j)).alias("r"))
 
 
 def describe(df: DataFrame, col: str = "demand", quantiles: str = "distributed") -> DataFrame:

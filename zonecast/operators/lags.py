@@ -35,8 +35,8 @@ def add_lag_features(panel: DataFrame, target: str = TARGET) -> DataFrame:
 
 
 def prepare_model_data(panel: DataFrame, target: str = TARGET) -> DataFrame:
-    """Drop rows without a date or target, then add lag features."""
-    return add_lag_features(panel.dropna(subset=["pickup_date", target]), target)
+    """Add lag features, then drop rows without a date or target (E6, B8): a missing target still holds its place."""
+    return add_lag_features(panel.dropna(subset=["pickup_date"]), target).dropna(subset=[target])
 
 
 def model_frame(panel: DataFrame, target: str = TARGET) -> DataFrame:

@@ -188,13 +188,14 @@ def holdout_comparison(split_df: DataFrame, names: list[str], profile: str = "fi
     return M.comparison_row(out)
 
 
-def walk_forward_cv(train_df: DataFrame, names: list[str], profile: str = "cv", n_splits: int = 3) -> DataFrame:
+def walk_forward_cv(train_df: DataFrame, names: list[str], profile: str = "cv", n_splits: int = 3,
+                    overrides: dict | None = None) -> DataFrame:
     """CV result rows (fold, model_name, metrics) on expanding date folds."""
     ff = S.fold_frame(train_df, n_splits)
     parts = []
     for fold in range(1, n_splits + 1):
         f = ff.where(F.col("fold") == fold)
-        for n, m in _fit_all(f.where(F.col("role") == "train"), names, profile):
+        for n, m in _fit_all(f.where(F.col("role") == "train"), names, profile, overrides):
             parts.append(predict(m, f).select(F.lit(n).alias("model_name"), "fold", "role",
                                               F.col(TARGET).cast("double").alias("actual_demand"),
                                               "predicted_demand"))
@@ -229,7 +230,7 @@ def native_importance(model: PipelineModel, features: list[str] = ALL_FEATURES):
 
 def permutation_importance(model: PipelineModel, sample: DataFrame, features: list[str] = ALL_FEATURES,
                            n_repeats: int = 5, seed: int = SEED, label: str = TARGET,
-                           max_rows: int = 5000) -> DataFrame:
+                           max_rows: int | None = None) -> DataFrame:
     """Increase of MAE when one feature is shuffled, mean and population std over repeats.
 
     One scoring job: the sample is joined to itself through ``n_repeats``
@@ -238,11 +239,12 @@ def permutation_importance(model: PipelineModel, sample: DataFrame, features: li
     repeat). Permutation ``r`` pairs the row at position k of a hash order
     with the row at position k of a second, repeat-seeded hash order; the
     positions come from ``row_numbers`` (range-partitioned, no one-task
-    window). The sample is capped at ``max_rows`` rows by a seeded hash order
-    (the source uses 5000 validation rows): sampling is the feature.
+    window). All rows are used unless ``max_rows`` asks for a sample, taken by a
+    seeded hash order.
     """
-    base = (sample.select(*features, F.col(label).cast("double").alias("_y"))
-            .orderBy(F.xxhash64(F.lit(seed), *features, "_y"), *features).limit(int(max_rows)))
+    base = sample.select(*features, F.col(label).cast("double").alias("_y"))
+    if max_rows is not None:
+        base = base.orderBy(F.xxhash64(F.lit(seed), *features, "_y"), *features).limit(int(max_rows))
     base = row_numbers(base, [F.xxhash64(*features, "_y"), *features], "_rid")
     reps = base.select("_rid", *[F.col(c).alias(f"_src_{c}") for c in features],
                        F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1))).alias("repeat"))

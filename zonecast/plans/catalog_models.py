@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from zonecast.operators import metrics as M
 from zonecast.operators import models as ML
-from zonecast.operators import splits as S
 from zonecast.plans.catalog import register, split_rows
 
 LINEAR = ["linear_regression", "ridge_regression"]
@@ -46,8 +45,7 @@ def q_ml_native_importance(spark, sf):
 def q_ml_permutation_importance(spark, sf):
     sp = split_rows(spark, sf)
     model = ML.fit("linear_regression", sp.where(F.col("split") == "train"))
-    sample = S.seeded_sample(sp.where(F.col("split") == "val"), 5000, seed=42)
-    return ML.permutation_importance(model, sample, n_repeats=5)
+    return ML.permutation_importance(model, sp.where(F.col("split") == "val"), n_repeats=5)
 
 
 @register("ml_test_predictions")

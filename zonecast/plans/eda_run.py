@@ -36,31 +36,34 @@ def eda_summary_lines(panel: DataFrame, top_k: int = 5) -> DataFrame:
             .select(F.posexplode(F.concat(header, F.col("tz"))).alias("line_no", "value")))
 
 
-def write_eda_tables(spark: SparkSession, panel: DataFrame, out: str) -> None:
-    """Distribution, one-key means, top zones, correlation, scatter samples, heatmap, summary."""
+def _sampled(df: DataFrame, n: int | None) -> DataFrame:
+    """A seeded sample for a picture; all rows unless a number is asked for."""
     from zonecast.operators.splits import seeded_sample
 
+    return df if n is None else seeded_sample(df, n)
+
+
+def write_eda_tables(spark: SparkSession, panel: DataFrame, out: str, sample_rows: int | None = None) -> None:
+    """Distribution, one-key means, top zones, correlation, scatter samples, heatmap, summary."""
     write_table(EDA.histogram(panel, "demand", 50), f"{out}/demand_histogram")
     write_table(EDA.kde_curve(panel, "demand", 200), f"{out}/demand_kde")
     write_table(EDA.mean_by_keys(panel), f"{out}/mean_demand_by_key")
     write_table(EDA.top_zones(panel, 15), f"{out}/top_zones")
     write_table(EDA.correlation_long(panel, NUMERIC_PANEL_COLUMNS), f"{out}/correlation")
-    write_table(seeded_sample(panel, 5000).select("demand", "avg_trip_distance", "avg_fare_amount",
+    write_table(_sampled(panel, sample_rows).select("demand", "avg_trip_distance", "avg_fare_amount",
                                                   "avg_duration_min", "avg_speed_kph"), f"{out}/scatter_sample")
     write_table(EDA.weekday_hour_pivot(panel), f"{out}/hour_weekday_heatmap")
     write_lines(eda_summary_lines(panel), f"{out}/eda_summary")
 
 
 def write_diagnostic_tables(spark: SparkSession, selection: DataFrame, test_pred: DataFrame,
-                            importance: DataFrame | None, out: str) -> None:
+                            importance: DataFrame | None, out: str, sample_rows: int | None = None) -> None:
     """Model comparison melts, gaps, error by key, residuals, calibration, importances."""
-    from zonecast.operators.splits import seeded_sample
-
     write_table(EDA.melt_metric(selection, "mae"), f"{out}/model_comparison_mae")
     write_table(EDA.melt_metric(selection, "rmse"), f"{out}/model_comparison_rmse")
     write_table(selection.select("model_name", (F.col("val_mae") - F.col("train_mae")).alias("mae_gap")),
                 f"{out}/train_val_gap")
-    write_table(seeded_sample(test_pred, 8000).select("actual_demand", "predicted_demand", "error"),
+    write_table(_sampled(test_pred, sample_rows).select("actual_demand", "predicted_demand", "error"),
                 f"{out}/actual_vs_predicted_sample")
     write_table(EDA.histogram(test_pred, "error", 50), f"{out}/residual_histogram")
     write_table(EDA.mae_by(test_pred, "hour"), f"{out}/error_by_hour")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import argparse
 import uuid
 
+from zonecast.operators.models import CANDIDATES
 from zonecast.session import local_session
 from zonecast.sources.sinks import shared_dir
 from zonecast.sources.trips import raw_trips
@@ -18,7 +19,7 @@ def main(argv=None) -> None:
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
     ap.add_argument("--out", default=None)
-    ap.add_argument("--models", default="linear_regression,ridge_regression")
+    ap.add_argument("--models", default=",".join(CANDIDATES), help="candidates to compare (default: all)")
     ap.add_argument("--sample", type=int, default=0, help="price a seeded sample of n test rows (0 = all)")
     a = ap.parse_args(argv)
     from zonecast.plans.preprocess import load_and_preprocess

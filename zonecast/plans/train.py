@@ -15,7 +15,7 @@ from zonecast.operators import metrics as M
 from zonecast.operators import models as ML
 from zonecast.operators.common import materialize, with_scalars
 from zonecast.operators.lags import model_frame
-from zonecast.operators.splits import seeded_sample, time_split
+from zonecast.operators.splits import time_split
 from zonecast.sources.sinks import save_model, write_document, write_table
 
 
@@ -61,8 +61,7 @@ def train_models(spark: SparkSession, panel: DataFrame, output_dir: str, names:
 
     imp = ML.native_importance(model)
     if imp is None:
-        sample = seeded_sample(split_df.where(F.col("split") == "val"), 5000)
-        imp = ML.permutation_importance(model, sample)
+        imp = ML.permutation_importance(model, split_df.where(F.col("split") == "val"))
     write_table(imp, f"{output_dir}/feature_importance")
 
     row = comparison.where(F.col("model_name") == best_name).first().asDict()

@@ -15,6 +15,9 @@ from pyspark.errors import AnalysisException
 
 from zonecast.config import CRITICAL_COLUMNS, NUMERIC_COLUMNS, RAW_COLUMNS
 
+# fixed values: texts that stand for a missing value in a CSV field
+MISSING_TEXTS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+                 "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 TIMESTAMP_COLUMNS = ["tpep_pickup_datetime", "tpep_dropoff_datetime"]
 
 # All raw CSV columns are read as text; typing happens once, in parse_raw_trips.
@@ -31,8 +34,15 @@ def read_raw_trips_csv(spark: SparkSession, path: str) -> DataFrame:
             .csv(path).select(*[F.col(c).cast("string").alias(c) for c in RAW_COLUMNS]))
 
 
+def _number(c: str) -> Column:
+    """A column as double; what is no number, and NaN, is NULL."""
+    x = F.expr(f"try_cast(`{c}` AS DOUBLE)")
+    return F.when(~F.isnan(x), x)
+
+
 def parse_raw_trips(text: DataFrame) -> DataFrame:
-    """Type a raw text frame: bad timestamps and bad numbers become NULL."""
+    """Type a raw text frame: missing-value texts, bad timestamps and bad numbers become NULL."""
+    text = text.select(*[F.when(~F.col(c).isin(MISSING_TEXTS), F.col(c)).alias(c) for c in RAW_COLUMNS])
     ts = {c: F.expr(f"try_cast(`{c}` AS TIMESTAMP_NTZ)") for c in TIMESTAMP_COLUMNS}
     present = F.lit(True)
     for c in CRITICAL_COLUMNS:
@@ -42,7 +52,7 @@ def parse_raw_trips(text: DataFrame) -> DataFrame:
         if c in ts:
             cols.append(ts[c].alias(c))
         elif c in NUMERIC_COLUMNS:
-            cols.append(F.expr(f"try_cast(`{c}` AS DOUBLE)").alias(c))
+            cols.append(_number(c).alias(c))
         else:
             cols.append(F.col(c))
     return text.select(*cols, present.alias("_critical_present"))
@@ -53,14 +63,17 @@ def typed_raw_trips(df: DataFrame) -> DataFrame:
     cols = []
     for c in RAW_COLUMNS:
         if c in TIMESTAMP_COLUMNS:
-            cols.append(F.col(c).cast("timestamp_ntz").alias(c))
+            cols.append(F.expr(f"try_cast(`{c}` AS TIMESTAMP_NTZ)").alias(c))
         elif c in NUMERIC_COLUMNS:
-            cols.append(F.col(c).cast("double").alias(c))
+            cols.append(_number(c).alias(c))
         else:
             cols.append(F.col(c).cast("string").alias(c))
     present = F.lit(True)
     for c in CRITICAL_COLUMNS:
-        present = present & F.col(c).isNotNull()
+        there = F.col(c).isNotNull()
+        if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)):
+            there = there & ~F.isnan(c)
+        present = present & there
     return df.select(*cols, present.alias("_critical_present"))
 
 
