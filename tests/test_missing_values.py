@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from zonecast.config import RAW_COLUMNS
 from zonecast.functions.pricing import reference_price
-from zonecast.operators.clean import cleaning_summary
+from zonecast.operators.clean import clean_trips, cleaning_summary
 from zonecast.operators.eda import correlation_long
 from zonecast.operators.lags import prepare_model_data
 from zonecast.sources.trips import parse_raw_trips, typed_raw_trips
@@ -61,3 +61,21 @@ def test_correlation_deletes_pairwise(spark):
     for r in correlation_long(df).collect():
         w = want.loc[r.col_a, r.col_b]
         assert (r.r is None and (np.isnan(w) or "d" in (r.col_a, r.col_b))) or abs(r.r - w) < 1e-6
+
+
+def test_bounds_reach_a_typed_parquet_scan(spark, tmp_path):
+    text = text_frame(spark, {}, {"trip_distance": "900"})
+    numbers = [c for c in RAW_COLUMNS if c not in ("tpep_pickup_datetime", "tpep_dropoff_datetime", "store_and_fwd_flag")]
+    typed = text.withColumns({c: F.col(c).cast("double") for c in numbers}).withColumns(
+        {c: F.col(c).cast("timestamp_ntz") for c in ("tpep_pickup_datetime", "tpep_dropoff_datetime")})
+    typed.write.parquet(str(tmp_path / "t"))
+    old = spark.conf.get("spark.sql.maxMetadataStringLength")
+    try:
+        spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+        clean = clean_trips(typed_raw_trips(spark.read.parquet(str(tmp_path / "t"))))
+        plan = clean._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.maxMetadataStringLength", old)
+    pushed = plan[plan.index("PushedFilters"):]
+    assert "GreaterThanOrEqual(trip_distance" in pushed and "LessThanOrEqual(trip_distance" in pushed
+    assert "GreaterThanOrEqual(pickup_latitude" in pushed and clean.count() == 1

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from zonecast.config import (
     CRITICAL_COLUMNS, DISTANCE_RANGE, DURATION_MIN_RANGE, FARE_RANGE, LAT_MAX, LAT_MIN,
@@ -15,10 +16,13 @@ from zonecast.functions.text import normalise_flag
 from zonecast.functions.trip import duration_minutes, per_mile, speed_per_hour
 
 
-def _all_not_null(cols) -> Column:
+def _all_not_null(raw: DataFrame, cols) -> Column:
+    """No NULL, and no NaN, in any of the columns."""
     cond = F.lit(True)
     for c in cols:
         cond = cond & F.col(c).isNotNull()
+        if isinstance(raw.schema[c].dataType, T.DoubleType):
+            cond = cond & ~F.isnan(c)
     return cond
 
 
@@ -28,8 +32,8 @@ def _in_box(lat: str, lon: str) -> Column:
 
 def cleaning_stages(raw: DataFrame) -> dict[str, Column]:
     """Cumulative stage predicates over the raw trip frame, in pipeline order."""
-    present = F.col("_critical_present") if "_critical_present" in raw.columns else _all_not_null(CRITICAL_COLUMNS)
-    numeric_ok = _all_not_null(NUMERIC_COLUMNS) & _all_not_null(CRITICAL_COLUMNS)
+    present = F.col("_critical_present") if "_critical_present" in raw.columns else _all_not_null(raw, CRITICAL_COLUMNS)
+    numeric_ok = _all_not_null(raw, NUMERIC_COLUMNS) & _all_not_null(raw, CRITICAL_COLUMNS)
     minutes = duration_minutes(F.col("tpep_pickup_datetime"), F.col("tpep_dropoff_datetime"))
     speed = speed_per_hour(F.col("trip_distance"), minutes)
     valid = (

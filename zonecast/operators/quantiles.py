@@ -68,7 +68,9 @@ def _order_statistics(df: DataFrame, group_cols: list[str], value_col: str, prob
     # else the join reuses the window's (group, partition) hash partitioning,
     # whose keys each hold one range slice.
     wl = Window.partitionBy(*g, "_pid").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = ranged.withColumn("_cum", F.sum("_c").over(wl))
+    # only the slices that hold a target rank are shuffled, sorted and numbered
+    wanted = located.select(*g, "_pid").distinct()
+    rows = ranged.join(wanted, on=g + ["_pid"], how="left_semi").withColumn("_cum", F.sum("_c").over(wl))
     hits = (rows.join(located, on=g + ["_pid"])
             .where((F.col("r") >= F.col("_before") + F.col("_cum") - F.col("_c"))
                    & (F.col("r") < F.col("_before") + F.col("_cum")))

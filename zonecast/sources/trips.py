@@ -18,6 +18,9 @@ from zonecast.config import CRITICAL_COLUMNS, NUMERIC_COLUMNS, RAW_COLUMNS
 # fixed values: texts that stand for a missing value in a CSV field
 MISSING_TEXTS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
                  "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+# columns that cleaning bounds from both sides
+BOUNDED_COLUMNS = ["trip_distance", "fare_amount", "total_amount", "passenger_count", "pickup_latitude", "pickup_longitude",
+                   "dropoff_latitude", "dropoff_longitude"]
 TIMESTAMP_COLUMNS = ["tpep_pickup_datetime", "tpep_dropoff_datetime"]
 
 # All raw CSV columns are read as text; typing happens once, in parse_raw_trips.
@@ -64,6 +67,8 @@ def typed_raw_trips(df: DataFrame) -> DataFrame:
     for c in RAW_COLUMNS:
         if c in TIMESTAMP_COLUMNS:
             cols.append(F.expr(f"try_cast(`{c}` AS TIMESTAMP_NTZ)").alias(c))
+        elif c in BOUNDED_COLUMNS and isinstance(df.schema[c].dataType, T.DoubleType):
+            cols.append(F.col(c))  # as it is, so that cleaning's bounds reach the scan; NaN is outside every bound
         elif c in NUMERIC_COLUMNS:
             cols.append(_number(c).alias(c))
         else:
