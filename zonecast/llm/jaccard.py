@@ -44,8 +44,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from zonecast.llm.batches import pieces, stored, unused, utf8, written
 from zonecast.llm.graph import connected_components
 
-FREQUENT = 1_000_000
-KNOWN_CODES = 96
+FREQUENT = 3_000_000
+KNOWN_CODES = 1024
 BLOCK_SETS = 512
 BLOCK_SHINGLES = 2_000_000
 REMEMBERED = 400_000
@@ -185,7 +185,7 @@ def _prefixes(docs: DataFrame, words: int, num: int, den: int, frequent) -> Data
                     common, place = h[late], ranks[place[late]]
                     order = np.argsort(place)[: size - len(prefix)]
                     prefix = np.concatenate([prefix, common[order]])
-                    codes = np.concatenate([codes, place[order].astype(np.uint64) + np.uint64(1 << 31)])
+                    codes = np.concatenate([codes, (place[order].astype(np.int64) + (1 << 31) + FREQUENT).astype(np.uint64)])
                 group = xxhash.xxh3_64_intdigest(prefix.tobytes(), seed=n)
                 at.append(k)
                 found.append((n, s, group, codes[:KNOWN_CODES].astype("<u4").tobytes()))
@@ -417,7 +417,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     often = first.where(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("met").alias("met")).orderBy(F.desc("met"), "shingle").limit(FREQUENT).toArrow()
     keys = often.column("shingle").to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    frequent = spark.sparkContext.broadcast((keys[order], -order))  # the rarer comes first; bounded by FREQUENT
+    frequent = spark.sparkContext.broadcast((keys[order], -order.astype(np.int32)))  # the rarer comes first; bounded by FREQUENT
 
     second = stored(_prefixes(docs.select("row", "text"), words, num, den, frequent))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
