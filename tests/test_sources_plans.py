@@ -117,3 +117,15 @@ def test_checkpoint_dir_rule_on_a_cluster_master():
     shared = Session("yarn", "hdfs://shared/ckpt")
     assert ensure_checkpoint_dir(shared) == "hdfs://shared/ckpt"
     assert shared.conf.set_calls == [] and shared.sparkContext.ckpt == "hdfs://shared/ckpt"
+
+
+def test_csv_pipeline_reads_back_what_it_wrote(spark):
+    from zonecast.plans.preprocess import load_and_preprocess
+    from zonecast.sources.trips import raw_trips
+
+    base = shared_dir(spark, "zonecast-test", uuid.uuid4().hex)
+    _, panel, summary = load_and_preprocess(spark, raw_trips(spark, SF_SMOKE), f"{base}/csv", fmt="csv")
+    _, again, other = load_and_preprocess(spark, raw_trips(spark, SF_SMOKE), f"{base}/parquet")
+    assert summary.first().asDict() == other.first().asDict()
+    key = ["pickup_date", "hour", "pickup_zone", "demand", "avg_fare_amount", "vendor_diversity"]
+    assert panel.select(key).exceptAll(again.select(key)).count() == 0 and panel.count() == again.count()

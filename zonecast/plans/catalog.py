@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zonecast.config import ALL_FEATURES, PANEL_COLUMNS, PANEL_FLOAT_COLUMNS, PANEL_TINYINT_COLUMNS
+from zonecast.config import (
+    ALL_FEATURES, CRITICAL_COLUMNS, NUMERIC_COLUMNS, PANEL_COLUMNS, PANEL_FLOAT_COLUMNS, PANEL_TINYINT_COLUMNS,
+)
 from zonecast.operators import clean as C
 from zonecast.operators import lags as L
 from zonecast.operators import metrics as M
@@ -108,14 +110,8 @@ def test_predictions(spark, sf):
 # --------------------------------------------------------------------------
 # A / B / C: sources, cleaning, features
 # --------------------------------------------------------------------------
-_CRIT = " AND ".join(f"{c} IS NOT NULL" for c in
-                     ["tpep_pickup_datetime", "tpep_dropoff_datetime", "trip_distance", "fare_amount",
-                      "total_amount", "pickup_longitude", "pickup_latitude", "dropoff_longitude",
-                      "dropoff_latitude", "passenger_count"])
-_NUM = " AND ".join(f"{c} IS NOT NULL" for c in
-                    ["VendorID", "passenger_count", "trip_distance", "pickup_longitude", "pickup_latitude",
-                     "dropoff_longitude", "dropoff_latitude", "payment_type", "fare_amount", "extra",
-                     "mta_tax", "tip_amount", "tolls_amount", "improvement_surcharge", "total_amount"])
+_CRIT = " AND ".join(f"{c} IS NOT NULL" for c in CRITICAL_COLUMNS)
+_NUM = " AND ".join(f"{c} IS NOT NULL" for c in NUMERIC_COLUMNS)
 
 
 @register("cleaning_summary")

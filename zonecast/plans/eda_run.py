@@ -21,7 +21,9 @@ NUMERIC_PANEL_COLUMNS = [c for c in PANEL_COLUMNS if c not in ("pickup_date", "p
 def eda_summary_lines(panel: DataFrame, top_k: int = 5) -> DataFrame:
     """EDA summary report as (line_no, value) rows: size, demand statistics, top zones."""
     d = EDA.describe(panel, "demand")
-    top = EDA.top_zones(panel, top_k).agg(F.collect_list(F.format_string("%s  %d", "pickup_zone", "demand")).alias("tz"))
+    # the array itself is sorted: collect_list keeps no order of its own
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("demand")).alias("k"), "pickup_zone", "demand")))
+    top = EDA.top_zones(panel, top_k).agg(F.transform(ranked, lambda r: F.format_string("%s  %d", r.pickup_zone, r.demand)).alias("tz"))
     n = panel.agg(F.count(F.lit(1)).alias("rows"))
     header = F.array(
         F.lit("EDA SUMMARY"), F.lit("=" * 50),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from zonecast.operators.clean import clean_trips, cleaning_stages
 from zonecast.operators.panel import build_panel
-from zonecast.sources.sinks import write_document, write_table
+from zonecast.sources.sinks import read_table, write_document, write_table
 
 
 def load_and_preprocess(spark: SparkSession, raw: DataFrame, output_dir: str, fmt: str = "parquet"):
@@ -23,13 +23,14 @@ def load_and_preprocess(spark: SparkSession, raw: DataFrame, output_dir: str, fm
                            F.count_if(st["after_dropna"]).alias("after_dropna"),
                            F.count_if(st["after_numeric_coercion"]).alias("after_numeric_coercion"),
                            F.count_if(st["clean_rows"]).alias("clean_rows"))
-    write_table(clean_trips(observed), f"{output_dir}/clean_trips", ["pickup_date"], fmt)
+    clean = clean_trips(observed)
+    write_table(clean, f"{output_dir}/clean_trips", ["pickup_date"], fmt)
     counters = dict(obs.get)
     counters["removed_rows"] = counters["raw_rows"] - counters["clean_rows"]
-    trips = spark.read.format(fmt).load(f"{output_dir}/clean_trips")
+    trips = read_table(spark, f"{output_dir}/clean_trips", clean.schema, fmt)
     panel = build_panel(trips)
     write_table(panel, f"{output_dir}/demand_panel", ["pickup_date"], fmt)
-    panel_rows = spark.read.format(fmt).load(f"{output_dir}/demand_panel").count()
+    panel_rows = read_table(spark, f"{output_dir}/demand_panel", panel.schema, fmt).count()
     summary = spark.createDataFrame([{
         **{k: int(v) for k, v in counters.items()},
         "clean_trip_columns": trips.columns, "demand_panel_rows": int(panel_rows),

@@ -21,6 +21,12 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
     w.save(path)
 
 
+def read_table(spark: SparkSession, path: str, schema, fmt: str = "parquet") -> DataFrame:
+    """Read back what ``write_table`` wrote, with the schema that it was written with."""
+    r = spark.read.format(fmt).schema(schema)
+    return (r.option("header", True) if fmt == "csv" else r).load(path)
+
+
 def write_document(row_df: DataFrame, path: str) -> None:
     """JSON sink of a one-row (possibly nested) DataFrame."""
     row_df.coalesce(1).write.mode("overwrite").json(path)
