@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonecast.config import ALL_FEATURES, PEAK_HOURS
+from zonecast.operators.clean import select_zone_hour
 from zonecast.operators.common import with_scalars
 
 # columns whose subset median is truncated to int (day-level calendar)
@@ -103,7 +104,7 @@ def zone_history(prepared: DataFrame, n: int = 10, zone: str | None = None) -> D
     """
     from pyspark.sql import Window
 
-    df = prepared if zone is None else prepared.where(F.col("pickup_zone") == F.lit(zone))
+    df = select_zone_hour(prepared, zone)
     w = Window.partitionBy("pickup_zone").orderBy("hour", "pickup_date")
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 

@@ -7,6 +7,7 @@ source pipeline writes to its CSV sinks.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zonecast.config import (
-    ALL_FEATURES, CRITICAL_COLUMNS, NUMERIC_COLUMNS, PANEL_COLUMNS, PANEL_FLOAT_COLUMNS, PANEL_TINYINT_COLUMNS,
+    ALL_FEATURES, CRITICAL_COLUMNS, NUMERIC_COLUMNS, PANEL_COLUMNS, PANEL_FLOAT_COLUMNS, PANEL_TINYINT_COLUMNS, RAW_COLUMNS,
 )
 from zonecast.operators import clean as C
 from zonecast.operators import lags as L
@@ -23,7 +24,8 @@ from zonecast.operators import panel as PN
 from zonecast.operators import splits as S
 from zonecast.operators.forecast import rule_forecast
 from zonecast.plans import oracle as O
-from zonecast.sources.trips import raw_trips
+from zonecast.sources.sinks import shared_dir, write_table
+from zonecast.sources.trips import parse_raw_trips, raw_trips, read_raw_trips_csv
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -128,6 +130,27 @@ SELECT CAST(count(*) AS BIGINT) AS raw_rows,
 FROM trips"""
 
 
+# fixed values of the planted text faults: a missing distance, a bad fare, a NaN tip
+_NO_DISTANCE, _BAD_FARE, _NAN_TIP = "trip_distance > 9", "(passenger_count = 3 AND VendorID = 2)", "passenger_count = 5"
+
+
+@register("cleaning_summary_csv", O.with_ctes("clean") + f"""
+SELECT CAST(count(*) AS BIGINT) AS raw_rows,
+  CAST(count_if({_CRIT} AND NOT {_NO_DISTANCE}) AS BIGINT) AS after_dropna,
+  CAST(count_if({_CRIT} AND {_NUM} AND NOT ({_NO_DISTANCE} OR {_BAD_FARE} OR {_NAN_TIP})) AS BIGINT) AS after_numeric_coercion,
+  CAST((SELECT count(*) FROM clean WHERE NOT ({_NO_DISTANCE} OR {_BAD_FARE} OR {_NAN_TIP})) AS BIGINT) AS clean_rows,
+  CAST(count(*) - (SELECT count(*) FROM clean WHERE NOT ({_NO_DISTANCE} OR {_BAD_FARE} OR {_NAN_TIP})) AS BIGINT) AS removed_rows
+FROM trips""")
+def q_cleaning_summary_csv(spark, sf):
+    """The trips written as CSV text with planted faults, read back by header and typed."""
+    raw = trips(spark, sf)
+    text = {"trip_distance": F.when(F.expr(_NO_DISTANCE), "NA"), "fare_amount": F.when(F.expr(_BAD_FARE), "abc"),
+            "tip_amount": F.when(F.expr(_NAN_TIP), "NaN")}
+    path = shared_dir(spark, "zonecast-csv", uuid.uuid4().hex)
+    write_table(raw.select(*[F.coalesce(text.get(c, F.lit(None)), F.col(c).cast("string")).alias(c) for c in RAW_COLUMNS]), path, fmt="csv")
+    return C.cleaning_summary(parse_raw_trips(read_raw_trips_csv(spark, path)))
+
+
 @register("clean_trips", O.with_ctes("clean") + f"""
 SELECT CAST(VendorID AS DOUBLE) AS VendorID, {sql_ts('tpep_pickup_datetime')}, {sql_ts('tpep_dropoff_datetime')},
   passenger_count, trip_distance, pickup_longitude, pickup_latitude, dropoff_longitude, dropoff_latitude,
