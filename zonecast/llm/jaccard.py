@@ -367,7 +367,7 @@ def _forests(rows: DataFrame, payload: str, unit: str, test, num: int, den: int)
 
 def _block_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
     """The members (component, member, n, ...) once for each block pair that they take part in."""
-    size_class = F.floor(F.log("n") / math.log(den / num)).cast("int") if num < den else F.col("n").cast("int")
+    size_class = F.floor(F.log("n") / math.log(den / num) + 1e-9).cast("int") if num < den else F.col("n").cast("int")
     members = members.withColumn("c", size_class)
     whole = members.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w")).where("m > 1")
     whole = whole.withColumn("fits", (F.col("m") <= BLOCK_SETS) & (F.col("w") <= BLOCK_SHINGLES))
