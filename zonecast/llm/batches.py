@@ -18,7 +18,7 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about so many bytes of one column (a longer text stands alone)."""
     for batch in batches:
         n, average = batch.num_rows, batch.column(column).nbytes / max(1, batch.num_rows)

@@ -48,8 +48,8 @@ FREQUENT = 3_000_000
 KNOWN_CODES = 1024
 BLOCK_SETS = 512
 BLOCK_SHINGLES = 2_000_000
-REMEMBERED = 400_000
-COUNTED = 4_000_000
+REMEMBERED = 150_000
+COUNTED = 2_000_000
 WANTED_BITS = 1 << 24
 
 
@@ -147,8 +147,11 @@ def _classes(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _prefixes(docs: DataFrame, words: int, num: int, den: int, frequent) -> DataFrame:
-    """Rows of classes (row, n, set_id, group, codes) and of postings (n, group, shingle, short).
+def _prefixes(docs: DataFrame, words: int, num: int, den: int, frequent, classes: bool) -> DataFrame:
+    """Rows of classes (row, n, set_id, group, codes), or of postings (n, group, shingle, short).
+
+    The texts are read again for each: postings are many and are shuffled once, so a table of
+    them would only take disk.
 
     ``codes`` are the places of the prefix's first KNOWN_CODES in the global order, in 32 bits:
     the filter needs no more than a known stretch of a set, and a row stays small. ``short`` marks the part
@@ -189,15 +192,17 @@ def _prefixes(docs: DataFrame, words: int, num: int, den: int, frequent) -> Data
                 group = xxhash.xxh3_64_intdigest(prefix.tobytes(), seed=n)
                 at.append(k)
                 found.append((n, s, group, codes[:KNOWN_CODES].astype("<u4").tobytes()))
-                if group not in groups:
+                if not classes and group not in groups:
                     groups.add(group)
                     posted.append((group, n, prefix, n - _least_overlap(2 * n, num, num + den) + 1))
             if not found:
                 continue
-            g = np.array([x[2] for x in found], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([
-                batch.column("row").take(pa.array(at, pa.int32())), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary()),
-                pa.array(g), pa.array([x[3] for x in found], pa.binary()), *[pa.nulls(len(found), t) for t in kinds[5:]]], schema.names)
+            if classes:
+                g = np.array([x[2] for x in found], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("row").take(pa.array(at, pa.int32())), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary()),
+                    pa.array(g), pa.array([x[3] for x in found], pa.binary()), *[pa.nulls(len(found), t) for t in kinds[5:]]], schema.names)
+                continue
             sizes = [len(x[2]) for x in posted]
             each = np.repeat(np.array([x[0] for x in posted], np.uint64), sizes).view(np.int64)
             yield pa.RecordBatch.from_arrays([
@@ -419,15 +424,15 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     order = np.argsort(keys)
     frequent = spark.sparkContext.broadcast((keys[order], -order.astype(np.int32)))  # the rarer comes first; bounded by FREQUENT
 
-    second = stored(_prefixes(docs.select("row", "text"), words, num, den, frequent))
+    texts = docs.select("row", "text")
+    classes = stored(_prefixes(texts, words, num, den, frequent, True).drop("shingle", "short"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    postings = second.where(F.col("shingle").isNotNull()).select("shingle", "group", "n", "short").repartition(parts, "shingle").dropDuplicates(["shingle", "group"])
+    postings = _prefixes(texts, words, num, den, frequent, False).select("shingle", "group", "n", "short").repartition(parts, "shingle").dropDuplicates(["shingle", "group"])
     lists = postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("m"), F.min("group").alias("a"), F.max("group").alias("b"), F.max("short").alias("s"),
                                             F.bit_xor(F.xxhash64("group")).alias("x")).where("a < b AND s")
     # posting lists of the same groups make the same pairs: one of them stands for all
     common = lists.groupBy("m", "a", "b", "x").agg(F.min("shingle").alias("shingle")).select("shingle")
     met = postings.join(common, "shingle", "left_semi").select(F.col("shingle").alias("component"), F.col("group").alias("member"), "n")
-    classes = second.where(F.col("shingle").isNull())
     codes = classes.groupBy(F.col("group").alias("member")).agg(F.min("codes").alias("codes"))
     pairs = _block_pairs(written(met), num, den).join(codes, "member").withColumn("copies", F.lit(1))
     edges = _forests(pairs, "codes", "<u4", may_link, num, den).select(F.col("member").alias("a"), F.col("to").alias("b"))
