@@ -69,7 +69,7 @@ class ByteBpe:
 class Encoder:
     """Whole texts to ids. What stands between single spaces is encoded once and remembered, up to a bound."""
 
-    MOST_WORDS = 400_000
+    MOST_WORDS = 200_000
     LONG_WORD = 64
 
     def __init__(self, bpe: ByteBpe):
