@@ -30,3 +30,27 @@ def test_each_known_text_names_its_license(docs_of):
     known = L.known_texts()
     got = {r.doc_id: r.text_license for r in L.scan_licenses(docs_of([t for _, t in known])).collect()}
     assert got == {i: name for i, (name, _) in enumerate(known)}
+
+
+def test_whole_long_texts(docs_of):
+    whole = L.whole_texts()
+    assert {i for i, _ in whole} == {"Apache-2.0", "MPL-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "CC0-1.0", "CC-BY-SA-4.0"}
+    # as they are, with other line ends, in a comment, and with a holder of their own
+    texts = [f(t) for _, t in whole for f in (str, lambda t: " ".join(t.replace("Copyright [yyyy] [name of copyright owner]", "").split()) if "Copyright (C)" not in t else t,
+                                              lambda t: "/*\n" + "\n".join(f" * {x}" for x in t.split("\n")) + "\n*/", lambda t: "Copyright The Go Authors\n\n" + t)]
+    got = {r.doc_id: r.text_license for r in L.scan_licenses(docs_of(texts)).collect()}
+    assert got == {i: whole[i // 4][0] for i in range(len(texts))}
+    apache = next(t for i, t in whole if i == "Apache-2.0")
+    item = "(c) You must retain, in the Source form of any Derivative Works"
+    assert item in apache and scan(docs_of([apache.replace(item, "(c) You need not retain, in the Source form of any Derivative Works")]))[0][1] is None
+
+
+def test_lines_that_name_a_holder(docs_of):
+    holders = ["Copyright Node.js contributors. All rights reserved.", "Copyright The Go Authors", "// Copyright: Jane Doe <jane@example.org>", "(c) Jane Doe", "Copyright (c) 2020 A", "© B",
+               "Copyright 2009 The Go Authors. All rights reserved.", "Copyright [name of copyright owner]"]
+    others = ["Copyright notice", "copyright and related rights", "COPYRIGHT HOLDERS AND CONTRIBUTORS", "copyright the software, and", "Copyright.", "copyright", "Copyright  law is"]
+    texts = [f"{x}\n\n{MIT}" for x in holders + others] + [MIT.replace(" copyright", "\ncopyright").replace(" COPYRIGHT", "\nCOPYRIGHT")]
+    got = {r.doc_id: r.text_license for r in L.scan_licenses(docs_of(texts)).collect()}
+    assert got == {i: "MIT" if i < len(holders) or i == len(texts) - 1 else None for i in range(len(texts))}
+    kept = "(b) one\n(c) two\n(c) 2020 Someone"
+    assert L.scan_licenses(docs_of([kept, "(b) one\n(c) two", "(b) one"])).select("digest").distinct().count() == 2

@@ -12,17 +12,32 @@ Defined results for odd input: a null or empty text, or one of punctuation alone
 digest of the empty string and no licence (an empty form is never known); rows with one id
 (null included) share their notices, and each keeps its own row and whole-text licence; an
 empty table gives an empty result; other columns aren't read. Only ASCII letters change case.
+
+A line '(c) name' without a year names a holder, unless the text also has a '(b)': then it is
+an item of a list. The entire texts of AGPL-3.0, CC-BY-4.0, CC-BY-NC-4.0 and CC-BY-ND-4.0 aren't
+known, only their names and notices.
 """
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # ---------------------------------------------------------------- fixed values: spellings
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# a line that begins, after marks, like this says who holds the rights, not what they are
+# a line that begins, after marks, like this says who holds the rights, not what they are: as
+# the SQL has it, whose expressions can't look ahead, and as the operator has it
 COPYRIGHT = r"(^|\n)[^a-z0-9\n]*(copyright[^a-z0-9\n]*(c\)|[0-9]|year|yyyy|by )|\(c\)|©|all rights reserved)[^\n]*"
+_NO_HOLDER = (r"(?:notices?|holders?|owners?|ownership|laws?|licen[cs]es?|licensed|interests?|disclaimers?|statements?|treaty|treaties|doctrines?|permissions?|protections?|"
+              r"infringements?|claims?|rights?|terms?|status|information|marks?|materials?|works?|patents?|trademarks?|and|or|on|of|in|for|to|is|are|if|as|that|this|these|those|under|"
+              r"with|within|which|it|its|your|any|all|shall|must|may|can|including|resulting|the (?:software|program|library|work|code|document|material|above|holder|owner)s?)(?![a-z])")
+_HOLDER = (r"(^|\n)[^a-z0-9\n]*(?:copyright[^a-z0-9\n]*(?:c\)|[0-9]|year|yyyy|by )|copyright[ \t:]++[^a-z0-9\n\s,.;)]*+(?!" + _NO_HOLDER + r")[^\s,.;)]"
+           r"|\(c\){}|©|all rights reserved)[^\n]*")
+HOLDER = _HOLDER.format("")
+# where the text also has a (b), a (c) is a list's mark, unless a year or the word follows
+HOLDER_BESIDE_LISTS = _HOLDER.format(r"[^a-z0-9\n]*(?:(?:19|20)[0-9]{2}(?![0-9])|copyright)")
 MARKS = r"[\x00-\x09\x0b-\x2f\x3a-\x60\x7b-\xbf\x{2010}-\x{201f}\x{2026}]+"
 EQUIVALENT = (
     ("licence", "license"), ("sub license", "sublicense"), ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("analyse", "analyze"),
@@ -94,12 +109,28 @@ def known_texts() -> list[tuple[str, str]]:
     return out + [(i, f"SPDX-License-Identifier: {i}") for i, _ in _NAMES]
 
 
+_FILES = ("Apache-2.0", "MPL-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "CC0-1.0", "CC-BY-SA-4.0")
+_END = "END OF TERMS AND CONDITIONS"
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the long licences kept as files: entire, and up to the end of the terms where more follows."""
+    out = []
+    for i in _FILES:
+        text = resources.files(__package__).joinpath("license_texts", f"{i}.txt").read_text("utf-8")
+        out.append((i, text))
+        if _END in text:
+            terms = text[:text.index(_END)]
+            out += [(i, terms), (i, terms + _END)]
+    return out
+
+
 # ---------------------------------------------------------------- canonical form
 
 def canonical_lines(text: Column) -> Column:
     """The canonical form, line ends kept."""
     out = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    out = F.regexp_replace(out, COPYRIGHT, "$1")
+    out = F.when(F.contains(out, F.lit("(b)")), F.regexp_replace(out, HOLDER_BESIDE_LISTS, "$1")).otherwise(F.regexp_replace(out, HOLDER, "$1"))
     out = F.regexp_replace(out, MARKS, " ")
     for a, b in EQUIVALENT:
         out = F.replace(out, F.lit(a), F.lit(b))
@@ -112,7 +143,7 @@ def one_line(lines: Column) -> Column:
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """(digest, license) of the known texts; of licences with one canonical text the first by name."""
-    rows = spark.createDataFrame(known if known is not None else known_texts(), "license string, text string")
+    rows = spark.createDataFrame(known if known is not None else known_texts() + whole_texts(), "license string, text string")
     form = one_line(canonical_lines(F.col("text")))
     return rows.select("license", form.alias("form")).where("form != ''").groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license").alias("license"))
 
