@@ -97,6 +97,16 @@ def test_filter_on_prefixes_lets_every_link_pass():
         assert J.may_link(codes, np.array([len(x), len(y)]), num, den)[0, 1]
 
 
+def test_codes_that_collide_lose_no_link():
+    x, y = [1, 1, *range(2, 20)], [1, 1, *range(2, 19), 20]  # 19 of 21 shingles shared, two of them with one code
+    others = [list(range(100 * k, 100 * k + 20)) for k in range(1, 5)]
+    for codes in ([x, y], [x, y, *others]):
+        links = J.may_link([np.array(c, "<u4") for c in codes], np.full(len(codes), 20), 9, 10)
+        assert links[0, 1] and links[1, 0] and links.sum() == 2
+    ends = [np.array([1, 2, 3, 9], "<u4"), np.array([1, 2, 3, 10], "<u4")]  # one difference at the end of a list isn't counted
+    assert J.may_link(ends, np.array([4, 4]), 1, 1)[0, 1]
+
+
 def test_connected_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)] + [(None, 3), (5, 5)]

@@ -292,13 +292,17 @@ def linked(sets: list[np.ndarray], sizes: np.ndarray, num: int, den: int) -> np.
 def may_link(codes: list[np.ndarray], sizes: np.ndarray, num: int, den: int) -> np.ndarray:
     """Which groups may hold sets that reach the similarity.
 
-    Up to the end of the shorter list of codes (in the global order) both sets are known, so codes
-    there that only one of them has are differences. Equal codes of different shingles count
-    as shared, which can only let a pair pass.
+    Below the last code of the list that ends first (in the global order) both sets are known, so
+    distinct codes there that only one of them has are differences. At that code itself a list may
+    be cut off. Equal codes of different shingles count once, which can only let a pair pass.
     """
+    codes = [np.unique(c) for c in codes]
     last = np.array([c[-1] for c in codes])
-    upto = np.array([np.searchsorted(c, last, side="right") for c in codes])  # of each, how many up to each last
-    differ = upto + upto.T - 2 * shared_counts(codes)
+    below = np.array([np.searchsorted(c, last) for c in codes])  # of each, how many below each last
+    has = np.array([np.searchsorted(c, last, side="right") for c in codes]) - below
+    at_end = np.where(last[None, :] <= last[:, None], has, has.T)  # 1 if both have the code where the first list ends
+    below = np.minimum(below, below.diagonal()[:, None])
+    differ = below + below.T - 2 * (shared_counts(codes) - at_end)
     both = sizes[:, None] + sizes[None, :]
     out = (differ <= both - 2 * -(-both * num // (num + den))) & (np.minimum.outer(sizes, sizes) * den >= num * np.maximum.outer(sizes, sizes))
     np.fill_diagonal(out, False)
