@@ -34,3 +34,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         raise RuntimeError("components did not settle")
     centres = e.select(F.col("v").alias("node")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(centres.select("node", F.col("node").alias("label")))
+
+
+def component_table(said: DataFrame, copies: DataFrame) -> DataFrame:
+    """(set_id, component_id, n_links) of every class of ``copies`` (set_id, copies, first_id).
+
+    ``said`` (set_id, to, n_links) has spanning edges of the links between classes, and partial
+    counts of what a class links to, in copies.
+    """
+    labels = connected_components(said.select(F.col("set_id").alias("a"), F.col("to").alias("b")))
+    degrees = said.groupBy("set_id").agg(F.sum("n_links").alias("n_links"))
+    named = labels.join(copies, labels.node == copies.set_id)
+    smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    linked_sets = named.join(smallest, "label").select("set_id", "component_id")
+    return copies.join(linked_sets, "set_id", "left").join(degrees, "set_id", "left").select(
+        "set_id", F.coalesce("component_id", "first_id").alias("component_id"), (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))

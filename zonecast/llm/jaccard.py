@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from zonecast.llm.batches import pieces, stored, unused, utf8, written
-from zonecast.llm.graph import connected_components
+from zonecast.llm.graph import component_table, connected_components
 
 FREQUENT = 3_000_000
 KNOWN_CODES = 1024
@@ -324,7 +324,7 @@ def forest(links: np.ndarray) -> np.ndarray:
 _KEY = ("component", "c1", "b1", "c2", "b2")
 
 
-def _forests(rows: DataFrame, payload: str, unit: str, test, num: int, den: int) -> DataFrame:
+def block_forests(rows: DataFrame, payload: str, unit: str, test, num: int, den: int) -> DataFrame:
     """(member, to, n_links) for rows sorted by block pair: a spanning edge, if any, and what a member links to, in copies.
 
     ``test`` makes the matrix of links of a block from the members' payloads, arrays of ``unit``.
@@ -374,14 +374,14 @@ def _forests(rows: DataFrame, payload: str, unit: str, test, num: int, den: int)
     return rows.repartition(parts, *_KEY).sortWithinPartitions(*_KEY).mapInArrow(run, schema)
 
 
-def _block_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
+def block_pairs(members: DataFrame, num: int, den: int, most: int = BLOCK_SETS) -> DataFrame:
     """The members (component, member, n, ...) once for each block pair that they take part in."""
     size_class = F.floor(F.log("n") / math.log(den / num) + 1e-9).cast("int") if num < den else F.col("n").cast("int")
     members = members.withColumn("c", size_class)
     whole = members.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w")).where("m > 1")
-    whole = whole.withColumn("fits", (F.col("m") <= BLOCK_SETS) & (F.col("w") <= BLOCK_SHINGLES))
+    whole = whole.withColumn("fits", (F.col("m") <= most) & (F.col("w") <= BLOCK_SHINGLES))
     parts = members.groupBy("component", "c").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w")).select(
-        "component", "c", F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+        "component", "c", F.greatest(F.ceil(F.col("m") / most), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     parts = parts.join(whole.where("NOT fits").select("component"), "component", "left_semi")
     listed = parts.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("c", "blocks"))).alias("blocks"))  # bounded: a class is a factor of size
     rows = members.join(whole.select("component", "fits"), "component").join(listed, "component", "left")
@@ -438,8 +438,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     common = lists.groupBy("m", "a", "b", "x").agg(F.min("shingle").alias("shingle")).select("shingle")
     met = postings.join(common, "shingle", "left_semi").select(F.col("shingle").alias("component"), F.col("group").alias("member"), "n")
     codes = classes.groupBy(F.col("group").alias("member")).agg(F.min("codes").alias("codes"))
-    pairs = _block_pairs(written(met), num, den).join(codes, "member").withColumn("copies", F.lit(1))
-    edges = _forests(pairs, "codes", "<u4", may_link, num, den).select(F.col("member").alias("a"), F.col("to").alias("b"))
+    pairs = block_pairs(written(met), num, den).join(codes, "member").withColumn("copies", F.lit(1))
+    edges = block_forests(pairs, "codes", "<u4", may_link, num, den).select(F.col("member").alias("a"), F.col("to").alias("b"))
     found = connected_components(edges).withColumnsRenamed({"node": "group", "label": "component"})
 
     copies = documents.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first_id"))
@@ -448,16 +448,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     several = members.groupBy("component").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("component")
     members = written(members.join(several, "component", "left_semi").join(copies.select("set_id", "copies"), "set_id").withColumnRenamed("set_id", "member"))
 
-    pairs = _block_pairs(members.drop("row"), num, den).join(_sets_of(docs, members, words), "member")
-    said = written(_forests(pairs, "shingles", "<u8", linked, num, den)).withColumnRenamed("member", "set_id")
+    pairs = block_pairs(members.drop("row"), num, den).join(_sets_of(docs, members, words), "member")
+    said = written(block_forests(pairs, "shingles", "<u8", linked, num, den)).withColumnRenamed("member", "set_id")
 
-    labels = connected_components(said.select(F.col("set_id").alias("a"), F.col("to").alias("b")))
-    degrees = said.groupBy("set_id").agg(F.sum("n_links").alias("n_links"))
-    named = labels.join(copies, labels.node == copies.set_id)
-    smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    linked_sets = named.join(smallest, "label").select("set_id", "component_id")
-    per_set = copies.join(linked_sets, "set_id", "left").join(degrees, "set_id", "left").select(
-        "set_id", F.coalesce("component_id", "first_id").alias("component_id"), (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    per_set = component_table(said, copies)
     return documents.join(per_set, "set_id", "left").select(
         F.col("id").alias(id_col), "row", F.col("n").alias("n_shingles"), "set_id", F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.when(F.col("set_id").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -21,6 +21,35 @@ def _one_line(form: str) -> str:
     return f"trim(regexp_replace({form}, '[ \\n]+', ' ', 'g'))"
 
 
+def _centroids(dim: int, scale: int, k: int, rounds: int, seed: int) -> str:
+    """Rounds of nearest centroids and exact floored means, whole comparisons throughout."""
+    ctes = [f"""kept AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x) OR abs(x::DOUBLE) * {scale} >= 134217728)) = 0
+)""", f"""c0 AS (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT sha256('{seed}:' || vec_id) AS h, v FROM kept ORDER BY h, v LIMIT {k})
+)"""]
+    for i in range(rounds + 1):
+        # |x|^2 + |c|^2 - 2 x.c of integers, exact in double precision
+        ctes.append(f"""a{i} AS (
+  SELECT r, vec_id, kept.v, c{i}.c, c{i}.v AS cv,
+    CAST(list_inner_product(kept.v::DOUBLE[], kept.v::DOUBLE[]) + list_inner_product(c{i}.v::DOUBLE[], c{i}.v::DOUBLE[]) - 2 * list_inner_product(kept.v::DOUBLE[], c{i}.v::DOUBLE[]) AS BIGINT) AS d
+  FROM kept CROSS JOIN c{i} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c{i}.c) = 1
+)""")
+        if i < rounds:
+            ctes.append(f"""s{i} AS (
+  SELECT c, i, sum(v[i]) AS s, count(*)::HUGEINT AS n FROM a{i}, range(1, {dim + 1}) AS g(i) GROUP BY c, i
+), c{i + 1} AS (
+  SELECT c{i}.c, coalesce(m.v, c{i}.v) AS v FROM c{i} LEFT JOIN (
+    SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM s{i} GROUP BY c) m ON m.c = c{i}.c
+)""")
+    return "WITH " + ", ".join(ctes) + f"""
+SELECT vec_id, c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(cv, ',')) AS centroid_sha256
+FROM a{rounds}
+"""
+
+
 _KNOWN = ", ".join(f"({_quoted(i)}, {_quoted(t)})" for i, t in licenses.known_texts())
 
 ORACLES = {
@@ -94,4 +123,22 @@ SELECT doc_id, digest, text_license,
   coalesce((SELECT string_agg(license, ',' ORDER BY license) FROM every WHERE every.doc_id = both_.doc_id), '') AS licenses
 FROM both_
 """,
+    "op11_neardup": """
+WITH valid AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), pairs AS (
+  SELECT a.r, b.r AS other, a.vec_id, b.vec_id AS other_id FROM valid a JOIN valid b ON a.r <> b.r AND len(a.v) = len(b.v)
+  WHERE a.v = b.v OR list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v)) >= 0.95
+), reach AS (
+  WITH RECURSIVE walk AS (
+    SELECT DISTINCT vec_id, other_id FROM pairs
+    UNION SELECT walk.vec_id, pairs.other_id FROM walk JOIN pairs ON pairs.vec_id = walk.other_id
+  ) SELECT vec_id, min(other_id) AS least FROM walk GROUP BY vec_id
+)
+SELECT e.vec_id, (SELECT count(*) FROM pairs WHERE pairs.vec_id = e.vec_id) AS n_links,
+  least(e.vec_id, coalesce(reach.least, e.vec_id)) AS component_id, e.vec_id = least(e.vec_id, coalesce(reach.least, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN reach ON reach.vec_id = e.vec_id
+""",
+    "op13_centroids": _centroids(64, 64, 16, 3, 1),
 }

@@ -123,6 +123,27 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's component of links: a cosine of 0.95 or more."""
+    from zonecast.llm import neardup
+
+    return neardup.vector_near_duplicates(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of 7 letters and 2 occurrences, some with a letter lost, and its variants."""
+    from zonecast.llm import spelling
+
+    return spelling.variants(_table(spark, sf_dir, "documents", "doc_id", "text"), drop_every=31)
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster after three rounds of 16 centroids."""
+    from zonecast.llm import centroids
+
+    return centroids.cluster_vectors(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_jaccard": op2_jaccard,
@@ -134,4 +155,7 @@ QUERIES = {
     "op8_ann": op8_ann,
     "op9_bpe": op9_bpe,
     "op10_packing": op10_packing,
+    "op11_neardup": op11_neardup,
+    "op12_spelling": op12_spelling,
+    "op13_centroids": op13_centroids,
 }
