@@ -31,7 +31,7 @@ def _names():
 @pytest.mark.parametrize("name", _names())
 def test_query_matches_oracle(spark, duck, name):
     import __spark_entry__ as E
-    from scripts.oracle_check import canon
+    from scripts.oracle_check import same
 
     sdf = E.queries()[name](spark, SF_SMOKE)
     srows = [tuple(r) for r in sdf.collect()]
@@ -40,7 +40,7 @@ def test_query_matches_oracle(spark, duck, name):
     orows = res.fetchall()
     assert sorted(sdf.columns) == sorted(ocols)
     assert len(srows) == len(orows)
-    assert canon(sdf.columns, srows) == canon(ocols, orows)
+    assert same(sdf.columns, srows, ocols, orows)
 
 
 def test_every_query_has_a_callable(spark):

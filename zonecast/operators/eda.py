@@ -79,7 +79,7 @@ def _pair_sums(cols: list[str]):
             z, m = np.where(m, x, 0.0), m.astype("float64")
             sums += np.stack([m.T @ m, z.T @ m, (z * z).T @ m, z.T @ z])
             lo, hi = np.minimum(lo, np.where(m > 0, x, np.inf).min(axis=0, initial=np.inf)), np.maximum(hi, np.where(m > 0, x, -np.inf).max(axis=0, initial=-np.inf))
-        yield pd.DataFrame({"sums": [sums.ravel().tolist()], "lo": [lo.tolist()], "hi": [hi.tolist()]})
+        yield pd.DataFrame({"sums": [np.concatenate([sums.ravel(), hi, -lo]).tolist()]})
 
     return fn
 
@@ -89,28 +89,28 @@ def correlation_long(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
     Pairwise deletion: a pair uses the rows where both its columns are present. A first
     aggregate gives each column's mean, which is subtracted for stability (a scalar
-    subquery); one pass then reduces every task's rows to four k x k matrices of sums,
-    which Spark adds up (tasks x 4 k^2 numbers). A constant column, or a pair without two
-    common rows, gives NULL.
+    subquery); one pass then reduces every task's rows to four k x k matrices of sums and
+    2 k extremes, which Spark adds up by position (tasks x 4 k^2 short rows, summed before
+    the shuffle). A constant column, or a pair without two common rows, gives NULL.
     """
     cols = cols or numeric_columns(df)
     k = len(cols)
     x = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
     x = x.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in cols])
     means = scalar_row(x.agg(*[F.avg(c).alias(c) for c in cols]))
-    parts = x.select(*[(F.col(c) - means.getField(c)).alias(c) for c in cols]).mapInPandas(
-        _pair_sums(cols), "sums array<double>, lo array<double>, hi array<double>")
-    total = parts.agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(4 * k * k)],
-                      *[(F.max(F.col("hi")[i]) > F.min(F.col("lo")[i])).alias(f"v{i}") for i in range(k)])
-    one = total.select(F.array(*[F.col(f"s{i}") for i in range(4 * k * k)]).alias("s"), F.array(*[F.col(f"v{i}") for i in range(k)]).alias("varies"))
-    cell = one.select("s", "varies", F.explode(F.sequence(F.lit(0), F.lit(k * k - 1))).alias("c"))
+    parts = x.select(*[(F.col(c) - means.getField(c)).alias(c) for c in cols]).mapInPandas(_pair_sums(cols), "sums array<double>")
+    totals = parts.select(F.posexplode("sums").alias("p", "x")).groupBy("p").agg(
+        F.when(F.col("p") < 4 * k * k, F.sum("x")).otherwise(F.max("x")).alias("x"))
+    one = totals.agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda r: r["x"]).alias("s"))
+    cell = one.select("s", F.explode(F.sequence(F.lit(0), F.lit(k * k - 1))).alias("c")).where(F.size("s") > 0)
     i, j = (F.col("c") / k).cast("int"), (F.col("c") % k).cast("int")
     at = lambda part, a, b: F.col("s")[F.lit(part * k * k) + a * k + b]
+    varies = lambda a: F.col("s")[F.lit(4 * k * k) + a] + F.col("s")[F.lit(4 * k * k + k) + a] > 0
     n = at(0, i, j)
     cov = at(3, i, j) - at(1, i, j) * at(1, j, i) / n
     var_i, var_j = at(2, i, j) - at(1, i, j) * at(1, i, j) / n, at(2, j, i) - at(1, j, i) * at(1, j, i) / n
     names = F.array(*[F.lit(c) for c in cols])
-    ok = (n > 1) & F.col("varies")[i] & F.col("varies")[j] & (var_i > 0) & (var_j > 0)
+    ok = (n > 1) & varies(i) & varies(j) & (var_i > 0) & (var_j > 0)
     return cell.select(names[i].alias("col_a"), names[j].alias("col_b"), F.when(ok, cov / F.sqrt(var_i * var_j)).alias("r"))
 
 

@@ -42,7 +42,8 @@ def regression_metrics(df: DataFrame, actual: str = "actual_demand", predicted:
                        group_cols: tuple[str, ...] = (), quantiles: str = "distributed") -> DataFrame:
     """mae, rmse, r2, median_ae, mape, smape, bias (H1); optionally per group.
 
-    r2 = 1 - mean squared error / population variance of the actual values.
+    r2 = 1 - mean squared error / population variance of the actual values; for constant actual
+    values it is 1 where every prediction is exact, else 0.
     bias = mean(predicted - actual).
     """
     y = F.col(actual).cast("double")
@@ -53,7 +54,8 @@ def regression_metrics(df: DataFrame, actual: str = "actual_demand", predicted:
     aggs = [
         F.avg(ae).alias("mae"),
         F.sqrt(F.avg(err * err)).alias("rmse"),
-        (F.lit(1.0) - F.try_divide(F.avg(err * err), F.var_pop(y))).alias("r2"),
+        F.when(F.var_pop(y) == 0, F.when(F.avg(err * err) == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
+        .otherwise(F.lit(1.0) - F.try_divide(F.avg(err * err), F.var_pop(y))).alias("r2"),
         (F.avg(F.abs((y - p) / F.greatest(F.abs(y), eps))) * F.lit(100.0)).alias("mape"),
         (F.avg(F.lit(2.0) * F.abs(p - y) / F.greatest(F.abs(y) + F.abs(p), eps)) * F.lit(100.0)).alias("smape"),
         F.avg(err).alias("bias"),

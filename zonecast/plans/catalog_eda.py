@@ -243,13 +243,34 @@ def q_streaming_panel(spark, sf):
     return present(streamed_panel(spark, _events_glob(sf)))
 
 
-@register("streaming_prices")
+_FINISHED_SQL = """
+finished AS (
+  SELECT * EXCLUDE zone_trip_volume, CAST(count(*) OVER (PARTITION BY pickup_zone ORDER BY pickup_date, hour ROWS UNBOUNDED PRECEDING) AS BIGINT) AS zone_trip_volume
+  FROM panel
+  WHERE CAST(pickup_date AS TIMESTAMP) + to_hours(hour + 1) <= (SELECT max(tpep_pickup_datetime) FROM clean) - INTERVAL 2 HOUR
+),
+finished_scored AS (
+  SELECT *, """ + O.rule_forecast_sql("(SELECT median(CAST(demand AS DOUBLE)) FROM panel)") + """ AS predicted_demand FROM finished
+)
+"""
+
+
+def _finished_prices_sql() -> str:
+    from zonecast.plans.catalog_pricing import _priced_sql
+    from zonecast.streaming.finished_hours import PRICE_COLUMNS
+
+    return O.with_ctes("panel")[:-1] + "," + _FINISHED_SQL + (
+        "SELECT strftime(pickup_date, '%Y-%m-%d') AS pickup_date, hour, pickup_zone, demand, zone_trip_volume, predicted_demand, "
+        + ", ".join(PRICE_COLUMNS) + f" FROM ({_priced_sql('finished_scored', extra_keys=', zone_trip_volume')})")
+
+
+@register("streaming_prices", _finished_prices_sql())
 def q_streaming_prices(spark, sf):
-    from zonecast.streaming.panel_stream import latest_versions, run_panel_stream
+    """Every finished hour priced once; hours that the watermark hasn't passed are left open."""
+    from zonecast.streaming.finished_hours import finished_prices, run_finished_hours
 
     base = panel(spark, sf).agg(F.median(F.col("demand").cast("double"))).first()[0]
-    out = run_panel_stream(spark, _events_glob(sf), rule_base=float(base))
-    return present(latest_versions(spark, f"{out}/prices"))
+    return present(finished_prices(spark, run_finished_hours(spark, _events_glob(sf), float(base or 0.0))))
 
 
 # ---- A10 EDA summary report lines -------------------------------------------
