@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonecast.config import ALL_FEATURES, TARGET
+from zonecast.operators import gram as GR
 from zonecast.operators import metrics as M
 from zonecast.operators import splits as S
 from zonecast.operators.common import row_numbers, scalar_row
@@ -190,12 +191,18 @@ def holdout_comparison(split_df: DataFrame, names: list[str], profile: str = "fi
 
 def walk_forward_cv(train_df: DataFrame, names: list[str], profile: str = "cv", n_splits: int = 3,
                     overrides: dict | None = None) -> DataFrame:
-    """CV result rows (fold, model_name, metrics) on expanding date folds."""
+    """CV result rows (fold, model_name, metrics) on expanding date folds.
+
+    The linear candidates of all folds are fitted from one pass (``gram``); the others one
+    fold after the other.
+    """
+    linear = GR.linear_candidates(names)
+    parts = [GR.fold_predictions(train_df, linear, n_splits)] if linear else []
+    others = [n for n in names if n not in linear]
     ff = S.fold_frame(train_df, n_splits)
-    parts = []
-    for fold in range(1, n_splits + 1):
+    for fold in range(1, n_splits + 1) if others else ():
         f = ff.where(F.col("fold") == fold)
-        for n, m in _fit_all(f.where(F.col("role") == "train"), names, profile, overrides):
+        for n, m in _fit_all(f.where(F.col("role") == "train"), others, profile, overrides):
             parts.append(predict(m, f).select(F.lit(n).alias("model_name"), "fold", "role",
                                               F.col(TARGET).cast("double").alias("actual_demand"),
                                               "predicted_demand"))

@@ -8,12 +8,66 @@ passes through the driver.
 
 from __future__ import annotations
 
+import datetime as dt
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonecast.config import CV_SPLITS, TRAIN_RATIO, VAL_RATIO
 
 
+@dataclass(frozen=True)
+class DateBounds:
+    """The time split and the folds as date literals: what a store partitioned by date prunes on.
+
+    ``val_start`` and ``test_start`` are the first dates of their parts (None without any dates).
+    """
+
+    dates: tuple[dt.date, ...]
+    val_start: dt.date | None
+    test_start: dt.date | None
+
+    @classmethod
+    def of(cls, dates: list, train_ratio: float = TRAIN_RATIO, val_ratio: float = VAL_RATIO) -> DateBounds:
+        """Bounds from distinct dates: 70/15/15 by count, truncated like ``int()`` (F1)."""
+        d = tuple(sorted(dates))
+        at = lambda i: d[i] if i < len(d) else None
+        return cls(d, at(int(len(d) * float(train_ratio))), at(int(len(d) * float(train_ratio + val_ratio))))
+
+    def label(self, date_col: str = "pickup_date") -> Column:
+        """'train' | 'val' | 'test' of a row, by its date alone (F1)."""
+        if not self.dates:
+            return F.lit(None).cast("string")
+        d = F.col(date_col)
+        return F.when(d >= F.lit(self.test_start), "test").when(d >= F.lit(self.val_start), "val").otherwise("train")
+
+    def in_part(self, part: str, date_col: str = "pickup_date") -> Column:
+        """The condition of one part: a date range."""
+        starts = {"train": (None, self.val_start), "val": (self.val_start, self.test_start), "test": (self.test_start, None)}
+        low, high = starts[part]
+        d = F.col(date_col)
+        out = d.isNotNull() if self.dates else F.lit(False)
+        out = out if low is None else out & (d >= F.lit(low))
+        return out if high is None else out & (d < F.lit(high))
+
+    def part_dates(self, part: str) -> list:
+        """The dates of one part."""
+        label = lambda x: "test" if x >= self.test_start else "val" if x >= self.val_start else "train"
+        return [x for x in self.dates if label(x) == part]
+
+    def folds(self, n_splits: int = CV_SPLITS) -> list[tuple[int, dt.date, dt.date | None]]:
+        """(fold, first validation date, first date after it or None) over the train part's dates (F2)."""
+        return self.folds_of(self.part_dates("train"), n_splits)
+
+    @staticmethod
+    def folds_of(d: list, n_splits: int = CV_SPLITS) -> list[tuple[int, dt.date, dt.date | None]]:
+        """The same over any sorted dates."""
+        size = len(d) // (n_splits + 1)
+        starts = [(fold, len(d) - (n_splits - fold + 1) * size) for fold in range(1, n_splits + 1)] if size else []
+        return [(fold, d[i], d[i + size] if i + size < len(d) else None) for fold, i in starts]
+
+
 def numbered_dates(df: DataFrame, date_col: str = "pickup_date") -> DataFrame:
     """Distinct non-null dates with 0-based rank ``date_idx`` and total ``n_dates``.
 

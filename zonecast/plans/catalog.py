@@ -24,6 +24,8 @@ from zonecast.operators import panel as PN
 from zonecast.operators import splits as S
 from zonecast.operators.forecast import rule_forecast
 from zonecast.plans import oracle as O
+from zonecast.session import ensure_checkpoint_dir
+from zonecast.sources import panel_store as PS
 from zonecast.sources.sinks import shared_dir, write_table
 from zonecast.sources.trips import parse_raw_trips, raw_trips, read_raw_trips_csv
 
@@ -62,11 +64,8 @@ def sql_ts(c: str) -> str:
 
 
 # --------------------------------------------------------------------------
-# shared Spark building blocks (the panel is checkpointed once per session/dir)
+# shared Spark building blocks: panel and model rows come from a store partitioned by date
 # --------------------------------------------------------------------------
-_PANELS: dict[tuple, DataFrame] = {}
-
-
 def trips(spark, sf):
     return raw_trips(spark, sf)
 
@@ -75,28 +74,26 @@ def clean(spark, sf):
     return C.clean_trips(trips(spark, sf))
 
 
-def panel(spark, sf):
-    key = (id(spark), spark.sparkContext.applicationId, sf)
-    if key not in _PANELS:
-        _PANELS[key] = PN.build_panel(clean(spark, sf))
-    return _PANELS[key]
+def _store(spark, sf, name: str) -> str:
+    ensure_checkpoint_dir(spark)
+    return shared_dir(spark, "zonecast-store", PS.fingerprint(spark, f"{sf.rstrip('/')}/events.parquet"), name)
 
 
-_MODEL_ROWS: dict[tuple, DataFrame] = {}
+def panel(spark, sf):
+    return PS.stored_once(spark, _store(spark, sf, "panel"), lambda: PN.build_panel(clean(spark, sf)))
 
 
 def model_rows(spark, sf):
-    """Model frame, checkpointed once: splits, forecasts and pricing all read it without re-running the windows."""
-    key = (id(spark), spark.sparkContext.applicationId, sf)
-    if key not in _MODEL_ROWS:
-        from zonecast.operators.common import materialize
+    return PS.stored_once(spark, _store(spark, sf, "model_rows"), lambda: L.model_frame(panel(spark, sf)))
+
 
-        _MODEL_ROWS[key] = materialize(L.model_frame(panel(spark, sf)))
-    return _MODEL_ROWS[key]
+def bounds(spark, sf) -> S.DateBounds:
+    return PS.date_bounds(model_rows(spark, sf))
 
 
 def split_rows(spark, sf):
-    return S.time_split(model_rows(spark, sf))
+    """Model rows with their part; a filter on ``split`` prunes the store's dates."""
+    return model_rows(spark, sf).withColumn("split", bounds(spark, sf).label())
 
 
 def scored(spark, sf):

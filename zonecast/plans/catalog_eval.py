@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from zonecast.operators import eda as EDA
+from zonecast.operators import gram as GR
 from zonecast.operators import metrics as M
 from zonecast.operators import splits as S
 from zonecast.operators.forecast import rule_forecast_column
 from zonecast.plans import oracle as O
-from zonecast.plans.catalog import present, register, scored, split_rows, test_predictions
+from zonecast.plans.catalog import bounds, model_rows, present, register, scored, split_rows, test_predictions
 
 MODEL = "rule_forecast"
 EPS = O.d(1e-8)
@@ -276,3 +277,88 @@ def q_models_by_val_mae(spark, sf):
     from zonecast.operators.scenario import models_by_val_mae
 
     return models_by_val_mae(_comparison(spark, sf)).select("model_name", "train_mae", "val_mae", "test_mae")
+
+
+# ---- linear models: fits of all folds from per-date moments, two models to rank ----------------
+_LINEAR = {"one_feature": (["lag_1"], 0.0), "two_features": (["lag_1", "rolling_mean_24"], 0.0)}
+
+
+def _fits_sql(src: str, by: str) -> str:
+    """Least squares of demand on lag_1, and on lag_1 and rolling_mean_24, in closed form for each group."""
+    sums = f"""SELECT {by}, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, var_pop(x1) AS v1, var_pop(x2) AS v2,
+      covar_pop(x1, x2) AS c12, covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2
+    FROM (SELECT {by}, CAST(lag_1 AS DOUBLE) AS x1, rolling_mean_24 AS x2, CAST(demand AS DOUBLE) AS y FROM {src}) GROUP BY {by}"""
+    return f"""
+  SELECT {by}, 'one_feature' AS model_name, my - c1 / v1 * m1 AS b0, c1 / v1 AS b1, CAST(NULL AS DOUBLE) AS b2 FROM ({sums})
+  UNION ALL
+  SELECT {by}, 'two_features', my - b1 * m1 - b2 * m2, b1, b2
+  FROM (SELECT *, (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) AS b1, (c2 * v1 - c1 * c12) / (v1 * v2 - c12 * c12) AS b2 FROM ({sums}))"""
+
+
+_LINEAR_WITH = O.with_ctes("split", "folds")[:-1] + f""",
+fold_rows AS (SELECT s.*, CAST(f.fold AS INTEGER) AS fold, f.role FROM split s JOIN folds f USING (pickup_date) WHERE s.split = 'train' AND f.role IS NOT NULL),
+fold_fits AS ({_fits_sql("fold_rows WHERE role = 'train'", "fold")}),
+fits AS ({_fits_sql("(SELECT *, 1 AS g FROM split WHERE split = 'train')", "g")}),
+cvp AS (
+  SELECT model_name, fold, role, CAST(demand AS DOUBLE) AS actual_demand, b0 + b1 * lag_1 + coalesce(b2 * rolling_mean_24, 0) AS predicted_demand
+  FROM fold_rows JOIN fold_fits USING (fold)),
+{_CV_SQL[_CV_SQL.index("cvm AS ("):]},
+comparison AS (
+  SELECT model_name,
+""" + ",\n".join(f"    max(CASE WHEN split = '{s}' THEN {m} END) AS {s}_{m}" for m in M.METRIC_NAMES for s in ("train", "val", "test")) + f"""
+  FROM (SELECT model_name, split, {metrics_sql()}
+        FROM (SELECT model_name, split, CAST(demand AS DOUBLE) AS actual_demand, b0 + b1 * lag_1 + coalesce(b2 * rolling_mean_24, 0) AS predicted_demand
+              FROM split, fits)
+        GROUP BY model_name, split)
+  GROUP BY model_name)
+"""
+
+
+def _linear_train(spark, sf):
+    return model_rows(spark, sf).where(bounds(spark, sf).in_part("train"))
+
+
+def _linear_cv(spark, sf):
+    return M.fold_metrics(GR.fold_predictions(_linear_train(spark, sf), _LINEAR))
+
+
+def _linear_comparison(spark, sf):
+    fits = GR.fit_linear(_linear_train(spark, sf), _LINEAR)
+    return M.comparison_row(M.regression_metrics(GR.predictions(split_rows(spark, sf), fits, ["split"]), group_cols=("model_name", "split")))
+
+
+@register("linear_fold_coefficients", _LINEAR_WITH + """
+SELECT fold, model_name, 'intercept' AS feature, b0 AS coefficient FROM fold_fits
+UNION ALL SELECT fold, model_name, 'lag_1', b1 FROM fold_fits
+UNION ALL SELECT fold, model_name, 'rolling_mean_24', b2 FROM fold_fits WHERE b2 IS NOT NULL""")
+def q_linear_fold_coefficients(spark, sf):
+    """Coefficients of two linear models for every fold, from one pass."""
+    return GR.coefficient_rows(spark, GR.fold_fits(_linear_train(spark, sf), _LINEAR)[1])
+
+
+@register("linear_cv_results", _LINEAR_WITH + "SELECT * FROM cv_results")
+def q_linear_cv_results(spark, sf):
+    """Fold metrics of two fitted linear models."""
+    return _linear_cv(spark, sf)
+
+
+@register("linear_cv_summary", _LINEAR_WITH + "SELECT * FROM cv_summary")
+def q_linear_cv_summary(spark, sf):
+    """Their summary over the folds."""
+    return M.cv_summary(_linear_cv(spark, sf))
+
+
+@register("linear_model_comparison", _LINEAR_WITH + "SELECT * FROM comparison")
+def q_linear_model_comparison(spark, sf):
+    """Train, validation and test metrics of the two models fitted on the train part."""
+    return _linear_comparison(spark, sf)
+
+
+@register("linear_model_selection", _LINEAR_WITH + """
+SELECT c.*, s.* EXCLUDE model_name,
+  CAST(dense_rank() OVER (ORDER BY val_mae) AS INTEGER) AS holdout_val_rank,
+  CAST(dense_rank() OVER (ORDER BY cv_val_mae_mean) AS INTEGER) AS cv_val_rank
+FROM comparison c LEFT JOIN cv_summary s ON s.model_name = c.model_name""")
+def q_linear_model_selection(spark, sf):
+    """Both tables joined and ranked: more than one model to order."""
+    return M.selection_table(_linear_comparison(spark, sf), M.cv_summary(_linear_cv(spark, sf)))

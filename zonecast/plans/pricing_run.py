@@ -9,9 +9,10 @@ from zonecast.config import PriceConfig
 from zonecast.operators import models as ML
 from zonecast.operators import pricing as PR
 from zonecast.operators.forecast import rule_forecast
-from zonecast.operators.common import materialize, with_scalars
+from zonecast.operators.common import with_scalars
 from zonecast.operators.lags import model_frame
-from zonecast.operators.splits import representative_row, seeded_sample, time_split
+from zonecast.operators.splits import representative_row, seeded_sample
+from zonecast.sources.panel_store import date_bounds, rewritten
 from zonecast.sources.sinks import write_document, write_lines, write_table
 
 
@@ -23,7 +24,8 @@ def run_pricing(spark: SparkSession, panel: DataFrame, output_dir: str, model=No
     ``model`` is a fitted ``PipelineModel``; without one the rule forecaster,
     fitted on the training part, supplies the predicted demand.
     """
-    split_df = materialize(time_split(model_frame(panel)))
+    rows = rewritten(model_frame(panel), f"{output_dir}/model_rows")
+    split_df = rows.withColumn("split", date_bounds(rows).label())  # filters on the part prune dates
     test = split_df.where(F.col("split") == "test")
     if model is not None:
         scored = ML.predict(model, test)

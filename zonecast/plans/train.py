@@ -13,19 +13,20 @@ from pyspark.sql import functions as F
 from zonecast.config import ALL_FEATURES
 from zonecast.operators import metrics as M
 from zonecast.operators import models as ML
-from zonecast.operators.common import materialize, with_scalars
+from zonecast.operators.common import with_scalars
 from zonecast.operators.lags import model_frame
-from zonecast.operators.splits import time_split
+from zonecast.sources.panel_store import date_bounds, rewritten
 from zonecast.sources.sinks import save_model, write_document, write_table
 
 
 def train_models(spark: SparkSession, panel: DataFrame, output_dir: str, names: list[str] | None = None,
                  cv_profile: str = "cv", final_profile: str = "final", overrides: dict | None = None) -> dict:
     names = names or ML.candidate_names()
-    split_df = materialize(time_split(model_frame(panel)))
+    rows = rewritten(model_frame(panel), f"{output_dir}/model_rows")
+    split_df = rows.withColumn("split", date_bounds(rows).label())  # filters on the part prune dates
     train = split_df.where(F.col("split") == "train").drop("split")
 
-    cv_results = ML.walk_forward_cv(train, names, cv_profile)
+    cv_results = ML.walk_forward_cv(train, names, cv_profile, overrides=overrides)
     write_table(cv_results, f"{output_dir}/cross_validation_results")
     cv_results = spark.read.parquet(f"{output_dir}/cross_validation_results")
     cv_sum = M.cv_summary(cv_results)
