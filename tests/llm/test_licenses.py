@@ -1,3 +1,4 @@
+import duckdb
 from pyspark.sql import functions as F
 
 from zonecast.llm import licenses as L
@@ -54,3 +55,23 @@ def test_lines_that_name_a_holder(docs_of):
     assert got == {i: "MIT" if i < len(holders) or i == len(texts) - 1 else None for i in range(len(texts))}
     kept = "(b) one\n(c) two\n(c) 2020 Someone"
     assert L.scan_licenses(docs_of([kept, "(b) one\n(c) two", "(b) one"])).select("digest").distinct().count() == 2
+
+
+def test_sql_names_what_the_operator_names(docs_of, tmp_path):
+    """The oracle on a table of whole licences, holder lines, lists, notices and odd texts."""
+    from zonecast.llm.oracle import ORACLES
+    from zonecast.llm.queries import QUERIES
+
+    whole = L.whole_texts()
+    lines = ["Copyright Node.js contributors. All rights reserved.", "Copyright The Go Authors", "// Copyright: Jane Doe", "(c) Jane Doe", "Copyright (c) 2020 A", "© B", "Copyright [name of copyright owner]",
+             "Copyright notice", "copyright and related rights", "Copyright.", "copyright", "Copyright  law is", "Copyright thesis", "copyright ist Wissen", "Copyright\t:«Zoë»", "Copyright (the work)"]
+    texts = [t for _, t in whole] + [f"Copyright The Go Authors\n\n{t}" for _, t in whole] + [t for _, t in L.known_texts()] + [f"{x}\n\n{MIT}" for x in lines]
+    texts += ["(b) one\n(c) two\n(c) 2020 Someone\n(c) 20201 x", "(b) one\n(c) two", "(c) two", None, "", "!!!", "ÀÉ Licensed under CC BY 4.0", "x\nLicensed under CC BY 4.0.\nMIT license\n", (3, "other"), (None, MIT)]
+    docs = docs_of(texts)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in QUERIES["op4_licenses"](docs.sparkSession, str(tmp_path)).select("doc_id", "digest", "text_license", "n_licenses", "licenses").collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(f"SELECT doc_id, digest, text_license, n_licenses, licenses FROM ({ORACLES['op4_licenses']})").fetchall()
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert {r[2] for r in got} >= {i for i, _ in whole} | {"MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause"}

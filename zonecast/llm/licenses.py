@@ -6,12 +6,14 @@ that form once and hashed; a document's whole text, and each of its lines as a w
 are hash-joined to those digests. Nothing is searched inside a text, so the work for each
 document doesn't depend on how many licences are known.
 
-Everything is DataFrame operations; only documents with a known line are grouped.
+Everything is DataFrame operations, in one pass: a text's canonical form is made once, its
+digest and those of its lines meet the known digests in one broadcast join, and what is left
+of a document (its own digest and its known lines) is put together by row.
 
 Defined results for odd input: a null or empty text, or one of punctuation alone, has the
 digest of the empty string and no licence (an empty form is never known); rows with one id
-(null included) share their notices, and each keeps its own row and whole-text licence; an
-empty table gives an empty result; other columns aren't read. Only ASCII letters change case.
+(null included), repeated ones too, are documents of their own; an empty table gives an empty
+result; other columns aren't read. Only ASCII letters change case.
 
 A line '(c) name' without a year names a holder, unless the text also has a '(b)': then it is
 an item of a list. The entire texts of AGPL-3.0, CC-BY-4.0, CC-BY-NC-4.0 and CC-BY-ND-4.0 aren't
@@ -27,17 +29,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 # ---------------------------------------------------------------- fixed values: spellings
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# a line that begins, after marks, like this says who holds the rights, not what they are: as
-# the SQL has it, whose expressions can't look ahead, and as the operator has it
-COPYRIGHT = r"(^|\n)[^a-z0-9\n]*(copyright[^a-z0-9\n]*(c\)|[0-9]|year|yyyy|by )|\(c\)|©|all rights reserved)[^\n]*"
-_NO_HOLDER = (r"(?:notices?|holders?|owners?|ownership|laws?|licen[cs]es?|licensed|interests?|disclaimers?|statements?|treaty|treaties|doctrines?|permissions?|protections?|"
-              r"infringements?|claims?|rights?|terms?|status|information|marks?|materials?|works?|patents?|trademarks?|and|or|on|of|in|for|to|is|are|if|as|that|this|these|those|under|"
-              r"with|within|which|it|its|your|any|all|shall|must|may|can|including|resulting|the (?:software|program|library|work|code|document|material|above|holder|owner)s?)(?![a-z])")
-_HOLDER = (r"(^|\n)[^a-z0-9\n]*(?:copyright[^a-z0-9\n]*(?:c\)|[0-9]|year|yyyy|by )|copyright[ \t:]++[^a-z0-9\n\s,.;)]*+(?!" + _NO_HOLDER + r")[^\s,.;)]"
-           r"|\(c\){}|©|all rights reserved)[^\n]*")
-HOLDER = _HOLDER.format("")
-# where the text also has a (b), a (c) is a list's mark, unless a year or the word follows
-HOLDER_BESIDE_LISTS = _HOLDER.format(r"[^a-z0-9\n]*(?:(?:19|20)[0-9]{2}(?![0-9])|copyright)")
+# a line that begins, after marks, like this says who holds the rights, not what they are; the
+# second form is a holder's name, so none of the words below may follow
+STATED = r"copyright[^a-z0-9\n]*(?:c\)|[0-9]|year|yyyy|by )|©|all rights reserved"
+NO_HOLDER = (r"(?:notices?|holders?|owners?|ownership|laws?|licen[cs]es?|licensed|interests?|disclaimers?|statements?|treaty|treaties|doctrines?|permissions?|protections?|"
+             r"infringements?|claims?|rights?|terms?|status|information|marks?|materials?|works?|patents?|trademarks?|and|or|on|of|in|for|to|is|are|if|as|that|this|these|those|under|"
+             r"with|within|which|it|its|your|any|all|shall|must|may|can|including|resulting|the (?:software|program|library|work|code|document|material|above|holder|owner)s?)")
+# a (c) names a holder; where the text also has a (b) it is a list's mark, unless a year or the word follows
+MARK_C = r"\(c\)"
+DATED_C = r"\(c\)[^a-z0-9\n]*(?:(?:19|20)[0-9]{2}{no_digit}|copyright)"
+HOLDER_WORDS = ("copyright", "(c)", "©", "all rights reserved")
+_NAMED = r"copyright[ \t:]++[^a-z0-9\n\s,.;)]*+(?!" + NO_HOLDER + r"(?![a-z]))[^\s,.;)]"
+HOLDER = rf"(^|\n)[^a-z0-9\n]*(?:{STATED}|{_NAMED}|{MARK_C})[^\n]*"
+HOLDER_BESIDE_LISTS = rf"(^|\n)[^a-z0-9\n]*(?:{STATED}|{_NAMED}|{DATED_C.replace('{no_digit}', '(?![0-9])')})[^\n]*"
 MARKS = r"[\x00-\x09\x0b-\x2f\x3a-\x60\x7b-\xbf\x{2010}-\x{201f}\x{2026}]+"
 EQUIVALENT = (
     ("licence", "license"), ("sub license", "sublicense"), ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("analyse", "analyze"),
@@ -128,17 +132,21 @@ def whole_texts() -> list[tuple[str, str]]:
 # ---------------------------------------------------------------- canonical form
 
 def canonical_lines(text: Column) -> Column:
-    """The canonical form, line ends kept."""
-    out = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    out = F.when(F.contains(out, F.lit("(b)")), F.regexp_replace(out, HOLDER_BESIDE_LISTS, "$1")).otherwise(F.regexp_replace(out, HOLDER, "$1"))
-    out = F.regexp_replace(out, MARKS, " ")
+    """The canonical form, line ends kept; costly steps run where a text has what they look for."""
+    out = F.coalesce(text, F.lit(""))
+    out = F.when(F.octet_length(out) == F.length(out), F.lower(out)).otherwise(F.translate(out, UPPER, LOWER))
+    says = F.lit(False)
+    for word in HOLDER_WORDS:
+        says = says | F.contains(out, F.lit(word))
+    held = F.when(F.contains(out, F.lit("(b)")), F.regexp_replace(out, HOLDER_BESIDE_LISTS, "$1")).otherwise(F.regexp_replace(out, HOLDER, "$1"))
+    out = F.regexp_replace(F.when(says, held).otherwise(out), MARKS, " ")
     for a, b in EQUIVALENT:
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
 
 
 def one_line(lines: Column) -> Column:
-    return F.trim(F.regexp_replace(lines, r"[ \n]+", " "))
+    return F.trim(F.regexp_replace(F.replace(lines, F.lit("\n"), F.lit(" ")), " {2,}", " "))
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -151,12 +159,13 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = Non
 def scan_licenses(docs: DataFrame, known: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, digest, text_license, n_licenses, licenses): the whole text's licence, and all licences of its lines, sorted."""
     table = F.broadcast(known_digests(docs.sparkSession, known))  # as large as the list of known texts, which is code
-    rows = docs.select(F.col(id_col).alias("_id"), canonical_lines(F.col(text_col)).alias("form"))
-    whole = rows.select("_id", F.sha2(one_line(F.col("form")), 256).alias("digest"))
-    lines = rows.select("_id", F.explode(F.array_distinct(F.transform(F.split("form", "\n"), lambda x: F.trim(x)))).alias("line")).where("line != ''")
-    found = lines.select("_id", F.sha2(F.regexp_replace("line", " +", " "), 256).alias("digest")).join(table, "digest").groupBy("_id").agg(
+    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), canonical_lines(F.col(text_col)).alias("form"))
+    lines = F.filter(F.transform(F.split("form", "\n"), one_line), lambda x: x != "")
+    own = F.struct(F.lit(True).alias("whole"), F.sha2(one_line(F.col("form")), 256).alias("digest"))
+    of_lines = F.transform(F.array_distinct(lines), lambda x: F.struct(F.lit(False).alias("whole"), F.sha2(x, 256).alias("digest")))
+    digests = rows.select("id", "row", F.explode(F.concat(F.array(own), of_lines)).alias("d")).select("id", "row", "d.whole", "d.digest")
+    found = digests.join(table, "digest", "left").where(F.col("whole") | F.col("license").isNotNull())
+    found = found.groupBy("row").agg(
+        F.first("id").alias("id"), F.max(F.when(F.col("whole"), F.col("digest"))).alias("digest"), F.max(F.when(F.col("whole"), F.col("license"))).alias("text_license"),
         F.array_sort(F.collect_set("license")).alias("named"))  # as many as there are licences at most
-    found = found.select(F.col("_id").alias("_found"), "named")
-    own = whole.join(table.withColumnRenamed("license", "text_license"), "digest", "left").join(found, F.col("_id").eqNullSafe(F.col("_found")), "left")
-    every = F.array_sort(F.array_distinct(F.concat(F.coalesce("named", F.array().cast("array<string>")), F.filter(F.array("text_license"), lambda x: x.isNotNull()))))
-    return own.select(F.col("_id").alias(id_col), "digest", "text_license", F.size(every).cast("long").alias("n_licenses"), F.array_join(every, ",").alias("licenses"))
+    return found.select(F.col("id").alias(id_col), "digest", "text_license", F.size("named").cast("long").alias("n_licenses"), F.array_join("named", ",").alias("licenses"))

@@ -9,8 +9,13 @@ def _quoted(text: str) -> str:
 
 def _canonical(column: str) -> str:
     """The canonical form of a licence text, line ends kept."""
-    out = f"translate(coalesce({column}, ''), {_quoted(licenses.UPPER)}, {_quoted(licenses.LOWER)})"
-    out = f"regexp_replace({out}, {_quoted(licenses.COPYRIGHT)}, '\\1', 'g')"
+    lower = f"translate(coalesce({column}, ''), {_quoted(licenses.UPPER)}, {_quoted(licenses.LOWER)})"
+    start, named = "^[^a-z0-9]*", r"copyright[ \t:]+[^a-z0-9 \t\n\x0b\f\r,.;)]*"
+    dated = licenses.DATED_C.replace("{no_digit}", "([^0-9]|$)")
+    holder = f"""(regexp_matches(l, {_quoted(f"{start}({licenses.STATED})")})
+      OR CASE WHEN contains({lower}, '(b)') THEN regexp_matches(l, {_quoted(start + dated)}) ELSE regexp_matches(l, {_quoted(start + licenses.MARK_C)}) END
+      OR (regexp_matches(l, {_quoted(f"{start}{named}[a-z0-9]")}) AND NOT regexp_matches(l, {_quoted(f"{start}{named}{licenses.NO_HOLDER}([^a-z]|$)")})))"""
+    out = f"array_to_string(list_transform(string_split({lower}, chr(10)), lambda l: CASE WHEN {holder} THEN '' ELSE l END), chr(10))"
     out = f"regexp_replace({out}, {_quoted(licenses.MARKS)}, ' ', 'g')"
     for a, b in licenses.EQUIVALENT:
         out = f"replace({out}, {_quoted(a)}, {_quoted(b)})"
@@ -50,7 +55,7 @@ FROM a{rounds}
 """
 
 
-_KNOWN = ", ".join(f"({_quoted(i)}, {_quoted(t)})" for i, t in licenses.known_texts())
+_KNOWN = ", ".join(f"({_quoted(i)}, {_quoted(t)})" for i, t in licenses.known_texts() + licenses.whole_texts())
 
 ORACLES = {
     "op1_chat": r"""
@@ -106,22 +111,19 @@ WITH known AS (
   FROM (SELECT license, {_one_line(_canonical("text"))} AS form FROM (VALUES {_KNOWN}) AS v(license, text))
   WHERE form <> '' GROUP BY 1
 ), rows AS (
-  SELECT doc_id, {_canonical("text")} AS form FROM documents
+  SELECT row_number() OVER () AS r, doc_id, {_canonical("text")} AS form FROM documents
 ), lines AS (
-  SELECT DISTINCT doc_id, trim(regexp_replace(line, ' +', ' ', 'g')) AS line FROM (SELECT doc_id, unnest(string_split(form, chr(10))) AS line FROM rows)
-), hits AS (
-  SELECT doc_id, license FROM lines JOIN known ON digest = sha256(line) WHERE line <> ''
+  SELECT DISTINCT r, trim(regexp_replace(line, ' +', ' ', 'g')) AS line FROM (SELECT r, unnest(string_split(form, chr(10))) AS line FROM rows)
 ), whole AS (
-  SELECT doc_id, sha256({_one_line("form")}) AS digest FROM rows
+  SELECT r, doc_id, sha256({_one_line("form")}) AS digest FROM rows
 ), both_ AS (
   SELECT whole.*, known.license AS text_license FROM whole LEFT JOIN known ON known.digest = whole.digest
 ), every AS (
-  SELECT doc_id, license FROM hits UNION SELECT doc_id, text_license FROM both_ WHERE text_license IS NOT NULL
+  SELECT r, license FROM lines JOIN known ON digest = sha256(line) WHERE line <> ''
+  UNION SELECT r, text_license FROM both_ WHERE text_license IS NOT NULL
 )
-SELECT doc_id, digest, text_license,
-  (SELECT count(*) FROM every WHERE every.doc_id = both_.doc_id) AS n_licenses,
-  coalesce((SELECT string_agg(license, ',' ORDER BY license) FROM every WHERE every.doc_id = both_.doc_id), '') AS licenses
-FROM both_
+SELECT doc_id, digest, text_license, coalesce(n, 0) AS n_licenses, coalesce(names, '') AS licenses
+FROM both_ LEFT JOIN (SELECT r, count(*) AS n, string_agg(license, ',' ORDER BY license) AS names FROM every GROUP BY r) named ON named.r = both_.r
 """,
     "op11_neardup": """
 WITH valid AS (
