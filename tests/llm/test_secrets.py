@@ -58,3 +58,19 @@ def test_frames(docs_of, no_docs):
     assert masked == {(0, None, None), (1, "", 0), (2, "clean text", 10), (3, out, len(out))}
     assert S.mask_secrets(docs).columns == docs.columns
     assert S.scan_secrets(no_docs).collect() == [] and S.mask_secrets(no_docs).collect() == []
+
+
+def test_whole_private_keys_are_masked(docs_of):
+    body = "MIIEpAIBAAKCAQEA7+/x\n" + "\n".join(f"{k}bQ/Zz0aB+cD{k}=" for k in range(30))
+    key = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    headed = key.replace("-----\nMII", "-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\nMII")
+    cases = {f"before {key} after": "before [private_key removed] after",
+             f"a\r\n{key.replace(chr(10), chr(13) + chr(10))}\r\nb c": "a\r\n[private_key removed]\r\nb c",
+             f"x {headed} y": "x [private_key removed] y",
+             '{"key": "' + key.replace("\n", "\\n") + '"}': '{"key": "[private_key removed]"}',
+             "\n".join("    " + x for x in key.split("\n")): "    [private_key removed]",
+             f"{key}\ntwo words\n{key}": "[private_key removed]\ntwo words\n[private_key removed]",
+             "-----BEGIN PRIVATE KEY-----": "[private_key removed]",
+             "-----BEGIN PRIVATE KEY-----\nAAAA+/\nwith no end": "[private_key removed]\nwith no end"}
+    got = {r.doc_id: r.text for r in S.mask_secrets(docs_of(list(cases))).collect()}
+    assert list(got[i] for i in range(len(cases))) == list(cases.values())

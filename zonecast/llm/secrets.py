@@ -37,13 +37,22 @@ FEW_LANES = 24
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret: its expression, and what a match must also have (bytes, and bytes after a lead)."""
+    """A kind of secret: its expression, and what a match must also have (bytes, and bytes after a lead).
+
+    ``tail`` is an expression of what belongs to the span behind a match, over line ends too,
+    where no rule's own match may go; it is looked for at found matches only.
+    """
 
     kind: str
     pattern: str
     least: int = 0
     lead: str = ""
+    tail: str = ""
+
 
+# a line's end, also as JSON escapes it, with the blanks around it; and the lines of a private key: headers, its body, its END mark
+_LINE = r"(?:[ \t]*(?:[\r\n]|\\n|\\r))++[ \t]*+"
+_KEY_LINES = rf"(?:{_LINE}(?:Proc-Type|DEK-Info):[A-Za-z0-9 ,:.-]*)*(?:{_LINE}[A-Za-z0-9+/=]++(?=[ \t]*(?:[\r\n]|\\|\Z)))*(?:{_LINE}-----END [A-Z ]*PRIVATE KEY-----)?"
 
 # The three base kinds, in the order that the result lists them.
 BASE_RULES = (
@@ -57,7 +66,7 @@ RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 40),
     Rule("google", r"AIza[A-Za-z0-9_-]+", 39),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", tail=_KEY_LINES),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 20),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]+", 24),
 )
@@ -230,6 +239,7 @@ class Scanner:
             back, ra, rb = own.reversed(a, b)
             self.backward.append(determinise(back, [ra], {rb: 0}, False))
         self.leads = [re.compile(r.lead.encode()) for r in rules]
+        self.tails = [re.compile(r.tail.encode()) for r in rules]
         self.dfa = determinise(nfa, starts, ends, True)
         step = self.dfa.step.reshape(-1, 256)
         self.resets = (step == self.dfa.start * 256).all(axis=0)  # bytes after which every state is the start
@@ -324,7 +334,10 @@ class Scanner:
                 start = self._longest(self.backward[k], text, at, done, -1) if at > done else -1
                 if start < 0:  # it starts inside the last match
                     continue
-                end = done = self._longest(self.forward[k], text, start, len(text), 1)
+                end = self._longest(self.forward[k], text, start, len(text), 1)
+                if rule.tail:
+                    end = self.tails[k].match(text, end).end()
+                done = end
                 lead = self.leads[k].match(text, start, end).end() - start if rule.lead else 0
                 if end - start - lead >= rule.least:
                     found.append((start, k, end))
