@@ -85,3 +85,26 @@ def test_settling_early_changes_nothing_but_cuts():
         for s, n in zip(o.get("sequence_id", []), o.get("length", [])):
             sizes[s] = sizes.get(s, 0) + n
     assert max(sizes.values()) <= 64 and sorted(sizes) == list(range(len(sizes)))
+
+
+def test_vocabularies_of_one_size_have_encoders_of_their_own():
+    import json
+    import tempfile
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        said = json.load(f)
+    vocab = said["model"]["vocab"]
+    vocab["a"], vocab["b"] = vocab["b"], vocab["a"]
+    with tempfile.NamedTemporaryFile("w", suffix=".json", encoding="utf-8") as f:
+        json.dump(said, f)
+        f.flush()
+        own, other = (K.ByteBpe(p) for p in (public_tokenizers.path("byte_bpe_50k.json"), f.name))
+
+    class Shared:
+        def __init__(self, value):
+            self.value = value
+
+    first, second, again = (K._encoder(Shared(b)).encode("a").tolist() for b in (own, other, own))
+    assert first == again != second and second == K.Encoder(other).encode("a").tolist()

@@ -27,6 +27,17 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 <
             yield batch.slice(at, step)
 
 
+_KEPT: dict = {}
+
+
+def kept(key, make):
+    """What a worker process keeps between its tasks: one object, so those of earlier stages don't pile up in it."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that the frame doesn't have."""
     taken = {c.lower() for c in df.columns}

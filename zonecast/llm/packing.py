@@ -23,6 +23,7 @@ is encoded whole; other columns aren't read.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import zlib
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, types as T
 
-from zonecast.llm.batches import pieces, utf8
+from zonecast.llm.batches import kept, pieces, utf8
 
 SIZE = 1024
 SENTENCE_PENALTY = 4
@@ -60,7 +61,9 @@ class ByteBpe:
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            said = json.load(f)
+            text = f.read()
+        said = json.loads(text)
+        self.digest = hashlib.sha256(text.encode()).hexdigest()
         alphabet = byte_alphabet()
         self.special = {x["content"]: x["id"] for x in said["added_tokens"]}
         self.ranks = {bytes(alphabet[c] for c in token): n for token, n in said["model"]["vocab"].items() if token not in self.special}
@@ -69,7 +72,7 @@ class ByteBpe:
 class Encoder:
     """Whole texts to ids. What stands between single spaces is encoded once and remembered, up to a bound."""
 
-    MOST_WORDS = 200_000
+    MOST_WORDS = 100_000
     LONG_WORD = 64
 
     def __init__(self, bpe: ByteBpe):
@@ -99,14 +102,9 @@ class Encoder:
         return np.frombuffer(b"".join([known[w] if w in known else made[w] for w in words]), "<u4")
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
 def _encoder(shared) -> Encoder:
-    """One encoder for each broadcast vocabulary in a worker process, with the words that it remembers."""
-    if shared.value and (key := len(shared.value.ranks)) not in _ENCODERS:
-        _ENCODERS[key] = Encoder(shared.value)
-    return _ENCODERS[len(shared.value.ranks)]
+    """The encoder of a broadcast vocabulary, with the words that it remembers, kept between a worker's tasks."""
+    return kept(("packing", shared.value.digest), lambda: Encoder(shared.value))
 
 
 # ---------------------------------------------------------------- cuts
