@@ -41,16 +41,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from zonecast.llm.batches import pieces, stored, unused, utf8, written
+from zonecast.llm.batches import kept, pieces, stored, unused, utf8, written
 from zonecast.llm.graph import component_table, connected_components
 
 FREQUENT = 3_000_000
 KNOWN_CODES = 1024
 BLOCK_SETS = 512
-BLOCK_SHINGLES = 2_000_000
-REMEMBERED = 150_000
-COUNTED = 2_000_000
+BLOCK_SHINGLES = 1_000_000
+REMEMBERED = 100_000
+COUNTED = 1_000_000
+LISTED = 200_000
 WANTED_BITS = 1 << 24
+LATE = 49_152
 
 
 # ---------------------------------------------------------------- shingles
@@ -97,11 +99,8 @@ def set_id(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
-_SHINGLERS: dict[int, Shingler] = {}
-
-
 def _shingler(words: int) -> Shingler:
-    return _SHINGLERS.setdefault(words, Shingler(words))
+    return kept(("shingles", words), lambda: Shingler(words))
 
 
 def _least_overlap(n: int, num: int, den: int) -> int:
@@ -147,25 +146,23 @@ def _classes(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _prefixes(docs: DataFrame, words: int, num: int, den: int, frequent, classes: bool) -> DataFrame:
-    """Rows of classes (row, n, set_id, group, codes), or of postings (n, group, shingle, short).
-
-    The texts are read again for each: postings are many and are shuffled once, so a table of
-    them would only take disk.
+def _prefixes(docs: DataFrame, words: int, num: int, den: int, frequent) -> DataFrame:
+    """Rows of classes (row, n, set_id, group, codes, prefix, short), a class once in a task.
 
-    ``codes`` are the places of the prefix's first KNOWN_CODES in the global order, in 32 bits:
-    the filter needs no more than a known stretch of a set, and a row stays small. ``short`` marks the part
-    of a prefix that is enough to meet sets of no smaller size. Sets too small to reach the
-    similarity with any other set have neither row.
+    ``codes`` are the places of the prefix's first KNOWN_CODES in the global order, in 16 bits:
+    the filter needs no more than a known stretch of a set, and a row stays small. Places by hash
+    go through a square root, as prefixes hold the smallest; LATE and above are frequent shingles. ``prefix``, the
+    shingles to post, has a group once in a task; the first ``short`` of them are enough to meet
+    sets of no smaller size. Sets too small to reach the similarity with any other have no row.
     """
     schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("n", T.LongType()), T.StructField("set_id", T.BinaryType()),
-                           T.StructField("group", T.LongType()), T.StructField("codes", T.BinaryType()), T.StructField("shingle", T.LongType()), T.StructField("short", T.BooleanType())])
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.bool_())
+                           T.StructField("group", T.LongType()), T.StructField("codes", T.BinaryType()), T.StructField("prefix", T.BinaryType()), T.StructField("short", T.IntegerType())])
+    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, (keys, ranks), groups, sets = _shingler(words), frequent.value, set(), set()
         for batch in pieces(batches, "text"):
-            at, found, posted = [], [], []
+            at, found = [], []
             for k, text in enumerate(utf8(batch.column("text"))):
                 h = own.shingles(text)
                 n = len(h)
@@ -183,36 +180,99 @@ def _prefixes(docs: DataFrame, words: int, num: int, den: int, frequent, classes
                 late = keys[place] == h if len(keys) else np.zeros(n, bool)
                 size = n - _least_overlap(n, num, den) + 1
                 prefix = h[~late][:size]
-                codes = prefix >> np.uint64(33)
+                codes = np.sqrt(prefix.astype(float) / 2.0**64) * LATE
                 if len(prefix) < size:
                     common, place = h[late], ranks[place[late]]
                     order = np.argsort(place)[: size - len(prefix)]
                     prefix = np.concatenate([prefix, common[order]])
-                    codes = np.concatenate([codes, (place[order].astype(np.int64) + (1 << 31) + FREQUENT).astype(np.uint64)])
+                    codes = np.concatenate([codes, LATE + (place[order].astype(float) + FREQUENT) * ((65_535 - LATE) / FREQUENT)])
                 group = xxhash.xxh3_64_intdigest(prefix.tobytes(), seed=n)
                 at.append(k)
-                found.append((n, s, group, codes[:KNOWN_CODES].astype("<u4").tobytes()))
-                if not classes and group not in groups:
-                    groups.add(group)
-                    posted.append((group, n, prefix, n - _least_overlap(2 * n, num, num + den) + 1))
-            if not found:
-                continue
-            if classes:
-                g = np.array([x[2] for x in found], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([
-                    batch.column("row").take(pa.array(at, pa.int32())), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary()),
-                    pa.array(g), pa.array([x[3] for x in found], pa.binary()), *[pa.nulls(len(found), t) for t in kinds[5:]]], schema.names)
-                continue
-            sizes = [len(x[2]) for x in posted]
-            each = np.repeat(np.array([x[0] for x in posted], np.uint64), sizes).view(np.int64)
-            yield pa.RecordBatch.from_arrays([
-                pa.nulls(len(each), kinds[0]), pa.array(np.repeat([x[1] for x in posted], sizes), pa.int64()), pa.nulls(len(each), kinds[2]), pa.array(each), pa.nulls(len(each), kinds[4]),
-                pa.array(np.concatenate([np.empty(0, np.uint64), *[x[2] for x in posted]]).view(np.int64)),
-                pa.array(np.concatenate([np.empty(0, bool), *[np.arange(len(x[2])) < x[3] for x in posted]]), pa.bool_())], schema.names)
+                found.append((n, s, group - (1 << 64) if group >> 63 else group, codes[:KNOWN_CODES].astype("<u2").tobytes(),
+                              None if group in groups else prefix.astype("<u8").tobytes(), n - _least_overlap(2 * n, num, num + den) + 1))
+                groups.add(group)
+            if found:
+                yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(at, pa.int32())), *[pa.array(c, k) for c, k in zip(zip(*found), kinds)]], schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
+def _postings(classes: DataFrame) -> DataFrame:
+    """(shingle, group, n, short) of every posted shingle."""
+    schema = T.StructType([T.StructField("shingle", T.LongType()), T.StructField("group", T.LongType()), T.StructField("n", T.LongType()), T.StructField("short", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                prefixes = [np.frombuffer(x, "<i8") for x in part.column("prefix").to_pylist()]
+                sizes = np.array([len(x) for x in prefixes])
+                if not len(sizes):
+                    continue
+                place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                each = lambda c: np.repeat(part.column(c).to_numpy(), sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prefixes)), pa.array(each("group")), pa.array(each("n")), pa.array(place < each("short"))], schema.names)
+
+    return classes.where(F.col("prefix").isNotNull()).select("group", "n", "prefix", "short").mapInArrow(run, schema)
+
+
+def _shared(postings: DataFrame) -> DataFrame:
+    """(component, member, n): the groups of every posting list of two or more, equal lists once in a task.
+
+    A list is named by a hash of its groups, so equal lists of different shingles are one
+    component (and lists of one name would be compared as one, which loses nothing). A list longer
+    than LISTED is passed on under its shingle as it comes, not held.
+    """
+    schema = T.StructType([T.StructField("component", T.LongType()), T.StructField("member", T.LongType()), T.StructField("n", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)]
+        seen: set[int] = set()
+        streamed = None  # the shingle of a list that is being passed on
+
+        def lists(columns: list[np.ndarray], last: bool) -> tuple[list[np.ndarray], pa.RecordBatch | None]:
+            nonlocal streamed
+            shingle, group, n, short = columns
+            new = np.ones(len(shingle), bool)
+            new[1:] = (shingle[1:] != shingle[:-1]) | (group[1:] != group[:-1])  # a group that several tasks have posted
+            at = np.flatnonzero(new)
+            short = np.logical_or.reduceat(short, at) if len(at) else short
+            shingle, group, n = shingle[at], group[at], n[at]
+            starts = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]])) if len(shingle) else np.empty(0, int)
+            ends = np.append(starts[1:], len(shingle))
+            out = []
+            keep = 0 if last or not len(starts) else ends[-1] - starts[-1]  # the last list may go on
+            if keep and (keep > LISTED or shingle[-1] == streamed):
+                keep = 1  # so that a group posted twice across the cut is seen
+            for a, b in zip(starts.tolist(), ends.tolist()):
+                if shingle[a] == streamed or b - a > LISTED:
+                    streamed = shingle[a]
+                    out.append((np.full(b - a, shingle[a]), group[a:b], n[a:b]))
+                elif b - a > 1 and (last or b < len(shingle)) and short[a:b].any():
+                    name = xxhash.xxh3_64_intdigest(group[a:b].tobytes())
+                    if name not in seen:
+                        if len(seen) > REMEMBERED:
+                            seen.clear()
+                        seen.add(name)
+                        out.append((np.full(b - a, np.uint64(name)).view(np.int64), group[a:b], n[a:b]))
+            rest = [c[len(c) - keep :] for c in (shingle, group, n, short)] if keep else [c[:0] for c in columns]
+            return rest, pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema.names) if out else None
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("shingle", "group", "n", "short")]
+            held, made = lists([np.concatenate([x, y]) for x, y in zip(held, own)], False)
+            if made is not None:
+                yield made
+        _, made = lists(held, True)
+        if made is not None:
+            yield made
+
+    parts = max(int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return postings.repartition(parts, "shingle").sortWithinPartitions("shingle", "group").mapInArrow(run, schema)
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(member, shingles) of the documents whose text hash is wanted, and of a few more.
 
@@ -272,7 +332,7 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     column = np.repeat(np.cumsum(counts > 1) - 1, counts)
     shared = np.repeat(counts > 1, counts)
     column, owner = column[shared], owner[shared]
-    width = max(256, 16_000_000 // m)
+    width = max(256, 4_000_000 // m)
     for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         lo, hi = np.searchsorted(column, [at, at + width])
         dense = np.zeros((m, int(column[hi - 1]) - at + 1), np.float32)
@@ -429,17 +489,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     frequent = spark.sparkContext.broadcast((keys[order], -order.astype(np.int32)))  # the rarer comes first; bounded by FREQUENT
 
     texts = docs.select("row", "text")
-    classes = stored(_prefixes(texts, words, num, den, frequent, True).drop("shingle", "short"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    postings = _prefixes(texts, words, num, den, frequent, False).select("shingle", "group", "n", "short").repartition(parts, "shingle").dropDuplicates(["shingle", "group"])
-    lists = postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("m"), F.min("group").alias("a"), F.max("group").alias("b"), F.max("short").alias("s"),
-                                            F.bit_xor(F.xxhash64("group")).alias("x")).where("a < b AND s")
-    # posting lists of the same groups make the same pairs: one of them stands for all
-    common = lists.groupBy("m", "a", "b", "x").agg(F.min("shingle").alias("shingle")).select("shingle")
-    met = postings.join(common, "shingle", "left_semi").select(F.col("shingle").alias("component"), F.col("group").alias("member"), "n")
+    classes = stored(_prefixes(texts, words, num, den, frequent))
+    met = _shared(_postings(classes)).dropDuplicates(["component", "member"])
     codes = classes.groupBy(F.col("group").alias("member")).agg(F.min("codes").alias("codes"))
     pairs = block_pairs(written(met), num, den).join(codes, "member").withColumn("copies", F.lit(1))
-    edges = block_forests(pairs, "codes", "<u4", may_link, num, den).select(F.col("member").alias("a"), F.col("to").alias("b"))
+    edges = block_forests(pairs, "codes", "<u2", may_link, num, den).select(F.col("member").alias("a"), F.col("to").alias("b"))
     found = connected_components(edges).withColumnsRenamed({"node": "group", "label": "component"})
 
     copies = documents.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first_id"))
