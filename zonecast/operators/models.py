@@ -1,18 +1,21 @@
 """Demand regressors in ``pyspark.ml``.
 
-Every candidate is a ``Pipeline``: median ``Imputer`` -> ``VectorAssembler``
--> regressor. Fitting is distributed by Spark ML; the driver only loops over
-the short, fixed list of candidates and folds. The source's boosting
-libraries are not available, so their parameter profiles run on
-``GBTRegressor`` and carry their own names (``gbt_*_profile``); extra trees
-becomes ``rf_no_bootstrap``. No number of the source's models is claimed.
+Every candidate is a ``Pipeline``: ``MedianImputer`` -> ``VectorAssembler`` -> regressor of Spark ML, or
+``MedianImputer`` -> ``HistBoostedRegressor`` (``boosting``) for histogram boosting and the depth-wise and
+leaf-wise profiles. Fitting is distributed; the driver only loops over the short, fixed list of candidates and
+folds. The source's boosting libraries are not available, so their parameter profiles carry their own names
+(``gbt_*_profile``; the CatBoost one runs on ``GBTRegressor``); extra trees becomes ``rf_no_bootstrap``. No
+number of the source's models is claimed.
 """
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict
+
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +24,9 @@ from zonecast.config import ALL_FEATURES, TARGET
 from zonecast.operators import gram as GR
 from zonecast.operators import metrics as M
 from zonecast.operators import splits as S
+from zonecast.operators.boosting import BoostParams, HistBoostedRegressor
 from zonecast.operators.common import row_numbers, scalar_row
+from zonecast.operators.stages import LogTargetInverse, MedianImputer
 
 SEED = 42
 
@@ -35,16 +40,18 @@ PROFILES = {
                         {"numTrees": 220, "maxDepth": 30, "minInstancesPerNode": 2}),
     "gradient_boosting": ({"maxIter": 150, "stepSize": 0.05, "maxDepth": 4},
                           {"maxIter": 250, "stepSize": 0.05, "maxDepth": 4}),
-    "hist_gradient_boosting": ({"maxIter": 220, "stepSize": 0.05, "maxDepth": 8, "minInstancesPerNode": 20},
-                               {"maxIter": 320, "stepSize": 0.05, "maxDepth": 8, "minInstancesPerNode": 20}),
-    "gbt_xgboost_profile": ({"maxIter": 220, "stepSize": 0.05, "maxDepth": 6, "subsamplingRate": 0.85},
-                            {"maxIter": 350, "stepSize": 0.05, "maxDepth": 6, "subsamplingRate": 0.85}),
-    "gbt_lightgbm_profile": ({"maxIter": 250, "stepSize": 0.05, "maxDepth": 6, "subsamplingRate": 0.85},
-                             {"maxIter": 400, "stepSize": 0.05, "maxDepth": 6, "subsamplingRate": 0.85}),
+    "hist_gradient_boosting": ({"trees": 220, "max_leaves": 31, "max_depth": 8, "min_leaf": 20, "l2": 0.1},
+                               {"trees": 320, "max_leaves": 31, "max_depth": 8, "min_leaf": 20, "l2": 0.1}),
+    "gbt_xgboost_profile": ({"trees": 220, "max_leaves": None, "max_depth": 6, "min_leaf": 1, "l2": 1.0,
+                             "subsample": 0.85, "colsample": 0.85},
+                            {"trees": 350, "max_leaves": None, "max_depth": 6, "min_leaf": 1, "l2": 1.0,
+                             "subsample": 0.85, "colsample": 0.85}),
+    "gbt_lightgbm_profile": ({"trees": 250, "max_leaves": 63, "min_leaf": 20, "subsample": 0.85, "colsample": 0.85},
+                             {"trees": 400, "max_leaves": 63, "min_leaf": 20, "subsample": 0.85, "colsample": 0.85}),
     "gbt_catboost_profile": ({"maxIter": 220, "stepSize": 0.05, "maxDepth": 8},
                              {"maxIter": 400, "stepSize": 0.05, "maxDepth": 8}),
 }
-COLSAMPLE = {"gbt_xgboost_profile": "0.85", "gbt_lightgbm_profile": "0.85"}
+HIST_BOOSTED = ("hist_gradient_boosting", "gbt_xgboost_profile", "gbt_lightgbm_profile")
 
 # A smoke-size profile for checks on small data: same families and settings,
 # fewer and shallower trees. Not used by the training plan.
@@ -52,9 +59,9 @@ QUICK_OVERRIDES = {
     "random_forest": {"numTrees": 20, "maxDepth": 8},
     "rf_no_bootstrap": {"numTrees": 20, "maxDepth": 8},
     "gradient_boosting": {"maxIter": 20},
-    "hist_gradient_boosting": {"maxIter": 20, "maxDepth": 6},
-    "gbt_xgboost_profile": {"maxIter": 20},
-    "gbt_lightgbm_profile": {"maxIter": 20},
+    "hist_gradient_boosting": {"trees": 20},
+    "gbt_xgboost_profile": {"trees": 20},
+    "gbt_lightgbm_profile": {"trees": 20},
     "gbt_catboost_profile": {"maxIter": 20, "maxDepth": 6},
 }
 CANDIDATES = list(PROFILES)
@@ -79,22 +86,21 @@ def _regressor(name: str, params: dict, label: str, train: DataFrame | None):
     if name == "rf_no_bootstrap":
         return RandomForestRegressor(featuresCol="features", labelCol=label, bootstrap=False,
                                      featureSubsetStrategy="onethird", seed=SEED, **params)
-    gbt = GBTRegressor(featuresCol="features", labelCol=label, seed=SEED, maxBins=255 if name == "hist_gradient_boosting" else 32,
-                       **params)
-    if name in COLSAMPLE:
-        gbt.setFeatureSubsetStrategy(COLSAMPLE[name])
-    return gbt
+    return GBTRegressor(featuresCol="features", labelCol=label, seed=SEED, **params)
 
 
 def build_pipeline(name: str, profile: str = "final", features: list[str] = ALL_FEATURES, label: str = TARGET,
                    train: DataFrame | None = None, overrides: dict | None = None) -> Pipeline:
-    """Median imputer + assembler + regressor for one candidate."""
+    """Median imputer, assembler where the regressor needs one, and regressor of one candidate."""
     if name not in PROFILES:
         raise ValueError(f"unknown model: {name}")
     params = dict(PROFILES[name][0 if profile == "cv" else 1])
     params.update(overrides or {})
     imputed = [f"{c}__imp" for c in features]
-    imputer = Imputer(strategy="median", relativeError=0.0, inputCols=features, outputCols=imputed)
+    imputer = MedianImputer(inputCols=features, outputCols=imputed)
+    if name in HIST_BOOSTED:
+        boost = json.dumps(asdict(BoostParams(seed=SEED, **params)))
+        return Pipeline(stages=[imputer, HistBoostedRegressor(inputCols=imputed, labelCol=label, boost=boost)])
     assembler = VectorAssembler(inputCols=imputed, outputCol="features", handleInvalid="error")
     return Pipeline(stages=[imputer, assembler, _regressor(name, params, label, train)])
 
@@ -141,20 +147,16 @@ def from_log_standardised(df: DataFrame, stats: DataFrame, col: str, out_col: st
                                              F.lit(0.0)))
 
 
-def fit_log_standardised(name: str, train: DataFrame, profile: str = "final", label: str = TARGET, **kw):
-    """Fit on ``(log1p(y) - mean) / std`` (population std); returns (model, mean, std).
+def fit_log_standardised(name: str, train: DataFrame, profile: str = "final", label: str = TARGET, **kw) -> PipelineModel:
+    """A pipeline fitted on ``(log1p(y) - mean) / std`` whose last stage undoes that (G11); ``predict`` and
+    ``save_model`` take it like any other.
 
     The two fitted numbers are model state, so they are read back once.
     """
     st = log_target_stats(train, label).first()
     m, s = float(st["log_mean"]), float(st["log_std"])
     t = train.withColumn("_y_t", (_log_target(label) - F.lit(m)) / F.lit(s))
-    return fit(name, t, profile, label="_y_t", **kw), m, s
-
-
-def predict_log_standardised(model, mean: float, std: float, df: DataFrame, out_col: str = "predicted_demand"):
-    p = predict(model, df, out_col="_p_t")
-    return p.withColumn(out_col, F.greatest(F.expm1(F.col("_p_t") * F.lit(std) + F.lit(mean)), F.lit(0.0))).drop("_p_t")
+    return PipelineModel([*fit(name, t, profile, label="_y_t", **kw).stages, LogTargetInverse(mean=m, std=s)])
 
 
 # ---- G15 holdout comparison, G14 walk-forward CV ---------------------------
@@ -219,7 +221,7 @@ def native_importance(model: PipelineModel, features: list[str] = ALL_FEATURES):
     Returns a DataFrame built from the fitted model's metadata (one value per
     feature), or None when the model has neither.
     """
-    est = model.stages[-1]
+    est = next(s for s in reversed(model.stages) if not isinstance(s, LogTargetInverse))
     from pyspark.sql import SparkSession
 
     ss = SparkSession.getActiveSession()
