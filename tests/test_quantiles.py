@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 
-from zonecast.operators.quantiles import exact_quantiles, quantile_columns
+from zonecast.operators.quantiles import exact_quantiles, quantile_columns, rollup_quantile_columns
 
 
 def test_matches_numpy_with_hot_group(spark):
@@ -45,3 +45,20 @@ def test_releases_persisted_intermediate(spark):
     out = quantile_columns(df, ["g"], "v", {"p50": 0.5})
     assert out.count() == 3
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_rollup_counts_values_once_for_groups_and_total(spark):
+    rng = np.random.default_rng(13)
+    h = np.concatenate([np.zeros(4000, int), rng.integers(1, 5, 1500)])  # a hot group
+    pdf = pd.DataFrame({"h": h, "x": np.round(rng.normal(0, 5, len(h)), 1), "y": rng.integers(0, 3, len(h)).astype(float)})
+    pdf.loc[::7, "x"] = None
+    df = spark.createDataFrame(pdf).repartition(6)
+    df = df.unionByName(spark.createDataFrame([(None, 1000.0, 1.0)], df.schema))  # no group: in the total only
+    got = rollup_quantile_columns(df, "h", {"mx": ("x", 0.5), "px": ("x", 0.9), "my": ("y", 0.5)}, num_partitions=9).toPandas()
+    assert len(got) == 6 and dict(df.dtypes)["h"] == str(rollup_quantile_columns(df, "h", {"m": ("x", 0.5)}).dtypes[0][1])
+    for _, r in got[got._total == 0].iterrows():
+        sub = pdf[pdf.h == r.h]
+        assert np.allclose([r.mx, r.px, r.my], [sub.x.median(), sub.x.quantile(0.9), sub.y.median()])
+    total = got[got._total == 1].iloc[0]
+    x = pd.concat([pdf.x, pd.Series([1000.0])])
+    assert pd.isna(total.h) and np.allclose([total.mx, total.px], [x.median(), x.quantile(0.9)])

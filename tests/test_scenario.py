@@ -38,3 +38,10 @@ def test_fallback_levels(spark):
         assert np.isclose(r["dow_sin"], np.sin(2 * np.pi * int(sub["day_of_week"].median()) / 7))
         assert r["is_peak_hour"] == int(key[1] in (7, 8, 9, 16, 17, 18, 19))
     assert list(context_rows(df, req).columns) == ["pickup_zone", "context_level"] + ALL_FEATURES
+
+
+def test_empty_table_gives_empty_features(spark):
+    pdf, df = prepared(spark)
+    req = spark.createDataFrame([("a", 1)], "pickup_zone string, hour int")
+    r = context_rows(df.limit(0), req).collect()
+    assert len(r) == 1 and r[0]["context_level"] == "all" and r[0]["lag_24"] == 0.0 and r[0]["day_of_week"] == 0

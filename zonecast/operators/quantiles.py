@@ -34,13 +34,17 @@ from pyspark import StorageLevel
 
 
 def _order_statistics(df: DataFrame, group_cols: list[str], value_col: str, probs: list[float],
-                      num_partitions: int | None) -> tuple[DataFrame, list[str], DataFrame]:
-    """Rows (group..., q, side, _pos, _v): the lower/upper order statistic around q(n-1) per group."""
+                      num_partitions: int | None, count_col: str | None = None) -> tuple[DataFrame, list[str], DataFrame]:
+    """Rows (group..., q, side, _pos, _v): the lower/upper order statistic around q(n-1) per group.
+
+    With ``count_col`` a row stands for so many equal values.
+    """
     g = list(group_cols) or ["_all"]
     src = df if group_cols else df.withColumn("_all", F.lit(0))
     v = F.col(value_col).cast("double")
-    base = src.select(*g, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    counts = base.groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    n = F.lit(1) if count_col is None else F.col(count_col)
+    base = src.select(*g, v.alias("_v"), n.cast("long").alias("_c")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    counts = base.groupBy(*g, "_v").agg(F.sum("_c").alias("_c"))
     parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = (counts.repartitionByRange(parts, *g, "_v").withColumn("_pid", F.spark_partition_id())
               .persist(StorageLevel.MEMORY_AND_DISK))
@@ -124,10 +128,41 @@ def multi_quantile_columns(df: DataFrame, group_cols: list[str] | tuple[str, ...
     """
     cols = sorted({c for c, _ in named.values()})
     probs = sorted({float(p) for _, p in named.values()})
-    stacked = df.select(*group_cols, F.explode(F.array(*[
+    hits, _, ranged = _order_statistics(_stacked(df, group_cols, cols), list(group_cols) + ["_col"], "_val", probs,
+                                        num_partitions)
+    return _wide(hits, ranged, group_cols, named)
+
+
+def rollup_quantile_columns(df: DataFrame, group_col: str, named: dict[str, tuple[str, float]],
+                            num_partitions: int | None = None) -> DataFrame:
+    """``multi_quantile_columns`` by one column (text or whole numbers) and, in the row with ``_total`` = 1 (0 else)
+    and no group, over all rows. Rows without a group count in the total only.
+
+    Rows are reduced to (group, column, value, n) once; the counts of all rows are sums of the groups', so the
+    total level costs no second pass and no second copy of the rows.
+    """
+    cols = sorted({c for c, _ in named.values()})
+    probs = sorted({float(p) for _, p in named.values()})
+    counts = _stacked(df, [group_col], cols).groupBy(group_col, "_col", "_val").agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.groupBy("_col", "_val").agg(F.sum("_n").alias("_n"))
+    # the groups are joined on, so the total has a text as its key, not NULL
+    both = (counts.where(F.col(group_col).isNotNull())
+            .select(F.col(group_col).cast("string").alias("_key"), F.lit(0).alias("_total"), "_col", "_val", "_n")
+            .unionByName(total.select(F.lit("").alias("_key"), F.lit(1).alias("_total"), "_col", "_val", "_n")))
+    hits, _, ranged = _order_statistics(both, ["_key", "_total", "_col"], "_val", probs, num_partitions, count_col="_n")
+    group = F.when(F.col("_total") == 0, F.col("_key")).cast(df.schema[group_col].dataType).alias(group_col)
+    return _wide(hits, ranged, ["_key", "_total"], named).select(group, "_total", *named)
+
+
+def _stacked(df: DataFrame, group_cols, cols: list[str]) -> DataFrame:
+    """(group_cols..., _col, _val): a row for each value column."""
+    return df.select(*group_cols, F.explode(F.array(*[
         F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_val")) for c in cols])).alias("_s")) \
         .select(*group_cols, "_s._col", "_s._val")
-    hits, _, ranged = _order_statistics(stacked, list(group_cols) + ["_col"], "_val", probs, num_partitions)
+
+
+def _wide(hits: DataFrame, ranged: DataFrame, group_cols, named: dict[str, tuple[str, float]]) -> DataFrame:
+    """One row per group with a column for each named quantile."""
 
     def pick(c, p, side):
         return F.max(F.when((F.col("_col") == F.lit(c)) & (F.col("q") == F.lit(float(p)))

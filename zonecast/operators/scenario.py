@@ -35,7 +35,7 @@ def zone_hour_requests(prepared: DataFrame) -> DataFrame:
 
 def context_rows(prepared: DataFrame, requests: DataFrame) -> DataFrame:
     """Feature row per request (zone, hour) in model feature order (K1)."""
-    from zonecast.operators.quantiles import multi_quantile_columns
+    from zonecast.operators.quantiles import rollup_quantile_columns
 
     med_cols = INT_MEDIAN + FLOAT_MEDIAN
     # (zone, hour) and zone groups hold at most one row per day / hour of the
@@ -48,14 +48,12 @@ def context_rows(prepared: DataFrame, requests: DataFrame) -> DataFrame:
     zh = levels.where(F.col("_gid") == 0).select("pickup_zone", "hour", *[F.col(c).alias(f"zh_{c}") for c in med_cols])
     z = levels.where(F.col("_gid") == 1).select("pickup_zone", *[F.col(c).alias(f"z_{c}") for c in med_cols],
                                                  F.lit(True).alias("_z"))
-    # hour and all-rows levels span every zone: distributed exact medians in one pass
-    # (the all-rows level is the key hour = -1)
-    both = prepared.select(F.explode(F.array(F.col("hour").cast("int"), F.lit(-1))).alias("_level_hour"), *med_cols)
-    lv = multi_quantile_columns(both, ["_level_hour"], {c: (c, 0.5) for c in med_cols})
-    h = lv.where(F.col("_level_hour") >= 0).select(F.col("_level_hour").alias("hour"),
-                                                   *[F.col(c).alias(f"h_{c}") for c in med_cols],
-                                                   F.lit(True).alias("_h"))
-    a = lv.where(F.col("_level_hour") == -1).select(*[F.col(c).alias(f"a_{c}") for c in med_cols])
+    # hour and all-rows levels span every zone: distributed exact medians from one table of value counts
+    lv = rollup_quantile_columns(prepared.select(F.col("hour").cast("int").alias("hour"), *[c for c in med_cols if c != "hour"]),
+                                 "hour", {c: (c, 0.5) for c in med_cols})
+    h = lv.where(F.col("_total") == 0).select("hour", *[F.col(c).alias(f"h_{c}") for c in med_cols], F.lit(True).alias("_h"))
+    # an aggregate, so that an empty table gives a row of NULLs too
+    a = lv.where(F.col("_total") == 1).agg(*[F.max(c).alias(f"a_{c}") for c in med_cols])
     zh = zh.withColumn("_zh", F.lit(True))
     j = (requests.join(zh, on=["pickup_zone", "hour"], how="left")
          .join(z, on="pickup_zone", how="left")

@@ -107,12 +107,30 @@ def q_demand_kde(spark, sf):
     return EDA.kde_curve(panel(spark, sf), "demand", 200)
 
 
+@register("residual_density", O.with_ctes("pred_test")[:-1] + f""",
+stats AS (SELECT count(error) AS n, stddev_samp(error) * pow(CAST(count(error) AS DOUBLE), {O.d(-0.2)}) AS bw,
+    min(error) AS lo, max(error) AS hi, (max(error) - min(error)) / {O.d(199)} AS step FROM pred_test),
+placed AS (SELECT (error - lo) / step AS place, least(CAST(floor((error - lo) / step) AS INTEGER), 198) AS b
+    FROM pred_test, stats WHERE hi > lo),
+weights AS (SELECT b, 1 - (place - b) AS w FROM placed UNION ALL SELECT b + 1, place - b FROM placed)
+SELECT CAST(g AS INTEGER) AS g, lo + g * step AS x,
+  sum(w * exp({O.d(-0.5)} * ((g - b) * step / bw) * ((g - b) * step / bw))) * {O.d(1 / math.sqrt(2 * math.pi))}
+    / (n * bw) AS density
+FROM weights, stats, range(0, 200) r(g) GROUP BY g, lo, step, n, bw""")
+def q_residual_density(spark, sf):
+    """Density of the test residuals over their histogram."""
+    return EDA.binned_density(test_predictions(spark, sf), "error", 200)
+
+
 # ---- K1-K5 dashboard ------------------------------------------------------
 _FLOAT_SQL = SC.FLOAT_MEDIAN
 _INT_SQL = SC.INT_MEDIAN
 
 
-def _ctx_sql() -> str:
+_ZONE_HOURS = "SELECT pickup_zone, CAST(hour AS INTEGER) AS hour FROM (SELECT DISTINCT pickup_zone FROM mf), range(0, 24) t(hour)"
+
+
+def _ctx_sql(requests: str = _ZONE_HOURS) -> str:
     cols = _INT_SQL + _FLOAT_SQL
 
     def meds(prefix):
@@ -141,7 +159,7 @@ def _ctx_sql() -> str:
     level = ("CASE WHEN zh.pickup_zone IS NOT NULL THEN 'zone_hour' WHEN z.pickup_zone IS NOT NULL THEN 'zone' "
              "WHEN h.hour IS NOT NULL THEN 'hour' ELSE 'all' END")
     return O.with_ctes("mf")[:-1] + f""",
-req AS (SELECT pickup_zone, CAST(hour AS INTEGER) AS hour FROM (SELECT DISTINCT pickup_zone FROM mf), range(0, 24) t(hour)),
+req AS ({requests}),
 zh AS (SELECT pickup_zone, hour, {meds('zh_')} FROM mf GROUP BY pickup_zone, hour),
 z AS (SELECT pickup_zone, {meds('z_')} FROM mf GROUP BY pickup_zone),
 h AS (SELECT hour, {meds('h_')} FROM mf GROUP BY hour),
@@ -163,6 +181,22 @@ def q_context_rows(spark, sf):
     return _context(spark, sf)
 
 
+_UNSEEN = "unseen zone"
+
+
+@register("context_levels", _ctx_sql(f"""SELECT pickup_zone, CAST(hour AS INTEGER) AS hour
+  FROM (SELECT DISTINCT pickup_zone FROM mf UNION ALL SELECT '{_UNSEEN}'), range(0, 25) t(hour)""") + "SELECT * FROM ctx")
+def q_context_levels(spark, sf):
+    """Context rows of requests that reach every fallback level.
+
+    Known zones and an unseen one, each with the hours of the day and one that no row has: zone and hour, zone
+    alone, hour alone and all rows.
+    """
+    mf = model_rows(spark, sf)
+    zones = mf.select("pickup_zone").distinct().unionByName(spark.range(1).select(F.lit(_UNSEEN).alias("pickup_zone")))
+    return SC.context_rows(mf, zones.select("pickup_zone", F.explode(F.sequence(F.lit(0), F.lit(24))).alias("hour")))
+
+
 _KPI_CFG = PriceConfig()
 
 

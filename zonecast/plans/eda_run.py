@@ -68,6 +68,7 @@ def write_diagnostic_tables(spark: SparkSession, selection: DataFrame, test_pred
     write_table(_sampled(test_pred, sample_rows).select("actual_demand", "predicted_demand", "error"),
                 f"{out}/actual_vs_predicted_sample")
     write_table(EDA.histogram(test_pred, "error", 50), f"{out}/residual_histogram")
+    write_table(EDA.binned_density(test_pred, "error", 200), f"{out}/residual_density")
     write_table(EDA.mae_by(test_pred, "hour"), f"{out}/error_by_hour")
     write_table(EDA.top_mae_zones(test_pred, 15), f"{out}/error_by_zone_top15")
     write_table(EDA.mae_by(test_pred, "is_peak_hour"), f"{out}/error_peak_vs_nonpeak")
