@@ -2,10 +2,9 @@
 
 Every candidate is a ``Pipeline``: ``MedianImputer`` -> ``VectorAssembler`` -> regressor of Spark ML, or
 ``MedianImputer`` -> ``HistBoostedRegressor`` (``boosting``) for histogram boosting and the depth-wise and
-leaf-wise profiles. Fitting is distributed; the driver only loops over the short, fixed list of candidates and
+leaf-wise profiles, or ``ExtraTreesRegressor`` (``extra_trees``). Fitting is distributed; the driver only loops over the short, fixed list of candidates and
 folds. The source's boosting libraries are not available, so their parameter profiles carry their own names
-(``gbt_*_profile``; the CatBoost one runs on ``GBTRegressor``); extra trees becomes ``rf_no_bootstrap``. No
-number of the source's models is claimed.
+(``gbt_*_profile``; the CatBoost one runs on ``GBTRegressor``). No number of the source's models is claimed.
 """
 
 from __future__ import annotations
@@ -26,6 +25,7 @@ from zonecast.operators import metrics as M
 from zonecast.operators import splits as S
 from zonecast.operators.boosting import BoostParams, HistBoostedRegressor
 from zonecast.operators.common import row_numbers, scalar_row
+from zonecast.operators.extra_trees import ExtraTreesParams, ExtraTreesRegressor
 from zonecast.operators.stages import LogTargetInverse, MedianImputer
 
 SEED = 42
@@ -36,8 +36,7 @@ PROFILES = {
     "ridge_regression": ({"alpha": 1.0}, {"alpha": 1.0}),
     "random_forest": ({"numTrees": 120, "maxDepth": 16, "minInstancesPerNode": 5},
                       {"numTrees": 180, "maxDepth": 20, "minInstancesPerNode": 4}),
-    "rf_no_bootstrap": ({"numTrees": 160, "maxDepth": 30, "minInstancesPerNode": 3},
-                        {"numTrees": 220, "maxDepth": 30, "minInstancesPerNode": 2}),
+    "extra_trees": ({"trees": 160, "min_leaf": 3}, {"trees": 220, "min_leaf": 2}),
     "gradient_boosting": ({"maxIter": 150, "stepSize": 0.05, "maxDepth": 4},
                           {"maxIter": 250, "stepSize": 0.05, "maxDepth": 4}),
     "hist_gradient_boosting": ({"trees": 220, "max_leaves": 31, "max_depth": 8, "min_leaf": 20, "l2": 0.1},
@@ -57,7 +56,6 @@ HIST_BOOSTED = ("hist_gradient_boosting", "gbt_xgboost_profile", "gbt_lightgbm_p
 # fewer and shallower trees. Not used by the training plan.
 QUICK_OVERRIDES = {
     "random_forest": {"numTrees": 20, "maxDepth": 8},
-    "rf_no_bootstrap": {"numTrees": 20, "maxDepth": 8},
     "gradient_boosting": {"maxIter": 20},
     "hist_gradient_boosting": {"trees": 20},
     "gbt_xgboost_profile": {"trees": 20},
@@ -83,9 +81,6 @@ def _regressor(name: str, params: dict, label: str, train: DataFrame | None):
     if name == "random_forest":
         return RandomForestRegressor(featuresCol="features", labelCol=label, featureSubsetStrategy="all",
                                      seed=SEED, **params)
-    if name == "rf_no_bootstrap":
-        return RandomForestRegressor(featuresCol="features", labelCol=label, bootstrap=False,
-                                     featureSubsetStrategy="onethird", seed=SEED, **params)
     return GBTRegressor(featuresCol="features", labelCol=label, seed=SEED, **params)
 
 
@@ -98,6 +93,9 @@ def build_pipeline(name: str, profile: str = "final", features: list[str] = ALL_
     params.update(overrides or {})
     imputed = [f"{c}__imp" for c in features]
     imputer = MedianImputer(inputCols=features, outputCols=imputed)
+    if name == "extra_trees":
+        settings = json.dumps(asdict(ExtraTreesParams(seed=SEED, **params)))
+        return Pipeline(stages=[imputer, ExtraTreesRegressor(inputCols=imputed, labelCol=label, settings=settings)])
     if name in HIST_BOOSTED:
         boost = json.dumps(asdict(BoostParams(seed=SEED, **params)))
         return Pipeline(stages=[imputer, HistBoostedRegressor(inputCols=imputed, labelCol=label, boost=boost)])

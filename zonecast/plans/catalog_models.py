@@ -12,7 +12,7 @@ from zonecast.plans import oracle as O
 from zonecast.plans.catalog import present, register, split_rows
 
 LINEAR = ["linear_regression", "ridge_regression"]
-TREES = ["random_forest", "rf_no_bootstrap", "gradient_boosting", "hist_gradient_boosting"]
+TREES = ["random_forest", "gradient_boosting"]
 BOOSTED_PROFILES = ["gbt_xgboost_profile", "gbt_lightgbm_profile", "gbt_catboost_profile"]
 
 
@@ -67,6 +67,18 @@ def q_ml_holdout_trees_quick(spark, sf):
     return ML.holdout_comparison(split_rows(spark, sf), TREES + BOOSTED_PROFILES, "final", ML.QUICK_OVERRIDES)
 
 
+@register("ml_holdout_extra_trees")
+def q_ml_holdout_extra_trees(spark, sf):
+    """Extremely randomised trees with their real profile: 220 trees without a depth cap."""
+    return ML.holdout_comparison(split_rows(spark, sf), ["extra_trees"], "final")
+
+
+@register("ml_holdout_hist_boosting")
+def q_ml_holdout_hist_boosting(spark, sf):
+    """Histogram boosting with its real profile: 320 trees, 31 leaves, depth 8, L2 0.1."""
+    return ML.holdout_comparison(split_rows(spark, sf), ["hist_gradient_boosting"], "final")
+
+
 @register("ml_walk_forward_cv_linear")
 def q_ml_walk_forward_cv_linear(spark, sf):
     train = split_rows(spark, sf).where(F.col("split") == "train").drop("split")
