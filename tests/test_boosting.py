@@ -133,6 +133,8 @@ def test_odd_frames(spark):
     assert B.fit_boosted(unlabelled, COLS, "y", p) == B.fit_boosted(df, COLS, "y", p)
     with pytest.raises(ValueError):
         B.fit_boosted(df, COLS, "y", B.BoostParams(max_bins=256))
+    with pytest.raises(ValueError):
+        B.fit_boosted(df, COLS, "y", B.BoostParams(max_leaves=None))
 
 
 def model_frame(spark, n=300):

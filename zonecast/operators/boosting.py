@@ -341,6 +341,8 @@ def fit_boosted(df: DataFrame, features: list[str], label: str, p: BoostParams)
     spark = df.sparkSession
     if not 2 <= p.max_bins <= 255:
         raise ValueError("max_bins must be 2 to 255")
+    if p.max_leaves is None and p.max_depth is None:
+        raise ValueError("max_leaves or max_depth must bound a tree: the driver holds sums for each open leaf")
     y = F.col(label).cast("double")
     rows = df.where(y.isNotNull() & ~F.isnan(y)).select(*[F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)],
                                                         y.alias("y"))

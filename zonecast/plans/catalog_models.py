@@ -16,7 +16,7 @@ TREES = ["random_forest", "gradient_boosting"]
 BOOSTED_PROFILES = ["gbt_xgboost_profile", "gbt_lightgbm_profile", "gbt_catboost_profile"]
 
 
-# planted gaps: by hour, so that a column loses some values, another all of a day's first hours, one all it has
+# planted gaps: a column loses a day's first hours, another every third hour, the last all its values
 _GAPS = {"lag_1": "hour < 5", "rolling_std_24": "hour % 3 = 0", "expanding_mean_zone": "pickup_zone IS NOT NULL"}
 _KEYS = ["pickup_zone", "pickup_date", "hour"]
 
