@@ -9,7 +9,7 @@ from zonecast.functions.pricing import reference_price
 from zonecast.operators.clean import clean_trips, cleaning_summary
 from zonecast.operators.eda import correlation_long
 from zonecast.operators.lags import prepare_model_data
-from zonecast.sources.trips import parse_raw_trips, typed_raw_trips
+from zonecast.sources.trips import parse_raw_trips, timestamp, typed_raw_trips
 
 GOOD = {
     "VendorID": "1", "tpep_pickup_datetime": "2024-01-02 10:00:00", "tpep_dropoff_datetime": "2024-01-02 10:20:00", "passenger_count": "1",
@@ -79,3 +79,14 @@ def test_bounds_reach_a_typed_parquet_scan(spark, tmp_path):
     pushed = plan[plan.index("PushedFilters"):]
     assert "GreaterThanOrEqual(trip_distance" in pushed and "LessThanOrEqual(trip_distance" in pushed
     assert "GreaterThanOrEqual(pickup_latitude" in pushed and clean.count() == 1
+
+
+def test_timestamps_that_are_not_iso(spark):
+    texts = ["2024-01-02 10:00:00", "01/02/2024 10:20:30 PM", "1/2/2024 12:05 am", "2024/01/02 23:59", "20240102", "20240102 10:11:12", "25/12/2024 01:02:03",
+             "02-Jan-2024 10:00", "January 2, 2024 4:05:06.5 PM", "Jan 2 2024", " 1/2/2024 ", "2024.1.2 7:08:09.123456", "2 Sept 2024, 13:00", "2024-01-02T10:00:00"]
+    bad = ["soon", "13/13/2024", "02/30/2024", "1/2/2024 25:00", "1/2/2024 13:00 PM", "1/2/2024 0:30 AM", "Foo 2 2024", "1/2/24x", "", None, "20241301", "12:30"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + bad)], "i int, t string")
+    got = [r[0] for r in df.orderBy("i").select(timestamp(F.col("t"))).collect()]
+    assert got[: len(texts)] == [pd.to_datetime(t).to_pydatetime() for t in texts]
+    assert got[len(texts):] == [None] * len(bad)
+    assert df.where("i = 1").select(timestamp(F.col("t"), day_first=True)).first()[0] == pd.Timestamp("2024-02-01 22:20:30")

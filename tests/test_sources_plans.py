@@ -56,7 +56,19 @@ def test_end_to_end_plans(spark):
     assert s["raw_rows"] == 1000 and s["clean_rows"] == 808 and s["demand_panel_rows"] == 762
     trained = train_models(spark, panel, f"{out}/artifacts", ["linear_regression", "ridge_regression"])
     assert trained["best_model"] in ("linear_regression", "ridge_regression")
-    res = run_pricing(spark, panel, f"{out}/final", trained["model"], model_name=trained["best_model"])
+    res = run_pricing(spark, panel, f"{out}/final", trained["model"], model_name=trained["best_model"],
+                      model_summary=spark.read.json(f"{out}/artifacts/model_metrics"),
+                      cv_summary=spark.read.parquet(f"{out}/artifacts/cross_validation_summary"))
+    report = spark.read.json(f"{out}/final/final_report").first()
+    assert report.model_summary.best_model == trained["best_model"] and len(report.model_summary.selection_table) == 2
+    assert report.model_summary.feature_importance_method == "native_importance_or_coefficients"
+    assert spark.read.json(f"{out}/artifacts/feature_importance_meta").first().method == "native_importance_or_coefficients"
+    lines = [r.value for r in spark.read.text(f"{out}/final/run_summary").collect()]
+    assert lines[7:9] == ["", "Top CV models:"] and len(lines) == 11
+    best = spark.read.parquet(f"{out}/artifacts/cross_validation_summary").orderBy("cv_val_mae_mean", "model_name").first()
+    assert lines[9].startswith(f"{best.model_name}  val MAE {best.cv_val_mae_mean:.4f}")
+    bare = run_pricing(spark, panel, f"{out}/bare")
+    assert bare["summary"].count() == 1 and len(spark.read.text(f"{out}/bare/run_summary").collect()) == 7
     assert res["simulation"].count() > 0
     for sub in ("data/demand_panel", "artifacts/model", "artifacts/model_metrics", "final/final_report",
                 "final/run_summary", "final/revenue_curve"):

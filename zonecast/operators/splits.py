@@ -165,5 +165,5 @@ def representative_row(df: DataFrame, col: str = "demand",
 
 
 def in_dates(df: DataFrame, dates: DataFrame, date_col: str = "pickup_date") -> DataFrame:
-    """Membership filter by a date table (F5): a left-semi join."""
-    return df.join(F.broadcast(dates.select(date_col).distinct()), on=date_col, how="left_semi")
+    """Membership filter by a date table (F5): a left-semi join, broadcast or not by the size that Spark measures."""
+    return df.join(dates.select(date_col).distinct(), on=date_col, how="left_semi")

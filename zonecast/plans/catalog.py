@@ -27,7 +27,7 @@ from zonecast.plans import oracle as O
 from zonecast.session import ensure_checkpoint_dir
 from zonecast.sources import panel_store as PS
 from zonecast.sources.sinks import shared_dir, write_table
-from zonecast.sources.trips import parse_raw_trips, raw_trips, read_raw_trips_csv
+from zonecast.sources.trips import TIMESTAMP_COLUMNS, parse_raw_trips, raw_trips, read_raw_trips_csv
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -139,10 +139,14 @@ SELECT CAST(count(*) AS BIGINT) AS raw_rows,
   CAST(count(*) - (SELECT count(*) FROM clean WHERE NOT ({_NO_DISTANCE} OR {_BAD_FARE} OR {_NAN_TIP})) AS BIGINT) AS removed_rows
 FROM trips""")
 def q_cleaning_summary_csv(spark, sf):
-    """The trips written as CSV text with planted faults, read back by header and typed."""
+    """The trips written as CSV text with planted faults, read back by header and typed.
+
+    One vendor writes its times month first, with twelve hours.
+    """
     raw = trips(spark, sf)
     text = {"trip_distance": F.when(F.expr(_NO_DISTANCE), "NA"), "fare_amount": F.when(F.expr(_BAD_FARE), "abc"),
-            "tip_amount": F.when(F.expr(_NAN_TIP), "NaN")}
+            "tip_amount": F.when(F.expr(_NAN_TIP), "NaN"),
+            **{c: F.when(F.col("VendorID") == 1, F.date_format(c, "MM/dd/yyyy hh:mm:ss a")) for c in TIMESTAMP_COLUMNS}}
     path = shared_dir(spark, "zonecast-csv", uuid.uuid4().hex)
     write_table(raw.select(*[F.coalesce(text.get(c, F.lit(None)), F.col(c).cast("string")).alias(c) for c in RAW_COLUMNS]), path, fmt="csv")
     return C.cleaning_summary(parse_raw_trips(read_raw_trips_csv(spark, path)))

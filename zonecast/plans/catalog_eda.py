@@ -6,13 +6,15 @@ import math
 
 from pyspark.sql import functions as F
 
-from zonecast.config import ALL_FEATURES, PANEL_COLUMNS, PriceConfig
+from zonecast.config import ALL_FEATURES, PANEL_COLUMNS, TRAIN_RATIO, PriceConfig
+from zonecast.operators import clean as C
 from zonecast.operators import eda as EDA
+from zonecast.operators import gram as GR
 from zonecast.operators import pricing as PR
 from zonecast.operators import scenario as SC
 from zonecast.operators.forecast import rule_forecast
 from zonecast.plans import oracle as O
-from zonecast.plans.catalog import model_rows, panel, present, register, test_predictions
+from zonecast.plans.catalog import bounds, model_rows, panel, present, register, test_predictions
 
 # ---- D8 mean demand by each key (one GROUPING SETS pass) ------------------
 _KEYS = EDA.MEAN_DEMAND_KEYS
@@ -200,15 +202,16 @@ def q_context_levels(spark, sf):
 _KPI_CFG = PriceConfig()
 
 
-_KPI_SQL = _ctx_sql() + f""",
-base AS (SELECT median(CAST(demand AS DOUBLE)) AS rule_base FROM mf),
-fc AS (SELECT ctx.*, {O.rule_forecast_sql('base.rule_base')} AS predicted_demand, {O.d(_KPI_CFG.mid_price)} AS reference_price
-       FROM ctx CROSS JOIN base)
+_KPI_PRICES = f"""
 SELECT pickup_zone, hour, predicted_demand, reference_price, optimal_price, uplift_percent
 FROM ({O.price_best_sql(O.price_points_sql('fc', 'predicted_demand', 'reference_price', _KPI_CFG,
                                            peak='is_peak_hour', weekend='is_weekend', volume='zone_trip_volume',
                                            keys='pickup_zone, hour, predicted_demand, reference_price'),
-                        ['pickup_zone', 'hour'], _KPI_CFG)})""".replace("\n,\nbase AS", ",\nbase AS", 1)
+                        ['pickup_zone', 'hour'], _KPI_CFG)})"""
+_KPI_SQL = (_ctx_sql() + f""",
+base AS (SELECT median(CAST(demand AS DOUBLE)) AS rule_base FROM mf),
+fc AS (SELECT ctx.*, {O.rule_forecast_sql('base.rule_base')} AS predicted_demand, {O.d(_KPI_CFG.mid_price)} AS reference_price
+       FROM ctx CROSS JOIN base)""").replace("\n,\nbase AS", ",\nbase AS", 1) + _KPI_PRICES
 
 
 @register("dashboard_kpis", _KPI_SQL)
@@ -225,6 +228,30 @@ def q_dashboard_kpis(spark, sf):
     return priced.select("pickup_zone", "hour", "predicted_demand", "reference_price", "optimal_price", "uplift_percent")
 
 
+# the fitted model of the scenario: demand on lag_1 and rolling_mean_24, least squares over the training part
+_KPI_MODEL = {"two_features": (["lag_1", "rolling_mean_24"], 0.0)}
+_KPI_FITTED_SQL = _ctx_sql().rstrip() + f""",
+parts AS (SELECT *, dense_rank() OVER (ORDER BY pickup_date) - 1 AS date_idx FROM mf),
+train AS (SELECT CAST(lag_1 AS DOUBLE) AS x1, rolling_mean_24 AS x2, CAST(demand AS DOUBLE) AS y
+          FROM parts WHERE date_idx < (SELECT floor(count(DISTINCT pickup_date) * {O.d(TRAIN_RATIO)}) FROM mf)),
+sums AS (SELECT avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, var_pop(x1) AS v1, var_pop(x2) AS v2,
+           covar_pop(x1, x2) AS c12, covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2 FROM train),
+slopes AS (SELECT *, (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) AS b1, (c2 * v1 - c1 * c12) / (v1 * v2 - c12 * c12) AS b2 FROM sums),
+fc AS (SELECT ctx.*, my - b1 * m1 - b2 * m2 + b1 * lag_1 + b2 * rolling_mean_24 AS predicted_demand,
+         {O.d(_KPI_CFG.mid_price)} AS reference_price
+       FROM ctx CROSS JOIN slopes)""" + _KPI_PRICES
+
+
+@register("dashboard_kpis_fitted", _KPI_FITTED_SQL)
+def q_dashboard_kpis_fitted(spark, sf):
+    """The dashboard's scenarios priced on the demand of a fitted model (K4, G17), not of the rule forecaster."""
+    mf = model_rows(spark, sf)
+    fit = GR.fit_linear(mf.where(bounds(spark, sf).in_part("train")), _KPI_MODEL)["two_features"]
+    fc = _context(spark, sf).withColumn("predicted_demand", fit.column())
+    priced = PR.optimize_prices(fc, "predicted_demand", _KPI_CFG)
+    return priced.select("pickup_zone", "hour", "predicted_demand", "reference_price", "optimal_price", "uplift_percent")
+
+
 @register("dashboard_kpi_cards", _KPI_SQL.replace(
     "SELECT pickup_zone, hour, predicted_demand, reference_price, optimal_price, uplift_percent\nFROM (",
     "SELECT pickup_zone, hour, format('{:,.2f}', predicted_demand) AS predicted_demand_text, "
@@ -257,6 +284,18 @@ def q_zone_history(spark, sf):
     return present(SC.zone_history(model_rows(spark, sf), 10).select(*_HIST_COLS))
 
 
+@register("zone_hour_drilldown", O.with_ctes("mf") + "SELECT " + ", ".join(
+    "strftime(pickup_date, '%Y-%m-%d') AS pickup_date" if c == "pickup_date" else c for c in _HIST_COLS) + """
+FROM mf JOIN (SELECT pickup_zone, hour FROM mf GROUP BY pickup_zone, hour ORDER BY sum(demand) DESC, pickup_zone, hour LIMIT 1)
+USING (pickup_zone, hour)""")
+def q_zone_hour_drilldown(spark, sf):
+    """Every day of the busiest zone at its busiest hour (B9): both are literals that reach the scan."""
+    mf = model_rows(spark, sf)
+    busiest = mf.groupBy("pickup_zone", "hour").agg(F.sum("demand").alias("n")).orderBy(F.desc("n"), "pickup_zone", "hour").first()
+    chosen = C.select_zone_hour(mf, busiest.pickup_zone, busiest.hour) if busiest else mf
+    return present(chosen.select(*_HIST_COLS))
+
+
 # ---- S1, S2 streaming -----------------------------------------------------
 def _events_glob(sf: str) -> str:
     return f"{sf.rstrip('/')}/events.parque[t]"

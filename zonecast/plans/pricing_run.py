@@ -16,11 +16,22 @@ from zonecast.sources.panel_store import date_bounds, rewritten
 from zonecast.sources.sinks import write_document, write_lines, write_table
 
 
+def cv_lines(cv_summary: DataFrame, n: int = 5) -> DataFrame:
+    """One array of the run summary's lines on the best cross-validated models (one row for each candidate model)."""
+    ranked = F.array_sort(F.collect_list(F.struct("cv_val_mae_mean", "model_name", "cv_val_rmse_mean", "cv_val_r2_mean")))
+    line = lambda m: F.format_string("%s  val MAE %.4f  val RMSE %.4f  val R2 %.4f", m.model_name, m.cv_val_mae_mean, m.cv_val_rmse_mean, m.cv_val_r2_mean)
+    return cv_summary.agg(F.concat(F.array(F.lit(""), F.lit("Top CV models:")), F.transform(F.slice(ranked, 1, n), line)).alias("lines"))
+
+
 def run_pricing(spark: SparkSession, panel: DataFrame, output_dir: str, model=None,
                 cfg: PriceConfig = PriceConfig(), sample_size: int | None = None,
-                model_name: str = "rule_forecast") -> dict:
+                model_name: str = "rule_forecast", model_summary: DataFrame | None = None,
+                cv_summary: DataFrame | None = None) -> dict:
     """Price the demo row and every test row (or a seeded sample of ``sample_size``).
 
+    ``model_summary`` (one row, the metrics document of the training plan) goes into the final report, and the
+    first five models of ``cv_summary`` into the run summary.
+
     ``model`` is a fitted ``PipelineModel``; without one the rule forecaster,
     fitted on the training part, supplies the predicted demand.
     """
@@ -59,14 +70,16 @@ def run_pricing(spark: SparkSession, panel: DataFrame, output_dir: str, model=No
               .withColumns({
                   "pricing_sensitivity": sens.agg(F.collect_list(F.struct("*"))).scalar(),
                   "batch_summary": summary.select(F.struct("*")).scalar(),
-                  "top_5_uplift_cases": top5.agg(F.collect_list(F.struct("*"))).scalar()}))
+                  "top_5_uplift_cases": top5.agg(F.collect_list(F.struct("*"))).scalar(),
+                  "model_summary": F.create_map().cast("map<string,string>") if model_summary is None else model_summary.select(F.struct("*")).scalar()}))
     write_document(report, f"{output_dir}/final_report")
 
-    lines = (with_scalars(d, summary).select(F.posexplode(F.array(
+    top_cv = F.array().cast("array<string>") if cv_summary is None else cv_lines(cv_summary).scalar()
+    lines = (with_scalars(d, summary).select(F.posexplode(F.concat(F.array(
         F.lit("RUN SUMMARY"), F.lit("=" * 50), F.concat(F.lit("Best model: "), F.lit(model_name)),
         F.format_string("Demo uplift: %.2f%%", "uplift_percent"),
         F.format_string("Average uplift: %.2f%%", "average_uplift_percent"),
         F.format_string("Average static revenue: %.2f", "average_static_revenue"),
-        F.format_string("Average optimal revenue: %.2f", "average_optimal_revenue"))).alias("line_no", "value")))
+        F.format_string("Average optimal revenue: %.2f", "average_optimal_revenue")), top_cv)).alias("line_no", "value")))
     write_lines(lines, f"{output_dir}/run_summary")
     return {"simulation": sim, "summary": summary}

@@ -37,7 +37,8 @@ def main(argv=None) -> None:
                             spark.read.parquet(f"{out}/artifacts/predictions/test"),
                             spark.read.parquet(f"{out}/artifacts/feature_importance"), f"{out}/diagnostics")
     run_pricing(spark, panel, f"{out}/final", trained["model"], sample_size=a.sample or None,
-                model_name=trained["best_model"])
+                model_name=trained["best_model"], model_summary=spark.read.json(f"{out}/artifacts/model_metrics"),
+                cv_summary=spark.read.parquet(f"{out}/artifacts/cross_validation_summary"))
     print(out)
 
 

@@ -60,10 +60,12 @@ def train_models(spark: SparkSession, panel: DataFrame, output_dir: str, names:
     write_table(M.worst_cases(test_pred, 20, True), f"{output_dir}/top_over_predictions")
     write_table(M.worst_cases(test_pred, 20, False), f"{output_dir}/top_under_predictions")
 
-    imp = ML.native_importance(model)
+    imp, method = ML.native_importance(model), "native_importance_or_coefficients"
     if imp is None:
+        method = "permutation_importance"
         imp = ML.permutation_importance(model, split_df.where(F.col("split") == "val"))
     write_table(imp, f"{output_dir}/feature_importance")
+    write_document(spark.createDataFrame([(method,)], "method string"), f"{output_dir}/feature_importance_meta")
 
     row = comparison.where(F.col("model_name") == best_name).first().asDict()
     # one pass for the three part sizes (three rows come back)
@@ -77,6 +79,7 @@ def train_models(spark: SparkSession, panel: DataFrame, output_dir: str, names:
         "generalization_gap_rmse": row["val_rmse"] - row["train_rmse"],
         "overfitting_suspected": bool(row["val_mae"] > row["train_mae"] * 1.10),
         "feature_columns": ALL_FEATURES,
+        "feature_importance_method": method,
         "cross_validation_profile": "walk_forward_time_series",
         "cross_validation_splits": 3,
     }]).withColumn("residual_summary", resid.select(F.struct("*")).scalar())

@@ -22,6 +22,9 @@ MISSING_TEXTS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "
 BOUNDED_COLUMNS = ["trip_distance", "fare_amount", "total_amount", "passenger_count", "pickup_latitude", "pickup_longitude",
                    "dropoff_latitude", "dropoff_longitude"]
 TIMESTAMP_COLUMNS = ["tpep_pickup_datetime", "tpep_dropoff_datetime"]
+# fixed values: month names by their first three letters
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+_CLOCK = r"(?:(?:[ T]+|, *)(\d{1,2}):(\d{2})(?::(\d{2}(?:\.\d{1,9})?))?(?: *([AaPp])\.?[Mm]\.?)?)?\s*$"
 
 # All raw CSV columns are read as text; typing happens once, in parse_raw_trips.
 RAW_TEXT_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in RAW_COLUMNS])
@@ -43,10 +46,49 @@ def _number(c: str) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+def timestamp(text: Column, day_first: bool = False) -> Column:
+    """A text as TIMESTAMP_NTZ; NULL where it is no time (A2).
+
+    ISO text, and else year-month-day parted by ``/``, ``.`` or nothing; numbers month/day/year (day/month/year with
+    ``day_first``, or where the first number can be no month); and days with an English month name, in either order.
+    The time of day may be missing, without seconds, or of twelve hours with AM or PM.
+    """
+    text = F.trim(text)
+
+    def parts(pattern: str, year: int, month: int, day: int) -> tuple[Column, list[Column]]:
+        whole = "^" + pattern + _CLOCK
+        return F.rlike(text, F.lit(whole)), [F.regexp_extract(text, whole, k) for k in (year, month, day, 4, 5, 6, 7)]
+
+    def clock(hour: Column, minute: Column, second: Column, half: Column) -> Column:
+        h = F.when(hour == "", F.lit(0)).otherwise(hour.try_cast("int"))
+        twelve = F.when(h.between(1, 12), h % 12 + F.when(F.lower(half) == "p", 12).otherwise(0))
+        h = F.when(half == "", h).otherwise(twelve)
+        return F.concat(h.cast("string"), F.lit(":"), F.when(minute == "", "00").otherwise(minute), F.lit(":"), F.when(second == "", "00").otherwise(second))
+
+    def iso(year: Column, month: Column, day: Column, *time: Column) -> Column:
+        return F.concat(year, F.lit("-"), month, F.lit("-"), day, F.lit(" "), clock(*time)).try_cast("timestamp_ntz")
+
+    def named(month: Column) -> Column:
+        at = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(month, 1, 3)))
+        return F.when(at > 0, at.cast("string"))
+
+    said = F.when(F.lit(False), F.lit(None).cast("timestamp_ntz"))
+    for pattern in (r"(\d{4})[/.](\d{1,2})[/.](\d{1,2})", r"(\d{4})(\d{2})(\d{2})"):
+        fits, p = parts(pattern, 1, 2, 3)
+        said = said.when(fits, iso(*p))
+    fits, (year, first, second, *time) = parts(r"(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})", 3, 1, 2)
+    by_month, by_day = iso(year, first, second, *time), iso(year, second, first, *time)
+    said = said.when(fits, F.coalesce(by_day, by_month) if day_first else F.coalesce(by_month, by_day))
+    for pattern, month, day in ((r"(\d{1,2})[ -]+([A-Za-z]{3,9})\.?[ ,-]+(\d{4})", 2, 1), (r"([A-Za-z]{3,9})\.?[ -]+(\d{1,2})[ ,-]+(\d{4})", 1, 2)):
+        fits, (year, name, number, *time) = parts(pattern, 3, month, day)
+        said = said.when(fits, iso(year, named(name), number, *time))
+    return F.coalesce(text.try_cast("timestamp_ntz"), said)
+
+
 def parse_raw_trips(text: DataFrame) -> DataFrame:
     """Type a raw text frame: missing-value texts, bad timestamps and bad numbers become NULL."""
     text = text.select(*[F.when(~F.col(c).isin(MISSING_TEXTS), F.col(c)).alias(c) for c in RAW_COLUMNS])
-    ts = {c: F.expr(f"try_cast(`{c}` AS TIMESTAMP_NTZ)") for c in TIMESTAMP_COLUMNS}
+    ts = {c: timestamp(F.col(c)) for c in TIMESTAMP_COLUMNS}
     present = F.lit(True)
     for c in CRITICAL_COLUMNS:
         present = present & (ts[c].isNotNull() if c in ts else F.col(c).isNotNull())
@@ -66,7 +108,8 @@ def typed_raw_trips(df: DataFrame) -> DataFrame:
     cols = []
     for c in RAW_COLUMNS:
         if c in TIMESTAMP_COLUMNS:
-            cols.append(F.expr(f"try_cast(`{c}` AS TIMESTAMP_NTZ)").alias(c))
+            is_text = isinstance(df.schema[c].dataType, T.StringType)
+            cols.append((timestamp(F.col(c)) if is_text else F.col(c).try_cast("timestamp_ntz")).alias(c))
         elif c in BOUNDED_COLUMNS and isinstance(df.schema[c].dataType, T.DoubleType):
             cols.append(F.col(c))  # as it is, so that cleaning's bounds reach the scan; NaN is outside every bound
         elif c in NUMERIC_COLUMNS:
