@@ -66,6 +66,19 @@ def shared_file(spark, name: str, data: bytes) -> str:
     return unique
 
 
+def fetched_files(df: DataFrame) -> list[str]:
+    """Write the frame to the shared folder and let every executor fetch its files; their names, in order of partitions, for SparkFiles.get()."""
+    sc = df.sparkSession.sparkContext
+    folder = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(sc._jsc.hadoopConfiguration()).listStatus(path)
+    files = sorted((f.getPath().getName(), f.getPath().toString()) for f in found if f.getPath().getName().startswith("part-"))
+    for _, file in files:
+        sc.addFile(file)
+    return [name for name, _ in files]
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The frame as a compressed table in the session's shared folder; for what is larger than a few columns."""
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
