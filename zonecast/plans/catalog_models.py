@@ -73,6 +73,12 @@ def q_ml_holdout_extra_trees(spark, sf):
     return ML.holdout_comparison(split_rows(spark, sf), ["extra_trees"], "final")
 
 
+@register("ml_holdout_gradient_boosting")
+def q_ml_holdout_gradient_boosting(spark, sf):
+    """Gradient boosting with its real profile: 250 iterations of depth 4."""
+    return ML.holdout_comparison(split_rows(spark, sf), ["gradient_boosting"], "final")
+
+
 @register("ml_holdout_hist_boosting")
 def q_ml_holdout_hist_boosting(spark, sf):
     """Histogram boosting with its real profile: 320 trees, 31 leaves, depth 8, L2 0.1."""
