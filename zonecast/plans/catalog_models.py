@@ -73,6 +73,12 @@ def q_ml_holdout_extra_trees(spark, sf):
     return ML.holdout_comparison(split_rows(spark, sf), ["extra_trees"], "final")
 
 
+@register("ml_holdout_random_forest")
+def q_ml_holdout_random_forest(spark, sf):
+    """The random forest with its real profile: 180 trees, depth 20."""
+    return ML.holdout_comparison(split_rows(spark, sf), ["random_forest"], "final")
+
+
 @register("ml_holdout_gradient_boosting")
 def q_ml_holdout_gradient_boosting(spark, sf):
     """Gradient boosting with its real profile: 250 iterations of depth 4."""
