@@ -114,6 +114,18 @@ def test_partitions_do_not_matter_but_seeds_do(spark):
     assert B.fit_boosted(frame(spark)[0], COLS, "y", B.BoostParams(**p, seed=7)) != one
 
 
+def test_a_level_is_one_job_and_the_last_needs_none(spark):
+    df, _ = frame(spark, n=600)
+    sc, jobs = spark.sparkContext, {}
+    p = {"max_leaves": 31, "max_depth": 3, "min_leaf": 2}
+    for trees in (2, 7):
+        sc.setJobGroup(f"boosting-{trees}", "jobs of a fit")
+        B.fit_boosted(df, COLS, "y", B.BoostParams(trees=trees, **p))
+        jobs[trees] = len(sc.statusTracker().getJobIdsForGroup(f"boosting-{trees}"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[7] - jobs[2] <= 5 * 3  # root and two levels; values of the third come from its parents' sums
+
+
 def test_row_sampling_takes_its_share():
     key = np.random.default_rng(0).integers(-2**63, 2**63 - 1, 20_000)
     first, second = B._sampled(key, 0, 42, 0.85), B._sampled(key, 1, 42, 0.85)

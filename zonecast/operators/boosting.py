@@ -8,16 +8,17 @@ with G the residuals' sum and n the rows of a node.
 
 * **Bins.** A feature with ``max_bins`` distinct values at most has a bin for each; others get the exact
   distributed quantiles as edges. Rows are binned once and stored in the shared folder as blocks of bytes.
-* **A round** is one Spark job. Each task sums (residual, count) by (node, feature, bin) over its blocks;
-  Spark adds the tasks' sums up by position. Of two siblings only the smaller one is summed: the other is the
-  parent less it. The driver gets sums only: ``leaves x features x bins`` numbers, whatever the rows.
+* **A round** is one Spark job over arrays that the executors keep, without a query plan. Each task sums
+  (residual, count) by (node, feature, bin) over its blocks; a tree of reductions adds the tasks' sums up. Of two
+  siblings only the smaller one is summed: the other is the parent less it. Leaves that can't be split again need no
+  sums but their parent's. The driver gets sums only: ``leaves x features x bins`` numbers, whatever the rows.
 * **Leaf-wise growth** splits the open leaf of largest gain, up to ``max_leaves``. A round fetches the
   sums of as many open leaves as may still be split, so a tree takes about as many rounds as it is deep, not as it
   has leaves; the order of the splits is that of one split at a time. Without ``max_leaves`` every leaf with a gain is split (level-wise).
 * **Sums are exact.** Residuals are rounded to a power of two so small that sums are integers below 2^53: the
   trees don't depend on partitions or the order of tasks.
-* **State.** A row's prediction is stored in its block every ``SNAPSHOT`` trees; the trees since then are applied
-  on the way. A lost executor costs its blocks of one round.
+* **State.** Each tree is added to the predictions in the executors' blocks once; every ``SNAPSHOT`` trees these
+  are a checkpoint in the shared folder. A lost executor costs its blocks of the trees since then.
 
 Equal rows have equal hashes, so row sampling takes or leaves them together. A constant target or an empty
 frame gives a model without trees. Null and NaN features must be imputed first; rows without a label are left out.
@@ -32,7 +33,7 @@ from dataclasses import asdict, dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel, keyword_only
+from pyspark import RDD, StorageLevel, keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.linalg import DenseVector
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -141,9 +142,11 @@ def to_bins(columns: list[np.ndarray], edges: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _read_blocks(spark, path: str, parts: int) -> DataFrame:
-    """Stored blocks, kept by the executors; what they lose is read again."""
-    return spark.read.schema(_BLOCK).parquet(path).coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
+def _read_blocks(spark, path: str, parts: int, k: int) -> RDD:
+    """Stored blocks as arrays (bins, y, key, raw)."""
+    shown = lambda r: (np.frombuffer(r.bins, np.uint8).reshape(-1, k), np.frombuffer(r.y, np.float64),
+                       np.frombuffer(r.key, np.int64), np.frombuffer(r.raw, np.float64))
+    return spark.read.schema(_BLOCK).parquet(path).coalesce(parts).rdd.map(shown)
 
 
 def _write_blocks(rows: DataFrame, edges: list[list[float]], base: float, path: str) -> None:
@@ -164,15 +167,6 @@ def _write_blocks(rows: DataFrame, edges: list[list[float]], base: float, path:
     rows.mapInArrow(pack, _BLOCK).write.parquet(path)
 
 
-def _unpacked(batches, k: int):
-    """(bins, y, key, raw) of every block."""
-    for b in batches:
-        for bins, y, key, raw in zip(*[b.column(i) for i in range(4)]):
-            yield (np.frombuffer(bins.as_buffer(), dtype=np.uint8).reshape(-1, k),
-                   np.frombuffer(y.as_buffer(), dtype=np.float64), np.frombuffer(key.as_buffer(), dtype=np.int64),
-                   np.frombuffer(raw.as_buffer(), dtype=np.float64))
-
-
 def _with_trees(raw: np.ndarray, bins: np.ndarray, trees: list[Tree]) -> np.ndarray:
     raw = raw.copy()
     for t in trees:
@@ -183,7 +177,7 @@ def _with_trees(raw: np.ndarray, bins: np.ndarray, trees: list[Tree]) -> np.ndar
 # ---- one tree ------------------------------------------------------------------
 @dataclass
 class _Node:
-    sums: np.ndarray  # (features, bins, 2): residual units and rows
+    sums: np.ndarray | None  # (features, bins, 2): residual units and rows; None where no split can follow
     depth: int
     total: float
     rows: float
@@ -224,15 +218,18 @@ class _Grower:
         self.tree = Tree()  # every node that has been opened, wanted in the end or not
         self.nodes: list[_Node] = []
 
+    def _can_split(self, depth: int, rows: float) -> bool:
+        return (self.p.max_depth is None or depth < self.p.max_depth) and rows >= 2 * max(self.p.min_leaf, 1)
+
     def _node(self, sums: np.ndarray, depth: int) -> _Node:
         first = sums[self.columns[0]]
         node = _Node(sums, depth, float(first[:, 0].sum()), float(first[:, 1].sum()))
-        if self.p.max_depth is None or depth < self.p.max_depth:
+        if self._can_split(depth, node.rows):
             node.gain, node.feature, node.cut = best_split(sums, node.total, node.rows, self.p, self.unit, self.columns)
         return node
 
-    def _queue(self) -> tuple[list[int], list[int]]:
-        """(split nodes in order, leaves that wait for their children's sums)."""
+    def _queue(self) -> tuple[list[int], list[int], bool]:
+        """(split nodes in order, leaves that wait for their children's sums, whether only one more may be split)."""
         left = (self.p.max_leaves or 2**62) - 1
         order, serial = [], 1
         heap = [(-self.nodes[0].gain, 0, 0)] if self.nodes[0].feature >= 0 else []
@@ -243,7 +240,7 @@ class _Grower:
                 # further open leaves, below nodes of the queue too, may be split later: fetch them in the same round
                 more = [j for j, n in enumerate(self.nodes) if n.feature >= 0 and n.children is None and j != i]
                 more.sort(key=lambda j: -self.nodes[j].gain)
-                return order, [i, *more][:left]
+                return order, [i, *more][:left], left == 1
             heapq.heappop(heap)
             order.append(i)
             left -= 1
@@ -251,32 +248,38 @@ class _Grower:
                 if self.nodes[c].feature >= 0:
                     heapq.heappush(heap, (-self.nodes[c].gain, serial, c))
                 serial += 1
-        return order, []
+        return order, [], False
 
-    def _open(self, waiting: list[int]) -> None:
-        wanted = {}
+    def _open(self, waiting: list[int], last: bool) -> None:
+        """Splits the waiting leaves; after the ``last`` split no child is split again."""
+        wanted, halves = {}, {}
         for i in waiting:
             node, t = self.nodes[i], self.tree
             t.feature[i], t.cut[i] = node.feature, node.cut
             t.left[i], t.right[i] = t.add(0.0), t.add(0.0)
             self.nodes += [None, None]
             node.children = (t.left[i], t.right[i])
-            rows_left = node.sums[node.feature, : node.cut + 1, 1].sum()
-            wanted[i] = node.children[0 if rows_left * 2 <= node.rows else 1]
-        sums = self.fetch(self.tree, list(wanted.values()))
-        for i, small in wanted.items():
+            low, rows_left = (float(x) for x in node.sums[node.feature, : node.cut + 1].sum(axis=0))
+            halves[i] = ((low, rows_left), (node.total - low, node.rows - rows_left))
+            if not last and any(self._can_split(node.depth + 1, rows) for _, rows in halves[i]):
+                wanted[i] = node.children[0 if rows_left * 2 <= node.rows else 1]
+        sums = self.fetch(self.tree, list(wanted.values())) if wanted else {}
+        for i in waiting:
             node = self.nodes[i]
-            for c in node.children:
-                self.nodes[c] = self._node(sums[small] if c == small else node.sums - sums[small], node.depth + 1)
+            for c, (total, rows) in zip(node.children, halves[i]):
+                if i in wanted:
+                    self.nodes[c] = self._node(sums[c] if c == wanted[i] else node.sums - sums[wanted[i]], node.depth + 1)
+                else:
+                    self.nodes[c] = _Node(None, node.depth + 1, total, rows)
             node.sums = None  # its children have their own
 
     def grow(self) -> Tree:
         self.tree.add(0.0)
         self.nodes.append(self._node(self.fetch(self.tree, [0])[0], 0))
-        order, waiting = self._queue()
+        order, waiting, last = self._queue()
         while waiting:
-            self._open(waiting)
-            order, waiting = self._queue()
+            self._open(waiting, last)
+            order, waiting, last = self._queue()
         return self._chosen(order)
 
     def _chosen(self, order: list[int]) -> Tree:
@@ -294,46 +297,35 @@ class _Grower:
 
 
 # ---- all trees -------------------------------------------------------------------
-def _sums(blocks: DataFrame, k: int, width: int, since: list[Tree], tree: Tree, wanted: list[int], tree_no: int,
-          p: BoostParams, unit: float, columns: list[int]) -> dict[int, np.ndarray]:
+def _sums(blocks: RDD, k: int, width: int, tree: Tree, wanted: list[int], tree_no: int, p: BoostParams, unit: float,
+          columns: list[int]) -> dict[int, np.ndarray]:
     """{leaf: (features, bins, 2)} of the wanted leaves, from one Spark job."""
     slots = np.full(len(tree.feature), -1, dtype=np.int64)
     slots[wanted] = np.arange(len(wanted))
-    size = len(wanted) * k * width
+    m = len(wanted)
 
-    def partial(batches):
-        g, n = np.zeros(size), np.zeros(size)
-        for bins, y, key, raw in _unpacked(batches, k):
-            residual = np.rint((y - _with_trees(raw, bins, since)) / unit)
+    def partial(part):
+        out = np.zeros((2, len(columns), m, width))
+        for bins, y, key, raw in part:
             slot = slots[route(tree, bins)]
             take = slot >= 0
             if p.subsample < 1:
                 take &= _sampled(key, tree_no, p.seed, p.subsample)
-            slot, residual, bins = slot[take], residual[take], bins[take]
-            for j in columns:
-                at = (slot * k + j) * width + bins[:, j]
-                g += np.bincount(at, residual, size)
-                n += np.bincount(at, minlength=size)
-        hit = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(g[hit]), pa.array(n[hit])], ["at", "g", "n"])
-
-    total = blocks.mapInArrow(partial, "at int, g double, n double").groupBy("at").agg(
-        F.sum("g").alias("g"), F.sum("n").alias("n")).toArrow()
-    out = np.zeros((size, 2))
-    out[total["at"].to_numpy(), 0] = total["g"].to_numpy()
-    out[total["at"].to_numpy(), 1] = total["n"].to_numpy()
-    return dict(zip(wanted, out.reshape(len(wanted), k, width, 2)))
-
+            start, residual = slot[take] * width, np.rint((y[take] - raw[take]) / unit)
+            for c, j in enumerate(columns):
+                at = start + bins[take, j]
+                out[0, c] += np.bincount(at, residual, m * width).reshape(m, width)
+                out[1, c] += np.bincount(at, minlength=m * width).reshape(m, width)
+        yield out
 
-def _write_advanced(blocks: DataFrame, k: int, since: list[Tree], path: str) -> None:
-    """The blocks with the trees added to their predictions."""
+    out = np.zeros((m, k, width, 2))
+    out[:, columns] = blocks.mapPartitions(partial).treeReduce(np.add).transpose(2, 1, 3, 0)
+    return dict(zip(wanted, out))
 
-    def move(batches):
-        for bins, y, key, raw in _unpacked(batches, k):
-            cells = [bins.tobytes(), y.tobytes(), key.tobytes(), _with_trees(raw, bins, since).tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], ["bins", "y", "key", "raw"])
 
-    blocks.mapInArrow(move, _BLOCK).write.parquet(path)
+def _advanced(blocks: RDD, tree: Tree) -> RDD:
+    """The blocks with a tree added to their predictions."""
+    return blocks.map(lambda b: (*b[:3], _with_trees(b[3], b[0], [tree])))
 
 
 def fit_boosted(df: DataFrame, features: list[str], label: str, p: BoostParams) -> dict:
@@ -360,26 +352,28 @@ def fit_boosted(df: DataFrame, features: list[str], label: str, p: BoostParams)
     # a task has a block at least, and a core a few tasks at most
     parts = min(math.ceil(st["n"] / BLOCK_ROWS), TASKS_A_CORE * spark.sparkContext.defaultParallelism)
     _write_blocks(rows.withColumn("key", F.xxhash64(*names, "y")).repartition(parts), edges, base, f"{folder}/0")
-    blocks = _read_blocks(spark, f"{folder}/0", parts)
+    blocks = _read_blocks(spark, f"{folder}/0", parts, k).persist(StorageLevel.MEMORY_AND_DISK)
+    before = None
     trees: list[Tree] = []
-    since: list[Tree] = []
     try:
         for t in range(p.trees):
             columns = list(range(k))
             if p.colsample < 1:
                 rng = np.random.default_rng([p.seed, t])
                 columns = sorted(rng.choice(k, max(1, math.ceil(p.colsample * k)), replace=False).tolist())
-            fetch = lambda tree, wanted, now=blocks, done=tuple(since), cols=columns, no=t: _sums(
-                now, k, width, list(done), tree, wanted, no, p, unit, cols)
+            fetch = lambda tree, wanted, now=blocks, cols=columns, no=t: _sums(now, k, width, tree, wanted, no, p, unit, cols)
             trees.append(_Grower(p, unit, columns, fetch).grow())
-            since.append(trees[-1])
-            if len(since) == SNAPSHOT and t + 1 < p.trees:
-                _write_advanced(blocks, k, since, f"{folder}/{t + 1}")
-                blocks.unpersist()
-                blocks = _read_blocks(spark, f"{folder}/{t + 1}", parts)
-                since = []
+            if before is not None:
+                before.unpersist()
+                before = None
+            if t + 1 < p.trees:
+                before, blocks = blocks, _advanced(blocks, trees[-1]).persist(StorageLevel.MEMORY_AND_DISK)
+                if (t + 1) % SNAPSHOT == 0:
+                    blocks.checkpoint()
     finally:
-        blocks.unpersist()
+        for held in (before, blocks):
+            if held is not None:
+                held.unpersist()
     return {"base": base, "edges": edges, "trees": [asdict(t) for t in trees]}
 
 
