@@ -74,6 +74,29 @@ def test_seeds_differ_and_partitions_do_not_matter(spark):
     assert first["cut"][0] != first["cut"][1]  # trees differ though all see all rows
 
 
+def test_a_level_is_two_jobs(spark):
+    df, _ = frame(spark)
+    sc, jobs = spark.sparkContext, {}
+    for depth in (2, 7):
+        sc.setJobGroup(f"extra-trees-{depth}", "jobs of a fit")
+        X.fit_extra_trees(df, COLS, "y", X.ExtraTreesParams(trees=12, max_depth=depth))
+        jobs[depth] = len(sc.statusTracker().getJobIdsForGroup(f"extra-trees-{depth}"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[7] - jobs[2] == 5 * 2
+
+
+def test_rows_of_many_blocks_and_merged_tables(spark, monkeypatch):
+    df, _ = frame(spark)
+    p = X.ExtraTreesParams(trees=9, min_leaf=2)
+    one = X.fit_extra_trees(df, COLS, "y", p)
+    monkeypatch.setattr(X, "BLOCK_ROWS", 7)  # many blocks: tasks share nodes
+    monkeypatch.setattr(X, "SNAPSHOT", 2)
+    assert X.fit_extra_trees(df, COLS, "y", p) == one
+    a, b = (np.array([1, 4]), np.array([[1.0], [2.0]])), (np.array([2, 4, 5]), np.array([[3.0], [4.0], [5.0]]))
+    nodes, sums = X._merged(a, b, np.add)
+    assert nodes.tolist() == [1, 2, 4, 5] and sums.ravel().tolist() == [1, 3, 6, 5]
+
+
 def test_thresholds_lie_within_the_node(spark):
     df, pdf = frame(spark)
     got = X.fit_extra_trees(df, COLS, "y", X.ExtraTreesParams(trees=3))

@@ -1,14 +1,15 @@
 """Extremely randomised trees on Spark (G5): a random threshold for each node and feature, the best feature's is taken.
 
-All trees grow level by level together. A level takes two Spark jobs over the stored blocks of rows:
+All trees grow level by level together. The executors keep blocks of rows with each row's open node in each tree, moved
+once a level. A level takes two Spark jobs over them:
 
 1. the range of every feature (and of the label) in every open node;
 2. after the driver drew a threshold within each range, rows and label sums on its left side.
 
-Each task reduces its blocks to numbers by (node, feature), Spark merges them (min, max, sum), and the driver
-picks a feature for each node: the largest drop in squared error, the first of equal ones. A row's node is found by
-walking it down the trees, so nothing is stored between levels. ``NODES_A_JOB`` nodes are looked at together, the
-others in further jobs.
+Each task reduces its blocks to arrays of the nodes that it met, a tree of reductions merges them (min, max, sum), and
+the driver picks a feature for each node: the largest drop in squared error, the first of equal ones. With few rows a
+block is dealt out several times, each time for other trees, so that all cores have work. ``NODES_A_JOB`` nodes are
+looked at together, the others in further jobs. Every ``SNAPSHOT`` levels the blocks are a checkpoint in the shared folder.
 
 Thresholds come from a hash of seed, tree, node and feature, and label sums are exact (whole units below 2^53):
 the trees don't depend on partitions. Every row is in every tree (no bootstrap). A node with equal labels, with fewer than
@@ -26,7 +27,7 @@ from dataclasses import asdict, dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel, keyword_only
+from pyspark import RDD, StorageLevel, keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.linalg import DenseVector
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -40,6 +41,7 @@ NODES_A_JOB = 50_000
 TREES_AT_ONCE = 32
 BLOCK_ROWS = 10_000
 TASKS_A_CORE = 4
+SNAPSHOT = 16
 _BLOCK = "x binary, y binary"
 
 
@@ -60,16 +62,6 @@ class Forest:
         self.left, self.right = [-1] * trees, [-1] * trees
         self.value, self.gain = [0.0] * trees, [0.0] * trees
 
-    def add(self, value: float) -> int:
-        for col, v in ((self.feature, -1), (self.cut, 0.0), (self.left, -1), (self.right, -1), (self.value, value),
-                       (self.gain, 0.0)):
-            col.append(v)
-        return len(self.feature) - 1
-
-    def arrays(self) -> tuple[np.ndarray, ...]:
-        return (np.asarray(self.feature, np.int32), np.asarray(self.cut), np.asarray(self.left, np.int32),
-                np.asarray(self.right, np.int32))
-
 
 def walk(x: np.ndarray, roots: np.ndarray, arrays: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
     """(row, leaf) of every row in every tree of ``roots``, tree by tree."""
@@ -93,70 +85,89 @@ def _draws(seed: int, nodes: np.ndarray, k: int) -> np.ndarray:
     return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2.0**53
 
 
-def _open_rows(batches, k: int, roots: np.ndarray, arrays, slots: np.ndarray):
-    """(values, label units, row, slot) of the rows in open nodes, block by block."""
-    for b in batches:
-        for xs, ys in zip(b.column(0), b.column(1)):
-            x = np.frombuffer(xs.as_buffer(), dtype=np.float64).reshape(-1, k)
-            y = np.frombuffer(ys.as_buffer(), dtype=np.float64)
-            for lo in range(0, len(roots), TREES_AT_ONCE):
-                row, at = walk(x, roots[lo : lo + TREES_AT_ONCE], arrays)
-                slot = slots[at]
-                held = slot >= 0
-                if held.any():
-                    yield x, y, row[held], slot[held]
-
-
-def _cells(frame: DataFrame, shape: tuple[int, int], columns: list[str], empty: list[float]) -> list[np.ndarray]:
-    table = frame.toArrow()
-    out = []
-    for c, e in zip(columns, empty):
-        a = np.full(shape[0] * shape[1], e)
-        a[table["at"].to_numpy()] = table[c].to_numpy()
-        out.append(a.reshape(shape))
-    return out
-
-
-def _ranges(blocks: DataFrame, k: int, n: int, roots, arrays, slots) -> list[np.ndarray]:
-    """(least, largest) of every feature and, last, of the label in the open nodes."""
-
-    def partial(batches):
-        low, high = np.full((n, k + 1), np.inf), np.full((n, k + 1), -np.inf)
-        for x, y, row, slot in _open_rows(batches, k, roots, arrays, slots):
-            order = np.argsort(slot, kind="stable")
-            row, slot = row[order], slot[order]
-            first = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
-            for j in range(k + 1):
-                v = x[row, j] if j < k else y[row]
-                low[slot[first], j] = np.minimum(low[slot[first], j], np.minimum.reduceat(v, first))
-                high[slot[first], j] = np.maximum(high[slot[first], j], np.maximum.reduceat(v, first))
-        hit = np.flatnonzero(low.ravel() <= high.ravel())
-        yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(low.ravel()[hit]), pa.array(high.ravel()[hit])],
-                                         ["at", "low", "high"])
-
-    found = blocks.mapInArrow(partial, "at int, low double, high double").groupBy("at").agg(
-        F.min("low").alias("low"), F.max("high").alias("high"))
-    return _cells(found, (n, k + 1), ["low", "high"], [np.inf, -np.inf])
-
-
-def _left_sums(blocks: DataFrame, k: int, n: int, roots, arrays, slots, cuts: np.ndarray) -> list[np.ndarray]:
-    """(rows, label units) at or below each node's threshold of each feature."""
-
-    def partial(batches):
-        rows, units = np.zeros((k, n)), np.zeros((k, n))
-        for x, y, row, slot in _open_rows(batches, k, roots, arrays, slots):
-            for j in range(k):
-                low = x[row, j] <= cuts[slot, j]
-                rows[j] += np.bincount(slot[low], minlength=n)
-                units[j] += np.bincount(slot[low], y[row[low]], n)
-        rows, units = rows.T.ravel(), units.T.ravel()
-        hit = np.flatnonzero(rows)
-        yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(rows[hit]), pa.array(units[hit])],
-                                         ["at", "rows", "units"])
-
-    found = blocks.mapInArrow(partial, "at int, rows double, units double").groupBy("at").agg(
-        F.sum("rows").alias("rows"), F.sum("units").alias("units"))
-    return _cells(found, (n, k), ["rows", "units"], [0.0, 0.0])
+def _open_rows(part, lo: int, hi: int):
+    """(values, label units, row, node) of the rows in open nodes lo to hi of the level, sorted by node, block by block."""
+    for x, y, at in part:
+        held = (at >= lo) & (at < hi)
+        if held.any():
+            row, node = np.nonzero(held)[0], at[held]
+            order = np.argsort(node, kind="stable")
+            yield x, y, row[order], node[order]
+
+
+def _merged(a: tuple, b: tuple, op) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, numbers) of two tables of nodes; ``op`` joins those of a node in both."""
+    if not len(a[0]) or not len(b[0]):
+        return a if len(a[0]) else b
+    nodes, where = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
+    out = np.empty((len(nodes), *a[1].shape[1:]))
+    out[where[len(a[0]) :]] = b[1]
+    both = np.isin(a[0], b[0], assume_unique=True)
+    at = where[: len(a[0])]
+    out[at[~both]] = a[1][~both]
+    out[at[both]] = op(out[at[both]], a[1][both])
+    return nodes, out
+
+
+def _by_node(state: RDD, lo: int, hi: int, shape: tuple[int, int], measured, op) -> np.ndarray:
+    """Numbers of the open nodes lo to hi: ``measured`` has those of a block's rows, ``op`` joins them."""
+
+    def partial(part):
+        out = (np.empty(0, np.int32), np.empty((0, *shape)))
+        for x, y, row, node in _open_rows(part, lo, hi):
+            first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+            out = _merged(out, (node[first], measured(x, y, row, node, first)), op)
+        yield out
+
+    # tasks of different trees have different nodes: merging them early saves nothing while there are few tasks
+    depth = 1 if state.getNumPartitions() <= state.context.defaultParallelism else 2
+    return state.mapPartitions(partial).treeReduce(lambda a, b: _merged(a, b, op), depth)[1]
+
+
+def _ranges(state: RDD, k: int, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """(least, largest) of every feature and, last, of the label in the open nodes lo to hi."""
+
+    def measured(x, y, row, node, first):
+        out = np.empty((len(first), 2, k + 1))
+        for j in range(k + 1):
+            v = x[row, j] if j < k else y[row]
+            out[:, 0, j], out[:, 1, j] = np.minimum.reduceat(v, first), -np.maximum.reduceat(v, first)
+        return out
+
+    found = _by_node(state, lo, hi, (2, k + 1), measured, np.minimum)
+    return found[:, 0], -found[:, 1]
+
+
+def _left_sums(state: RDD, k: int, lo: int, hi: int, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, label units) at or below each threshold of the open nodes lo to hi."""
+    shared = state.context.broadcast(cuts)
+
+    def measured(x, y, row, node, first):
+        out, own = np.empty((len(first), 2, k)), shared.value[node - lo]
+        for j in range(k):
+            low = x[row, j] <= own[:, j]
+            out[:, 0, j], out[:, 1, j] = np.add.reduceat(low.astype(np.float64), first), np.add.reduceat(np.where(low, y[row], 0.0), first)
+        return out
+
+    found = _by_node(state, lo, hi, (2, k), measured, np.add)
+    shared.unpersist()
+    return found[:, 0], found[:, 1]
+
+
+def _moved(state: RDD, feature: np.ndarray, cut: np.ndarray, left: np.ndarray, right: np.ndarray) -> RDD:
+    """The blocks with each row in its node of the next level (-1: in a leaf)."""
+    shared = state.context.broadcast((feature, cut, left, right))
+
+    def move(block):
+        (x, y, at), (feature, cut, left, right) = block, shared.value
+        row, tree = np.nonzero(at >= 0)
+        node = at[row, tree]
+        f = feature[node]
+        out = np.full_like(at, -1)
+        out[row, tree] = np.where(f < 0, -1, np.where(x[row, f] <= cut[node], left[node], right[node]))
+        return x, y, out
+
+    return state.map(move)
 
 
 def choose(total: np.ndarray, units: np.ndarray, left_rows: np.ndarray, left_units: np.ndarray, differs: np.ndarray,
@@ -199,60 +210,75 @@ def fit_extra_trees(df: DataFrame, features: list[str], label: str, p: ExtraTree
                                                  ["x", "y"])
 
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/extra_trees/{uuid.uuid4().hex}"
-    parts = min(math.ceil(st["n"] / 1_000), TASKS_A_CORE * spark.sparkContext.defaultParallelism)
-    rows.repartition(parts).mapInArrow(pack, _BLOCK).write.parquet(path)
-    blocks = spark.read.schema(_BLOCK).parquet(path).coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    most = TASKS_A_CORE * spark.sparkContext.defaultParallelism
+    rows.repartition(min(math.ceil(st["n"] / BLOCK_ROWS), most)).mapInArrow(pack, _BLOCK).write.parquet(path)
+    blocks = spark.read.schema(_BLOCK).parquet(path).rdd.map(lambda r: (
+        np.frombuffer(r.x, np.float64).reshape(-1, k), np.frombuffer(r.y, np.float64)))
+    whole = blocks.map(lambda b: (float(len(b[1])), b[1].sum(), 1)).reduce(lambda a, b: (a[0] + b[0], a[1] + b[1], a[2] + b[2]))
+    # how often a block is dealt out, for other trees each time
+    deals = max(1, min(p.trees, spark.sparkContext.defaultParallelism // whole[2]))
+    groups = np.array_split(np.arange(p.trees, dtype=np.int32), deals)
+    parts = min(most, whole[2] * deals)
+    state = blocks.zipWithIndex().flatMap(lambda b: [
+        (b[1] * deals + i, (*b[0], np.tile(g, (len(b[0][1]), 1)))) for i, g in enumerate(groups)]).partitionBy(parts, lambda i: i).values()
+    forest.value = [float(whole[1] / whole[0] * unit)] * p.trees
+    nodes = trees = np.arange(p.trees)  # the level's open nodes and their trees
+    total, units = np.full(p.trees, whole[0]), np.full(p.trees, whole[1])
+    before, depth = None, 0
+    state = state.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        whole = blocks.mapInArrow(_totals, "n double, s double").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
-        # (node, its tree, rows, label units) of the level's open nodes
-        level = [(t, t, whole["n"], whole["s"]) for t in range(p.trees)]
-        for t in range(p.trees):
-            forest.value[t] = whole["s"] / whole["n"] * unit
-        depth = 0
-        while level and (p.max_depth is None or depth < p.max_depth):
-            deeper = []
-            for lo in range(0, len(level), NODES_A_JOB):
-                deeper += _split(blocks, k, forest, level[lo : lo + NODES_A_JOB], p, unit)
-            level, depth = deeper, depth + 1
+        while len(nodes) and total.max() >= 2 * max(p.min_leaf, 1) and (p.max_depth is None or depth < p.max_depth):
+            feature, cut, left, right, *level = _split(state, k, forest, nodes, trees, total, units, p, unit)
+            if before is not None:
+                before.unpersist()
+            before, state = state, _moved(state, feature, cut, left, right).persist(StorageLevel.MEMORY_AND_DISK)
+            nodes, trees, total, units = level
+            depth += 1
+            if depth % SNAPSHOT == 0:
+                state.checkpoint()
     finally:
-        blocks.unpersist()
+        for held in (before, state):
+            if held is not None:
+                held.unpersist()
     return out | _lists(forest)
 
 
-def _totals(batches):
-    for b in batches:
-        for ys in b.column(1):
-            y = np.frombuffer(ys.as_buffer(), dtype=np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array([float(len(y))]), pa.array([y.sum()])], ["n", "s"])
-
-
-def _split(blocks, k: int, forest: Forest, level: list[tuple], p: ExtraTreesParams, unit: float) -> list[tuple]:
-    """Splits a level's open nodes where that is possible; returns those of the next level."""
-    level = [o for o in level if o[2] >= 2 * max(p.min_leaf, 1)]
-    if not level:
-        return []
-    n = len(level)
-    nodes = np.array([o[0] for o in level])
-    roots = np.unique([o[1] for o in level])
-    slots = np.full(len(forest.feature), -1, dtype=np.int64)
-    slots[nodes] = np.arange(n)
-    arrays = forest.arrays()
-    low, high = _ranges(blocks, k, n, roots, arrays, slots)
-    cuts = low[:, :k] + _draws(p.seed, nodes, k) * (high[:, :k] - low[:, :k])
-    cuts = np.where(cuts >= high[:, :k], low[:, :k], cuts)  # rounding must not reach the largest value
-    differs = (low[:, :k] < high[:, :k]) & (low[:, k:] < high[:, k:])
-    left_rows, left_units = _left_sums(blocks, k, n, roots, arrays, slots, cuts)
-    total, units = np.array([o[2] for o in level]), np.array([o[3] for o in level])
-    feature, drop = choose(total, units, left_rows, left_units, differs, p.min_leaf)
-    deeper = []
-    for i in np.flatnonzero(feature >= 0):
-        node, f = int(nodes[i]), int(feature[i])
-        forest.feature[node], forest.cut[node], forest.gain[node] = f, float(cuts[i, f]), max(float(drop[i]), 0.0) * unit**2
-        sides = ((left_rows[i, f], left_units[i, f]), (total[i] - left_rows[i, f], units[i] - left_units[i, f]))
-        children = [forest.add(float(s / r * unit)) for r, s in sides]
-        forest.left[node], forest.right[node] = children
-        deeper += [(c, level[i][1], r, s) for c, (r, s) in zip(children, sides)]
-    return deeper
+def _split(state: RDD, k: int, forest: Forest, nodes: np.ndarray, trees: np.ndarray, total: np.ndarray, units: np.ndarray,
+           p: ExtraTreesParams, unit: float) -> list[np.ndarray]:
+    """Splits a level's open nodes where that is possible.
+
+    Returns feature (or -1), threshold and the children's places in the next level of each node, and
+    (nodes, trees, rows, label units) of that level, which has the children that may be split.
+    """
+    found = []
+    for lo in range(0, len(nodes), NODES_A_JOB):
+        own = slice(lo, min(lo + NODES_A_JOB, len(nodes)))
+        low, high = _ranges(state, k, own.start, own.stop)
+        cuts = low[:, :k] + _draws(p.seed, nodes[own], k) * (high[:, :k] - low[:, :k])
+        cuts = np.where(cuts >= high[:, :k], low[:, :k], cuts)  # rounding must not reach the largest value
+        differs = (low[:, :k] < high[:, :k]) & (low[:, k:] < high[:, k:])
+        left_rows, left_units = _left_sums(state, k, own.start, own.stop, cuts)
+        feature, drop = choose(total[own], units[own], left_rows, left_units, differs, p.min_leaf)
+        at = np.arange(len(feature)), np.maximum(feature, 0)
+        found.append((feature, cuts[at], drop, left_rows[at], left_units[at]))
+    feature, cut, drop, left_rows, left_units = (np.concatenate(c) for c in zip(*found))
+    split = np.flatnonzero(feature >= 0)
+    n, first = len(split), len(forest.feature)
+    # a node's children follow each other, in the order of their parents
+    rows = np.column_stack([left_rows[split], total[split] - left_rows[split]]).ravel()
+    sums = np.column_stack([left_units[split], units[split] - left_units[split]]).ravel()
+    children = first + np.arange(2 * n)
+    for i, f, c, g, child in zip(nodes[split].tolist(), feature[split].tolist(), cut[split].tolist(),
+                                 (np.maximum(drop[split], 0.0) * unit**2).tolist(), children[::2].tolist()):
+        forest.feature[i], forest.cut[i], forest.gain[i], forest.left[i], forest.right[i] = f, c, g, child, child + 1
+    forest.value += (sums / rows * unit).tolist()
+    for column, empty in ((forest.feature, -1), (forest.cut, 0.0), (forest.left, -1), (forest.right, -1), (forest.gain, 0.0)):
+        column += [empty] * (2 * n)
+    goes_on = rows >= 2 * max(p.min_leaf, 1)
+    place = np.where(goes_on, np.cumsum(goes_on) - 1, -1).astype(np.int32)
+    left, right = np.full(len(nodes), -1, np.int32), np.full(len(nodes), -1, np.int32)
+    left[split], right[split] = place[::2], place[1::2]
+    return [feature, cut, left, right, children[goes_on], np.repeat(trees[split], 2)[goes_on], rows[goes_on], sums[goes_on]]
 
 
 def _lists(forest: Forest) -> dict:
