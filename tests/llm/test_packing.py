@@ -108,3 +108,12 @@ def test_vocabularies_of_one_size_have_encoders_of_their_own():
 
     first, second, again = (K._encoder(Shared(b)).encode("a").tolist() for b in (own, other, own))
     assert first == again != second and second == K.Encoder(other).encode("a").tolist()
+
+
+def test_words_are_remembered_when_they_come_again():
+    own = K.Encoder(K.ByteBpe(PATH))
+    text = "zyzzyva quokka  the\nokapi zyzzyva\n numbat"
+    want = LIBRARY.encode(text, add_special_tokens=False).ids
+    assert own.encode(text).tolist() == want and not own._words  # what comes once takes no place
+    assert own.encode(text).tolist() == want and " numbat" in own._words
+    assert own.encode("ibex " + text + " ibis tapir").tolist() == LIBRARY.encode("ibex " + text + " ibis tapir", add_special_tokens=False).ids

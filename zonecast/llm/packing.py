@@ -70,10 +70,11 @@ class ByteBpe:
 
 
 class Encoder:
-    """Whole texts to ids. What stands between single spaces is encoded once and remembered, up to a bound."""
+    """Whole texts to ids. What stands between single spaces is remembered when it comes again, up to a bound."""
 
     MOST_WORDS = 100_000
     LONG_WORD = 64
+    MET = 1 << 20
 
     def __init__(self, bpe: ByteBpe):
         import tiktoken
@@ -82,6 +83,7 @@ class Encoder:
         self._bpe = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=bpe.ranks, special_tokens=bpe.special)
         self._any_special = re.compile("|".join(map(re.escape, bpe.special)) or "(?!)")
         self._words: dict[str, bytes] = {}
+        self._met = bytearray(self.MET)  # by hash, which words have been met; a word met once isn't worth its place
         self.ends_sentence = np.zeros(max([*bpe.ranks.values(), *bpe.special.values()]) + 1, bool)
         for token, n in bpe.ranks.items():
             self.ends_sentence[n] = token[-1:] in (b".", b"!", b"?", b"\n")
@@ -95,11 +97,26 @@ class Encoder:
         try:
             return np.frombuffer(b"".join([known[w] for w in words]), "<u4")
         except KeyError:
-            new = {w for w in words if w not in known}
-        made = {w: np.array(self._bpe.encode_ordinary(w), "<u4").tobytes() for w in new}
-        if len(known) < self.MOST_WORDS:  # the frequent words come early
-            known.update((w, ids) for w, ids in made.items() if len(w) <= self.LONG_WORD)
-        return np.frombuffer(b"".join([known[w] if w in known else made[w] for w in words]), "<u4")
+            pass
+        out, new, encode = [], [], self._bpe.encode_ordinary
+        for w in words:
+            ids = known.get(w)
+            if ids is None:
+                if len(known) < self.MOST_WORDS and len(w) <= self.LONG_WORD:
+                    place = hash(w) % self.MET
+                    if self._met[place]:
+                        ids = known[w] = np.array(encode(w), "<u4").tobytes()
+                    self._met[place] = 1
+                if ids is None:
+                    new.append(w)  # a stretch of new words is encoded in one go
+                    continue
+            if new:
+                out.append(np.array(encode("".join(new)), "<u4").tobytes())
+                new.clear()
+            out.append(ids)
+        if new:
+            out.append(np.array(encode("".join(new)), "<u4").tobytes())
+        return np.frombuffer(b"".join(out), "<u4")
 
 
 def _encoder(shared) -> Encoder:
