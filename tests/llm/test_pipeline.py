@@ -64,3 +64,12 @@ def test_every_operator_is_registered():
     assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
     assert set(ORACLES) <= set(QUERIES) <= set(names) and "pipeline" not in entry.oracle_sql()
     assert all(m.__doc__ and "efined results for odd input" in m.__doc__ for m in (jaccard, langid, quality))
+
+
+def test_checkpoints_have_a_few_files_a_core(spark):
+    from zonecast.llm import batches
+
+    many = 3 * batches.FILES_A_CORE * spark.sparkContext.defaultParallelism
+    df = spark.range(1000).repartition(many)
+    got = batches.written(df)
+    assert got.rdd.getNumPartitions() == many // 3 and sorted(r.id for r in got.collect()) == list(range(1000))

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 
 from zonecast.session import ensure_checkpoint_dir
 
+FILES_A_CORE = 2
+
 
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts of a column as UTF-8 bytes; null is empty."""
@@ -47,9 +49,13 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The frame as a checkpoint in the session's shared folder: lineage ends there."""
+    """The frame as a checkpoint in the session's shared folder: lineage ends there.
+
+    It has a few files a core at most: on a local file system each file costs its executor a chmod
+    process, which shares the executor's memory until it starts, so for a moment that counts twice.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return df.coalesce(FILES_A_CORE * df.sparkSession.sparkContext.defaultParallelism).checkpoint(eager=True)
 
 
 def shared_file(spark, name: str, data: bytes) -> str:
