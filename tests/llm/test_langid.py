@@ -159,3 +159,48 @@ def test_a_stored_model_predicts_the_same(spark, monkeypatch):
             assert (getattr(stored, name)[k] == getattr(gathered, name)[k]).all()
     kept = {r.doc_id for r in L.accept(docs, stored).collect()}
     assert kept == {r.doc_id for r in L.accept(docs, gathered).collect()} and len(kept) > 200
+
+
+def test_predictions_and_limits_come_from_every_labelled_row(spark):
+    from collections import Counter
+
+    ids = spark.range(3000).select(F.col("id").alias("doc_id"))
+    rare = ids.where(~L.held_out() & (F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 0) & (F.col("doc_id") >= 240)).limit(2).collect()
+    said = "egy gyors barna róka átugrik a lusta kutya felett miközben néhány gyerek az ablakból nézi és nevet "
+    docs = table(spark, 90).unionByName(spark.createDataFrame([(r.doc_id, said * 3, "hu") for r in rare], "doc_id long, text string, lang string"))
+    labelled = docs.where(~L.held_out()).withColumn("part", L.part()).collect()
+    assert {r.part for r in labelled} == set(range(L.PARTS)) and {r.part for r in labelled if r.lang == "hu"} == {0}
+
+    def learned(rows):
+        out = {}
+        for r in rows:
+            out.setdefault(r.lang, Counter()).update(unpacked(r.text))
+        return out
+
+    def costs(counts, text):
+        return {x: plain_entropy(c, text) for x, c in counts.items()}
+
+    model = L.fit(docs)
+    new = spark.createDataFrame([(-1, said), (-2, "the fox laughs"), (-3, "der hund lacht")], "doc_id long, text string")
+    whole = learned(labelled)
+    got = {r.doc_id: r for r in L.predict(new, model).collect()}
+    for r in new.collect():
+        want = costs(whole, r.text)
+        assert got[r.doc_id].lang_pred == min(want, key=want.get) and abs(got[r.doc_id].whole_entropy - min(want.values())) < 1e-9
+    assert got[-1].lang_pred == "hu" and got[-1].entropy == got[-1].whole_entropy and got[-2].entropy != got[-2].whole_entropy
+    assert got[-1].accepted and -1 in {r.doc_id for r in L.accept(new, model).collect()}
+
+    # each row judged by what the other parts learned
+    worst = {}
+    for p in range(L.PARTS):
+        others = learned(r for r in labelled if r.part != p)
+        for r in labelled:
+            if r.part == p:
+                found = costs(others, r.text)
+                if min(found, key=found.get) == r.lang:
+                    letters = int(L.grams([r.text])[2][0])
+                    worst.setdefault((r.lang, letters.bit_length()), []).append(found[r.lang])
+    assert sum(map(len, worst.values())) > 0.95 * len(labelled)
+    assert {(model.whole.languages[x], size): round(limit, 9) for (x, size), limit in model.limits.items()} == {
+        x: round(1.5 * max(own), 9) for x, own in worst.items()}
+    assert abs(model.limit - 1.5 * max(max(own) for own in worst.values())) < 1e-9
